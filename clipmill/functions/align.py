@@ -10,13 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NO_STAMP = -(2**62)
 _CELLS = 4_000_000
-RESULT = (
-    "substitutions bigint, insertions bigint, deletions bigint, matched bigint, "
-    "boundary_error_ms bigint, boundary_count bigint"
-)
+COUNTS = ("substitutions", "insertions", "deletions", "matched", "boundary_error_ms", "boundary_count")
+RESULT = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 
 
 def _pad(rows: list[np.ndarray], width: int, fill: int) -> np.ndarray:
@@ -97,8 +96,7 @@ def _batch(ew, pw, es, ee, ps, pe) -> pd.DataFrame:
         stamps = [side(es, w, NO_STAMP), side(ee, w, NO_STAMP), side(ps, h, NO_STAMP), side(pe, h, NO_STAMP)]
         out[:, pick] = _align(side(e_codes, w, -1), side(p_codes, h, -2), m[pick], n[pick], stamps)
         at = end
-    names = [part.split()[0] for part in RESULT.split(", ")]
-    return pd.DataFrame(dict(zip(names, out)))
+    return pd.DataFrame(dict(zip(COUNTS, out)))
 
 
 @F.pandas_udf(RESULT)
