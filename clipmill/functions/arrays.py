@@ -57,7 +57,7 @@ def q64_char(v: Column, clip: float = Q64_CLIP) -> Column:
 
 
 def q64_row(f: Column) -> Column:
-    return F.array_join(F.transform(f, q64_char), "")
+    return F.array_join(F.transform(f, lambda v: q64_char(v)), "")
 
 
 def covered(joints: Column) -> Column:

@@ -46,6 +46,7 @@ VIEWS = {
       from {documents} d join {labels} l on d.doc_id = l.doc_id""",
     "v_feat": """select cast(floor(vec_id / 50) as bigint) as clip_id, cast(vec_id % 50 as bigint) as frame_idx,
       cast(label as string) as gloss, embedding as f from {embeddings}""",
+    "v_turns": """select conv_id as clip_id, turn as frame_idx, cast(length(text) as double) as size, cast(turn * 33 as bigint) as ts_ms from {conversations}""",
     "v_tele": """select concat('r', cast(event_id as string)) as request_id, cast(floor(value) as bigint) as latency_ms,
       case when event_type = 'error' then 'timeout' else 'success' end as outcome,
       cast(value / 500 as double) as confidence, 'm1' as model_tag from {events}""",

@@ -16,9 +16,11 @@ PARTS = ("body", "left_hand", "right_hand", "face")
 REQUIRED = PARTS[:3]
 _SCHEMA = "path string, clip_id string, archive_id string, frame_idx int, body array<array<float>>, left_hand array<array<float>>, right_hand array<array<float>>, face array<array<float>>, rule string"
 
+_COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
+
 
 def _frames(path: str, content: bytes) -> Iterator[dict]:
-    row = {"path": path, "clip_id": path.rsplit("/", 1)[-1].removesuffix(".npz")}
+    row = dict.fromkeys(_COLUMNS) | {"path": path, "clip_id": path.rsplit("/", 1)[-1].removesuffix(".npz")}
     try:
         with np.load(io.BytesIO(content), allow_pickle=False) as z:
             parts = {n: z[n].astype(np.float32) for n in PARTS if n in z}
@@ -45,21 +47,39 @@ def _frames(path: str, content: bytes) -> Iterator[dict]:
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in _SCHEMA.split(", ")]
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
             rows = []
             for r in _frames(path, content):
                 rows.append(r)
                 if len(rows) == 512:
-                    yield pd.DataFrame(rows).reindex(columns=columns)
+                    yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
                     rows = []
-            yield pd.DataFrame(rows).reindex(columns=columns)
+            yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
 
 
-def ingest_pose_archives(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(pose frames + archive_id, violations) of the ``*.npz`` files under ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(root)
+def decode_pose_archives(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(path, content)`` -> (pose frames + archive_id, violations)."""
     rows = files.select("path", "content").mapInPandas(_decode, _SCHEMA)
     bad = rows.filter("rule is not null").select("rule", F.col("clip_id").alias("key"), F.col("path").alias("detail"))
     return rows.filter("rule is null").select(*POSE_FRAMES.names, "archive_id"), bad
+
+
+def ingest_pose_archives(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """As above for the ``*.npz`` files under ``root``."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz")
+    return decode_pose_archives(reader.load(root))
+
+
+def encode_pose_archives(frames: DataFrame) -> DataFrame:
+    """Pose frames -> ``(path, content)``, one archive per clip (an archive holds one clip's frames)."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_idx")
+        parts = {n: np.array([[list(j) for j in f] for f in pdf[n]], dtype=np.float32) for n in PARTS if n in pdf and pdf[n].notna().all()}
+        clip = str(pdf["clip_id"].iloc[0])
+        buffer = io.BytesIO()
+        np.savez_compressed(buffer, sample_id=np.array(clip), **parts)
+        return pd.DataFrame({"path": [f"{clip}.npz"], "content": [buffer.getvalue()]})
+
+    return frames.groupBy("clip_id").applyInPandas(pack, "path string, content binary")
