@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NO_STAMP = -(2**62)
-_CELLS = 4_000_000
+_CELLS = 16_000  # cells per diagonal buffer: small enough to stay in the processor cache
 COUNTS = ("substitutions", "insertions", "deletions", "matched", "boundary_error_ms", "boundary_count")
 RESULT = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 
@@ -28,52 +28,53 @@ def _pad(rows: list[np.ndarray], width: int, fill: int) -> np.ndarray:
 def _align(e: np.ndarray, p: np.ndarray, m: np.ndarray, n: np.ndarray, stamps: list[np.ndarray]) -> np.ndarray:
     """Counts (S, I, D, matched, error, boundaries) for a padded batch.
 
-    A cell prefers deletion, then insertion, then the diagonal, so carrying the counts forward gives
-    the same path as tracing back from the end.
+    A cell prefers deletion, then insertion, then the diagonal, so carrying values forward gives the
+    same path as tracing back from the end. Only cost, substitutions and boundary sums travel; the
+    other counts follow from them and the two lengths.
     """
     rows, width = e.shape
     height = p.shape[1]
     es, ee, ps, pe = stamps
-    state = np.zeros((3, 7, rows, width + 1), dtype=np.int64)  # three diagonals: cost + six counts
-    result = np.zeros((6, rows), dtype=np.int64)
+    p, ps, pe = p[:, ::-1], ps[:, ::-1], pe[:, ::-1]
+    e_timed, p_timed = (es != NO_STAMP) & (ee != NO_STAMP), (ps != NO_STAMP) & (pe != NO_STAMP)
+    timed_at_all = bool(e_timed.any() and p_timed.any())
+    depth = 4 if timed_at_all else 2  # cost, substitutions[, error, boundaries]
+    state = np.zeros((3, depth, rows, width + 1), dtype=np.int64)
+    last = np.zeros((4, rows), dtype=np.int64)
     order = np.arange(rows)
     for d in range(width + height + 1):
         cur, prev, prev2 = state[d % 3], state[(d - 1) % 3], state[(d - 2) % 3]
         lo, hi = max(0, d - height), min(d, width)
-        if lo == 0:  # first row: d insertions
-            cur[:, :, 0] = 0
-            cur[0, :, 0] = cur[2, :, 0] = d
-        if hi == d:  # first column: d deletions
-            cur[:, :, d] = 0
-            cur[0, :, d] = cur[3, :, d] = d
+        for edge in ([0] if lo == 0 else []) + ([d] if hi == d else []):
+            cur[:, :, edge] = 0
+            cur[0, :, edge] = d
         a, b = max(lo, 1), min(hi, d - 1)
         if a <= b:
-            i = slice(a, b + 1)
-            back = slice(a - 1, b)
-            j = np.arange(d - a - 1, d - b - 2, -1)
-            ew, pw = e[:, back], p[:, j]
-            same = ew == pw
+            i, back = slice(a, b + 1), slice(a - 1, b)
+            j = slice(height - d + a, height - d + b + 1)  # reversed positions
+            same = e[:, back] == p[:, j]
             up, left, diag = prev[:, :, back], prev[:, :, i], prev2[:, :, back]
-            c_up, c_left, c_diag = up[0] + 1, left[0] + 1, diag[0] + ~same
-            use_up = (c_up <= c_left) & (c_up <= c_diag)
-            use_left = ~use_up & (c_left <= c_diag)
-            use_diag = ~(use_up | use_left)
-            new = np.where(use_up, up, np.where(use_left, left, diag))
-            new[0] = np.where(use_up, c_up, np.where(use_left, c_left, c_diag))
-            hit = use_diag & same
-            new[1] += use_diag & ~same
-            new[2] += use_left
-            new[3] += use_up
-            new[4] += hit
-            a1, a2, b1, b2 = es[:, back], ee[:, back], ps[:, j], pe[:, j]
-            timed = hit & (a1 != NO_STAMP) & (a2 != NO_STAMP) & (b1 != NO_STAMP) & (b2 != NO_STAMP)
-            new[5] += np.where(timed, np.abs(a1 - b1) + np.abs(a2 - b2), 0)
-            new[6] += 2 * timed
+            c_side = np.minimum(up[0], left[0]) + 1
+            use_diag = diag[0] + ~same < c_side
+            new = np.where(up[0] <= left[0], up, left)
+            new[0] += 1
+            new = np.where(use_diag, diag, new)
+            miss = use_diag & ~same
+            new[0] += miss
+            new[1] += miss
+            if timed_at_all:
+                timed = use_diag & same & e_timed[:, back] & p_timed[:, j]
+                gap = np.abs(es[:, back] - ps[:, j]) + np.abs(ee[:, back] - pe[:, j])
+                new[2] += np.where(timed, gap, 0)
+                new[3] += 2 * timed
             cur[:, :, i] = new
         done = order[m + n == d]
         if len(done):
-            result[:, done] = cur[1:, done, m[done]]
-    return result
+            last[:depth, done] = cur[:, done, m[done]]
+    cost, sub, error, bounds = last
+    ins = (cost - sub - (m - n)) // 2
+    dele = ins + m - n
+    return np.stack([sub, ins, dele, m - sub - dele, error, bounds])
 
 
 def _batch(ew, pw, es, ee, ps, pe) -> pd.DataFrame:
@@ -88,7 +89,7 @@ def _batch(ew, pw, es, ee, ps, pe) -> pd.DataFrame:
     at = 0
     while at < len(by_size):
         end = at + 1
-        while end < len(by_size) and (end - at + 1) * (m[by_size[end]] + 1) * 21 <= _CELLS:
+        while end < len(by_size) and (end - at + 1) * (m[by_size[end]] + 1) <= _CELLS:
             end += 1
         pick = by_size[at:end]
         w, h = int(m[pick].max()), int(n[pick].max())

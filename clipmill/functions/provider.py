@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,50 +162,40 @@ PROBE_SCHEMA = (
 )
 
 
-def probe_flatten(text: Column) -> Column:
-    """struct of the first video stream: duration, fps, size, codec, pixel format, audio, error."""
-    p = F.from_json(text, PROBE_SCHEMA)
-    streams = F.coalesce(p["streams"], F.expr("cast(array() as array<struct<codec_type string, avg_frame_rate string, width bigint, height bigint, codec_name string, pix_fmt string, duration string>>)"))
-    s = F.get(F.filter(streams, lambda x: x["codec_type"] == "video"), F.lit(0))
+def probe_flatten(df: DataFrame, payload: str) -> DataFrame:
+    """Add the first video stream's facts: error, duration_seconds, fps, width, height, codec, pixel_format, has_audio."""
     clean = lambda c: F.nullif(c, F.lit(""))
-    rate = F.coalesce(clean(s["avg_frame_rate"]), F.lit("0/1"))
-    num, den = F.split_part(rate, F.lit("/"), F.lit(1)).try_cast("double"), F.split_part(rate, F.lit("/"), F.lit(2)).try_cast("double")
-    fps = F.when(~F.contains(rate, F.lit("/")), rate.try_cast("double")).when(den == 0, 0.0).otherwise(num / den)
-    duration = F.coalesce(clean(p["format"]["duration"]), clean(s["duration"]))
+    s, rate, duration = F.col("_s"), F.col("_rate"), F.col("_duration")
+    kinds = F.coalesce(F.col("_p.streams.codec_type"), F.array().cast("array<string>"))
+    d = df.withColumn("_p", F.from_json(payload, PROBE_SCHEMA))
+    d = d.withColumn("_s", F.get(F.filter(F.col("_p.streams"), lambda x: x["codec_type"] == "video"), F.lit(0)))
+    d = d.withColumn("_rate", F.split(F.coalesce(clean(s["avg_frame_rate"]), F.lit("0/1")), "/", 2))
+    d = d.withColumn("_duration", F.coalesce(clean(F.col("_p.format.duration")), clean(s["duration"])))
+    d = d.withColumn("duration_seconds", duration.try_cast("double"))
+    num, den = rate[0].try_cast("double"), F.get(rate, F.lit(1)).try_cast("double")
+    d = d.withColumn("fps", F.when(F.size(rate) == 1, num).when(den == 0, 0.0).otherwise(num / den))
     size_ok = (F.coalesce(s["width"], F.lit(0)) > 0) & (F.coalesce(s["height"], F.lit(0)) > 0)
-    error = (
-        F.when(s.isNull(), "video_stream_not_found")
-        .when(duration.isNull(), "video_duration_missing")
-        .when(duration.try_cast("double").isNull(), "video_duration_invalid")
-        .when(fps.isNull(), "frame_rate_invalid")
-        .when(~size_ok, "video_resolution_invalid")
-    )
-    return F.struct(
-        error.alias("error"),
-        duration.try_cast("double").alias("duration_seconds"),
-        fps.alias("fps"),
-        s["width"].alias("width"),
-        s["height"].alias("height"),
+    return d.select(
+        *df.columns,
+        F.when(s.isNull(), "video_stream_not_found").when(duration.isNull(), "video_duration_missing")
+        .when(F.col("duration_seconds").isNull(), "video_duration_invalid")
+        .when(F.col("fps").isNull(), "frame_rate_invalid").when(~size_ok, "video_resolution_invalid").alias("error"),
+        "duration_seconds", "fps", s["width"].alias("width"), s["height"].alias("height"),
         F.coalesce(clean(s["codec_name"]), F.lit("unknown")).alias("codec"),
         F.coalesce(clean(s["pix_fmt"]), F.lit("unknown")).alias("pixel_format"),
-        F.exists(streams, lambda x: F.coalesce(x["codec_type"] == "audio", F.lit(False))).alias("has_audio"),
+        F.array_contains(kinds, "audio").alias("has_audio"),
     )
 
 
-def profile_conformity(probe: Column, max_seconds: float = MAX_DURATION_SECONDS) -> Column:
-    """struct with one flag per rule, the overall flag and whether the clip is too long."""
+def profile_conformity(probes: DataFrame, max_seconds: float = MAX_DURATION_SECONDS) -> DataFrame:
+    """Add one flag per rule, the overall flag and whether the clip is too long."""
     rules = {
-        "size_differs": (probe["width"] != PROFILE["width"]) | (probe["height"] != PROFILE["height"]),
-        "fps_differs": F.abs(probe["fps"] - F.lit(PROFILE["fps"])) > F.lit(0.01),
-        "codec_differs": ~F.lower(probe["codec"]).isin(*PROFILE["codecs"]),
-        "pix_fmt_differs": F.lower(probe["pixel_format"]) != PROFILE["pix_fmt"],
-        "audio_present": probe["has_audio"],
+        "size_differs": (F.col("width") != PROFILE["width"]) | (F.col("height") != PROFILE["height"]),
+        "fps_differs": F.abs(F.col("fps") - F.lit(PROFILE["fps"])) > F.lit(0.01),
+        "codec_differs": ~F.lower("codec").isin(*PROFILE["codecs"]),
+        "pix_fmt_differs": F.lower("pixel_format") != PROFILE["pix_fmt"],
+        "audio_present": F.col("has_audio"),
     }
-    total = None
-    for c in rules.values():
-        total = c if total is None else total | c
-    return F.struct(
-        *[c.alias(n) for n, c in rules.items()],
-        total.alias("needs_normalizing"),
-        (probe["duration_seconds"] > F.lit(float(max_seconds))).alias("too_long"),
-    )
+    d = probes.select("*", *[c.alias(n) for n, c in rules.items()])
+    return d.withColumn("needs_normalizing", reduce(or_, [F.col(n) for n in rules])).withColumn(
+        "too_long", F.col("duration_seconds") > F.lit(float(max_seconds)))

@@ -46,14 +46,18 @@ def in_labels(c: Column, labels: Sequence[str]) -> Column:
     return F.coalesce(c.isin(list(labels)), F.lit(False))
 
 
-def resolve_output_split(raw: Column, labels: Sequence[str]) -> Column:
-    """struct(label, valid): the first piece between ``\\n , ; :`` that has any kept character.
+def output_label(raw: Column) -> Column:
+    """The first piece between ``\\n , ; :`` that has any kept character, normalised; null without one.
 
     One leftmost regular-expression match finds that piece, so the row stays in generated code.
     """
     piece = F.regexp_extract(F.lower(_text(raw)), r"([^\n,;:]*[a-z0-9_\-][^\n,;:]*)", 1)
-    label = F.nullif(normalize_gloss(piece), F.lit(""))
-    return F.struct(label.alias("label"), in_labels(label, labels).alias("valid"))
+    return F.nullif(normalize_gloss(piece), F.lit(""))
+
+
+def resolve_output_split(df: DataFrame, raw: str, labels: Sequence[str]) -> DataFrame:
+    """Add ``label`` (see ``output_label``) and ``valid``: is it in the contract."""
+    return df.withColumn("label", output_label(F.col(raw))).withColumn("valid", in_labels(F.col("label"), labels))
 
 
 def resolve_output_first_line(raw: Column, labels: Sequence[str]) -> Column:
@@ -123,7 +127,7 @@ def resolve_output_reason(df: DataFrame, raw: str, labels: Sequence[str]) -> Dat
 def line_value(text: Column, key: str) -> Column:
     """Trimmed value of the first ``key=`` line, null without such a line."""
     pattern = rf"(?:^|{LINE_BREAK}){key}=({NOT_LINE_BREAK}*)"
-    return F.when(_text(text).rlike(pattern), F.trim(F.regexp_extract(_text(text), pattern, 1)))
+    return F.trim(F.get(F.regexp_extract_all(_text(text), F.lit(pattern), F.lit(1)), F.lit(0)))
 
 
 def sample_key(text: Column) -> Column:
@@ -134,23 +138,23 @@ def sample_key(text: Column) -> Column:
 _SHAPE = r"^(\d+)\s+features_per_frame=(\d+)$"
 
 
-def parse_input_block(text: Column) -> Column:
-    """struct of the ``key=value`` lines; ``shape_ok`` is null when there is no shape line."""
-    shape = line_value(text, "frames")
-    return F.struct(
-        line_value(text, "sample_id").alias("sample_id"),
-        line_value(text, "encoding").alias("encoding"),
-        shape.rlike(_SHAPE).alias("shape_ok"),
-        F.regexp_extract(shape, _SHAPE, 1).try_cast("bigint").alias("frames"),
-        F.regexp_extract(shape, _SHAPE, 2).try_cast("bigint").alias("features"),
-        line_value(text, "pose_q64").alias("pose_q64"),
-        line_value(text, "pose").alias("pose"),
-    )
+def parse_input_block(df: DataFrame, text: str) -> DataFrame:
+    """Add struct ``p`` of the ``key=value`` lines; ``shape_ok`` is null when there is no shape line."""
+    shape = F.col("_shape")
+    number = lambda i: F.regexp_extract(shape, _SHAPE, i).try_cast("bigint")
+    values = ("sample_id", "encoding", "pose_q64", "pose")
+    return df.withColumn("_shape", line_value(F.col(text), "frames")).withColumn(
+        "p",
+        F.struct(
+            *[line_value(F.col(text), k).alias(k) for k in values], shape.rlike(_SHAPE).alias("shape_ok"),
+            number(1).alias("frames"), number(2).alias("features"),
+        ),
+    ).drop("_shape")
 
 
 def parse_pose_text(pose: Column) -> Column:
     """``v,v;v,v`` -> array of frames of doubles; blank frames and values are skipped."""
-    frames = F.filter(F.transform(F.split(pose, ";"), F.trim), lambda f: f != "")
+    frames = F.filter(F.transform(F.split(pose, ";"), lambda f: F.trim(f)), lambda f: f != "")
     return F.transform(
         frames,
         lambda f: F.transform(F.filter(F.split(f, ","), lambda v: v != ""), lambda v: v.cast("double")),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmill.constants import INVALID, UNKNOWN
-from clipmill.functions.text import canonicalize_text, normalize_gloss, resolve_output_split
+from clipmill.functions.text import canonicalize_text, in_labels, normalize_gloss, output_label
 from clipmill.operators.ranking import nearest_rank, telemetry_index
 from clipmill.session import small_side
 
@@ -20,17 +20,17 @@ def ratio(top: Column, bottom: Column) -> Column:
 
 def prediction_rows(df: DataFrame, labels: Sequence[str], mode: str = "real") -> DataFrame:
     """(index, sample_id, expected_gloss, raw_model_output) -> resolved prediction columns."""
-    r = df.withColumn("_r", resolve_output_split(F.col("raw_model_output"), labels))
-    expected = normalize_gloss(F.col("expected_gloss"))
+    r = df.withColumn("_label", output_label(F.col("raw_model_output"))).withColumn("_expected", normalize_gloss(F.col("expected_gloss")))
+    label, expected, valid = F.col("_label"), F.col("_expected"), in_labels(F.col("_label"), labels)
     return r.select(
         "index",
         "sample_id",
         expected.alias("expected_gloss"),
-        F.coalesce("_r.label", F.lit("")).alias("predicted_gloss"),
+        F.coalesce(label, F.lit("")).alias("predicted_gloss"),
         "raw_model_output",
-        F.col("_r.valid").alias("valid_label"),
-        F.coalesce((expected != "") & F.col("_r.valid") & (F.col("_r.label") == expected), F.lit(False)).alias("correct"),
-        F.when(F.col("_r.valid"), F.col("_r.label")).otherwise(INVALID).alias("prediction_for_metrics"),
+        valid.alias("valid_label"),
+        ((expected != "") & valid & F.coalesce(label == expected, F.lit(False))).alias("correct"),
+        F.when(valid, label).otherwise(INVALID).alias("prediction_for_metrics"),
         F.lit(mode).alias("mode"),
     )
 

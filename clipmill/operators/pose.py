@@ -154,8 +154,7 @@ def export_manifest(records: DataFrame) -> DataFrame:
 
 def validate_q64_records(records: DataFrame, expected: DataFrame) -> DataFrame:
     """Violations (rule, key, detail) of records against ``expected(sample_id, expected_gloss, frames, features)``."""
-    p = parse_input_block(F.col("input"))
-    r = records.withColumn("p", p).withColumn("sample_id", F.col("p.sample_id")).join(expected, "sample_id", "left")
+    r = parse_input_block(records, "input").withColumn("sample_id", F.col("p.sample_id")).join(expected, "sample_id", "left")
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     rows = F.split("p.pose_q64", r"\|")
     bad_payload = (F.size(rows) != F.col("frames")) | F.exists(rows, lambda x: F.length(x) != F.col("features"))
@@ -177,7 +176,7 @@ def verify_pose_vs_records(features: DataFrame, clips: DataFrame, records: DataF
     ``features(clip_id, frame_idx, f)``, ``clips(clip_id, sample_id, archive_id, expected_gloss)``,
     ``records(instruction, input, output)``.
     """
-    ref = records.select(parse_input_block(F.col("input")).alias("p"), normalize_gloss(F.col("output")).alias("record_gloss")).select(
+    ref = parse_input_block(records, "input").select("p", normalize_gloss(F.col("output")).alias("record_gloss")).select(
         F.col("p.sample_id").alias("sample_id"), "record_gloss", F.col("p.frames").alias("ref_frames"), F.col("p.features").alias("ref_features"))
     facts = features.groupBy("clip_id").agg(F.count(F.lit(1)).alias("source_frames"), F.min(F.size("f")).cast("bigint").alias("features"))
     meta = clips.join(facts, "clip_id").join(ref, "sample_id", "left")

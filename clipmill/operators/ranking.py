@@ -1,8 +1,9 @@
 """Ranks, cuts and quantiles that stay exact when one group holds a third of all rows.
 
 A plain ``row_number() over (partition by label)`` sorts a whole label in one task. Here rows fall
-into 65 536 hash buckets per group; bucket counts (a partial aggregate) give each bucket its offset,
-and only rows of the few buckets that a cut runs through are ranked one by one.
+into hash buckets per group; bucket counts (a partial aggregate) give each bucket its offset, and
+only rows of the few buckets that a cut runs through are ranked one by one. A bucket that is still
+too large is split further by more hash digits.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 
 from clipmill.session import small_side
 
-BUCKET_HEX = 4
+DIGITS = 3  # hex digits per level: 4096 buckets
+MAX_RANK_ROWS = 1_000_000  # rows that one task may rank
 
 
 def seeded_hash(seed: int | str, key: Column) -> Column:
@@ -29,6 +31,45 @@ def hash_number(*parts: Column) -> Column:
     return F.conv(F.left(digest, F.lit(15)), 16, 10).cast("bigint")
 
 
+def _prefix(digits: int) -> Column:
+    return F.left("_h", F.lit(digits))
+
+
+def _last_below(cut: str) -> Column:
+    """The bucket a cut runs through: the last one that starts below it, with its start and size."""
+    return F.max(F.when(F.col("_start") < F.col(f"_p{cut}"), F.struct("_b", "_start", "_c"))).alias(f"_cut{cut}")
+
+
+def _bucket_cuts(rows: DataFrame, by: list[str], sizes) -> DataFrame:
+    """by, _p1, _p2 (first ranks of val and test) and the buckets both run through."""
+    buckets = rows.groupBy(*by, _prefix(DIGITS).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    inside = W.partitionBy(*by)
+    train_n, val_n = sizes(F.col("_n"))
+    return (
+        buckets.withColumn("_start", F.sum("_c").over(inside.orderBy("_b")) - F.col("_c"))
+        .withColumn("_n", F.sum("_c").over(inside))
+        .withColumn("_p1", train_n.cast("bigint"))
+        .withColumn("_p2", F.col("_p1") + val_n.cast("bigint"))
+        .groupBy(*by)
+        .agg(F.max("_p1").alias("_p1"), F.max("_p2").alias("_p2"), _last_below("1"), _last_below("2"))
+    )
+
+
+def _finer_cuts(rows: DataFrame, by: list[str], cuts: DataFrame, digits: int) -> DataFrame:
+    """The same cuts with buckets of ``digits + DIGITS`` hex digits, from the rows of the cut buckets only."""
+    b = _prefix(digits)
+    on = F.array_compact(F.array(*[
+        F.when(b == F.col(f"_cut{c}._b"), F.struct(F.lit(c).alias("c"), F.col(f"_cut{c}._start").alias("s"))) for c in ("1", "2")
+    ]))
+    near = rows.join(cuts, by).select(*by, "_p1", "_p2", _prefix(digits + DIGITS).alias("_b"), F.explode(on).alias("_w"))
+    near = near.groupBy(*by, "_w", "_b").agg(F.count(F.lit(1)).alias("_c"), F.max("_p1").alias("_p1"), F.max("_p2").alias("_p2"))
+    inside = W.partitionBy(*by, "_w").orderBy("_b")
+    near = near.withColumn("_start", F.sum("_c").over(inside) - F.col("_c") + F.col("_w.s"))
+    pick = lambda c: F.max(F.when((F.col("_w.c") == c) & (F.col("_start") < F.col(f"_p{c}")), F.struct("_b", "_start", "_c"))).alias(f"_cut{c}")
+    fresh = near.groupBy(*by).agg(pick("1"), pick("2"))
+    return cuts.select(*by, "_p1", "_p2").join(fresh, by, "left")
+
+
 def assign_splits(
     df: DataFrame,
     by: Sequence[str],
@@ -36,82 +77,61 @@ def assign_splits(
     seed: int | str,
     sizes: Callable[[Column], tuple[Column, Column]],
     out: str = "split",
+    max_rank_rows: int = MAX_RANK_ROWS,
 ) -> DataFrame:
     """Give each row train/val/test by its hash rank inside ``by``.
 
     ``sizes(n)`` returns the train and val sizes for a group of ``n`` rows. Ties go to ``key`` order.
     """
-    by = list(by)
-    rows = df.withColumn("_h", seeded_hash(seed, F.col(key))).withColumn("_b", F.left("_h", F.lit(BUCKET_HEX)))
-    buckets = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    inside = W.partitionBy(*by) if by else W.partitionBy(F.lit(1))
-    train_n, val_n = sizes(F.col("_n"))
-    cuts = (
-        buckets.withColumn("_end", F.sum("_c").over(inside.orderBy("_b")))
-        .withColumn("_n", F.sum("_c").over(inside))
-        .withColumn("_p1", train_n.cast("bigint"))
-        .withColumn("_p2", F.col("_p1") + val_n.cast("bigint"))
-        .withColumn("_start", F.col("_end") - F.col("_c"))
-        .groupBy(*by)
-        .agg(
-            F.max("_p1").alias("_p1"),
-            F.max("_p2").alias("_p2"),
-            *[F.max(F.when(F.col("_start") < F.col(p), F.struct("_b", "_start"))).alias(f"_cut{p[-1]}") for p in ("_p1", "_p2")],
-        )
-    )
-    if by:
-        placed = rows.join(small_side(cuts), by)
-    else:
-        one = cuts.first()
-        if one is None:
-            return df.withColumn(out, F.lit(None).cast("string"))
-        lit = lambda v: F.lit(None if v is None else v)
-        cut = lambda s: F.struct(
-            lit(s and s["_b"]).cast("string").alias("_b"), lit(s and s["_start"]).cast("bigint").alias("_start")
-        )
-        placed = rows.select(
-            "*", lit(one["_p1"]).alias("_p1"), lit(one["_p2"]).alias("_p2"),
-            cut(one["_cut1"]).alias("_cut1"), cut(one["_cut2"]).alias("_cut2"),
-        )
-
-    on_cut = F.coalesce(F.col("_b") == F.col("_cut1._b"), F.lit(False)) | F.coalesce(
-        F.col("_b") == F.col("_cut2._b"), F.lit(False)
-    )
+    rows = df.withColumn("_h", seeded_hash(seed, F.col(key)))
+    groups = list(by)
+    if not groups:
+        rows, groups = rows.withColumn("_all", F.lit(0)), ["_all"]
+    digits = DIGITS
+    cuts = small_side(_bucket_cuts(rows, groups, sizes))
+    largest = lambda: cuts.agg(F.max(F.greatest("_cut1._c", "_cut2._c"))).first()[0] or 0
+    while largest() > max_rank_rows and digits < 30:
+        cuts = small_side(_finer_cuts(rows, groups, cuts, digits))
+        digits += DIGITS
+    placed = rows.join(cuts, groups).withColumn("_b", _prefix(digits))
+    at = lambda c: F.coalesce(F.col("_b") == F.col(f"{c}._b"), F.lit(False))
     below = lambda c: F.coalesce(F.col("_b") < F.col(f"{c}._b"), F.lit(False))
+    on_cut = at("_cut1") | at("_cut2")
     easy = placed.filter(~on_cut).withColumn(
         out, F.when(below("_cut1"), "train").when(below("_cut2"), "val").otherwise("test")
     )
-    start = F.when(F.col("_b") == F.col("_cut1._b"), F.col("_cut1._start")).otherwise(F.col("_cut2._start"))
-    rank = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_h", key)) - 1 + start
+    start = F.when(at("_cut1"), F.col("_cut1._start")).otherwise(F.col("_cut2._start"))
+    rank = F.row_number().over(W.partitionBy(*groups, "_b").orderBy("_h", key)) - 1 + start
     hard = (
         placed.filter(on_cut)
         .withColumn("_r", rank)
         .withColumn(out, F.when(F.col("_r") < F.col("_p1"), "train").when(F.col("_r") < F.col("_p2"), "val").otherwise("test"))
         .drop("_r")
     )
-    helper = ["_h", "_b", "_p1", "_p2", "_cut1", "_cut2"]
-    return easy.unionByName(hard).drop(*helper)
+    return easy.unionByName(hard).select(*df.columns, out)
 
 
-def hash_row_number(df: DataFrame, by: Sequence[str], key: str, seed: int | str, out: str = "rn") -> DataFrame:
-    """0-based rank inside ``by`` in hash order, plus the group's size ``<out>_n``."""
+def hash_row_number(df: DataFrame, by: Sequence[str], key: str, seed: int | str, digits: int = DIGITS, out: str = "rn") -> DataFrame:
+    """0-based rank inside ``by`` in hash order. One task ranks one bucket of one group;
+    callers raise ``digits`` for large groups (see ``digits_for``)."""
     by = list(by)
-    rows = df.withColumn("_h", seeded_hash(seed, F.col(key))).withColumn("_b", F.left("_h", F.lit(BUCKET_HEX)))
-    inside = W.partitionBy(*by)
+    rows = df.withColumn("_h", seeded_hash(seed, F.col(key))).withColumn("_b", _prefix(digits))
     offsets = (
         rows.groupBy(*by, "_b")
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_off", F.sum("_c").over(inside.orderBy("_b")) - F.col("_c"))
-        .withColumn(f"{out}_n", F.sum("_c").over(inside))
+        .withColumn("_off", F.sum("_c").over(W.partitionBy(*by).orderBy("_b")) - F.col("_c"))
         .drop("_c")
     )
     local = F.row_number().over(W.partitionBy(*by, "_b").orderBy("_h", key)) - 1
-    return (
-        rows.withColumn("_l", local)
-        .join(offsets, [*by, "_b"])
-        .withColumn(out, F.col("_l") + F.col("_off"))
-        .drop("_h", "_b", "_l", "_off")
-    )
+    return rows.withColumn("_l", local).join(offsets, [*by, "_b"]).select(*df.columns, (F.col("_l") + F.col("_off")).alias(out))
+
+
+def digits_for(rows: int) -> int:
+    """Hex digits that keep a bucket of a group of ``rows`` rows below the rank limit, one at least."""
+    digits = 1
+    while rows > MAX_RANK_ROWS * 16**digits:
+        digits += 1
+    return digits
 
 
 def top_k_first_seen(df: DataFrame, label: str, ordinal: str, k: int) -> DataFrame:

@@ -3,14 +3,17 @@
 A request is admitted when fewer than ``limit`` admitted requests lie in the last ``window`` (ends
 included); rejected ones do not count. Whether one is admitted depends on earlier admissions, yet a
 key with a third of all requests must not sit in one task. So each key's time line is cut in slices
-at least one window long. Slices run side by side, each from the hits its predecessor left behind;
-slices whose incoming hits turn out different from those they ran with run again, until none
-changes. Hits older than one window never matter, so the predecessor's last hits are all it takes.
+at least one window long, and slices run side by side. A slice guesses the hits it starts with by
+first replaying the end of its predecessor; a guess that differs from what the predecessor really
+left is replaced and that slice runs again, until none differs. Each round settles at least the
+earliest wrong slice of every key, so the result is exact whatever the log looks like.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +23,8 @@ from clipmill.constants import RATE_LIMIT, RATE_WINDOW_SECONDS
 from clipmill.session import stored
 
 SLICE_WINDOWS = 8
+WARM_WINDOWS = 2
+_GIVEN, _WARM, _REAL = 0, 1, 2
 
 
 def positive_or_default(value: str | None, default: int) -> int:
@@ -31,16 +36,13 @@ def positive_or_default(value: str | None, default: int) -> int:
     return number if number > 0 else default
 
 
-def admit(ts: np.ndarray, n: np.ndarray, hits: list[int], limit: int, window: int, unit: int) -> tuple[list, list, list]:
-    """Fold requests (``n`` equal stamps at a time) over ``hits``: (admitted, retry_after, hits)."""
-    admitted, retry = [], []
-    for t, c in zip(ts.tolist(), n.tolist()):
-        hits = [h for h in hits if h >= t - window]
-        take = min(c, limit - len(hits))
-        hits = hits + [t] * take
-        admitted.append(take)
-        retry.append(None if take == c else max(1, int((window - (t - min(hits))) / unit)))
-    return admitted, retry, hits
+def admit(hits: deque, t: int, n: int, limit: int, window: int, unit: int) -> tuple[int, int | None]:
+    """Let in ``n`` requests at stamp ``t``: (admitted, seconds to wait or None). ``hits`` moves on."""
+    while hits and hits[0] < t - window:
+        hits.popleft()
+    take = min(n, limit - len(hits))
+    hits.extend([t] * take)
+    return take, None if take == n else max(1, int((window - (t - hits[0])) / unit))
 
 
 def sliding_rate_audit(
@@ -51,54 +53,91 @@ def sliding_rate_audit(
 
     ``ts`` is a whole number with ``unit`` ticks per second. Equal stamps of a key form one row.
     """
-    if limit <= 0 or window_seconds <= 0:
-        raise ValueError("limit and window must be positive")
+    if limit <= 0 or window_seconds <= 0 or slice_windows < 1:
+        raise ValueError("limit, window and slice length must be positive")
+    spark = requests.sparkSession
     window = window_seconds * unit
     width = window * slice_windows
-    log = requests.groupBy("key", "ts").agg(F.count(F.lit(1)).alias("requests")).withColumn(
-        "slice", F.floor(F.col("ts") / F.lit(width)).cast("bigint"))
-    log = stored(log, "rate-log")
-    key_type = log.schema["key"].dataType.simpleString()
-    schema = f"key {key_type}, slice bigint, ts bigint, requests bigint, admitted bigint, retry_after_seconds bigint, hits_in array<bigint>, hits_out array<bigint>"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", ignore_index=True)
-        start = pdf["hits_in"].iloc[0]
-        start = [] if start is None else [int(x) for x in start]
-        taken, retry, end = admit(pdf["ts"].to_numpy(), pdf["requests"].to_numpy(), start, limit, window, unit)
-        keep_from = (int(pdf["slice"].iloc[0]) + 1) * width - window
-        out = pdf[["key", "slice", "ts", "requests"]].assign(admitted=taken, retry_after_seconds=pd.array(retry, dtype="Int64"))
-        out["hits_in"] = [start] * len(out)
-        out["hits_out"] = [[h for h in end if h >= keep_from]] * len(out)
-        return out
+    warm = window * min(WARM_WINDOWS, slice_windows)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key_type = requests.schema["key"].dataType.simpleString()
+    schema = (
+        f"key {key_type}, slice bigint, ts bigint, requests bigint, admitted bigint, "
+        "retry_after_seconds bigint, hits_in array<bigint>, hits_out array<bigint>"
+    )
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by (key, slice, kind, ts); no group is ever held."""
+        at, hits, start = None, deque(), []
+
+        def end() -> tuple:
+            last = (at[1] + 1) * width - window
+            return (*at, None, None, None, None, start or [], [h for h in hits if h >= last])
+
+        for pdf in batches:
+            out = []
+            for key, sl, kind, ts, n, given in zip(*[pdf[c] for c in ("key", "slice", "kind", "ts", "requests", "given")]):
+                if (key, sl) != at:
+                    if at is not None:
+                        out.append(end())
+                    at, hits, start = (key, sl), deque(), None
+                if kind == _GIVEN:
+                    hits = deque(int(h) for h in given)
+                    continue
+                if kind == _REAL and start is None:
+                    start = [h for h in hits if h >= sl * width - window]
+                take, wait = admit(hits, int(ts), int(n), limit, window, unit)
+                if kind == _REAL:
+                    out.append((key, sl, ts, n, take, wait, None, None))
+            yield pd.DataFrame(out, columns=names, dtype=object)
+        if at is not None:
+            yield pd.DataFrame([end()], columns=names, dtype=object)
 
     def replay(rows: DataFrame) -> DataFrame:
-        return stored(rows.groupBy("key", "slice").applyInPandas(run, schema), "rate-pass")
+        placed = rows.repartition(parts, "key", "slice").sortWithinPartitions("key", "slice", "kind", "ts")
+        return stored(placed.mapInPandas(fold, schema), "rate-pass")
 
     empty = F.array().cast("array<bigint>")
-    done = replay(log.withColumn("hits_in", empty))
+    log = requests.groupBy("key", "ts").agg(F.count(F.lit(1)).alias("requests"))
+    log = stored(log.withColumn("slice", F.floor(F.col("ts") / F.lit(width)).cast("bigint")), "rate-log")
+    columns = ["key", "slice", "kind", "ts", "requests", "given"]
+    real = log.withColumn("kind", F.lit(_REAL)).withColumn("given", F.lit(None).cast("array<bigint>")).select(*columns)
+    lead_in = (
+        real.filter(F.col("ts") >= (F.col("slice") + 1) * width - warm)
+        .withColumn("slice", F.col("slice") + 1).withColumn("kind", F.lit(_WARM))
+    )
+    done = replay(real.unionByName(lead_in))
+    rows = done.filter("ts is not null")
+    ends = done.filter("ts is null").select("key", "slice", "hits_in", "hits_out")
     while True:
-        ends = done.groupBy("key", "slice").agg(F.first("hits_in").alias("hits_in"), F.first("hits_out").alias("hits_out"))
         before = ends.select("key", (F.col("slice") + 1).alias("slice"), F.col("hits_out").alias("given"))
-        stale = (
-            ends.join(before, ["key", "slice"], "left")
-            .withColumn("given", F.coalesce("given", empty))
-            .filter(F.col("given") != F.col("hits_in"))
-            .select("key", "slice", "given")
-        )
-        stale = stored(stale, "rate-stale")
+        stale = stored(
+            ends.join(before, ["key", "slice"], "left").withColumn("given", F.coalesce("given", empty))
+            .filter(F.col("given") != F.col("hits_in")).select("key", "slice", "given"), "rate-stale")
         if stale.isEmpty():
-            return done.select("key", "ts", "requests", "admitted", "retry_after_seconds")
-        again = replay(log.join(stale.withColumnRenamed("given", "hits_in"), ["key", "slice"]))
-        done = stored(done.join(stale, ["key", "slice"], "left_anti").unionByName(again), "rate-done")
+            return rows.select("key", "ts", "requests", "admitted", "retry_after_seconds")
+        keys = stale.select("key", "slice")
+        marks = stale.select(
+            "key", "slice", F.lit(_GIVEN).alias("kind"), F.lit(None).cast("bigint").alias("ts"), F.lit(0).cast("bigint").alias("requests"), "given")
+        again = replay(real.join(keys, ["key", "slice"], "left_semi").unionByName(marks))
+        rows = rows.join(keys, ["key", "slice"], "left_anti").unionByName(again.filter("ts is not null"))
+        fresh = again.filter("ts is null").join(stale, ["key", "slice"]).select("key", "slice", F.col("given").alias("hits_in"), "hits_out")
+        ends = stored(ends.join(keys, ["key", "slice"], "left_anti").unionByName(fresh), "rate-ends")
+
 
+def mark_requests(requests: DataFrame, audit: DataFrame, order: str, limit: int = RATE_LIMIT) -> DataFrame:
+    """Per request: admitted or not, ``order`` being a unique tie-break.
 
-def mark_requests(requests: DataFrame, audit: DataFrame, order: str) -> DataFrame:
-    """Per request: admitted or not. Only stamps admitted in part need a rank (ties go by ``order``)."""
+    Only stamps admitted in part need a rank. At most ``limit`` rows of a stamp are let in, so each
+    task sends on no more than that many (window group limit); the rest are the ones rejected.
+    """
     j = requests.join(audit, ["key", "ts"])
     part = (F.col("admitted") > 0) & (F.col("admitted") < F.col("requests"))
     whole = j.filter(~part).withColumn("ok", F.col("admitted") > 0)
+    some = j.filter(part)
     rank = F.row_number().over(W.partitionBy("key", "ts").orderBy(order))
-    some = j.filter(part).withColumn("ok", rank <= F.col("admitted"))
-    return whole.unionByName(some).select(
-        *requests.columns, "ok", F.when(~F.col("ok"), F.col("retry_after_seconds")).alias("retry_after_seconds"))
+    let_in = some.withColumn("_r", rank).filter(F.col("_r") <= limit).filter(F.col("_r") <= F.col("admitted")).drop("_r")
+    refused = some.join(let_in.select("key", "ts", order), ["key", "ts", order], "left_anti")
+    marked = whole.unionByName(let_in.withColumn("ok", F.lit(True))).unionByName(refused.withColumn("ok", F.lit(False)))
+    return marked.select(*requests.columns, "ok", F.when(~F.col("ok"), F.col("retry_after_seconds")).alias("retry_after_seconds"))

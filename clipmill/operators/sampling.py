@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from clipmill.functions.arrays import even_indices
 from clipmill.functions.text import PROMPT_OUTPUT_CONTRACT
-from clipmill.operators.ranking import hash_number, hash_row_number, spread_sequence
-from clipmill.session import small_side, small_values
+from clipmill.operators.ranking import digits_for, hash_number, hash_row_number
+from clipmill.session import small_values
 
 
 def union_datasets(parts: Mapping[str, DataFrame], cap: int | None = None) -> DataFrame:
@@ -92,7 +92,7 @@ def compose_phrases(
     words = phrase_words(phrases, glosses, min_words, max_words, repeat_probability, seed)
     size_of = F.element_at(F.create_map(*[x for g in glosses for x in (F.lit(g), F.lit(sizes[g]))]), F.col("word"))
     drawn = words.withColumn("pick", hash_number(F.lit(seed), F.lit("clip"), F.col("phrase"), F.col("slot")) % size_of)
-    numbered = hash_row_number(usable.select("sample_id", "gloss", "n_frames"), ["gloss"], "sample_id", seed)
+    numbered = hash_row_number(usable.select("sample_id", "gloss", "n_frames"), ["gloss"], "sample_id", seed, digits_for(max(sizes.values(), default=0)))
     chosen = drawn.join(numbered.select(F.col("gloss").alias("word"), F.col("rn").alias("pick"), "sample_id", "n_frames"), ["word", "pick"])
     in_phrase = W.partitionBy("phrase").orderBy("slot")  # at most max_words rows
     gap = F.lit(gap_min) + hash_number(F.lit(seed), F.lit("gap"), F.col("phrase"), F.col("slot")) % (gap_max - gap_min + 1)

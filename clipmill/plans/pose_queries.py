@@ -124,7 +124,7 @@ def d09(d):
 
 @query("D10_verify_pose_vs_records", """with c as (select clip_id, min(gloss) as g, count(*) as n from v_feat group by clip_id),
   p as (select *, case when clip_id % 7 = 1 then 'archive_sample_id_mismatch' when clip_id % 7 = 2 then 'sample_id_not_found' when clip_id % 7 = 3 then 'expected_gloss_mismatch' when clip_id % 7 = 4 then 'feature_mismatch' end as problem from c)
-  select 'clip_' || cast(clip_id as string) as sample_id, g as expected_gloss, n as source_frames, case when problem is null then 12 end as frames, cast(64 as bigint) as features, case when problem is null then cast(12 * 64 as bigint) end as payload_chars, problem, problem is null as verified from p""")
+  select 'clip_' || cast(clip_id as string) as sample_id, g as expected_gloss, n as source_frames, case when problem is null then cast(12 as bigint) end as frames, cast(64 as bigint) as features, case when problem is null then cast(12 * 64 as bigint) end as payload_chars, problem, problem is null as verified from p""")
 def d10(d):
     i = F.col("clip_id") % 7
     meta = clips(d).select("clip_id", "sample_id", F.when(i == 1, "other").otherwise(F.col("sample_id")).alias("archive_id"), F.col("output").alias("expected_gloss"))

@@ -9,6 +9,7 @@ from clipmill.operators import predict as P
 from clipmill.plans.metric_queries import _GATE_SQL, _SCORES, pred
 from clipmill.plans.registry import query
 from clipmill.plans.text_queries import NORM
+from clipmill.session import spread
 
 
 @query("E01_score_hook", "select event_id as index, upper(event_type) || ':' || cast(cast(floor(value) as bigint) as string) as raw from {events}")
@@ -71,7 +72,7 @@ def e06v(d):
   case when k in (0, 1, 2) then event_type || '@0-0' when k = 3 then 'aa@1-5 bb@6-9' when k = 4 then 'cc@0-0' end as words,
   case k when 0 then 0.9::double when 1 then 0.77::double when 2 then 0.25::double when 3 then 0.0::double when 4 then 0.3::double end as sequence_confidence, case when k < 5 then k in (1, 4) end as low_confidence from p""")
 def e07(d):
-    p = d.view("v_provider").withColumn("v", F.try_parse_json("payload"))
+    p = spread(d.view("v_provider")).withColumn("v", F.try_parse_json("payload"))
     a = normalize_provider_response(p, "v")
     words = F.array_join(F.transform("answer.words", lambda w: F.concat(w["word"], F.lit("@"), w["start_ms"].cast("string"), F.lit("-"), w["end_ms"].cast("string"))), " ")
     ok = lambda c, n: F.when(F.col("answer.error").isNull(), c).alias(n)
@@ -84,7 +85,7 @@ def e07(d):
   select index, case when gone is not null then 'INFERENCE_PROOF_MISSING' when bad is not null then 'INFERENCE_PROOF_INVALID' end as error_code, coalesce(gone, bad) as detail from p""")
 def e08(d):
     v = F.try_parse_json("payload")
-    return d.view("v_provider").withColumn("v", v).select("index", validate_proof_fields(F.col("v"), F.col("request_id")).alias("p")).select("index", "p.error_code", "p.detail")
+    return spread(d.view("v_provider")).withColumn("v", v).select("index", validate_proof_fields(F.col("v"), F.col("request_id")).alias("p")).select("index", "p.error_code", "p.detail")
 
 
 _FAIL = "select event_id as index, case event_id % 4 when 0 then null when 1 then '  ' when 2 then ' TIMEOUT ' else 'X' end as code, case event_id % 3 when 0 then '' when 1 then ' m ' end as message, case event_id % 5 when 0 then ' ' else concat(' r', cast(event_id as string)) end as rid from {events}"
@@ -102,15 +103,16 @@ def e10(d):
     return e.select(F.col("event_id").alias("index"), o.alias("o")).select("index", "o.*")
 
 
-@query("E11_replay_check", """with s as (select conv_id, turn, row_number() over (partition by conv_id order by turn) - 1 as pos, case when turn % 5 = 4 then 0 else turn * 100 end as at_ms, length(text) % 10 / 10 as c, role from {conversations}),
-  x as (select *, coalesce(lag(at_ms) over (partition by conv_id order by turn), 0) as previous_at_ms from s)
-  select concat('c', cast(conv_id as string)) as scenario, pos, at_ms, previous_at_ms, case when c < 0.7 then 'uncertain' else 'ok' end as status, case when c < 0.7 then 'uncertain' else role end as display_text, c as confidence, at_ms < previous_at_ms as backwards from x""")
+@query("E11_replay_check", """with s as (select conv_id, turn, row_number() over (partition by conv_id, turn // 50 order by turn) - 1 as pos, case when turn % 5 = 4 then 0 else turn * 100 end as at_ms, length(text) % 10 / 10 as c, role from {conversations}),
+  x as (select *, coalesce(lag(at_ms) over (partition by conv_id, turn // 50 order by turn), 0) as previous_at_ms from s)
+  select concat_ws('.', 'c', cast(conv_id as string), cast(turn // 50 as string)) as scenario, pos, at_ms, previous_at_ms, case when c < 0.7 then 'uncertain' else 'ok' end as status, case when c < 0.7 then 'uncertain' else role end as display_text, c as confidence, at_ms < previous_at_ms as backwards from x""")
 def e11(d):
     zero = F.lit(0).cast("bigint")
     step = F.struct(
         F.col("turn"), F.when(F.col("turn") % 5 == 4, zero).otherwise(F.col("turn") * 100).alias("at_ms"), F.col("role").alias("prediction"),
         (F.length("text") % 10 / 10).alias("confidence"), F.lit(None).cast("boolean").alias("ok"))
-    scripts = d.table("conversations").groupBy(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("scenario")).agg(F.sort_array(F.collect_list(step)).alias("steps"))
+    scripts = d.table("conversations").groupBy(
+        F.concat_ws(".", F.lit("c"), F.col("conv_id").cast("string"), F.floor(F.col("turn") / 50).cast("string")).alias("scenario")).agg(F.sort_array(F.collect_list(step)).alias("steps"))
     rows, _ = P.replay_check(scripts)
     return rows.withColumn("pos", F.col("pos").cast("bigint")).withColumn("backwards", F.col("at_ms") < F.col("previous_at_ms"))
 

@@ -81,7 +81,7 @@ _AUDIT = """with recursive e as (select user_id as key, cast(floor(epoch(ts)) as
 def g03(d):
     req = _requests(d)
     audit = sliding_rate_audit(req.select("key", "ts"), 3, 86400)
-    return mark_requests(req, audit, "event_id").select("key", "event_id", "ts", "ok", "retry_after_seconds")
+    return mark_requests(req, audit, "event_id", 3).select("key", "event_id", "ts", "ok", "retry_after_seconds")
 
 
 @query("G03_sliding_rate_stream", _AUDIT + "select key, ts, count(*) as requests, count(*) filter (where ok) as admitted, max(retry) as retry_after_seconds from w group by key, ts")

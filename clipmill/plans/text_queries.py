@@ -8,6 +8,7 @@ from clipmill.functions import text as T
 from clipmill.functions.provider import probe_flatten, profile_conformity
 from clipmill.operators import labels as L
 from clipmill.plans.registry import query
+from clipmill.session import spread
 
 _N = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9_ -]+', '', 'g'), ' +', ' ', 'g'))"
 NORM = lambda c: _N.replace("{c}", c)
@@ -37,8 +38,7 @@ def b04(d):
 @query("B05_resolve_output_split", f"""with p as (select index, list_filter(list_transform(regexp_split_to_array(raw_model_output, '[\\n,;:]+'), lambda x: {NORM('x')}), lambda x: x <> '')[1] as label from v_pred)
   select index, label, coalesce(label in (select label from v_labels), false) as valid from p""")
 def b05(d):
-    r = d.view("v_pred").select("index", T.resolve_output_split(F.col("raw_model_output"), d.labels).alias("r"))
-    return r.select("index", "r.label", "r.valid")
+    return T.resolve_output_split(d.view("v_pred"), "raw_model_output", d.labels).select("index", "label", "valid")
 
 
 @query("B06_resolve_output_first_line", f"""with p as (select index, {NORM("split_part(raw_model_output, chr(10), 1)")} as label from v_pred)
@@ -75,7 +75,7 @@ _REASON = """case when event_id % 6 = 0 then concat('{{"label": "', upper(event_
   case when exact is not null then 'exact_or_wrapper' when len(hits) = 1 then 'single_mention' when len(hits) > 1 then 'ambiguous' else 'no_match' end as reason from h""")
 def b08(d):
     raw = d.sql(f"select event_id as index, {_REASON} as raw from {{events}}")
-    return T.resolve_output_reason(raw, "raw", d.labels).select("index", "label", "reason")
+    return T.resolve_output_reason(spread(raw), "raw", d.labels).select("index", "label", "reason")
 
 
 @query("B09_alias_canonicalize", f"""with n as (select index, {NORM('first_raw')} as g from v_retry),
@@ -139,8 +139,8 @@ def b14(d):
   select index, case when index % 4 = 0 then null when index % 4 = 1 then '' else concat('s', cast(index as string)) end as sample_id, 'q64_full clip=4 alphabet=x=y' as encoding,
   index % 3 = 0 as shape_ok, case when index % 3 = 0 then cast(12 as bigint) end as frames, case when index % 3 = 0 then cast(177 as bigint) end as features, 'ab|cd' as pose_q64 from b""")
 def b15(d):
-    b = d.sql(f"select event_id as index, {_BLOCK} as input from {{events}}")
-    return b.select("index", T.parse_input_block(F.col("input")).alias("p")).select("index", "p.sample_id", "p.encoding", "p.shape_ok", "p.frames", "p.features", "p.pose_q64")
+    b = spread(d.sql(f"select event_id as index, {_BLOCK} as input from {{events}}"))
+    return T.parse_input_block(b, "input").select("index", "p.sample_id", "p.encoding", "p.shape_ok", "p.frames", "p.features", "p.pose_q64")
 
 
 @query("B16_build_prompts", """with l as (select string_agg(label, ', ' order by ord) as comma, string_agg('- ' || label, chr(10) order by ord) as dash from v_labels)
@@ -184,16 +184,17 @@ _PROBE_SQL = """with s as (select index, payload, list_filter(from_json(json_ext
 
 @query("B20_probe_flatten", _PROBE_SQL + " select index, error, case when error is null then duration_seconds end as duration_seconds, case when error is null then fps end as fps, case when error is null then width end as width, case when error is null then height end as height, case when error is null then codec end as codec, has_audio from p")
 def b20(d):
-    p = d.view("v_probe").select("index", probe_flatten(F.col("payload")).alias("p"))
-    ok = lambda c: F.when(F.col("p.error").isNull(), F.col(f"p.{c}")).alias(c)
-    return p.select("index", "p.error", *[ok(c) for c in ("duration_seconds", "fps", "width", "height", "codec")], "p.has_audio")
+    p = probe_flatten(spread(d.view("v_probe")), "payload")
+    ok = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
+    return p.select("index", "error", *[ok(c) for c in ("duration_seconds", "fps", "width", "height", "codec")], "has_audio")
 
 
-@query("B21_profile_conformity", _PROBE_SQL + """ select index, width <> 1280 or height <> 720 as size_differs, abs(fps - 30) > 0.01 as fps_differs, lower(codec) not in ('h264', 'avc1') as codec_differs,
-  false as pix_fmt_differs, has_audio as audio_present, (width <> 1280 or height <> 720 or abs(fps - 30) > 0.01 or lower(codec) not in ('h264', 'avc1') or has_audio) as needs_normalizing, duration_seconds > 10 as too_long from p where error is null""")
+@query("B21_profile_conformity", _PROBE_SQL + """ select p.index, p.error, q.* exclude (index) from p left join (select index, width <> 1280 or height <> 720 as size_differs, abs(fps - 30) > 0.01 as fps_differs, lower(codec) not in ('h264', 'avc1') as codec_differs,
+  false as pix_fmt_differs, has_audio as audio_present, (width <> 1280 or height <> 720 or abs(fps - 30) > 0.01 or lower(codec) not in ('h264', 'avc1') or has_audio) as needs_normalizing, duration_seconds > 10 as too_long from p where error is null) q on p.index = q.index""")
 def b21(d):
-    p = d.view("v_probe").select("index", probe_flatten(F.col("payload")).alias("p")).filter("p.error is null")
-    return p.select("index", profile_conformity(F.col("p")).alias("c")).select("index", "c.*")
+    p = probe_flatten(spread(d.view("v_probe")), "payload")
+    flags = ("size_differs", "fps_differs", "codec_differs", "pix_fmt_differs", "audio_present", "needs_normalizing", "too_long")
+    return profile_conformity(p).select("index", "error", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in flags])
 
 
 @query("A09_coerce_bool", """with r as (select event_id as index, case event_id % 7 when 0 then ' TRUE ' when 1 then 'false' when 2 then '1' when 3 then 'Yes' when 4 then 'y' when 5 then '' else 'no' end as raw from {events})

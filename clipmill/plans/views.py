@@ -6,12 +6,14 @@
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipmill.functions.text import normalize_word
 from clipmill.operators.labels import label_list
+from clipmill.session import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -122,11 +124,11 @@ class Data:
     def view(self, name: str) -> DataFrame:
         return self.sql(f"select * from {name}")
 
-    @property
+    @cached_property
     def label_df(self) -> DataFrame:
         return self.view("v_labels")
 
-    @property
+    @cached_property
     def labels(self) -> list[str]:
         """The contract: distinct event types in order of first appearance (size-checked)."""
         return label_list(self.label_df)
@@ -136,7 +138,7 @@ class Data:
         from clipmill.operators.ranking import hash_number
 
         names = F.array(*[F.lit(x) for x in self.labels])
-        e = self.table("events").select("event_id", F.explode(names).alias("label"))
+        e = spread(self.table("events").select("event_id")).select("event_id", F.explode(names).alias("label"))
         h = F.conv(F.left(F.md5(F.concat_ws("|", F.col("event_id").cast("string"), "label")), F.lit(4)), 16, 10).cast("bigint")
         return e.select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("sample_id"), "label", (h % 7).cast("double").alias("score"))
 
@@ -148,7 +150,7 @@ class Data:
 
     def words(self) -> DataFrame:
         """Transcripts: all words of a turn against a copy with every 7th dropped, every 11th replaced."""
-        c = self.table("conversations")
+        c = spread(self.table("conversations"))
         w = F.filter(F.transform(F.split("text", r"\s+"), normalize_word), lambda x: x != "")
         c = c.select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("index"),

@@ -74,6 +74,15 @@ def small_values(df: DataFrame, max_rows: int = SMALL_ROWS) -> list:
     return rows
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan over all cores before costly per-row work.
+
+    Only a scan with fewer partitions than cores is moved; a large table has many and stays put.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def require_empty(violations: DataFrame) -> None:
     """Strict edge: raise when a violations table holds anything."""
     first = violations.take(5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from clipmill.constants import POSE_FRAMES
 
 PARTS = ("body", "left_hand", "right_hand", "face")
 REQUIRED = PARTS[:3]
+PART_FRAMES = 4096
 _SCHEMA = "path string, clip_id string, archive_id string, frame_idx int, body array<array<float>>, left_hand array<array<float>>, right_hand array<array<float>>, face array<array<float>>, rule string"
 
 _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
@@ -21,10 +23,12 @@ _COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 def _frames(path: str, content: bytes) -> Iterator[dict]:
     row = dict.fromkeys(_COLUMNS) | {"path": path, "clip_id": path.rsplit("/", 1)[-1].removesuffix(".npz")}
+    row["clip_id"] = re.sub(r"\.part\d+$", "", row["clip_id"])
     try:
         with np.load(io.BytesIO(content), allow_pickle=False) as z:
             parts = {n: z[n].astype(np.float32) for n in PARTS if n in z}
             archive_id = str(z["sample_id"]) if "sample_id" in z else None
+            first = int(z["first_frame"]) if "first_frame" in z else 0
     except Exception:
         yield {**row, "rule": "unreadable"}
         return
@@ -41,7 +45,7 @@ def _frames(path: str, content: bytes) -> Iterator[dict]:
     else:
         for t in range(len(parts["body"])):
             frame = {n: [list(map(float, j)) for j in a[t]] for n, a in parts.items()}
-            yield {**row, "archive_id": archive_id, "frame_idx": t, **frame}
+            yield {**row, "archive_id": archive_id, "frame_idx": first + t, **frame}
         return
     yield {**row, "archive_id": archive_id, "rule": rule}
 
@@ -71,15 +75,20 @@ def ingest_pose_archives(spark: SparkSession, root: str) -> tuple[DataFrame, Dat
     return decode_pose_archives(reader.load(root))
 
 
-def encode_pose_archives(frames: DataFrame) -> DataFrame:
-    """Pose frames -> ``(path, content)``, one archive per clip (an archive holds one clip's frames)."""
+def encode_pose_archives(frames: DataFrame, part_frames: int = PART_FRAMES) -> DataFrame:
+    """Pose frames -> ``(path, content)``: one archive ``<clip>.npz`` per clip.
+
+    A clip above ``part_frames`` frames goes on in ``<clip>.part1.npz`` and so on, each with its first
+    frame number, so no task gathers an unbounded clip; reading puts the parts together again.
+    """
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_idx")
         parts = {n: np.array([[list(j) for j in f] for f in pdf[n]], dtype=np.float32) for n in PARTS if n in pdf and pdf[n].notna().all()}
-        clip = str(pdf["clip_id"].iloc[0])
+        clip, part = str(pdf["clip_id"].iloc[0]), int(pdf["part"].iloc[0])
         buffer = io.BytesIO()
-        np.savez_compressed(buffer, sample_id=np.array(clip), **parts)
-        return pd.DataFrame({"path": [f"{clip}.npz"], "content": [buffer.getvalue()]})
+        np.savez_compressed(buffer, sample_id=np.array(clip), first_frame=np.array(int(pdf["frame_idx"].iloc[0])), **parts)
+        return pd.DataFrame({"path": [f"{clip}.part{part}.npz" if part else f"{clip}.npz"], "content": [buffer.getvalue()]})
 
-    return frames.groupBy("clip_id").applyInPandas(pack, "path string, content binary")
+    cut = frames.withColumn("part", F.floor(F.col("frame_idx") / F.lit(part_frames)))
+    return cut.groupBy("clip_id", "part").applyInPandas(pack, "path string, content binary")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipmill.operators.splits import split_manifest
+
 
 def write_predictions(rows: DataFrame, columns: Sequence[str], path: str) -> None:
     """CSV with exactly ``columns``; arrays become JSON text."""
@@ -20,12 +22,16 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_splits(rows: DataFrame, manifest: DataFrame, path: str) -> None:
-    """``<path>/rows/split=…`` (Parquet, prunable), ``<path>/csv/split=…``, ``<path>/ids/split=…``, ``<path>/manifest``."""
+def write_splits(rows: DataFrame, label: str, strategy: str, version: str, path: str) -> None:
+    """``<path>/rows/split=…`` (Parquet, prunable), ``<path>/csv/split=…``, ``<path>/ids/split=…``, ``<path>/manifest``.
+
+    The split is computed once; CSV, id lists and manifest are made from the Parquet rows.
+    """
     rows.write.mode("overwrite").partitionBy("split").parquet(f"{path}/rows")
-    rows.write.mode("overwrite").option("header", True).partitionBy("split").csv(f"{path}/csv")
-    rows.select("sample_id", "split").write.mode("overwrite").partitionBy("split").text(f"{path}/ids")
-    write_metrics(manifest, f"{path}/manifest")
+    placed = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+    placed.write.mode("overwrite").option("header", True).partitionBy("split").csv(f"{path}/csv")
+    placed.select("sample_id", "split").write.mode("overwrite").partitionBy("split").text(f"{path}/ids")
+    write_metrics(split_manifest(placed, label, strategy, version), f"{path}/manifest")
 
 
 def append_log(rows: DataFrame, path: str) -> None:

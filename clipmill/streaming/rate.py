@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,14 +21,14 @@ def sliding_rate_stream(requests: DataFrame, limit: int = RATE_LIMIT, window_sec
     key_type = requests.schema["key"].dataType.simpleString()
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        hits = list(state.get[0]) if state.exists else []
+        hits = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat([b["ts"].value_counts() for b in batches])
         rows = rows.groupby(level=0).sum().sort_index()
-        taken, retry, hits = admit(rows.index.to_numpy(), rows.to_numpy(), hits, limit, window, unit)
-        state.update((hits,))
+        taken = [admit(hits, int(t), int(n), limit, window, unit) for t, n in rows.items()]
+        state.update((list(hits),))
         yield pd.DataFrame(
-            {"key": key[0], "ts": rows.index, "requests": rows.to_numpy(), "admitted": taken,
-             "retry_after_seconds": pd.array(retry, dtype="Int64")})
+            {"key": key[0], "ts": rows.index, "requests": rows.to_numpy(), "admitted": [x[0] for x in taken],
+             "retry_after_seconds": pd.array([x[1] for x in taken], dtype="Int64")})
 
     schema = f"key {key_type}, ts bigint, requests bigint, admitted bigint, retry_after_seconds bigint"
     return requests.groupBy("key").applyInPandasWithState(step, schema, "hits array<bigint>", "append", "NoTimeout")
