@@ -99,13 +99,20 @@ def unresolved_expected(resolved: DataFrame) -> DataFrame:
     )
 
 
-def anchor_table(resolved: DataFrame, anchors: DataFrame, min_accuracy: float = K.ANCHOR_MIN_ACCURACY) -> DataFrame:
+def anchor_outcomes(resolved: DataFrame) -> DataFrame:
+    """Rows per (expected, first, final) and rows the retry helped: at most one row per label triple.
+
+    One pass over the log; every figure of the gate comes from this small table.
+    """
+    helped = F.col("retry_used") & ~F.col("first_pass_valid") & F.col("correct")
+    return resolved.groupBy("expected", "first", "final").agg(F.count(F.lit(1)).alias("n"), F.count_if(helped).alias("helped"))
+
+
+def anchor_table(outcomes: DataFrame, anchors: DataFrame, min_accuracy: float = K.ANCHOR_MIN_ACCURACY) -> DataFrame:
     """(ord, gloss, support, first/final accuracy and pass) for every anchor, also those without rows."""
-    per = resolved.groupBy(F.col("expected").alias("gloss")).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.count_if(F.col("first") == F.col("expected")).alias("first_ok"),
-        F.count_if(F.col("final") == F.col("expected")).alias("final_ok"),
-    )
+    n_if = lambda c: F.sum(F.when(F.col(c) == F.col("expected"), F.col("n")).otherwise(0))
+    per = outcomes.groupBy(F.col("expected").alias("gloss")).agg(
+        F.sum("n").alias("support"), n_if("first").alias("first_ok"), n_if("final").alias("final_ok"))
     out = anchors.select("ord", "gloss").join(per, "gloss", "left").na.fill(0, ["support", "first_ok", "final_ok"])
     for p in ("first", "final"):
         out = out.withColumn(f"{p}_accuracy", ratio(F.col(f"{p}_ok"), F.col("support")))
@@ -114,12 +121,12 @@ def anchor_table(resolved: DataFrame, anchors: DataFrame, min_accuracy: float =
 
 
 def anchor_gate(
-    resolved: DataFrame, anchors: DataFrame,
+    outcomes: DataFrame, anchors: DataFrame,
     min_accuracy: float = K.ANCHOR_MIN_ACCURACY, max_share: float = K.COLLAPSE_MAX_SHARE,
     min_support: int = K.ANCHOR_MIN_SUPPORT, max_support: int = K.ANCHOR_MAX_SUPPORT,
 ) -> DataFrame:
     """First-pass and final decision over the anchors, with the effect of the retry."""
-    table = anchor_table(resolved, anchors, min_accuracy)
+    table = anchor_table(outcomes, anchors, min_accuracy)
     ordered = lambda cond: F.transform(
         F.sort_array(F.collect_list(F.when(cond, F.struct("ord", "gloss")))), lambda x: x["gloss"]
     )
@@ -128,15 +135,15 @@ def anchor_gate(
         ordered((F.col("support") < min_support) | (F.col("support") > max_support)).alias("range"),
         ordered(~F.col("first_pass")).alias("first_low"), ordered(~F.col("final_pass")).alias("final_low"),
     )
-    on_anchor = resolved.join(small_side(anchors.select(F.col("gloss").alias("expected"))), "expected", "left_semi")
-    said = on_anchor.select(F.explode(F.array(
+    on_anchor = outcomes.join(small_side(anchors.select(F.col("gloss").alias("expected"))), "expected", "left_semi")
+    said = on_anchor.select("n", F.explode(F.array(
         F.struct(F.lit("first").alias("p"), F.col("first").alias("label")),
         F.struct(F.lit("final").alias("p"), F.col("final").alias("label")),
-    )).alias("s")).select("s.p", "s.label").filter("label is not null")
-    counts = said.groupBy("p", "label").agg(F.count(F.lit(1)).alias("n"))
+    )).alias("s")).select("s.p", "s.label", "n").filter("label is not null")
+    counts = said.groupBy("p", "label").agg(F.sum("n").alias("n"))
     mode = lambda p: F.max(F.when(F.col("p") == p, F.struct("n", "label")))
     modes = counts.agg(mode("first").alias("first"), mode("final").alias("final"))
-    retry = resolved.agg(F.count_if(F.col("retry_used") & ~F.col("first_pass_valid") & F.col("correct")).alias("helped"))
+    retry = outcomes.agg(F.coalesce(F.sum("helped"), F.lit(0)).alias("helped"))
     one = beside(f=facts, m=modes, r=retry)
 
     def decide(p: str) -> tuple[Column, Column, Column]:

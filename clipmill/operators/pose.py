@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from clipmill import constants as K
 from clipmill.functions.arrays import covered, even_indices, q64_char, q64_row, rotate_xy
-from clipmill.functions.text import line_value, normalize_gloss, parse_input_block
+from clipmill.functions.text import normalize_gloss, parse_input_block
 from clipmill.operators.ranking import hash_number, spread_sequence
+from clipmill.session import stored
 
 PART_FRAMES = 4096
 
@@ -37,14 +38,17 @@ def clip_lengths(df: DataFrame) -> DataFrame:
     return df.groupBy("clip_id").agg((F.max("frame_idx") + 1).cast("bigint").alias("n_src"))
 
 
-def resample_linear(df: DataFrame, targets: DataFrame, zero_target: str = "error") -> DataFrame:
+def resample_linear(
+    df: DataFrame, targets: DataFrame, zero_target: str = "error", lengths: DataFrame | None = None
+) -> DataFrame:
     """(clip_id, frame_idx, f[]) -> ``n_target`` frames per clip of ``targets(clip_id, n_target)``.
 
     Each source frame works out which target positions it touches (exact whole-number arithmetic)
     and sends its features only there: one shuffle keyed (clip, target), so long clips do not pile up.
-    A target of 0 or less gives no rows (``error``) or one frame (``one``).
+    A target of 0 or less gives no rows (``error``) or one frame (``one``). ``lengths(clip_id, n_src)``
+    saves counting frames when they are known.
     """
-    size = targets.join(clip_lengths(df), "clip_id")
+    size = targets.join(clip_lengths(df) if lengths is None else lengths, "clip_id")
     if zero_target == "one":
         size = size.withColumn("n_target", F.greatest(F.col("n_target"), F.lit(1)))
     t, s = F.col("n_target").cast("bigint"), F.col("n_src")
@@ -178,7 +182,9 @@ def verify_pose_vs_records(features: DataFrame, clips: DataFrame, records: DataF
     """
     ref = parse_input_block(records, "input").select("p", normalize_gloss(F.col("output")).alias("record_gloss")).select(
         F.col("p.sample_id").alias("sample_id"), "record_gloss", F.col("p.frames").alias("ref_frames"), F.col("p.features").alias("ref_features"))
-    facts = features.groupBy("clip_id").agg(F.count(F.lit(1)).alias("source_frames"), F.min(F.size("f")).cast("bigint").alias("features"))
+    facts = features.groupBy("clip_id").agg(
+        F.count(F.lit(1)).alias("source_frames"), (F.max("frame_idx") + 1).cast("bigint").alias("n_src"),
+        F.min(F.size("f")).cast("bigint").alias("features"))
     meta = clips.join(facts, "clip_id").join(ref, "sample_id", "left")
     rule = (
         F.when(F.col("archive_id").isNotNull() & (F.col("archive_id") != F.col("sample_id")), "archive_sample_id_mismatch")
@@ -189,8 +195,13 @@ def verify_pose_vs_records(features: DataFrame, clips: DataFrame, records: DataF
         .when(F.col("ref_frames") <= 0, "frame_count_not_positive")
     )
     meta = meta.withColumn("problem", rule)
-    good = meta.filter("problem is null").select("clip_id", F.col("ref_frames").alias("n_target"))
-    again = resample_linear(zscore_clip(features.join(good.select("clip_id"), "clip_id", "left_semi")), good)
+    meta = stored(meta, "verify-clips")  # one row per clip, read three times below
+    good = meta.filter("problem is null")
+    again = resample_linear(
+        zscore_clip(features.join(good.select("clip_id"), "clip_id", "left_semi")),
+        good.select("clip_id", F.col("ref_frames").alias("n_target")),
+        lengths=good.select("clip_id", "n_src"),
+    )
     out = q64_rows(again).groupBy("clip_id").agg(
         F.count(F.lit(1)).alias("frames"), F.sum(F.length("chars")).alias("payload_chars"))
     return meta.join(out, "clip_id", "left").select(
@@ -215,22 +226,31 @@ def component_coverage(df: DataFrame, components: Sequence[str]) -> DataFrame:
     )
 
 
+def _unit(seed: int, what: str) -> Column:
+    """Number in [-1, 1] for a clip, from md5 of (seed, purpose, clip)."""
+    return hash_number(F.lit(seed), F.lit(what), F.col("clip_id")) % 1_000_000 / F.lit(999_999.0) * 2 - 1
+
+
+def augmentation_angle(rotation_degrees: float, seed: int) -> Column:
+    return F.radians(_unit(seed, "angle") * rotation_degrees)
+
+
 def augmentation_plan(lengths: DataFrame, rotation_degrees: float, speed_variation: float, seed: int) -> DataFrame:
-    """(clip_id, radians, n_target): hash-seeded angle and speed per clip."""
-    unit = lambda what: hash_number(F.lit(seed), F.lit(what), F.col("clip_id")) % 1_000_000 / F.lit(999_999.0) * 2 - 1
-    scale = F.lit(1.0) + unit("speed") * speed_variation
+    """(clip_id, radians, n_target): hash-seeded angle and length after the speed change, per clip."""
+    scale = F.lit(1.0) + _unit(seed, "speed") * speed_variation
     return lengths.select(
-        "clip_id", F.radians(unit("angle") * rotation_degrees).alias("radians"),
+        "clip_id", augmentation_angle(rotation_degrees, seed).alias("radians"),
         F.greatest(F.lit(1), F.rint(F.col("n_src") / F.greatest(scale, F.lit(1e-3))).cast("bigint")).alias("n_target"),
     )
 
 
 def augment_pose(df: DataFrame, components: Sequence[str], rotation_degrees: float, speed_variation: float, seed: int) -> DataFrame:
     """Rotate every component in the xy plane and change the speed: (clip_id, frame_idx, f[])."""
-    plan = augmentation_plan(clip_lengths(df), rotation_degrees, speed_variation, seed)
-    turned = df.join(plan.select("clip_id", "radians"), "clip_id")
+    lengths = clip_lengths(df)
+    plan = augmentation_plan(lengths, rotation_degrees, speed_variation, seed)
+    angles = df.withColumn("radians", augmentation_angle(rotation_degrees, seed))  # from the clip id alone
     flat = F.flatten(F.concat(*[rotate_xy(F.col(c), F.col("radians")) for c in components]))
-    return resample_linear(turned.select("clip_id", "frame_idx", flat.alias("f")), plan.select("clip_id", "n_target"))
+    return resample_linear(angles.select("clip_id", "frame_idx", flat.alias("f")), plan.select("clip_id", "n_target"), lengths=lengths)
 
 
 def pad_and_mask(df: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -157,6 +157,28 @@ def f14(d):
     return d.words().select("index", word_alignment(F.col("expected_words"), F.col("predicted_words")).alias("a")).select("index", "a.*")
 
 
+# Word-by-word edit table, one row of it per step: new[j] = j + min over k <= j of (candidate[k] - k).
+_EDITS = f"""with recursive {WORDS_SQL}, dp(index, i, w, p, row) as (select index, 0, w, p, range(len(p) + 1) from v_words1 union all
+    select index, i + 1, w, p, [j + list_min(list_slice(u, 1, j + 1)) for j in range(len(u))] from
+      (select index, i, w, p, [case when k = 0 then i + 1 else least(row[k + 1] + 1, row[k] + case when w[i + 1] = p[k] then 0 else 1 end) - k end for k in range(len(row))] as u from dp where i < len(w))),
+  edits as (select index, len(w) as m, len(p) as n, w = p as exact, row[-1] as edits from dp where i = len(w))"""
+
+
+def scored(d):
+    return X.wer_rows(d.words()).withColumn("edits", F.col("substitutions") + F.col("insertions") + F.col("deletions"))
+
+
+@query("F14_edit_total", _EDITS + " select index, cast(edits as bigint) as edits, m as matched_side, n as heard_side from edits")
+def f14e(d):
+    s, ok = F.col("substitutions"), F.col("matched_word_count")
+    return scored(d).select("index", "edits", (ok + s + F.col("deletions")).alias("matched_side"), (ok + s + F.col("insertions")).alias("heard_side"))
+
+
+@query("F16_word_error_rate", _EDITS + " select count(*) as sample_count, cast(sum(m) as bigint) as total_expected_words, sum(edits) / sum(m) as word_error_rate, count(*) filter (where exact) / count(*) as exact_sequence_accuracy from edits")
+def f16e(d):
+    return X.wer_metrics(X.wer_rows(d.words())).select("sample_count", "total_expected_words", "word_error_rate", "exact_sequence_accuracy")
+
+
 @query("F15_wer_rows", f"with {WORDS_SQL} select index, len(w) as expected_word_count, len(p) as predicted_word_count, array_to_string(w, ' ') as expected_text, array_to_string(p, ' ') as predicted_text, w = p as exact_match, true as edits_consistent from v_words1")
 def f15(d):
     r = X.wer_rows(d.words())
@@ -179,7 +201,7 @@ _GATE_SQL = f"""n as (select index, sample_id, expected_gloss, {NORM('first_raw'
 
 def _gate_rows(d):
     log = P.retry_resolution(d.view("v_retry"), d.view("v_alias"), d.labels)
-    return G.anchor_rows(log, d.view("v_alias"), d.labels)
+    return G.anchor_outcomes(G.anchor_rows(log, d.view("v_alias"), d.labels))
 
 
 def _anchors(d):

@@ -114,16 +114,29 @@ _CLIPS = "select ordinal, sample_id, sample_id as video_id, gloss, case ordinal
 _MEDIA = "select sample_id as video_id, concat('/media/', sample_id, '.mp4') as path from v_meta where ordinal % 7 <> 0"
 
 
-@query("C10_official_split_manifest", f"""with c as (select c.*, m.path from ({_CLIPS}) c left join ({_MEDIA}) m using (video_id)), e as (select max(ordinal) as last from (select ordinal from c where path is not null order by ordinal limit 5000)), k as (select c.* from c, e where ordinal <= last)
-  select split, count(*) as considered, count(path) as written, count(*) - count(path) as failed, max(case when path is not null then split || '/' || sample_id || '/frame_029.jpg' end) as last_frame from k group by split""")
-def c10(d):
-    ok, bad = S.official_split_manifest(d.sql(_CLIPS), d.sql(_MEDIA), 30, 5000)
+def _c10_sql(keep: str) -> str:
+    return f"""with c as (select c.*, m.path from ({_CLIPS}) c left join ({_MEDIA}) m using (video_id)), e as (select max(ordinal) as last from (select ordinal from c where path is not null order by ordinal limit 5000)), k as (select c.* from c, e where {keep})
+  select split, count(*) as considered, count(path) as written, count(*) - count(path) as failed, max(case when path is not null then split || '/' || sample_id || '/frame_029.jpg' end) as last_frame from k group by split"""
+
+
+def _c10(d, max_samples):
+    ok, bad = S.official_split_manifest(d.sql(_CLIPS), d.sql(_MEDIA), 30, max_samples)
     both = ok.select("split", F.lit(1).alias("w"), F.element_at("frame_paths", -1).alias("last")).unionByName(
         bad.select("split", F.lit(0).alias("w"), F.lit(None).cast("string").alias("last")))
     return both.groupBy("split").agg(
         F.count(F.lit(1)).alias("considered"), F.sum("w").cast("bigint").alias("written"), F.sum(1 - F.col("w")).cast("bigint").alias("failed"), F.max("last").alias("last_frame"))
 
 
+@query("C10_official_split_manifest", _c10_sql("true"))
+def c10(d):
+    return _c10(d, None)
+
+
+@query("C10_official_split_manifest_max_samples", _c10_sql("ordinal <= last"))
+def c10m(d):
+    return _c10(d, 5000)
+
+
 def _manifest(k: int) -> str:
     return f"select ordinal, case when ordinal % 97 = 0 then ' ' else concat('m', cast(ordinal % (1000 + {k}) as string)) end as sample_id, case when ordinal % 5 = 0 then '' else 'part{k}' end as split, case when ordinal % 89 = 1 then null else concat('v/', cast(ordinal as string), '.mp4') end as video_relpath from v_meta where ordinal % 3 = {k}"
 
@@ -160,13 +173,22 @@ def c13(d):
     return a.unionByName(b)
 
 
-@query("C14_union_datasets", "select * from (select 'a:' || sample_id as sample_id, 'a' as dataset, index, expected_gloss from v_pred where expected_gloss = 'click' order by index) union all (select 'b:' || sample_id, 'b', index, expected_gloss from v_pred where expected_gloss <> 'click' order by index limit greatest(0, (select 3000 - count(*) from v_pred where expected_gloss = 'click')))")
-def c14(d):
+def _c14(d, cap):
     p = d.view("v_pred").select("sample_id", "index", "expected_gloss")
-    u = Y.union_datasets({"a": p.filter("expected_gloss = 'click'"), "b": p.filter("expected_gloss <> 'click'")}, 3000)
+    u = Y.union_datasets({"a": p.filter("expected_gloss = 'click'"), "b": p.filter("expected_gloss <> 'click'")}, cap)
     return u.select("sample_id", "dataset", "index", "expected_gloss")
 
 
+@query("C14_union_datasets", "select case when expected_gloss = 'click' then 'a:' else 'b:' end || sample_id as sample_id, case when expected_gloss = 'click' then 'a' else 'b' end as dataset, index, expected_gloss from v_pred")
+def c14(d):
+    return _c14(d, None)
+
+
+@query("C14_union_datasets_cap", "select * from (select 'a:' || sample_id as sample_id, 'a' as dataset, index, expected_gloss from v_pred where expected_gloss = 'click' union all select 'b:' || sample_id, 'b', index, expected_gloss from v_pred where expected_gloss <> 'click') order by dataset, index limit 3000")
+def c14c(d):
+    return _c14(d, 3000)
+
+
 @query("C15_merge_expected_predicted", f"""with {WORDS_SQL} select concat(cast(index // 1000 as string), '-', cast(index % 1000 as string)) as sample_id, len(w) as expected_words, case when index % 5 = 0 then 1 else len(p) end as predicted_words,
   case when index % 5 = 0 then '__missing__' else p[1] end as first_word, 'ok' as outcome from v_words1 where index % 5 = 0 or len(p) > 0""")
 def c15(d):

@@ -121,7 +121,7 @@ def gate(spark, rows, anchors=None):
     df = spark.createDataFrame(rows, schema)
     al = spark.createDataFrame([("x", "g0")], "alias string, canonical string")
     an = spark.createDataFrame([(i, x) for i, x in enumerate(labels)], "ord bigint, gloss string")
-    return G.anchor_gate(G.anchor_rows(df, al, labels), an).first()
+    return G.anchor_gate(G.anchor_outcomes(G.anchor_rows(df, al, labels)), an).first()
 
 
 def rows10(change=None):
