@@ -113,7 +113,9 @@ def resolve_output_reason(df: DataFrame, raw: str, labels: Sequence[str]) -> Dat
         .withColumn("_c", F.transform("_c", lambda c: canonicalize_text(_unwrap(c))))
         .withColumn("_exact", F.get(F.filter("_c", lambda c: c.isin(names)), F.lit(0)))
         .withColumn("_joined", F.array_join("_c", " || "))
-        .withColumn("_hits", F.array_compact(F.array(*[F.when(F.col("_joined").rlike(p), F.lit(x)) for x, p in quoted.items()])))
+        .withColumn("_hits", F.array_compact(F.array(*[
+            F.when(F.contains("_joined", F.lit(x)) & F.col("_joined").rlike(p), F.lit(x)) for x, p in quoted.items()  # plain search first
+        ])))
         .withColumn("label", F.when(exact.isNotNull(), exact).when(F.size(hits) == 1, hits[0]).otherwise(INVALID))
         .withColumn(
             "reason",

@@ -149,8 +149,8 @@ def nearest_rank(
 ) -> DataFrame:
     """``by``, n, value_at: the value at sorted position ``index(n)``, exact.
 
-    ``weight`` names a count column when rows already stand for several values. Counts per value come first. The position is then narrowed in four steps of finer value ranges,
-    so each running sum is over few rows whatever the number of distinct values.
+    ``weight`` names a count column when rows already stand for several values. Counts per value come first. The position is then narrowed in five steps, each dividing a value range by 32 768,
+    so a running sum is over that many rows at most, however many distinct values there are.
     """
     by = list(by)
     v = F.col("v")
@@ -159,7 +159,7 @@ def nearest_rank(
         .groupBy(*by, F.col(value).cast("double").alias("v"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"))
     )
-    levels = [F.floor(v / 1024), F.floor(v), F.floor(v * (1 << 20)), v]
+    levels = [F.floor(v / (1 << 30)), F.floor(v / (1 << 15)), F.floor(v), F.floor(v * (1 << 15)), v]
     names: list[str] = []
     picked: DataFrame | None = None
     for i, level in enumerate(levels):
@@ -181,7 +181,7 @@ def nearest_rank(
             steps.filter((F.col("cum") > F.col("k")) & (F.col("cum") - F.col("s") <= F.col("k")))
             .select(*by, *names, "n", (F.col("k") - F.col("cum") + F.col("s")).alias("k"))
         )
-    return picked.select(*by, "n", F.col("_l3").alias("value_at"))
+    return picked.select(*by, "n", F.col(names[-1]).alias("value_at"))
 
 
 def readiness_index(n: Column) -> Column:

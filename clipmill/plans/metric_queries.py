@@ -44,7 +44,7 @@ def f02(d):
 
 @query("F03_per_class_accuracy", f"with {R}, l as (select label from v_labels union all select 'absent') select l.label, count(r.index) as support, count(*) filter (where correct) as correct, case when count(r.index) = 0 then 0.0::double else count(*) filter (where correct) / count(r.index) end as accuracy from l left join r on l.label = r.expected_gloss group by l.label")
 def f03(d):
-    extra = d.spark.createDataFrame([(99, "absent")], "ord bigint, label string")
+    extra = d.sql("select cast(99 as bigint) as ord, 'absent' as label")
     return M.per_class_accuracy(pred(d), d.label_df.unionByName(extra))
 
 

@@ -108,8 +108,8 @@ def b11(d):
   m as (select index, case g when 'buy' then 'purchase' else g end as m from s)
   select index, case m when 'view' then 'look' else m end as mapped from m where m in (select label from v_labels)""")
 def b12(d):
-    over = d.spark.createDataFrame([("buy", "purchase")], "source string, canonical string")
-    subst = d.spark.createDataFrame([("view", "look")], "canonical string, preferred string")
+    over = d.sql("select 'buy' as source, 'purchase' as canonical")
+    subst = d.sql("select 'view' as canonical, 'look' as preferred")
     src = d.view("v_retry").withColumn("src", F.concat(F.lit(" "), F.upper("first_raw")))
     return L.map_source_labels(src, "src", over, subst, d.labels).select("index", "mapped")
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipmill.constants import POSE_FRAMES
+from clipmill.session import stored
 
 PARTS = ("body", "left_hand", "right_hand", "face")
 REQUIRED = PARTS[:3]
@@ -63,8 +64,11 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def decode_pose_archives(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(path, content)`` -> (pose frames + archive_id, violations)."""
-    rows = files.select("path", "content").mapInPandas(_decode, _SCHEMA)
+    """``(path, content)`` -> (pose frames + archive_id, violations).
+
+    Archives are decoded once, into a table that both results read.
+    """
+    rows = stored(files.select("path", "content").mapInPandas(_decode, _SCHEMA), "pose-frames")
     bad = rows.filter("rule is not null").select("rule", F.col("clip_id").alias("key"), F.col("path").alias("detail"))
     return rows.filter("rule is null").select(*POSE_FRAMES.names, "archive_id"), bad
 

@@ -30,3 +30,9 @@ def test_entry_contract():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_every_operator_of_the_inventory_has_a_query():
+    sizes = {"A": 19, "B": 21, "C": 19, "D": 14, "E": 12, "F": 26, "G": 3}
+    want = {f"{k}{i:02d}" for k, n in sizes.items() for i in range(1, n + 1)}
+    assert {name[:3] for name in CATALOG} == want
