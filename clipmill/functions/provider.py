@@ -29,8 +29,12 @@ def _present(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & ~F.is_variant_null(v), F.lit(False))
 
 
+# First letters of the type names a VARIANT value can have (fixed values).
+OBJECT, ARRAY, STRING, BOOLEAN = "OBJ", "ARR", "STR", "BOO"
+
+
 def _kind(v: Column) -> Column:
-    return F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1), F.lit(""))
+    return F.coalesce(F.left(F.schema_of_variant(v), F.lit(3)), F.lit(""))
 
 
 def _string(v: Column) -> Column:
@@ -41,9 +45,10 @@ def _truthy(v: Column) -> Column:
     """False for absent, null, '', 0, false, [] and {}."""
     kind = _kind(v)
     return _present(v) & F.coalesce(
-        F.when(kind == "STRING", _string(v) != "")
-        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
-        .when(kind.isin("ARRAY", "OBJECT"), ~F.to_json(v).isin("[]", "{}"))
+        F.when(kind == STRING, _string(v) != "")
+        .when(kind == BOOLEAN, F.try_variant_get(v, "$", "boolean"))
+        .when(kind == ARRAY, F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
+        .when(kind == OBJECT, F.size(F.try_variant_get(v, "$", "map<string,variant>")) > 0)
         .otherwise(F.try_variant_get(v, "$", "double") != 0),
         F.lit(False),
     )
@@ -58,71 +63,74 @@ def _as_int(v: Column) -> Column:
     kind = _kind(v)
     text = F.trim(_string(v))
     return (
-        F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint"))
-        .when(kind == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")))
-        .when(~kind.isin("ARRAY", "OBJECT"), F.try_variant_get(v, "$", "double").try_cast("bigint"))
+        F.when(kind == BOOLEAN, F.try_variant_get(v, "$", "boolean").cast("bigint"))
+        .when(kind == STRING, F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")))
+        .when(~kind.isin(ARRAY, OBJECT), F.try_variant_get(v, "$", "double").try_cast("bigint"))
     )
 
 
 def _as_float(v: Column) -> Column:
     kind = _kind(v)
-    return F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(
-        ~kind.isin("ARRAY", "OBJECT"), F.when(kind == "STRING", F.trim(_string(v)).try_cast("double")).otherwise(
+    return F.when(kind == BOOLEAN, F.try_variant_get(v, "$", "boolean").cast("double")).when(
+        ~kind.isin(ARRAY, OBJECT), F.when(kind == STRING, F.trim(_string(v)).try_cast("double")).otherwise(
             F.try_variant_get(v, "$", "double"))
     )
 
 
+_TOP = ("prediction", "translation", "transcript_words", "words", "confidence", "sequence_confidence", "low_confidence", "output")
+_NESTED = ("translation", "transcript_words", "confidence", "sequence_confidence", "low_confidence")
+_WORD = "array<struct<word:string,start_ms:bigint,end_ms:bigint,confidence:double>>"
+
+
+def _word(i: Column) -> Column:
+    start = _first(_present, _at(i, "$.start_ms"), _at(i, "$.start"))
+    end = _first(_present, _at(i, "$.end_ms"), _at(i, "$.end"))
+    conf, zero = _at(i, "$.confidence"), F.lit(0).cast("bigint")
+    return F.struct(
+        _string(_at(i, "$.word")).alias("word"),
+        F.when(start.isNull(), zero).otherwise(_as_int(start)).alias("start_ms"),
+        F.when(end.isNull(), zero).otherwise(_as_int(end)).alias("end_ms"),
+        F.when(_present(conf), _as_float(conf)).otherwise(F.lit(0.0)).alias("confidence"),
+    )
+
+
 def normalize_provider_response(df: DataFrame, response: str) -> DataFrame:
     """Add ``answer``: struct(error_code, error, prediction, confidence, words, sequence_confidence, low_confidence).
 
     ``error`` is null for a usable response; ``words`` falls back to the prediction at 0-0 ms.
-    ``response`` names a VARIANT column. Stages are columns, so each is computed once.
+    ``response`` names a VARIANT column. Each field is taken out of it once and each later stage is a
+    column, so nothing is looked up twice.
     """
-    v, out = F.col(response), F.col("_out")
-
-    def word(i: Column) -> Column:
-        start = _first(_present, _at(i, "$.start_ms"), _at(i, "$.start"))
-        end = _first(_present, _at(i, "$.end_ms"), _at(i, "$.end"))
-        conf = _at(i, "$.confidence")
-        zero = F.lit(0).cast("bigint")
-        return F.struct(
-            _string(_at(i, "$.word")).alias("word"),
-            F.when(start.isNull(), zero).otherwise(_as_int(start)).alias("start_ms"),
-            F.when(end.isNull(), zero).otherwise(_as_int(end)).alias("end_ms"),
-            F.when(_present(conf), _as_float(conf)).otherwise(F.lit(0.0)).alias("confidence"),
-        )
-
-    no_words = F.expr("cast(array() as array<struct<word:string,start_ms:bigint,end_ms:bigint,confidence:double>>)")
-    words, prediction = F.col("_words"), F.col("_prediction")
-    d = df.withColumn("_out", F.when(_kind(_at(v, "$.output")) == "OBJECT", _at(v, "$.output")))
-    d = d.withColumn("_raw", _first(_truthy, _at(v, "$.transcript_words"), _at(out, "$.transcript_words"), _at(v, "$.words")))
-    d = d.withColumn("_items", F.when(_kind(F.col("_raw")) == "ARRAY", F.try_variant_get("_raw", "$", "array<variant>")))
-    d = d.withColumn("_items", F.filter("_items", lambda i: (_kind(i) == "OBJECT") & _truthy(_at(i, "$.word"))))
-    d = d.withColumn("_words", F.coalesce(F.transform("_items", word), no_words))
-    d = d.withColumn("_said", _first(_truthy, _at(v, "$.prediction"), _at(v, "$.translation"), _at(out, "$.translation")))
-    joined = F.nullif(F.array_join(F.transform(words, lambda w: w["word"]), " "), F.lit(""))
-    d = d.withColumn("_prediction", F.coalesce(_string(F.col("_said")), F.to_json("_said"), joined))
-    d = d.withColumn("_conf", _first(_present, _at(v, "$.confidence"), _at(out, "$.confidence")))
-    d = d.withColumn("_seq", _first(_present, _at(v, "$.sequence_confidence"), _at(out, "$.sequence_confidence"), F.col("_conf")))
-    d = d.withColumn("_low", _first(_present, _at(v, "$.low_confidence"), _at(out, "$.low_confidence")))
-    d = d.withColumn("_c", _as_float(F.col("_conf"))).withColumn("_s", _as_float(F.col("_seq")))
-    broken = F.exists(words, lambda w: w["start_ms"].isNull() | w["end_ms"].isNull() | w["confidence"].isNull())
+    c = F.col
+    d = df.select("*", _kind(c(response)).alias("_kind"), *[_at(c(response), f"$.{f}").alias(f"_{f}") for f in _TOP])
+    d = d.select("*", *[F.when(_kind(c("_output")) == OBJECT, _at(c("_output"), f"$.{f}")).alias(f"_o_{f}") for f in _NESTED])
+    d = d.withColumn("_raw", _first(_truthy, c("_transcript_words"), c("_o_transcript_words"), c("_words")))
+    d = d.withColumn("_items", F.when(_kind(c("_raw")) == ARRAY, F.try_variant_get("_raw", "$", "array<variant>")))
+    d = d.withColumn("_said", _first(_truthy, c("_prediction"), c("_translation"), c("_o_translation")))
+    d = d.withColumn("_items", F.filter("_items", lambda i: (_kind(i) == OBJECT) & _truthy(_at(i, "$.word"))))
+    d = d.withColumn("_list", F.coalesce(F.transform("_items", _word), F.array().cast(_WORD)))
+    d = d.withColumn("_conf", _first(_present, c("_confidence"), c("_o_confidence")))
+    d = d.withColumn("_seq", _first(_present, c("_sequence_confidence"), c("_o_sequence_confidence"), c("_conf")))
+    d = d.withColumn("_low", _first(_present, c("_low_confidence"), c("_o_low_confidence")))
+    joined = F.nullif(F.array_join(F.transform("_list", lambda w: w["word"]), " "), F.lit(""))
+    d = d.withColumn("_text", F.coalesce(_string(c("_said")), F.to_json("_said"), joined))
+    d = d.withColumn("_c", _as_float(c("_conf"))).withColumn("_s", _as_float(c("_seq")))
+    broken = F.exists("_list", lambda w: w["start_ms"].isNull() | w["end_ms"].isNull() | w["confidence"].isNull())
     d = d.withColumn(
         "_error",
-        F.when(_kind(v) != "OBJECT", "not_an_object").when(broken, "invalid_transcript_words")
-        .when(prediction.isNull(), "empty_prediction").when(F.col("_conf").isNull(), "missing_confidence")
-        .when(F.col("_c").isNull(), "invalid_confidence").when(F.col("_s").isNull(), "invalid_sequence_confidence"),
+        F.when(c("_kind") != OBJECT, "not_an_object").when(broken, "invalid_transcript_words")
+        .when(c("_text").isNull(), "empty_prediction").when(c("_conf").isNull(), "missing_confidence")
+        .when(c("_c").isNull(), "invalid_confidence").when(c("_s").isNull(), "invalid_sequence_confidence"),
     )
     zero = F.lit(0).cast("bigint")
-    single = F.array(F.struct(prediction.alias("word"), zero.alias("start_ms"), zero.alias("end_ms"), F.col("_c").alias("confidence")))
+    single = F.array(F.struct(c("_text").alias("word"), zero.alias("start_ms"), zero.alias("end_ms"), c("_c").alias("confidence")))
     answer = F.struct(
-        F.when(F.col("_error").isNotNull(), BAD_RESPONSE).alias("error_code"), F.col("_error").alias("error"),
-        prediction.alias("prediction"), F.col("_c").alias("confidence"),
-        F.when(F.size(words) > 0, words).otherwise(single).alias("words"),
-        F.col("_s").alias("sequence_confidence"), bool_provider(F.col("_low")).alias("low_confidence"),
+        F.when(c("_error").isNotNull(), BAD_RESPONSE).alias("error_code"), c("_error").alias("error"),
+        c("_text").alias("prediction"), c("_c").alias("confidence"),
+        F.when(F.size("_list") > 0, c("_list")).otherwise(single).alias("words"),
+        c("_s").alias("sequence_confidence"), bool_provider(c("_low")).alias("low_confidence"),
     )
-    stages = ("_out", "_raw", "_items", "_words", "_said", "_prediction", "_conf", "_seq", "_low", "_c", "_s", "_error")
-    return d.withColumn("answer", answer).drop(*stages)
+    return d.select(*df.columns, answer.alias("answer"))
 
 
 def validate_proof_fields(v: Column, request_id: Column) -> Column:
@@ -132,11 +140,11 @@ def validate_proof_fields(v: Column, request_id: Column) -> Column:
     given = _at(v, "$.request_id")
     given_text = F.when(_truthy(given), F.trim(_string(given))).otherwise("")
     steps = [
-        (~((_kind(_at(v, f"$.{f}")) == "STRING") & F.coalesce(F.trim(_string(_at(v, f"$.{f}"))) != "", F.lit(False))), f)
+        (~((_kind(_at(v, f"$.{f}")) == STRING) & F.coalesce(F.trim(_string(_at(v, f"$.{f}"))) != "", F.lit(False))), f)
         for f in _PROOF_TEXT_ORDER
     ]
     steps += [
-        (_kind(_at(v, "$.cloud_handoff")) != "BOOLEAN", "cloud_handoff"),
+        (_kind(_at(v, "$.cloud_handoff")) != BOOLEAN, "cloud_handoff"),
         ((given_text != "") & (given_text != request_id), "request_id mismatch"),
     ]
     for bad, name in reversed(steps):

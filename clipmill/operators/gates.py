@@ -14,7 +14,7 @@ from clipmill.operators.metrics import precision_recall_f1, ratio
 from clipmill.operators.ranking import nearest_rank, readiness_index
 from clipmill.operators.splits import overlap_counts
 from clipmill.functions.text import normalize_gloss
-from clipmill.session import small_side
+from clipmill.session import small_side, stored
 
 
 def _reasons(*pairs: tuple[Column, Column]) -> Column:
@@ -126,6 +126,7 @@ def anchor_gate(
     min_support: int = K.ANCHOR_MIN_SUPPORT, max_support: int = K.ANCHOR_MAX_SUPPORT,
 ) -> DataFrame:
     """First-pass and final decision over the anchors, with the effect of the retry."""
+    outcomes = stored(outcomes, "anchor-outcomes")  # small, read three times
     table = anchor_table(outcomes, anchors, min_accuracy)
     ordered = lambda cond: F.transform(
         F.sort_array(F.collect_list(F.when(cond, F.struct("ord", "gloss")))), lambda x: x["gloss"]

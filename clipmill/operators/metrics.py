@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clipmill.constants import INVALID, UNKNOWN
 from clipmill.functions.text import canonicalize_text, in_labels, normalize_gloss, output_label
 from clipmill.operators.ranking import nearest_rank, telemetry_index
-from clipmill.session import small_side
+from clipmill.session import stored
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -122,16 +122,28 @@ def macro_f1(df: DataFrame, truth: str, pred: str) -> DataFrame:
     )
 
 
-def telemetry_slo(df: DataFrame) -> DataFrame:
+def latency_counts(events: DataFrame) -> DataFrame:
+    """(latency_ms, outcome, n): all the SLO needs, as small as the number of distinct latencies."""
+    return events.groupBy("latency_ms", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def slo_from_counts(counts: DataFrame) -> DataFrame:
     """One row: count, success_count, success_rate, p95 (telemetry index rule); zeros when empty."""
     from clipmill.operators.labels import beside
 
-    ok = F.count_if(F.col("outcome") == "success")
-    totals = df.agg(F.count(F.lit(1)).alias("count"), ok.alias("success_count"))
-    p95 = nearest_rank(df, "latency_ms", telemetry_index)
+    n = F.col("n")
+    totals = counts.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("count"),
+        F.coalesce(F.sum(F.when(F.col("outcome") == "success", n)), F.lit(0)).alias("success_count"),
+    )
+    p95 = nearest_rank(counts, "latency_ms", telemetry_index, weight="n")
     return beside(t=totals, p=p95).select(
-        F.col("t.count").alias("count"),
-        F.col("t.success_count").alias("success_count"),
+        F.col("t.count").alias("count"), F.col("t.success_count").alias("success_count"),
         ratio(F.col("t.success_count"), F.col("t.count")).alias("success_rate"),
         F.coalesce(F.col("p.value_at"), F.lit(0.0)).cast("bigint").alias("latency_p95_ms"),
     )
+
+
+def telemetry_slo(events: DataFrame) -> DataFrame:
+    """The SLO row of an event log. The log is read once; the counts are a small table read twice."""
+    return slo_from_counts(stored(latency_counts(events), "latency-counts"))

@@ -76,21 +76,31 @@ def sliding_rate_audit(
             return (*at, None, None, None, None, start or [], [h for h in hits if h >= last])
 
         for pdf in batches:
-            out = []
-            for key, sl, kind, ts, n, given in zip(*[pdf[c] for c in ("key", "slice", "kind", "ts", "requests", "given")]):
+            taken, waits, ends = [], [], []
+            given = pdf["given"]
+            columns = [pdf[c].tolist() for c in ("key", "slice", "kind", "requests")]
+            stamps = pdf["ts"].fillna(0).astype("int64").tolist()
+            for row, (key, sl, kind, n) in enumerate(zip(*columns)):
                 if (key, sl) != at:
                     if at is not None:
-                        out.append(end())
+                        ends.append(end())
                     at, hits, start = (key, sl), deque(), None
+                take = wait = None
                 if kind == _GIVEN:
-                    hits = deque(int(h) for h in given)
-                    continue
-                if kind == _REAL and start is None:
-                    start = [h for h in hits if h >= sl * width - window]
-                take, wait = admit(hits, int(ts), int(n), limit, window, unit)
-                if kind == _REAL:
-                    out.append((key, sl, ts, n, take, wait, None, None))
-            yield pd.DataFrame(out, columns=names, dtype=object)
+                    hits = deque(int(h) for h in given.iloc[row])
+                else:
+                    if kind == _REAL and start is None:
+                        start = [h for h in hits if h >= sl * width - window]
+                    take, wait = admit(hits, stamps[row], n, limit, window, unit)
+                taken.append(take)
+                waits.append(wait)
+            real_rows = (pdf["kind"] == _REAL).to_numpy()
+            out = pdf.loc[real_rows, ["key", "slice", "ts", "requests"]].assign(
+                admitted=pd.array(taken, dtype="Int64")[real_rows], retry_after_seconds=pd.array(waits, dtype="Int64")[real_rows],
+                hits_in=None, hits_out=None)
+            yield out
+            if ends:
+                yield pd.DataFrame(ends, columns=names, dtype=object)
         if at is not None:
             yield pd.DataFrame([end()], columns=names, dtype=object)
 

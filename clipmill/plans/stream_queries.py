@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clipmill.operators.metrics import latency_counts, slo_from_counts
 from clipmill.operators.rate_audit import mark_requests, sliding_rate_audit
 from clipmill.plans.metric_queries import _SLO
 from clipmill.plans.registry import query
 from clipmill.session import new_path
 from clipmill.sources.sinks import append_log
 from clipmill.streaming.rate import sliding_rate_stream
-from clipmill.streaming.telemetry import EVENT, slo_from_counts, value_counts
+from clipmill.streaming.telemetry import EVENT
 from clipmill.streaming.windows import feature_windows, feature_windows_stream
 
 
@@ -31,7 +32,7 @@ def g01(d):
     path = new_path(d.spark, "telemetry")
     append_log(d.view("v_tele"), path)
     events = d.spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 8).json(path)
-    counts = drain(value_counts(events), d, "latency_ms bigint, outcome string, n bigint", "complete")
+    counts = drain(latency_counts(events), d, "latency_ms bigint, outcome string, n bigint", "complete")
     return slo_from_counts(counts)
 
 

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipmill.operators.labels import beside
-from clipmill.operators.metrics import ratio
-from clipmill.operators.ranking import nearest_rank, telemetry_index
+from clipmill.operators.metrics import latency_counts, slo_from_counts
 
 EVENT = "request_id string, latency_ms bigint, outcome string, confidence double, model_tag string"
 
@@ -16,26 +14,6 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENT).json(folder)
 
 
-def value_counts(events: DataFrame) -> DataFrame:
-    """(latency_ms, outcome, n): the whole state, as small as the number of distinct latencies."""
-    return events.groupBy("latency_ms", "outcome").agg(F.count(F.lit(1)).alias("n"))
-
-
-def slo_from_counts(counts: DataFrame) -> DataFrame:
-    """The SLO row from value counts, equal to the batch rule over the raw events."""
-    n = F.col("n")
-    totals = counts.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("count"),
-        F.coalesce(F.sum(F.when(F.col("outcome") == "success", n)), F.lit(0)).alias("success_count"),
-    )
-    p95 = nearest_rank(counts, "latency_ms", telemetry_index, weight="n")
-    return beside(t=totals, p=p95).select(
-        F.col("t.count").alias("count"), F.col("t.success_count").alias("success_count"),
-        ratio(F.col("t.success_count"), F.col("t.count")).alias("success_rate"),
-        F.coalesce(F.col("p.value_at"), F.lit(0.0)).cast("bigint").alias("latency_p95_ms"),
-    )
-
-
 def telemetry_slo_stream(events: DataFrame, report_path: str, checkpoint: str):
     """Start the query: after every micro-batch the report at ``report_path`` is replaced."""
 
@@ -43,6 +21,6 @@ def telemetry_slo_stream(events: DataFrame, report_path: str, checkpoint: str):
         slo_from_counts(counts).withColumn("batch", F.lit(batch)).write.mode("overwrite").json(report_path)
 
     return (
-        value_counts(events).writeStream.outputMode("complete").foreachBatch(write)
+        latency_counts(events).writeStream.outputMode("complete").foreachBatch(write)
         .option("checkpointLocation", checkpoint).start()
     )
