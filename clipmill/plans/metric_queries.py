@@ -9,7 +9,6 @@ from clipmill.operators import metrics as M
 from clipmill.operators import predict as P
 from clipmill.operators import transcripts as X
 from clipmill.operators.ranking import nearest_rank, readiness_index, telemetry_index
-from clipmill.operators.splits import group_independent_split
 from clipmill.plans.registry import query
 from clipmill.plans.text_queries import NORM
 from clipmill.plans.views import WORDS_SQL

@@ -135,8 +135,6 @@ class Data:
 
     def scores(self) -> DataFrame:
         """(sample_id, label, score): every event with every label, scores with ties."""
-        from clipmill.operators.ranking import hash_number
-
         names = F.array(*[F.lit(x) for x in self.labels])
         e = spread(self.table("events").select("event_id")).select("event_id", F.explode(names).alias("label"))
         h = F.conv(F.left(F.md5(F.concat_ws("|", F.col("event_id").cast("string"), "label")), F.lit(4)), 16, 10).cast("bigint")

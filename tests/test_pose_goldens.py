@@ -1,5 +1,4 @@
 import io
-import random
 
 import numpy as np
 import pytest

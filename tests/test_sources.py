@@ -2,7 +2,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from clipmill.session import require_empty, small_side, small_values
 from clipmill.sources import media as E
