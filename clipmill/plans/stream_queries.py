@@ -68,7 +68,8 @@ def g02s(d):
 
 
 def _requests(d):
-    return d.table("events").select(F.col("user_id").alias("key"), F.unix_timestamp("ts").alias("ts"), "event_id")
+    seconds = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")  # free of the session's time zone
+    return d.table("events").select(F.col("user_id").alias("key"), seconds.alias("ts"), "event_id")
 
 
 _AUDIT = """with recursive e as (select user_id as key, cast(floor(epoch(ts)) as bigint) as ts, event_id, row_number() over (partition by user_id order by cast(floor(epoch(ts)) as bigint), event_id) as rn from {events}),
