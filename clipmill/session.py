@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +28,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one named in ``spark.checkpoint.dir``.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or one beside the warehouse tables where that is unset.
 
-    Only when the session names none (tests, a laptop) is a temporary folder made and set.
+    A machine-local temporary folder is never used: executors of a cluster would not see each other's files in it.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="clipmill-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+        if not warehouse:
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = f"{warehouse.rstrip('/')}/clipmill_work"
     return named.rstrip("/")
 
 
