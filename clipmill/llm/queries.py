@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipmill.llm import exact_dedup, mixing
+from clipmill.llm import exact_dedup, jaccard_join, mixing, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,11 @@ select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(d
 """
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its rule counts and the verdict of the perplexity bands."""
+    return quality.quality(_documents(spark, sf_dir))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -52,9 +57,29 @@ select r.doc_id, r.size, r.source_size, r.target, coalesce(got.taken, 0)::bigint
 from r left join got on r.doc_id = got.doc_id and r.n = got.n and r.source is not distinct from got.source
 """
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest id that links of word-shingle sets reach from it."""
+    return jaccard_join.jaccard_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+OP10_SQL = r"""
+with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as set_of from t),
+n as (select doc_id, cast(len(set_of) as bigint) as n_shingles from g),
+e as (select doc_id, unnest(set_of) as s from g),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from e a join e b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * common >= 90 * (x.n_shingles + y.n_shingles - common)),
+reach as (select doc_id, doc_id as other from n union select r.doc_id, l.b from reach r join links l on r.other = l.a),
+c as (select doc_id, min(other) as component_id from reach group by 1)
+select n.doc_id, n_shingles, component_id from n join c on n.doc_id = c.doc_id
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
+    "op7_quality_rules": (op7_quality_rules, None),
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
+    "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
 }
 
 

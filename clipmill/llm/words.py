@@ -119,3 +119,14 @@ def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
         out = mix(out * _MUL2 + nxt)
     whole = np.arange(n) + size <= np.repeat(first[1:], np.diff(first))
     return out, whole
+
+
+def pieces(batch: pa.RecordBatch, text: str, most: int = 4 << 20):
+    """Row ranges of a batch with about ``most`` bytes of text each, so that working arrays stay small; a longer text is one piece."""
+    column = batch.column(batch.schema.get_field_index(text))
+    _, offsets = buffers(column)
+    at = 0
+    while at < len(column):
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield batch.slice(at, min(upto, len(column)) - at)
+        at = upto
