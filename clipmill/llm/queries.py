@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clipmill.llm import exact_dedup, jaccard_join, mixing, quality
+from clipmill.llm import bpe, exact_dedup, jaccard_join, mixing, quality, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and their decoded text, as digests."""
+    return bpe.encode_decode(_documents(spark, sf_dir), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays of its group of equal texts."""
     return exact_dedup.exact_groups(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -57,13 +63,20 @@ select r.doc_id, r.size, r.source_size, r.target, coalesce(got.taken, 0)::bigint
 from r left join got on r.doc_id = got.doc_id and r.n = got.n and r.source is not distinct from got.source
 """
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, size and checksum, read back from the files its ids were written to."""
+    manifest = token_files.write_ids(_documents(spark, sf_dir), str(public_tokenizers.path("byte_bpe_50k.json")), end_id=0)
+    return token_files.read_back(manifest)
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the smallest id that links of word-shingle sets reach from it."""
     return jaccard_join.jaccard_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 OP10_SQL = r"""
-with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') as w from documents),
+with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') as w from documents),
 g as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
   else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as set_of from t),
 n as (select doc_id, cast(len(set_of) as bigint) as n_shingles from g),
@@ -76,9 +89,11 @@ select n.doc_id, n_shingles, component_id from n join c on n.doc_id = c.doc_id
 """
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op3_bpe_encode_decode": (op3_bpe_encode_decode, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op7_quality_rules": (op7_quality_rules, None),
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
+    "op9_token_files": (op9_token_files, None),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
 }
 
