@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipmill.session import new_path
+from clipmill.llm.tables import bucketed
 
 BLOCK_WORDS, BLOCK_TOKENS, ROW_TOKENS = 1 << 18, 1 << 23, 1 << 20
 # Fixed values of the tokenizer file: its pattern for lower-case text and its special tokens.
@@ -129,7 +128,6 @@ def _row(n: int, id_type, block, ids=None, lens=None, numbers=None, word=None, n
 
 def split(docs: DataFrame, path: str) -> DataFrame:
     """Document rows (block, ids, lens, numbers) and word rows (block, number, word) of ``docs`` (doc_id, text), bucketed by block."""
-    spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -150,10 +148,7 @@ def split(docs: DataFrame, path: str) -> DataFrame:
             yield from block.rows(id_type)
 
     rows = docs.mapInArrow(run, f"block long, ids array<{kind}>, lens array<int>, numbers binary, word string, number int")
-    name = f"bpe_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(buckets, "block").format("parquet").option("compression", "zstd").option("path", new_path(spark, "bpe-split")).saveAsTable(name)
-    return spark.table(name)
+    return bucketed(rows, "block", "bpe_split")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:

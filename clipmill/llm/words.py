@@ -14,6 +14,8 @@ import pyarrow as pa
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits, for words without punctuation.
+MARKS = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 _MUL1, _MUL2, _SEED = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
@@ -87,11 +89,11 @@ class Words:
         return span_hashes(self.data, self.starts, self.ends)
 
 
-def words(column, lower: bool = False) -> Words:
+def words(column, lower: bool = False, blank: np.ndarray = BLANK) -> Words:
     data, offsets = buffers(column)
     if lower:
         data = LOWER[data]
-    ink = ~BLANK[data]
+    ink = ~blank[data]
     start, end = ink.copy(), ink.copy()
     start[1:] &= ~ink[:-1]
     end[:-1] &= ~ink[1:]
