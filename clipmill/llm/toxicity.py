@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from clipmill.llm.words import MARKS, mix, pieces, words
 from clipmill.session import stored
 
-BITS, TRAIN_ROWS, FOLDS, EPOCHS = 22, 20_000, 5, 3
+BITS, TRAIN_ROWS, FOLDS, EPOCHS = 22, 20_000, 5, 4
 BIAS = 0
 
 
@@ -32,9 +32,9 @@ BIAS = 0
 class Ftrl:
     """FTRL-proximal with per-coordinate rates; coordinate ``BIAS`` carries the intercept and is free of L1."""
 
-    alpha: float = 0.15
+    alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 2.0
+    l1: float = 8.0
     l2: float = 1.0
 
     def __post_init__(self):
