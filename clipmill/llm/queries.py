@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clipmill.llm import bpe, exact_dedup, jaccard_join, mixing, quality, secrets, token_files, toxicity
+from clipmill.llm import bpe, exact_dedup, jaccard_join, language, licenses, mixing, quality, secrets, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page and every document with its language."""
+    pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
+    return language.identify(pages, _documents(spark, sf_dir))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the secrets in its text and in what its text encodes."""
     return secrets.secrets(_documents(spark, sf_dir))
@@ -32,6 +38,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_with_labels(_documents(spark, sf_dir), labels)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licenses found in it."""
+    return licenses.licenses(_documents(spark, sf_dir))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays of its group of equal texts."""
     return exact_dedup.exact_groups(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -100,9 +111,11 @@ select n.doc_id, n_shingles, component_id from n join c on n.doc_id = c.doc_id
 """
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_language_id": (op1_language_id, None),
     "op2_secret_scan": (op2_secret_scan, None),
     "op3_bpe_encode_decode": (op3_bpe_encode_decode, None),
     "op4_toxicity": (op4_toxicity, None),
+    "op5_license_scan": (op5_license_scan, None),
     "op6_exact_dedup": (op6_exact_dedup, OP6_SQL),
     "op7_quality_rules": (op7_quality_rules, None),
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
