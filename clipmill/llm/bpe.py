@@ -227,7 +227,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 out["n_tokens"].append(int(count[own].sum()))
                 out["ids_sha256"].append(hashlib.sha256(" ".join(id_text[own].tolist()).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(" ".join(decoded[own].tolist()).encode()).hexdigest())
-                out["ids"].append(np.concatenate([split_ids[k] for k in own.tolist()] or [np.zeros(0, "<u4")]).astype(np.int32) if with_ids else None)
+                if with_ids:
+                    n = count[own]
+                    first = start[at[own]] - (np.cumsum(n) - n)
+                    out["ids"].append(ids[np.repeat(first, n) + np.arange(n.sum())].astype(np.int32))
         if not with_ids:
             del out["ids"]
         return pa.table(out, schema=out_schema)

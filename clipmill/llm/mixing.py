@@ -119,3 +119,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         queued.withColumn("copies", taken.cast("bigint"))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "weight", "copies")
     )
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it; columns stay as they are. Rows are told apart by id and text."""
+    key = F.concat_ws(":", F.col(id_col).cast("string"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    keyed = docs.withColumn("__row", key)
+    mixed = mix(keyed, "__row", text_col, source_col, **params).filter("copies > 0")
+    times = mixed.groupBy(F.col("doc_id").alias("__row")).agg(F.max("copies").alias("__copies"))
+    joined = keyed.join(times, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
+    return joined.select(docs.columns)
