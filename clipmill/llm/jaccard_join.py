@@ -6,6 +6,7 @@ Two documents link when |A ∩ B| * 100 >= 90 * |A ∪ B| for their sets of word
    shingle a rarity class. The order is (class, hash): any total order gives the same links, a rarer-first one fewer candidates.
 2. **Prefixes.** Of a set of n, only its ``n - ceil(0.9 n) + 1`` rarest shingles are posted: two sets that link share one.
    Documents with equal sets (64-bit digest) are one class and posted once per task, merged per shingle.
+   A posting stays only if some partner in its list passes the length and positional filters (a semi join: it stops at the first).
 3. **First links.** In the list of a shingle, within a length band, each class looks only at the first one (the most
    central: fewest rarer shingles) and the one before it, and keeps its best partner. Checked exactly, these join most near copies.
 4. **The rest.** A list whose classes are still in several components pairs those outside its largest component with
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from clipmill.llm.chunks import combined, packed, whole
 from clipmill.llm.components import components
+from clipmill.llm.tables import bucketed
 from clipmill.llm.words import mix, pieces, shingles, words
 from clipmill.session import stored
 
@@ -122,7 +124,7 @@ def _profile(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
                 names=["doc_id", "n", "cls", "chunk", "held"])
 
     both = stored(docs.mapInArrow(run, f"doc_id {kind}, n int, cls long, chunk int, held binary"), "join-profile")
-    rarity = lambda c: np.minimum(np.rint(4 * np.log2(np.maximum(c, 1).astype(np.float64))), 127).astype(np.uint8)
+    rarity = lambda c: np.minimum(np.rint(8 * np.log2(np.maximum(c, 1).astype(np.float64))), 255).astype(np.uint8)
     found = combined(both.filter("chunk is not null").select("chunk", "held"), "<u4", "add", rarity)
     return both.filter("chunk is null").select("doc_id", "n", "cls"), whole(found, COUNTERS, "u1")
 
@@ -135,7 +137,7 @@ def _postings(docs: DataFrame, rarity, rule: Rule) -> DataFrame:
         for part in _text_pieces(batches):
             v, o, size = sets_of(part.column(0), rule.size)
             n, cls = digests(v, o, size)
-            rank = (table[(v & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (v >> np.uint64(7))
+            rank = (table[(v & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (v >> np.uint64(8))
             order = by_owner(rank, o)
             token, owner = rank[order], o[order]
             pos = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
@@ -198,7 +200,7 @@ def _candidate_sets(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFram
                 pa.array([v[end[d] - n[d]:end[d]].tobytes() for d in rows], pa.binary())], names=["cls", "n", "ranges", "held"])
 
     made = docs.select("text").mapInArrow(run, "cls long, n int, ranges array<int>, held binary")
-    return stored(made.join(classes, "cls", "left_semi").dropDuplicates(["cls"]), "join-sets")
+    return bucketed(made.join(classes, "cls", "left_semi").dropDuplicates(["cls"]), "cls", "join_sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -235,12 +237,16 @@ def class_links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, Data
     profile, classes = _profile(docs, rule)
     rarity = docs.sparkSession.sparkContext.broadcast(classes)
     posted = _postings(docs, rarity, rule).repartition("token").distinct().withColumn("band", _band("n", rule))
-    line = Window.partitionBy("token").orderBy("band", "pos", "n", "cls")
+    line = Window.partitionBy("token").orderBy("cls")
+    lists = posted.withColumn("l", F.lag("cls").over(line)).withColumn("r", F.lead("cls").over(line))
+    lists = stored(lists.filter("l is not null or r is not null").drop("l", "r"), "join-lists")
+    # postings with a partner in their list that the length and positional filters let through
+    around = lists.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{c}_x") for c in ("cls", "n", "pos")])
+    fits = (lists.token == around.token) & (lists.band == around.band) & (F.col("cls") != F.col("cls_x")) & _may_link(F.col("n"), F.col("pos"), F.col("n_x"), F.col("pos_x"), rule)
+    useful = lists.join(around, fits, "left_semi")
     near = Window.partitionBy("token", "band").orderBy("pos", "n", "cls")
-    multi = stored(
-        posted.withColumn("l", F.lag("cls").over(line)).withColumn("r", F.lead("cls").over(line))
-        .withColumn("prev", F.lag("cls").over(near)).withColumn("lead", F.first("cls").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-        .filter("l is not null or r is not null").drop("l", "r"), "join-lists")
+    multi = useful.withColumn("prev", F.lag("cls").over(near)).withColumn("lead", F.first("cls").over(near.rowsBetween(Window.unboundedPreceding, 0)))
+    multi = stored(multi, "join-useful")
 
     sets = _candidate_sets(docs, stored(multi.select("cls").distinct(), "join-classes"), rule)
     tries = multi.select("cls", F.explode(F.array_distinct(F.array("prev", "lead"))).alias("other")).filter("other is not null and other <> cls")
