@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmill.constants import MAX_DURATION_SECONDS, PROFILE
-from clipmill.functions.text import bool_provider
+from clipmill.functions.text import bool_provider, strip
 
 # Error codes and default texts (fixed values).
 BAD_RESPONSE = "INFERENCE_INVALID_RESPONSE"
@@ -61,7 +61,7 @@ def _first(test, *values: Column) -> Column:
 def _as_int(v: Column) -> Column:
     """Whole number or null when it cannot be one; text must hold digits only."""
     kind = _kind(v)
-    text = F.trim(_string(v))
+    text = strip(_string(v))
     return (
         F.when(kind == BOOLEAN, F.try_variant_get(v, "$", "boolean").cast("bigint"))
         .when(kind == STRING, F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")))
@@ -72,7 +72,7 @@ def _as_int(v: Column) -> Column:
 def _as_float(v: Column) -> Column:
     kind = _kind(v)
     return F.when(kind == BOOLEAN, F.try_variant_get(v, "$", "boolean").cast("double")).when(
-        ~kind.isin(ARRAY, OBJECT), F.when(kind == STRING, F.trim(_string(v)).try_cast("double")).otherwise(
+        ~kind.isin(ARRAY, OBJECT), F.when(kind == STRING, strip(_string(v)).try_cast("double")).otherwise(
             F.try_variant_get(v, "$", "double"))
     )
 
@@ -138,9 +138,9 @@ def validate_proof_fields(v: Column, request_id: Column) -> Column:
     absent = F.array_compact(F.array(*[F.when(_at(v, f"$.{f}").isNull(), F.lit(f)) for f in PROOF_FIELDS]))
     checks = F.lit(None).cast("string")
     given = _at(v, "$.request_id")
-    given_text = F.when(_truthy(given), F.trim(_string(given))).otherwise("")
+    given_text = F.when(_truthy(given), strip(_string(given))).otherwise("")
     steps = [
-        (~((_kind(_at(v, f"$.{f}")) == STRING) & F.coalesce(F.trim(_string(_at(v, f"$.{f}"))) != "", F.lit(False))), f)
+        (~((_kind(_at(v, f"$.{f}")) == STRING) & F.coalesce(strip(_string(_at(v, f"$.{f}"))) != "", F.lit(False))), f)
         for f in _PROOF_TEXT_ORDER
     ]
     steps += [
@@ -156,7 +156,7 @@ def validate_proof_fields(v: Column, request_id: Column) -> Column:
 
 def failure_evidence(code: Column, message: Column, request_id: Column) -> Column:
     """Trimmed texts with defaults; a blank request id becomes null."""
-    clean = lambda c: F.nullif(F.trim(c), F.lit(""))
+    clean = lambda c: F.nullif(strip(c), F.lit(""))
     return F.struct(
         F.coalesce(clean(code), F.lit(FAILURE_CODE)).alias("upstream_code"),
         F.coalesce(clean(message), F.lit(FAILURE_MESSAGE)).alias("upstream_message"),

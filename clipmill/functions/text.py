@@ -14,6 +14,11 @@ LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 NOT_LINE_BREAK = r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+def strip(c: Column) -> Column:
+    """Without white space at both ends: Unicode spaces, tabs, line breaks and the separators U+001C to U+001F."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -129,7 +134,7 @@ def resolve_output_reason(df: DataFrame, raw: str, labels: Sequence[str]) -> Dat
 def line_value(text: Column, key: str) -> Column:
     """Trimmed value of the first ``key=`` line, null without such a line."""
     pattern = rf"(?:^|{LINE_BREAK}){key}=({NOT_LINE_BREAK}*)"
-    return F.trim(F.get(F.regexp_extract_all(_text(text), F.lit(pattern), F.lit(1)), F.lit(0)))
+    return strip(F.get(F.regexp_extract_all(_text(text), F.lit(pattern), F.lit(1)), F.lit(0)))
 
 
 def sample_key(text: Column) -> Column:
@@ -156,7 +161,7 @@ def parse_input_block(df: DataFrame, text: str) -> DataFrame:
 
 def parse_pose_text(pose: Column) -> Column:
     """``v,v;v,v`` -> array of frames of doubles; blank frames and values are skipped."""
-    frames = F.filter(F.transform(F.split(pose, ";"), lambda f: F.trim(f)), lambda f: f != "")
+    frames = F.filter(F.transform(F.split(pose, ";"), lambda f: strip(f)), lambda f: f != "")
     return F.transform(
         frames,
         lambda f: F.transform(F.filter(F.split(f, ","), lambda v: v != ""), lambda v: v.cast("double")),
@@ -168,7 +173,7 @@ def _label_lines(labels: Sequence[str]) -> str:
 
 
 def record_prompt(instruction: Column, text: Column) -> Column:
-    return F.trim(F.concat(F.trim(_text(instruction)), F.lit("\n\n"), F.trim(_text(text))))
+    return strip(F.concat(strip(_text(instruction)), F.lit("\n\n"), strip(_text(text))))
 
 
 # Prompt wording (fixed values).
@@ -202,11 +207,11 @@ PROMPT_OUTPUT_CONTRACT = (
 
 
 def label_list_prompt(text: Column, labels: Sequence[str]) -> Column:
-    return F.trim(F.concat(F.lit(_PROMPT_LIST + _label_lines(labels) + "\n\n"), F.trim(_text(text))))
+    return strip(F.concat(F.lit(_PROMPT_LIST + _label_lines(labels) + "\n\n"), strip(_text(text))))
 
 
 def first_pass_prompt(text: Column, labels: Sequence[str]) -> Column:
-    return F.concat(F.lit(_PROMPT_FIRST + _label_lines(labels) + "\n\nSample:\n"), F.trim(_text(text)))
+    return F.concat(F.lit(_PROMPT_FIRST + _label_lines(labels) + "\n\nSample:\n"), strip(_text(text)))
 
 
 def retry_prompt(text: Column, labels: Sequence[str], previous: Column) -> Column:
@@ -214,7 +219,7 @@ def retry_prompt(text: Column, labels: Sequence[str], previous: Column) -> Colum
         F.lit(_PROMPT_RETRY + ", ".join(labels) + "\nPrevious output: "),
         python_quoted(previous),
         F.lit("\nSample: "),
-        F.trim(_text(text)),
+        strip(_text(text)),
     )
 
 
@@ -250,18 +255,18 @@ def redact_filename(c: Column) -> Column:
 
 def bool_strict(c: Column) -> Column:
     """true/false only; anything else is null (a violation)."""
-    s = F.lower(F.trim(_text(c)))
+    s = F.lower(strip(_text(c)))
     return F.when(s == "true", True).when(s == "false", False)
 
 
 def bool_lenient(c: Column) -> Column:
-    return F.lower(F.trim(_text(c))).isin("1", "true", "yes")
+    return F.lower(strip(_text(c))).isin("1", "true", "yes")
 
 
 def bool_provider(value: Column) -> Column:
     """Rule for a JSON value (VARIANT): booleans, numbers, and 1/true/yes/y."""
     kind = F.schema_of_variant(value)
-    text = F.lower(F.trim(F.try_variant_get(value, "$", "string")))
+    text = F.lower(strip(F.try_variant_get(value, "$", "string")))
     number = F.try_variant_get(value, "$", "double")
     return F.coalesce(
         F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))

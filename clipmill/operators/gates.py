@@ -9,12 +9,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clipmill import constants as K
-from clipmill.operators.labels import beside, lookup_alias
+from clipmill.operators.labels import alias_table, beside, lookup_alias
 from clipmill.operators.metrics import precision_recall_f1, ratio
 from clipmill.operators.ranking import nearest_rank, readiness_index
 from clipmill.operators.splits import overlap_counts
-from clipmill.functions.text import normalize_gloss
-from clipmill.session import small_side, stored
+from clipmill.functions.text import normalize_gloss, strip
+from clipmill.session import stored
 
 
 def _reasons(*pairs: tuple[Column, Column]) -> Column:
@@ -84,7 +84,7 @@ def readiness_gate(
 
 def anchor_rows(rows: DataFrame, aliases: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Add expected, first, final labels (null when invalid) to retry-log rows."""
-    lookup = small_side(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")))
+    lookup = alias_table(aliases)
     df = rows
     for src, out in (("expected_gloss", "expected"), ("first_pass_raw", "first"), ("final_gloss", "final")):
         df = lookup_alias(df.withColumn("_n", normalize_gloss(F.col(src))), "_n", lookup, labels, out).drop("_n")
@@ -136,7 +136,7 @@ def anchor_gate(
         ordered((F.col("support") < min_support) | (F.col("support") > max_support)).alias("range"),
         ordered(~F.col("first_pass")).alias("first_low"), ordered(~F.col("final_pass")).alias("final_low"),
     )
-    on_anchor = outcomes.join(small_side(anchors.select(F.col("gloss").alias("expected"))), "expected", "left_semi")
+    on_anchor = outcomes.join(anchors.select(F.col("gloss").alias("expected")), "expected", "left_semi")
     said = on_anchor.select("n", F.explode(F.array(
         F.struct(F.lit("first").alias("p"), F.col("first").alias("label")),
         F.struct(F.lit("final").alias("p"), F.col("final").alias("label")),
@@ -173,7 +173,7 @@ def anchor_gate(
 def run_identity(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: do two runs list the same samples and expected labels in the same order?"""
     side = lambda df, p: df.select(
-        "index", F.lit(True).alias(f"{p}_there"), F.trim("sample_id").alias(f"{p}_id"),
+        "index", F.lit(True).alias(f"{p}_there"), strip(F.col("sample_id")).alias(f"{p}_id"),
         normalize_gloss(F.col("expected_gloss")).alias(f"{p}_expected"),
     )
     j = side(a, "a").join(side(b, "b"), "index", "full_outer")
@@ -196,7 +196,7 @@ def run_identity(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def identity_violations(df: DataFrame) -> DataFrame:
     """Blank or repeated sample ids: (rule, key, detail)."""
-    sid = F.trim(F.coalesce(F.col("sample_id"), F.lit("")))
+    sid = strip(F.coalesce(F.col("sample_id"), F.lit("")))
     n = df.groupBy(sid.alias("key")).agg(F.count(F.lit(1)).alias("n"))
     rule = F.when(F.col("key") == "", "empty_sample_id").when(F.col("n") > 1, "duplicate_sample_id")
     return n.withColumn("rule", rule).filter("rule is not null").select("rule", "key", F.col("n").cast("string").alias("detail"))
@@ -261,13 +261,15 @@ def run_comparison(
     )
 
 
-def model_split_matrix(rows: DataFrame, cap: int) -> DataFrame:
-    """(model, split) scores over the first ``cap`` rows of each, by ``ordinal``.
+def model_split_matrix(rows: DataFrame, cap: int | None = None) -> DataFrame:
+    """(model, split) scores over all rows, or over the first ``cap`` of each group by ``ordinal``.
 
-    Spark keeps at most ``cap`` rows per group and task before the shuffle (window group limit).
+    With a cap Spark keeps at most that many rows per group and task before the shuffle (window group limit).
     """
-    rn = F.row_number().over(W.partitionBy("model", "split").orderBy("ordinal"))
-    top = rows.withColumn("_rn", rn).filter(F.col("_rn") <= cap)
+    top = rows
+    if cap is not None:
+        rn = F.row_number().over(W.partitionBy("model", "split").orderBy("ordinal"))
+        top = rows.withColumn("_rn", rn).filter(F.col("_rn") <= cap)
     n, ok, bad = F.count(F.lit(1)), F.count_if(F.col("prediction") == F.col("label")), F.count_if(F.col("prediction") == K.INVALID)
     one = F.greatest(n, F.lit(1))
     return top.groupBy("model", "split").agg(

@@ -8,21 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmill.constants import CONTRACT_SIZE
-from clipmill.functions.text import canonicalize_text, in_labels, normalize_gloss
-from clipmill.session import small_side, small_values
-
-CONTRACT_ROWS = 10_000
+from clipmill.functions.text import canonicalize_text, in_labels, normalize_gloss, strip
+from clipmill.session import local_rows
 
 
 def label_list(labels: DataFrame) -> list[str]:
-    """Contract labels in order, on the driver; a contract above 10 000 labels is refused."""
-    rows = small_values(labels.select("ord", "label"), CONTRACT_ROWS)
+    """Contract labels in order, on the driver: the user's own list."""
+    rows = local_rows(labels.select("ord", "label"))
     return [r["label"] for r in sorted(rows, key=lambda r: r["ord"])]
 
 
 def contract_checks(labels: DataFrame, size: int = CONTRACT_SIZE) -> DataFrame:
     """Violations (rule, key, detail) of a label contract: size, uniqueness, blanks."""
-    blank = F.trim(F.coalesce(F.col("label"), F.lit(""))) == ""
+    blank = strip(F.coalesce(F.col("label"), F.lit(""))) == ""
     facts = labels.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("d"), F.count_if(blank).alias("b")
     )
@@ -65,9 +63,20 @@ def flatten_aliases(canonicals: DataFrame, labels: Sequence[str]) -> tuple[DataF
     return pairs, bad
 
 
+def last_of(df: DataFrame, value: str) -> Column:
+    """The value that stands for a repeated key: of the last row by ``ord``, without that column the greatest."""
+    return F.max_by(value, "ord") if "ord" in df.columns else F.max(value)
+
+
+def alias_table(aliases: DataFrame) -> DataFrame:
+    """(_a, _c): both sides normalised, blank ones dropped, each alias once; of repeats the last row counts."""
+    norm = aliases.withColumn("_a", normalize_gloss(F.col("alias"))).withColumn("_c", normalize_gloss(F.col("canonical")))
+    return norm.filter("_a <> '' and _c <> ''").groupBy("_a").agg(last_of(norm, "_c").alias("_c"))
+
+
 def alias_canonicalize(df: DataFrame, raw: Column, aliases: DataFrame, labels: Sequence[str], out: str) -> DataFrame:
     """Add ``out``: the label for ``raw`` after one alias step, null when blank or not allowed."""
-    lookup = small_side(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")))
+    lookup = alias_table(aliases)
     return lookup_alias(df.withColumn("_n", normalize_gloss(raw)), "_n", lookup, labels, out).drop("_n")
 
 
@@ -80,7 +89,7 @@ def lookup_alias(df: DataFrame, norm: str, lookup: DataFrame, labels: Sequence[s
 
 def resolve_output_alias(df: DataFrame, line: Column, aliases: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Add status, prediction, candidate for a line normalised by the apostrophe-keeping rule."""
-    lookup = small_side(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")))
+    lookup = alias_table(aliases)
     joined = df.withColumn("_n", line).join(lookup, F.col("_n") == F.col("_a"), "left")
     label = F.coalesce("_c", "_n")
     ok = in_labels(label, labels)
@@ -95,7 +104,7 @@ def resolve_output_alias(df: DataFrame, line: Column, aliases: DataFrame, labels
 
 def filter_to_contract(df: DataFrame, label: str, labels: DataFrame) -> DataFrame:
     """Rows whose label is in the contract, with the contract position ``ord``."""
-    return df.join(small_side(labels.select(F.col("label").alias(label), "ord")), label)
+    return df.join(labels.select(F.col("label").alias(label), "ord"), label)
 
 
 def map_source_labels(
@@ -103,8 +112,8 @@ def map_source_labels(
 ) -> DataFrame:
     """Source label -> (override) -> (training substitution); rows outside the contract are dropped."""
     src = df.withColumn("_n", canonicalize_text(F.col(label)))
-    over = small_side(overrides.select(F.col("source").alias("_n"), F.col("canonical").alias("_o")))
-    subst = small_side(substitutions.select(F.col("canonical").alias("_m"), F.col("preferred").alias("_p")))
+    over = overrides.groupBy(canonicalize_text(F.col("source")).alias("_n")).agg(last_of(overrides, "canonical").alias("_o"))
+    subst = substitutions.groupBy(F.col("canonical").alias("_m")).agg(last_of(substitutions, "preferred").alias("_p"))
     out = src.join(over, "_n", "left").withColumn("_m", F.coalesce("_o", "_n")).join(subst, "_m", "left")
     return (
         out.withColumn("mapped", F.coalesce("_p", "_m"))
@@ -139,7 +148,7 @@ def anchor_contract(df: DataFrame, output: str, labels: Sequence[str], aliases:
     """One row: allowlist, anchors, alias rows, rule flags, record count, version."""
     top, _ = top_k_anchors(df, output, labels, k)
     anchors = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("n"), "gloss"))).alias("anchors"))
-    names = aliases.agg(F.sort_array(F.collect_list(F.struct("canonical", "alias"))).alias("alias_map"))
+    names = alias_table(aliases).agg(F.sort_array(F.collect_list(F.struct(F.col("_c").alias("canonical"), F.col("_a").alias("alias")))).alias("alias_map"))
     count = df.agg(F.count(F.lit(1)).alias("record_count"))
     return beside(a=anchors, b=names, c=count).select(
         F.lit("colab_top50_anchor_contract_v1").alias("contract_version"),

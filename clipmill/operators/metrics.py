@@ -124,7 +124,8 @@ def macro_f1(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 def latency_counts(events: DataFrame) -> DataFrame:
     """(latency_ms, outcome, n): all the SLO needs, as small as the number of distinct latencies."""
-    return events.groupBy("latency_ms", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    latency = F.coalesce(F.col("latency_ms"), F.lit(0)).alias("latency_ms")  # a missing latency counts as 0
+    return events.groupBy(latency, "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def slo_from_counts(counts: DataFrame) -> DataFrame:

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from clipmill import constants as K
 from clipmill.functions.arrays import covered, even_indices, q64_char, q64_row, rotate_xy
-from clipmill.functions.text import normalize_gloss, parse_input_block
+from clipmill.functions.text import normalize_gloss, parse_input_block, strip
 from clipmill.operators.ranking import hash_number, spread_sequence
 from clipmill.session import stored
 
-PART_FRAMES = 4096
 
 
 def feature_stats(df: DataFrame) -> DataFrame:
@@ -96,17 +95,15 @@ def q64_rows(df: DataFrame, stride: int = 1) -> DataFrame:
     return kept.select("clip_id", "frame_idx", q64_row(F.col("f")).alias("chars"))
 
 
-def q64_payload(rows: DataFrame, stride: int = 1, part_frames: int = PART_FRAMES) -> DataFrame:
-    """(clip_id, part, payload): rows joined by ``|`` in frame order.
+def q64_payload(rows: DataFrame) -> DataFrame:
+    """(clip_id, payload): rows joined by ``|`` in frame order.
 
-    Usual clips (at most 300 frames) have part 0 only. Longer ones go on in further parts, so no task
-    gathers an unbounded clip; the parts joined by ``|`` are the whole payload.
+    A record is one text, so one row holds a clip whatever its length: 65 characters a frame and 64 features, 7 MB for an hour of video.
     """
-    part = F.floor(F.col("frame_idx") / F.lit(stride * part_frames))
     return (
-        rows.groupBy("clip_id", part.alias("part"))
+        rows.groupBy("clip_id")
         .agg(F.sort_array(F.collect_list(F.struct("frame_idx", "chars"))).alias("s"))
-        .select("clip_id", "part", F.array_join(F.transform("s", lambda x: x["chars"]), "|").alias("payload"))
+        .select("clip_id", F.array_join(F.transform("s", lambda x: x["chars"]), "|").alias("payload"))
     )
 
 
@@ -124,18 +121,16 @@ def q64_summary(df: DataFrame) -> DataFrame:
 
 
 def export_q64_records(df: DataFrame, clips: DataFrame, mode: str) -> DataFrame:
-    """(clip_id, part, instruction, input, output) of one mode: q64_full, q64_stride2, q64_summary.
+    """(clip_id, instruction, input, output) of one mode: q64_full, q64_stride2, q64_summary. One record per clip.
 
     ``clips(clip_id, sample_id, output)``.
     """
     facts = df.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("f")).alias("w"))
     if mode == "q64_summary":
-        body = q64_summary(df).select("clip_id", F.lit(0).cast("bigint").alias("part"), F.col("summary").alias("body"))
+        body = q64_summary(df).select("clip_id", F.col("summary").alias("body"))
     else:
         stride = {"q64_full": 1, "q64_stride2": 2}[mode]
-        body = q64_payload(q64_rows(df, stride), stride).select(
-            "clip_id", F.col("part").cast("bigint").alias("part"), F.concat(F.lit("pose_q64="), F.col("payload")).alias("body")
-        )
+        body = q64_payload(q64_rows(df, stride)).select("clip_id", F.concat(F.lit("pose_q64="), F.col("payload")).alias("body"))
     shape = {
         "q64_full": F.format_string("frames=%d features_per_frame=%d", "n", "w"),
         "q64_stride2": F.format_string(
@@ -146,7 +141,7 @@ def export_q64_records(df: DataFrame, clips: DataFrame, mode: str) -> DataFrame:
         F.lit("sample_id="), F.col("sample_id"), F.lit(f"\nencoding={mode} clip=4 alphabet={K.Q64_ALPHABET}\n"), shape, F.lit("\n"), F.col("body")
     )
     return clips.join(facts, "clip_id").join(body, "clip_id").select(
-        "clip_id", "part", F.lit(K.Q64_INSTRUCTION).alias("instruction"), text.alias("input"), "output"
+        "clip_id", F.lit(K.Q64_INSTRUCTION).alias("instruction"), text.alias("input"), "output"
     )
 
 
@@ -159,7 +154,7 @@ def export_manifest(records: DataFrame) -> DataFrame:
 def validate_q64_records(records: DataFrame, expected: DataFrame) -> DataFrame:
     """Violations (rule, key, detail) of records against ``expected(sample_id, expected_gloss, frames, features)``."""
     r = parse_input_block(records, "input").withColumn("sample_id", F.col("p.sample_id")).join(expected, "sample_id", "left")
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    blank = lambda c: strip(F.coalesce(F.col(c), F.lit(""))) == ""
     rows = F.split("p.pose_q64", r"\|")
     bad_payload = (F.size(rows) != F.col("frames")) | F.exists(rows, lambda x: F.length(x) != F.col("features"))
     rules = F.array_compact(F.array(

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from clipmill import constants as K
 from clipmill.functions.text import display_translation, normalize_gloss
-from clipmill.operators.labels import lookup_alias
-from clipmill.session import small_side
+from clipmill.operators.labels import alias_table, lookup_alias
 
 
 def score_with(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
@@ -59,7 +58,7 @@ def retry_resolution(df: DataFrame, aliases: DataFrame, labels: Sequence[str]) -
 
     ``retry_raw`` counts only where the first pass is invalid.
     """
-    lookup = small_side(aliases.select(F.col("alias").alias("_a"), F.col("canonical").alias("_c")))
+    lookup = alias_table(aliases)
     for src, out in (("first_raw", "_first"), ("retry_raw", "_retry")):
         df = lookup_alias(df.withColumn("_n", normalize_gloss(F.col(src))), "_n", lookup, labels, out).drop("_n")
     ok1 = F.col("_first").isNotNull()

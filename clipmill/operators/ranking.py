@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from clipmill.session import small_side
+from clipmill.session import stored
 
 DIGITS = 3  # hex digits per level: 4096 buckets
 MAX_RANK_ROWS = 1_000_000  # rows that one task may rank
@@ -88,10 +88,10 @@ def assign_splits(
     if not groups:
         rows, groups = rows.withColumn("_all", F.lit(0)), ["_all"]
     digits = DIGITS
-    cuts = small_side(_bucket_cuts(rows, groups, sizes))
+    cuts = stored(_bucket_cuts(rows, groups, sizes), "cuts")
     largest = lambda: cuts.agg(F.max(F.greatest("_cut1._c", "_cut2._c"))).first()[0] or 0
     while largest() > max_rank_rows and digits < 30:
-        cuts = small_side(_finer_cuts(rows, groups, cuts, digits))
+        cuts = stored(_finer_cuts(rows, groups, cuts, digits), "cuts")
         digits += DIGITS
     placed = rows.join(cuts, groups).withColumn("_b", _prefix(digits))
     at = lambda c: F.coalesce(F.col("_b") == F.col(f"{c}._b"), F.lit(False))

@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clipmill.functions.arrays import even_indices
-from clipmill.functions.text import PROMPT_OUTPUT_CONTRACT
+from clipmill.functions.text import PROMPT_OUTPUT_CONTRACT, strip
 from clipmill.operators.ranking import digits_for, hash_number, hash_row_number
-from clipmill.session import small_values
+from clipmill.session import local_rows
 
 
 def union_datasets(parts: Mapping[str, DataFrame], cap: int | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def chat_samples(df: DataFrame, dataset: str, max_images: int = 6, prompt: str =
     user = F.struct(F.lit("user").alias("role"), F.concat(F.array(text(F.lit(prompt))), F.coalesce(images, none)).alias("content"))
     answer = F.struct(F.lit("assistant").alias("role"), F.array(text(F.col("label"))).alias("content"))
     return df.select(
-        F.concat(F.lit(f"{dataset}:"), F.trim("sample_id")).alias("sample_id"), F.lit(dataset).alias("dataset"), "label",
+        F.concat(F.lit(f"{dataset}:"), strip(F.col("sample_id"))).alias("sample_id"), F.lit(dataset).alias("dataset"), "label",
         F.array(user, answer).alias("messages"),
     )
 
@@ -87,7 +87,7 @@ def compose_phrases(
     if gap_min < 0 or gap_max < gap_min or fps <= 0:
         raise ValueError("invalid gap range or fps")
     usable = clips.filter(F.col("gloss").isin(list(glosses)))
-    sizes = {r["gloss"]: r["n"] for r in small_values(usable.groupBy("gloss").agg(F.count(F.lit(1)).alias("n")))}
+    sizes = {r["gloss"]: r["n"] for r in local_rows(usable.groupBy("gloss").agg(F.count(F.lit(1)).alias("n")))}
     glosses = [g for g in glosses if g in sizes]
     words = phrase_words(phrases, glosses, min_words, max_words, repeat_probability, seed)
     size_of = F.element_at(F.create_map(*[x for g in glosses for x in (F.lit(g), F.lit(sizes[g]))]), F.col("word"))

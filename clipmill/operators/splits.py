@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipmill.constants import SPLITS, TRAIN_RATIO, VAL_RATIO
+from clipmill.functions.text import strip
 from clipmill.operators.ranking import assign_splits, top_k_first_seen
-from clipmill.session import small_side
 
 PAIRS = tuple(combinations(SPLITS, 2))
 
@@ -54,7 +54,7 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int, train=TRAIN
 def stratified_split_min1(df: DataFrame, label: str, key: str, ordinal: str, seed: int, k: int) -> tuple[DataFrame, DataFrame]:
     """(rows of the k most frequent labels with their split, labels that have fewer than 3 rows)."""
     top = top_k_first_seen(df, label, ordinal, k)
-    kept = df.join(small_side(top.select(label)), label, "left_semi")
+    kept = df.join(top.select(label), label, "left_semi")
     too_small = top.filter("n < 3").select(F.lit("fewer_than_3_rows").alias("rule"), F.col(label).alias("key"), F.col("n").cast("string").alias("detail"))
     return assign_splits(kept, [label], key, seed, stratified_min1_sizes), too_small
 
@@ -64,7 +64,7 @@ def group_independent_split(df: DataFrame, group: str, seed: int) -> tuple[DataF
     groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
     placed = assign_splits(groups, [], group, seed, group_sizes)
     bad = df.filter(F.col(group).isNull())
-    return df.join(small_side(placed), group), bad
+    return df.join(placed, group), bad
 
 
 def split_counts(df: DataFrame, label: str, split: str = "split") -> DataFrame:
@@ -144,13 +144,13 @@ def manifest_dedupe(*manifests: DataFrame) -> tuple[DataFrame, DataFrame]:
     union = reduce(
         DataFrame.unionByName, [m.withColumn("source", F.lit(i)) for i, m in enumerate(manifests)]
     )
-    sid, rel = F.trim(F.coalesce(F.col("sample_id"), F.lit(""))), F.trim(F.coalesce(F.col("video_relpath"), F.lit("")))
+    sid, rel = strip(F.coalesce(F.col("sample_id"), F.lit(""))), strip(F.coalesce(F.col("video_relpath"), F.lit("")))
     union = union.withColumn("sample_id", sid).withColumn("video_relpath", rel)
     failures = union.filter((F.col("sample_id") == "") | (F.col("video_relpath") == "")).select(
         "source", "ordinal", "sample_id",
         F.when(F.col("sample_id") == "", "missing_sample_id").otherwise("missing_video_relpath").alias("reason"),
     )
-    split = F.coalesce(F.nullif(F.trim(F.col("split")), F.lit("")), F.lit("unknown"))
+    split = F.coalesce(F.nullif(strip(F.col("split")), F.lit("")), F.lit("unknown"))
     first = (
         union.filter((F.col("sample_id") != "") & (F.col("video_relpath") != ""))
         .groupBy("sample_id")

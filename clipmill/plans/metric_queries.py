@@ -10,7 +10,7 @@ from clipmill.operators import predict as P
 from clipmill.operators import transcripts as X
 from clipmill.operators.ranking import nearest_rank, readiness_index, telemetry_index
 from clipmill.plans.registry import query
-from clipmill.plans.text_queries import NORM
+from clipmill.plans.views import NORM
 from clipmill.plans.views import WORDS_SQL
 
 
@@ -139,7 +139,7 @@ def f12(d):
     return a.join(b, "event_type")
 
 
-_SLO = """with s as (select latency_ms, outcome, row_number() over (order by latency_ms) - 1 as i, count(*) over () as n from v_tele)
+_SLO = """with s as (select latency_ms, outcome, row_number() over (order by latency_ms) - 1 as i, count(*) over () as n from (select outcome, coalesce(latency_ms, 0) as latency_ms from v_tele) t)
   select max(n) as count, count(*) filter (where outcome = 'success') as success_count, count(*) filter (where outcome = 'success') / count(*) as success_rate,
   max(latency_ms) filter (where i = greatest(0, cast(floor(cast(0.95 as double) * n) as bigint) - 1)) as latency_p95_ms from s"""
 
@@ -194,7 +194,7 @@ def f16(d):
 
 _GATE_SQL = f"""n as (select index, sample_id, expected_gloss, {NORM('first_raw')} as f, {NORM('retry_raw')} as g from v_retry),
   a as (select index, sample_id, expected_gloss, case when coalesce(x.canonical, f) in (select label from v_labels) then coalesce(x.canonical, f) end as fl, case when coalesce(y.canonical, g) in (select label from v_labels) then coalesce(y.canonical, g) end as rl
-    from n left join v_alias x on f = x.alias left join v_alias y on g = y.alias),
+    from n left join v_alias_table x on f = x.alias left join v_alias_table y on g = y.alias),
   q as (select index, sample_id, expected_gloss as expected, fl as "first", coalesce(fl, rl) as final from a)"""
 
 
@@ -269,27 +269,34 @@ def f21(d):
     return G.run_comparison(free, M.strict_metrics(pred(d, "v_pred_b"), n), same, con)
 
 
-_MS_SQL = f"""x as (select model, split, label, pm, row_number() over (partition by model, split order by index) as rn from (select 'base' as model, index, expected_gloss as label, pm, concat('part', cast(index % 4 as string)) as split from r union all select 'cand', index, expected_gloss, pm, concat('part', cast(index % 4 as string)) from rb)),
-  ms as (select model, split, count(*) as samples, count(*) filter (where pm = label) as correct, count(*) filter (where pm = '__invalid__') as invalid, count(*) filter (where pm = label) / count(*) as accuracy, count(*) filter (where pm = '__invalid__') / count(*) as invalid_rate from x where rn <= 200 group by 1, 2)"""
+_MS_SQL = """x as (select model, split, label, pm, row_number() over (partition by model, split order by index) as rn from (select 'base' as model, index, expected_gloss as label, pm, concat('part', cast(index % 4 as string)) as split from r union all select 'cand', index, expected_gloss, pm, concat('part', cast(index % 4 as string)) from rb)),
+  ms as (select model, split, count(*) as samples, count(*) filter (where pm = label) as correct, count(*) filter (where pm = '__invalid__') as invalid, count(*) filter (where pm = label) / count(*) as accuracy, count(*) filter (where pm = '__invalid__') / count(*) as invalid_rate from x where {cap} group by 1, 2)"""
+_MS_ALL, _MS_CAP = _MS_SQL.replace("{cap}", "true"), _MS_SQL.replace("{cap}", "rn <= 200")
+_MD_SQL = "select b.split, b.accuracy as baseline_accuracy, c.accuracy as candidate_accuracy, c.accuracy - b.accuracy as accuracy_delta, c.correct - b.correct as correct_delta, c.invalid_rate - b.invalid_rate as invalid_rate_delta from ms b join ms c on b.split = c.split where b.model = 'base' and c.model = 'cand'"
 
 
-def _matrix(d):
+def _matrix(d, cap=None):
     side = lambda v, m: pred(d, v).select(
         F.lit(m).alias("model"), F.concat(F.lit("part"), (F.col("index") % 4).cast("string")).alias("split"),
         F.col("index").alias("ordinal"), F.col("expected_gloss").alias("label"), F.col("prediction_for_metrics").alias("prediction"))
-    return G.model_split_matrix(side("v_pred", "base").unionByName(side("v_pred_b", "cand")), 200)
+    return G.model_split_matrix(side("v_pred", "base").unionByName(side("v_pred_b", "cand")), cap)
 
 
-@query("F22_model_split_matrix", f"with {R}, {RB}, {_MS_SQL} select * from ms")
+@query("F22_model_split_matrix", f"with {R}, {RB}, {_MS_ALL} select * from ms")
 def f22(d):
     return _matrix(d)
 
 
-@query("F22_matrix_delta", f"with {R}, {RB}, {_MS_SQL} select b.split, b.accuracy as baseline_accuracy, c.accuracy as candidate_accuracy, c.accuracy - b.accuracy as accuracy_delta, c.correct - b.correct as correct_delta, c.invalid_rate - b.invalid_rate as invalid_rate_delta from ms b join ms c on b.split = c.split where b.model = 'base' and c.model = 'cand'")
+@query("F22_matrix_delta", f"with {R}, {RB}, {_MS_ALL} {_MD_SQL}")
 def f22d(d):
     return G.matrix_delta(_matrix(d), "base", "cand")
 
 
+@query("F22_model_split_matrix_cap", f"with {R}, {RB}, {_MS_CAP} select * from ms")
+def f22c(d):
+    return _matrix(d, 200)
+
+
 _BATCH = "select event_id as index, case when event_id % 5 = 0 then null when event_id % 5 = 1 then '' else event_type end as expected_label, case event_id % 6 when 0 then 'error' when 1 then 'uncertain' else 'ok' end as status, case when event_id % 5 > 1 and event_id % 6 > 0 then event_id % 3 = 0 end as correct from {events}"
 
 

@@ -55,16 +55,19 @@ def d04(d):
     return _long(feats(d).withColumn("f", A.zscore_frame(F.transform("f", lambda x: x.cast("double")))), digits=6)
 
 
-_T = "n as (select clip_id, max(frame_idx) + 1 as s, clip_id * 17 % 120 + 1 as t from v_feat group by clip_id)"
-_RS = f"""{_T}, p as (select clip_id, pos, case when t = 1 or s = 1 then 0 else (pos * (s - 1)) // (t - 1) end as lo, case when t = 1 or s = 1 then 0.0::double else ((pos * (s - 1)) % (t - 1)) / (t - 1) end as w from n, lateral unnest(range(t)) u(pos))"""
+_RS = """n as (select clip_id, max(frame_idx) + 1 as s, clip_id * 17 % 120 + 1 as t from v_feat group by clip_id),
+  fr as materialized (select clip_id, frame_idx, f from v_feat), o as (select clip_id, s, t, unnest(range(t)) as pos from n),
+  p as materialized (select clip_id, pos, case when t = 1 or s = 1 then 0 when t = s then pos else (pos * (s - 1)) // (t - 1) end as lo, case when t = 1 or s = 1 or t = s then 0.0::double else ((pos * (s - 1)) % (t - 1)) / (t - 1) end as w from o),
+  j as materialized (select p.clip_id, pos, w, a.f as a, b.f as b from p join fr a on a.clip_id = p.clip_id and a.frame_idx = lo left join fr b on b.clip_id = p.clip_id and b.frame_idx = lo + 1),
+  u as (select *, unnest(range(1, 65)) as k from j)"""
 
 
-@query("D05_resample_linear", f"with {_LONG}, {_RS} select p.clip_id, pos as frame_idx, a.k, round(case when w > 0 then a.v * (1 - w) + b.v * w else a.v end, 6) + 0.0::double as v from p join g a on a.clip_id = p.clip_id and a.frame_idx = lo left join g b on b.clip_id = p.clip_id and b.frame_idx = lo + 1 and b.k = a.k")
+@query("D05_resample_linear", f"with {_RS} select clip_id, pos as frame_idx, k - 1 as k, round(case when w > 0 then cast(a[k] as double) * (1 - w) + cast(b[k] as double) * w else cast(a[k] as double) end, 6) + 0.0::double as v from u")
 def d05(d):
     return _long(D.resample_linear(feats(d).select("clip_id", "frame_idx", "f"), targets(d)), digits=6)
 
 
-@query("D06_q64_encode", f"with {_LONG}, r as (select clip_id, frame_idx, string_agg({CHAR('v * 10')}, '' order by k) as chars from g group by 1, 2) select clip_id, cast(0 as bigint) as part, string_agg(chars, '|' order by frame_idx) as payload from r group by clip_id")
+@query("D06_q64_encode", f"with {_LONG}, r as (select clip_id, frame_idx, string_agg({CHAR('v * 10')}, '' order by k) as chars from g group by 1, 2) select clip_id, string_agg(chars, '|' order by frame_idx) as payload from r group by clip_id")
 def d06(d):
     return D.q64_payload(D.q64_rows(feats(d, 10)))
 

@@ -8,8 +8,7 @@ from clipmill.functions.provider import failure_evidence, normalize_provider_res
 from clipmill.operators import predict as P
 from clipmill.plans.metric_queries import _GATE_SQL, _SCORES, pred
 from clipmill.plans.registry import query
-from clipmill.plans.text_queries import NORM
-from clipmill.session import spread
+from clipmill.plans.views import NORM
 
 
 @query("E01_score_hook", "select event_id as index, upper(event_type) || ':' || cast(cast(floor(value) as bigint) as string) as raw from {events}")
@@ -72,7 +71,7 @@ def e06v(d):
   case when k in (0, 1, 2) then event_type || '@0-0' when k = 3 then 'aa@1-5 bb@6-9' when k = 4 then 'cc@0-0' end as words,
   case k when 0 then 0.9::double when 1 then 0.77::double when 2 then 0.25::double when 3 then 0.0::double when 4 then 0.3::double end as sequence_confidence, case when k < 5 then k in (1, 4) end as low_confidence from p""")
 def e07(d):
-    p = spread(d.view("v_provider")).withColumn("v", F.try_parse_json("payload"))
+    p = d.view("v_provider").withColumn("v", F.try_parse_json("payload"))
     a = normalize_provider_response(p, "v")
     words = F.array_join(F.transform("answer.words", lambda w: F.concat(w["word"], F.lit("@"), w["start_ms"].cast("string"), F.lit("-"), w["end_ms"].cast("string"))), " ")
     ok = lambda c, n: F.when(F.col("answer.error").isNull(), c).alias(n)
@@ -85,7 +84,7 @@ def e07(d):
   select index, case when gone is not null then 'INFERENCE_PROOF_MISSING' when bad is not null then 'INFERENCE_PROOF_INVALID' end as error_code, coalesce(gone, bad) as detail from p""")
 def e08(d):
     v = F.try_parse_json("payload")
-    return spread(d.view("v_provider")).withColumn("v", v).select("index", validate_proof_fields(F.col("v"), F.col("request_id")).alias("p")).select("index", "p.error_code", "p.detail")
+    return d.view("v_provider").withColumn("v", v).select("index", validate_proof_fields(F.col("v"), F.col("request_id")).alias("p")).select("index", "p.error_code", "p.detail")
 
 
 _FAIL = "select event_id as index, case event_id % 4 when 0 then null when 1 then '  ' when 2 then ' TIMEOUT ' else 'X' end as code, case event_id % 3 when 0 then '' when 1 then ' m ' end as message, case event_id % 5 when 0 then ' ' else concat(' r', cast(event_id as string)) end as rid from {events}"

@@ -12,7 +12,7 @@ from clipmill.operators import splits as S
 from clipmill.plans.metric_queries import _STRICT, R, pred
 from clipmill.plans.registry import query
 from clipmill.plans.split_queries import SEED, _stratified
-from clipmill.plans.text_queries import NORM
+from clipmill.plans.views import NORM
 from clipmill.session import new_path
 from clipmill.sources import media as E
 from clipmill.sources import poses as Z
@@ -96,10 +96,10 @@ def a07(d):
     return rows.select("index", "sample_id", "expected_gloss", blank("predicted_gloss"), blank("raw_model_output"), "valid_label", "correct", "mode")
 
 
-_IDS = "select event_id as index, case when event_id % 500 = 0 then ' ' when event_id % 500 = 1 then 's1 ' else concat('s', cast(event_id as string)) end as sample_id, upper(event_type) as expected_gloss from {events}"
+_IDS = "select event_id as index, case when event_id % 500 = 0 then concat(' ', chr(9)) when event_id % 500 = 1 then concat('s1', chr(9)) when event_id % 500 = 2 then concat(chr(160), 's1') else concat('s', cast(event_id as string)) end as sample_id, upper(event_type) as expected_gloss from {events}"
 
 
-@query("A08_identity_rows_check", f"select case when key = '' then 'empty_sample_id' else 'duplicate_sample_id' end as rule, key, cast(n as string) as detail from (select trim(sample_id) as key, count(*) as n from ({_IDS}) group by 1) where key = '' or n > 1")
+@query("A08_identity_rows_check", f"select case when key = '' then 'empty_sample_id' else 'duplicate_sample_id' end as rule, key, cast(n as string) as detail from (select trim(sample_id, concat(' ', chr(9), chr(160))) as key, count(*) as n from ({_IDS}) group by 1) where key = '' or n > 1")
 def a08(d):
     return G.identity_violations(Q.identity_rows(d.sql(_IDS)))
 

@@ -8,10 +8,7 @@ from clipmill.functions import text as T
 from clipmill.functions.provider import probe_flatten, profile_conformity
 from clipmill.operators import labels as L
 from clipmill.plans.registry import query
-from clipmill.session import spread
-
-_N = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9_ -]+', '', 'g'), ' +', ' ', 'g'))"
-NORM = lambda c: _N.replace("{c}", c)
+from clipmill.plans.views import NORM
 
 
 @query("B01_normalize_gloss", f"select index, {NORM('raw_model_output')} as gloss from v_pred union all select page_id as index, {NORM('url')} as gloss from {{pages}}")
@@ -51,7 +48,7 @@ def b06(d):
 
 @query("B07_resolve_output_alias", """with p as (select index, coalesce(list_filter(regexp_split_to_array(first_raw || chr(10) || retry_raw, '\\n'), lambda x: trim(x) <> '')[1], '') as line from v_retry),
   n as (select index, trim(regexp_replace(regexp_replace(lower(line), '[^a-z0-9_ ''-]+', '', 'g'), ' +', ' ', 'g')) as g from p),
-  c as (select n.index, coalesce(a.canonical, g) as label from n left join v_alias a on n.g = a.alias)
+  c as (select n.index, coalesce(a.canonical, g) as label from n left join v_alias_table a on n.g = a.alias)
   select index, case when ok then 'ok' else 'out_of_allowlist' end as status, case when ok then label end as prediction, nullif(label, '') as candidate,
   case when ok then 'in_allowlist' else 'not_in_allowlist' end as reason from (select *, label in (select label from v_labels) as ok from c)""")
 def b07(d):
@@ -75,11 +72,11 @@ _REASON = """case when event_id % 6 = 0 then concat('{{"label": "', upper(event_
   case when exact is not null then 'exact_or_wrapper' when len(hits) = 1 then 'single_mention' when len(hits) > 1 then 'ambiguous' else 'no_match' end as reason from h""")
 def b08(d):
     raw = d.sql(f"select event_id as index, {_REASON} as raw from {{events}}")
-    return T.resolve_output_reason(spread(raw), "raw", d.labels).select("index", "label", "reason")
+    return T.resolve_output_reason(raw, "raw", d.labels).select("index", "label", "reason")
 
 
 @query("B09_alias_canonicalize", f"""with n as (select index, {NORM('first_raw')} as g from v_retry),
-  c as (select n.index, g, coalesce(a.canonical, g) as label from n left join v_alias a on n.g = a.alias)
+  c as (select n.index, g, coalesce(a.canonical, g) as label from n left join v_alias_table a on n.g = a.alias)
   select index, case when g <> '' and label in (select label from v_labels) then label end as label from c""")
 def b09(d):
     return L.alias_canonicalize(d.view("v_retry"), F.col("first_raw"), d.view("v_alias"), d.labels, "label").select("index", "label")
@@ -108,7 +105,7 @@ def b11(d):
   m as (select index, case g when 'buy' then 'purchase' else g end as m from s)
   select index, case m when 'view' then 'look' else m end as mapped from m where m in (select label from v_labels)""")
 def b12(d):
-    over = d.sql("select 'buy' as source, 'purchase' as canonical")
+    over = d.sql("select * from (values (1, 'buy', 'view'), (2, ' BUY', 'purchase')) as t(ord, source, canonical)")  # the last repeat counts
     subst = d.sql("select 'view' as canonical, 'look' as preferred")
     src = d.view("v_retry").withColumn("src", F.concat(F.lit(" "), F.upper("first_raw")))
     return L.map_source_labels(src, "src", over, subst, d.labels).select("index", "mapped")
@@ -139,7 +136,7 @@ def b14(d):
   select index, case when index % 4 = 0 then null when index % 4 = 1 then '' else concat('s', cast(index as string)) end as sample_id, 'q64_full clip=4 alphabet=x=y' as encoding,
   index % 3 = 0 as shape_ok, case when index % 3 = 0 then cast(12 as bigint) end as frames, case when index % 3 = 0 then cast(177 as bigint) end as features, 'ab|cd' as pose_q64 from b""")
 def b15(d):
-    b = spread(d.sql(f"select event_id as index, {_BLOCK} as input from {{events}}"))
+    b = d.sql(f"select event_id as index, {_BLOCK} as input from {{events}}")
     return T.parse_input_block(b, "input").select("index", "p.sample_id", "p.encoding", "p.shape_ok", "p.frames", "p.features", "p.pose_q64")
 
 
@@ -184,7 +181,7 @@ _PROBE_SQL = """with s as (select index, payload, list_filter(from_json(json_ext
 
 @query("B20_probe_flatten", _PROBE_SQL + " select index, error, case when error is null then duration_seconds end as duration_seconds, case when error is null then fps end as fps, case when error is null then width end as width, case when error is null then height end as height, case when error is null then codec end as codec, has_audio from p")
 def b20(d):
-    p = probe_flatten(spread(d.view("v_probe")), "payload")
+    p = probe_flatten(d.view("v_probe"), "payload")
     ok = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
     return p.select("index", "error", *[ok(c) for c in ("duration_seconds", "fps", "width", "height", "codec")], "has_audio")
 
@@ -192,7 +189,7 @@ def b20(d):
 @query("B21_profile_conformity", _PROBE_SQL + """ select p.index, p.error, q.* exclude (index) from p left join (select index, width <> 1280 or height <> 720 as size_differs, abs(fps - 30) > 0.01 as fps_differs, lower(codec) not in ('h264', 'avc1') as codec_differs,
   false as pix_fmt_differs, has_audio as audio_present, (width <> 1280 or height <> 720 or abs(fps - 30) > 0.01 or lower(codec) not in ('h264', 'avc1') or has_audio) as needs_normalizing, duration_seconds > 10 as too_long from p where error is null) q on p.index = q.index""")
 def b21(d):
-    p = probe_flatten(spread(d.view("v_probe")), "payload")
+    p = probe_flatten(d.view("v_probe"), "payload")
     flags = ("size_differs", "fps_differs", "codec_differs", "pix_fmt_differs", "audio_present", "needs_normalizing", "too_long")
     return profile_conformity(p).select("index", "error", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in flags])
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from clipmill.functions.text import normalize_word
 from clipmill.operators.labels import label_list
-from clipmill.session import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -21,6 +20,10 @@ TABLES = (
 )
 
 
+_N = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9_ -]+', '', 'g'), ' +', ' ', 'g'))"
+NORM = lambda c: _N.replace("{c}", c)
+
+
 def _pred(cases: str) -> str:
     return f"""select event_id as index, concat('s', cast(event_id as string)) as sample_id,
       event_type as expected_gloss, case {cases} else event_type end as raw_model_output from {{events}}"""
@@ -35,8 +38,11 @@ VIEWS = {
       when event_id % 10 = 5 then concat('`', event_type, '`', chr(10), 'extra text')"""),
     "v_pred_b": _pred("""when event_id % 9 = 0 then 'view' when event_id % 9 = 1 then ' : '
       when event_id % 9 = 2 then concat('  ', upper(event_type), ' ')"""),
-    "v_alias": """select * from (values ('thank', 'purchase'), ('buy', 'purchase'), ('look', 'view'),
-      ('see', 'look'), ('sign-up', 'signup'), ('view', 'view')) as t(alias, canonical)""",
+    # repeats, unnormalised and blank rows on purpose
+    "v_alias": """select * from (values (1, 'thank', 'view'), (2, 'Buy!', 'Purchase'), (3, 'look', 'view'), (4, 'see', 'look'), (5, 'sign-up', 'signup'),
+      (6, 'view', 'view'), (7, ' THANK', 'purchase'), (8, 'buy', 'purchase '), (9, '!', 'view'), (10, 'see', '')) as t(ord, alias, canonical)""",
+    "v_alias_table": """select alias, max_by(canonical, ord) as canonical from (select ord, """ + NORM("alias") + """ as alias, """ + NORM("canonical") + """ as canonical
+      from v_alias) n where alias <> '' and canonical <> '' group by alias""",
     "v_retry": """select event_id as index, concat('s', cast(event_id as string)) as sample_id, event_type as expected_gloss,
       case when event_id % 6 = 0 then 'buy' when event_id % 6 = 1 then 'see' when event_id % 6 = 2 then ''
         when event_id % 6 = 3 then 'Sign-Up' else event_type end as first_raw,
@@ -49,7 +55,7 @@ VIEWS = {
     "v_feat": """select cast(floor(vec_id / 50) as bigint) as clip_id, cast(vec_id % 50 as bigint) as frame_idx,
       cast(label as string) as gloss, embedding as f from {embeddings}""",
     "v_turns": """select conv_id as clip_id, turn as frame_idx, cast(length(text) as double) as size, cast(turn * 33 as bigint) as ts_ms from {conversations}""",
-    "v_tele": """select concat('r', cast(event_id as string)) as request_id, cast(floor(value) as bigint) as latency_ms,
+    "v_tele": """select concat('r', cast(event_id as string)) as request_id, case when event_id % 15 = 0 then null else cast(floor(value) as bigint) end as latency_ms,
       case when event_type = 'error' then 'timeout' else 'success' end as outcome,
       cast(value / 500 as double) as confidence, 'm1' as model_tag from {events}""",
     "v_provider": """select event_id as index, concat('r', cast(event_id as string)) as request_id, concat('{{',
@@ -136,7 +142,7 @@ class Data:
     def scores(self) -> DataFrame:
         """(sample_id, label, score): every event with every label, scores with ties."""
         names = F.array(*[F.lit(x) for x in self.labels])
-        e = spread(self.table("events").select("event_id")).select("event_id", F.explode(names).alias("label"))
+        e = self.table("events").select("event_id").select("event_id", F.explode(names).alias("label"))
         h = F.conv(F.left(F.md5(F.concat_ws("|", F.col("event_id").cast("string"), "label")), F.lit(4)), 16, 10).cast("bigint")
         return e.select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("sample_id"), "label", (h % 7).cast("double").alias("score"))
 
@@ -148,7 +154,7 @@ class Data:
 
     def words(self) -> DataFrame:
         """Transcripts: all words of a turn against a copy with every 7th dropped, every 11th replaced."""
-        c = spread(self.table("conversations"))
+        c = self.table("conversations")
         w = F.filter(F.transform(F.split("text", r"\s+"), normalize_word), lambda x: x != "")
         c = c.select(
             (F.col("conv_id") * 1000 + F.col("turn")).alias("index"),

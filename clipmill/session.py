@@ -1,15 +1,10 @@
-"""Session settings, working folder and size-checked small tables."""
+"""Session settings and working folder."""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest table that may be shipped whole to every task.
-SMALL_ROWS = 50_000
-
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -53,35 +48,9 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it really has at most ``max_rows`` rows.
-
-    At most ``max_rows + 1`` rows are fetched. A larger table comes back unhinted, so the join is
-    an ordinary shuffled one in which adaptive execution splits skewed partitions.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df
-    if head.num_rows == 0:
-        return F.broadcast(df.sparkSession.createDataFrame([], df.schema))
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-
-
-def small_values(df: DataFrame, max_rows: int = SMALL_ROWS) -> list:
-    """Rows of a table that must be small (a contract, cut points); larger is an error."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"table has more than {max_rows} rows")
-    return rows
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a plain scan over all cores before costly per-row work.
-
-    Only a scan with fewer partitions than cores is moved; a large table has many and stays put.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+def local_rows(df: DataFrame) -> list:
+    """Rows of a table whose size its user fixes (a contract, one row per label of it), on the driver."""
+    return df.collect()
 
 
 def require_empty(violations: DataFrame) -> None:

@@ -17,7 +17,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id"),
     )
-    blank = F.trim(F.regexp_replace("value", r"(?U)\s", "")) == ""
+    blank = F.regexp_replace("value", r"(?U)\s", "") == ""
     full = raw.withColumn("full", ~blank)
     blocks = full.groupBy("path", "block").agg(
         F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))

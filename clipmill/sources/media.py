@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipmill.constants import MEDIA_SUFFIXES
+from clipmill.functions.text import strip
 
 
 def base_name(path: Column) -> Column:
@@ -37,7 +38,7 @@ def resolve_media_path(clips: DataFrame, listing: DataFrame) -> DataFrame:
 
 def safe_relative_path(pose_path: Column, sample_id: Column) -> Column:
     """struct(path, error): blank falls back to ``<sample_id>.npz``; absolute or climbing paths are refused."""
-    blank = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    blank = lambda c: F.nullif(strip(F.coalesce(c, F.lit(""))), F.lit(""))
     path = F.coalesce(blank(pose_path), F.concat(blank(sample_id), F.lit(".npz")))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"))
 
@@ -62,6 +63,6 @@ def incremental_pending(work: DataFrame, built: DataFrame) -> tuple[DataFrame, D
     done = built.select("sample_id")
     skipped = work.join(done, "sample_id", "left_semi")
     open_ = work.join(done, "sample_id", "left_anti")
-    no_path = F.trim(F.coalesce("video_path", F.lit(""))) == ""
+    no_path = strip(F.coalesce("video_path", F.lit(""))) == ""
     errors = open_.filter(no_path).select(F.lit("missing_video_path").alias("rule"), F.col("sample_id").alias("key"), F.lit("").alias("detail"))
     return open_.filter(~no_path), skipped, errors

@@ -1,13 +1,12 @@
-"""Pose archives (NPZ) -> one row per frame. The file codec is the only Python; checks are columns."""
+"""Pose archives (NPZ) -> one row per frame. The file codec is the only Python; frames are Arrow lists over the decoded arrays."""
 
 from __future__ import annotations
 
 import io
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,51 +15,56 @@ from clipmill.session import stored
 
 PARTS = ("body", "left_hand", "right_hand", "face")
 REQUIRED = PARTS[:3]
-PART_FRAMES = 4096
+FRAMES_PER_BATCH = 512
+_JOINTS = pa.list_(pa.list_(pa.float32()))
+_ARROW = pa.schema([("path", pa.string()), ("clip_id", pa.string()), ("archive_id", pa.string()), ("frame_idx", pa.int32()), *((n, _JOINTS) for n in PARTS), ("rule", pa.string())])
 _SCHEMA = "path string, clip_id string, archive_id string, frame_idx int, body array<array<float>>, left_hand array<array<float>>, right_hand array<array<float>>, face array<array<float>>, rule string"
 
-_COLUMNS = [c.split()[0] for c in _SCHEMA.split(", ")]
+
+def _problem(parts: dict[str, np.ndarray]) -> str | None:
+    if any(n not in parts for n in REQUIRED):
+        return "missing_component"
+    if any(a.ndim != 3 for a in parts.values()):
+        return "not_three_dimensional"
+    if any(0 in a.shape for a in parts.values()):
+        return "empty_axis"
+    if len({a.shape[0] for a in parts.values()}) != 1:
+        return "frame_count_mismatch"
+    return None if all(np.isfinite(a).all() for a in parts.values()) else "not_finite"
+
+
+def _nested(a: np.ndarray) -> pa.Array:
+    """frames x joints x coordinates as lists of lists over the array's own buffer."""
+    frames, joints, channels = a.shape
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(frames * joints + 1, dtype=np.int32) * channels), pa.array(a.reshape(-1)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(frames + 1, dtype=np.int32) * joints), rows)
 
 
-def _frames(path: str, content: bytes) -> Iterator[dict]:
-    row = dict.fromkeys(_COLUMNS) | {"path": path, "clip_id": path.rsplit("/", 1)[-1].removesuffix(".npz")}
-    row["clip_id"] = re.sub(r"\.part\d+$", "", row["clip_id"])
+def _archive(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
+    clip, archive_id, parts = path.rsplit("/", 1)[-1].removesuffix(".npz"), None, {}
     try:
         with np.load(io.BytesIO(content), allow_pickle=False) as z:
-            parts = {n: z[n].astype(np.float32) for n in PARTS if n in z}
+            parts = {n: np.ascontiguousarray(z[n], dtype=np.float32) for n in PARTS if n in z}
             archive_id = str(z["sample_id"]) if "sample_id" in z else None
-            first = int(z["first_frame"]) if "first_frame" in z else 0
+        rule = _problem(parts)
     except Exception:
-        yield {**row, "rule": "unreadable"}
+        rule = "unreadable"
+    if rule:
+        yield pa.RecordBatch.from_pylist([{"path": path, "clip_id": clip, "archive_id": archive_id, "rule": rule}], schema=_ARROW)
         return
-    if any(n not in parts for n in REQUIRED):
-        rule = "missing_component"
-    elif any(a.ndim != 3 for a in parts.values()):
-        rule = "not_three_dimensional"
-    elif any(0 in a.shape for a in parts.values()):
-        rule = "empty_axis"
-    elif len({a.shape[0] for a in parts.values()}) != 1:
-        rule = "frame_count_mismatch"
-    elif not all(np.isfinite(a).all() for a in parts.values()):
-        rule = "not_finite"
-    else:
-        for t in range(len(parts["body"])):
-            frame = {n: [list(map(float, j)) for j in a[t]] for n, a in parts.items()}
-            yield {**row, "archive_id": archive_id, "frame_idx": first + t, **frame}
-        return
-    yield {**row, "archive_id": archive_id, "rule": rule}
+    total = len(parts["body"])
+    for at in range(0, total, FRAMES_PER_BATCH):
+        n = min(FRAMES_PER_BATCH, total - at)
+        same = lambda value: pa.array([value] * n, pa.string())
+        yield pa.RecordBatch.from_arrays([
+            same(path), same(clip), same(archive_id), pa.array(np.arange(at, at + n, dtype=np.int32)),
+            *(_nested(parts[x][at:at + n]) if x in parts else pa.nulls(n, _JOINTS) for x in PARTS), same(None)], schema=_ARROW)
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            rows = []
-            for r in _frames(path, content):
-                rows.append(r)
-                if len(rows) == 512:
-                    yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
-                    rows = []
-            yield pd.DataFrame(rows, columns=_COLUMNS, dtype=object)
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+            yield from _archive(path, content.as_buffer())
 
 
 def decode_pose_archives(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +72,7 @@ def decode_pose_archives(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Archives are decoded once, into a table that both results read.
     """
-    rows = stored(files.select("path", "content").mapInPandas(_decode, _SCHEMA), "pose-frames")
+    rows = stored(files.select("path", "content").mapInArrow(_decode, _SCHEMA), "pose-frames")
     bad = rows.filter("rule is not null").select("rule", F.col("clip_id").alias("key"), F.col("path").alias("detail"))
     return rows.filter("rule is null").select(*POSE_FRAMES.names, "archive_id"), bad
 
@@ -79,20 +83,19 @@ def ingest_pose_archives(spark: SparkSession, root: str) -> tuple[DataFrame, Dat
     return decode_pose_archives(reader.load(root))
 
 
-def encode_pose_archives(frames: DataFrame, part_frames: int = PART_FRAMES) -> DataFrame:
-    """Pose frames -> ``(path, content)``: one archive ``<clip>.npz`` per clip.
-
-    A clip above ``part_frames`` frames goes on in ``<clip>.part1.npz`` and so on, each with its first
-    frame number, so no task gathers an unbounded clip; reading puts the parts together again.
-    """
+def encode_pose_archives(frames: DataFrame) -> DataFrame:
+    """Pose frames -> ``(path, content)``: one archive ``<clip>.npz`` per clip, whatever its length."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx")
-        parts = {n: np.array([[list(j) for j in f] for f in pdf[n]], dtype=np.float32) for n in PARTS if n in pdf and pdf[n].notna().all()}
-        clip, part = str(pdf["clip_id"].iloc[0]), int(pdf["part"].iloc[0])
-        buffer = io.BytesIO()
-        np.savez_compressed(buffer, sample_id=np.array(clip), first_frame=np.array(int(pdf["frame_idx"].iloc[0])), **parts)
-        return pd.DataFrame({"path": [f"{clip}.part{part}.npz" if part else f"{clip}.npz"], "content": [buffer.getvalue()]})
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame_idx").combine_chunks()
+        parts = {}
+        for n in PARTS:
+            if n in table.column_names and table.column(n).null_count == 0:
+                lists = table.column(n).combine_chunks()
+                rows = lists.flatten()
+                parts[n] = rows.flatten().to_numpy().astype(np.float32).reshape(len(lists), len(rows) // len(lists), -1)
+        clip, buffer = table.column("clip_id")[0].as_py(), io.BytesIO()
+        np.savez_compressed(buffer, sample_id=np.array(str(clip)), **parts)
+        return pa.table({"path": pa.array([f"{clip}.npz"]), "content": pa.array([buffer.getvalue()], pa.binary())})
 
-    cut = frames.withColumn("part", F.floor(F.col("frame_idx") / F.lit(part_frames)))
-    return cut.groupBy("clip_id", "part").applyInPandas(pack, "path string, content binary")
+    return frames.groupBy("clip_id").applyInArrow(pack, "path string, content binary")

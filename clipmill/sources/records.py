@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipmill import constants as K
-from clipmill.functions.text import bool_lenient, bool_strict, normalize_gloss
+from clipmill.functions.text import bool_lenient, bool_strict, normalize_gloss, strip
 from clipmill.sources.lines import head_lines, read_lines
 
 
@@ -62,7 +62,7 @@ def read_records_jsonl(spark: SparkSession, path: str, fields: Sequence[str] = (
     good = tagged.filter("rule is null").select(
         "path", "line_no", *[F.try_variant_get("v", f"$.{f}", "string").alias(f) for f in fields])
     name = F.element_at(F.split("path", "/"), -1)
-    bad = tagged.filter("rule is not null").select("rule", F.concat_ws(":", name, "line_no").alias("key"), F.left("value", F.lit(80)).alias("detail"))
+    bad = tagged.filter("rule is not null").select("rule", F.concat_ws(":", name, "line_no").alias("key"), F.col("value").alias("detail"))
     return good, bad
 
 
@@ -70,7 +70,7 @@ def read_label_contract(spark: SparkSession, path: str) -> DataFrame:
     """(ord, label, version) from a contract JSON (``glosses``), a manifest JSON (``labels``) or a text file."""
     if path.endswith(".txt"):
         lines = read_lines(spark, path)
-        return lines.select((F.col("line_no") - 1).alias("ord"), F.trim("value").alias("label"), F.lit(None).cast("string").alias("version"))
+        return lines.select((F.col("line_no") - 1).alias("ord"), strip(F.col("value")).alias("label"), F.lit(None).cast("string").alias("version"))
     doc = spark.read.schema("version string, glosses array<string>, labels array<string>").option("multiLine", True).json(path)
     return doc.select("version", F.posexplode(F.coalesce("glosses", "labels")).alias("ord", "label")).select(
         F.col("ord").cast("bigint").alias("ord"), "label", "version")
@@ -107,7 +107,7 @@ def read_gate_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def expected_labels(rows: DataFrame) -> DataFrame:
     """(ordinal, filename, expected_label) -> one row per base name; the last non-blank row wins."""
-    name = F.element_at(F.split(F.trim(F.coalesce("filename", F.lit(""))), "/"), -1)
+    name = F.element_at(F.split(strip(F.coalesce("filename", F.lit(""))), "/"), -1)
     return (
         rows.select("ordinal", name.alias("filename"), normalize_gloss(F.col("expected_label")).alias("expected_label"))
         .filter("filename <> '' and expected_label <> ''")
@@ -121,4 +121,4 @@ def read_expected_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def identity_rows(df: DataFrame) -> DataFrame:
-    return df.withColumn("sample_id", F.trim("sample_id")).withColumn("expected_gloss", normalize_gloss(F.col("expected_gloss")))
+    return df.withColumn("sample_id", strip(F.col("sample_id"))).withColumn("expected_gloss", normalize_gloss(F.col("expected_gloss")))

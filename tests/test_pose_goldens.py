@@ -70,9 +70,16 @@ def test_q64(spark):
     want = "".join(Q64_ALPHABET[round((max(-4.0, min(4.0, v)) + 4) / 8 * 63)] for v in values)
     df = clip(spark, {"a": [values, values, values]})
     assert D.q64_payload(D.q64_rows(df)).first().payload == "|".join([want] * 3)
-    assert D.q64_payload(D.q64_rows(df, 2), 2).first().payload == "|".join([want] * 2)
-    parts = D.q64_payload(D.q64_rows(df), part_frames=2).orderBy("part").collect()
-    assert "|".join(p.payload for p in parts) == "|".join([want] * 3) and len(parts) == 2
+    assert D.q64_payload(D.q64_rows(df, 2)).first().payload == "|".join([want] * 2)
+
+
+def test_q64_record_of_a_long_clip(spark):
+    df = spark.range(5000).select(F.lit("a").alias("clip_id"), F.col("id").alias("frame_idx"), F.array(F.lit(0.5), F.lit(-0.5)).alias("f"))
+    clips = spark.createDataFrame([("a", "a", "g")], "clip_id string, sample_id string, output string")
+    records = D.export_q64_records(df, clips, "q64_full")
+    assert records.count() == 1 and D.export_manifest(records).first().samples == 1
+    expected = spark.createDataFrame([("a", "g", 5000, 2)], "sample_id string, expected_gloss string, frames bigint, features bigint")
+    assert D.validate_q64_records(records, expected).count() == 0
 
 
 def test_q64_summary(spark):
@@ -162,7 +169,7 @@ def test_archives(spark):
     assert [(r.clip_id, r.frame_idx, r.archive_id, len(r.body), r.face) for r in frames.collect()] == [("ok", 0, "s1", 17, None), ("ok", 1, "s1", 17, None)]
     assert {r.key: r.rule for r in bad.collect()} == {
         "gone": "missing_component", "flat": "not_three_dimensional", "short": "frame_count_mismatch", "none": "empty_axis", "nan": "not_finite", "junk": "unreadable"}
-    again, _ = decode_pose_archives(encode_pose_archives(frames.drop("archive_id", "face"), part_frames=1))
+    again, _ = decode_pose_archives(encode_pose_archives(frames.drop("archive_id", "face")))
     assert sorted((r.clip_id, r.frame_idx) for r in again.collect()) == [("ok", 0), ("ok", 1)]
 
 

@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from clipmill.session import require_empty, small_side, small_values
+from clipmill.session import require_empty
 from clipmill.sources import media as E
 from clipmill.sources import records as Q
 from clipmill.sources.lines import read_lines
@@ -82,11 +82,3 @@ def test_media(spark, tmp_path):
 def test_identity(spark):
     df = spark.createDataFrame([(0, "a ", "x"), (1, "a", "y"), (2, " ", "z")], "index bigint, sample_id string, expected_gloss string")
     assert {(r.rule, r.key) for r in G.identity_violations(Q.identity_rows(df)).collect()} == {("duplicate_sample_id", "a"), ("empty_sample_id", "")}
-
-
-def test_small_side_is_checked(spark):
-    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
-    assert "strategy=broadcast" in plan(small_side(spark.range(3))) and "strategy=broadcast" not in plan(small_side(spark.range(1001), 1000))
-    assert small_side(spark.range(3)).count() == 3 and small_side(spark.range(0)).count() == 0
-    with pytest.raises(ValueError):
-        small_values(spark.range(11), 10)
