@@ -1,12 +1,17 @@
 """Per-key sliding-window admission, replayed over a request log.
 
 A request is admitted when fewer than ``limit`` admitted requests lie in the last ``window`` (ends
-included); rejected ones do not count. Whether one is admitted depends on earlier admissions, yet a
-key with a third of all requests must not sit in one task. So each key's time line is cut in slices
-at least one window long, and slices run side by side. A slice guesses the hits it starts with by
-first replaying the end of its predecessor; a guess that differs from what the predecessor really
-left is replaced and that slice runs again, until none differs. Each round settles at least the
-earliest wrong slice of every key, so the result is exact whatever the log looks like.
+included); rejected ones do not count. Whether one is admitted depends on earlier admissions, yet
+most of a log needs no replay:
+
+* a stamp with at most ``limit`` requests in its window (its own included) is let in whole, whatever came before;
+* after a whole window of such stamps the state is known: the requests of that window.
+
+So only stretches are replayed that begin at a stamp beyond the limit and end when such a window has passed.
+Counts are range windows over slices of a key's time line, each with three windows of lead-in, so a key with a third of all
+requests spreads over tasks. A stretch runs once, in order, over sorted batches, with at most ``limit`` stamps in memory;
+stretches run side by side. The number of Spark jobs does not depend on the log. A key that stays at its limit is one stretch:
+its order is inherent, its cost is one step for each distinct stamp.
 """
 
 from __future__ import annotations
@@ -23,8 +28,6 @@ from clipmill.constants import RATE_LIMIT, RATE_WINDOW_SECONDS
 from clipmill.session import stored
 
 SLICE_WINDOWS = 8
-WARM_WINDOWS = 2
-_GIVEN, _WARM, _REAL = 0, 1, 2
 
 
 def positive_or_default(value: str | None, default: int) -> int:
@@ -45,6 +48,32 @@ def admit(hits: deque, t: int, n: int, limit: int, window: int, unit: int) -> tu
     return take, None if take == n else max(1, int((window - (t - hits[0])) / unit))
 
 
+def _flagged(log: DataFrame, limit: int, window: int, width: int) -> DataFrame:
+    """``log`` (key, ts, requests) with ``slice``, ``open`` (the state before it decides) and ``start`` (first of its stretch)."""
+    ahead = F.floor((F.col("ts") + 3 * window) / F.lit(width)).cast("bigint")
+    own = F.floor(F.col("ts") / F.lit(width)).cast("bigint")
+    rows = log.withColumn("own", own).withColumn("slice", F.explode(F.sequence(own, ahead)))
+    line = W.partitionBy("key", "slice").orderBy("ts")
+    before = line.rangeBetween(-window, 0)
+    rows = rows.withColumn("over", F.sum("requests").over(before) > limit)
+    rows = rows.withColumn("open", F.max("over").over(before))
+    closed = ~F.coalesce(F.lag("open").over(line), F.lit(False)) | (F.lag("ts").over(line) < F.col("ts") - window)
+    rows = rows.withColumn("start", F.col("open") & closed)
+    # the first windows of the lead-in lack their own past: only rows of the slice itself are kept
+    return rows.filter("own = slice").select("key", "ts", "requests", "slice", "open", "start")
+
+
+def _stretches(flagged: DataFrame) -> DataFrame:
+    """Open rows with ``stretch``, the stamp at which theirs began."""
+    begun = flagged.filter("start").groupBy("key", "slice").agg(F.max("ts").alias("last"))
+    seen = flagged.filter("open").select("key", "slice").distinct().join(begun, ["key", "slice"], "left")
+    earlier = W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    seen = seen.select("key", "slice", F.last("last", True).over(earlier).alias("inherited"))  # one row per slice
+    here = W.partitionBy("key", "slice").orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
+    rows = flagged.filter("open").withColumn("own", F.max(F.when(F.col("start"), F.col("ts"))).over(here))
+    return rows.join(seen, ["key", "slice"]).select("key", "ts", "requests", "slice", F.coalesce("own", "inherited").alias("stretch"))
+
+
 def sliding_rate_audit(
     requests: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RATE_WINDOW_SECONDS,
     unit: int = 1, slice_windows: int = SLICE_WINDOWS,
@@ -55,85 +84,39 @@ def sliding_rate_audit(
     """
     if limit <= 0 or window_seconds <= 0 or slice_windows < 1:
         raise ValueError("limit, window and slice length must be positive")
-    spark = requests.sparkSession
     window = window_seconds * unit
     width = window * slice_windows
-    warm = window * min(WARM_WINDOWS, slice_windows)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key_type = requests.schema["key"].dataType.simpleString()
-    schema = (
-        f"key {key_type}, slice bigint, ts bigint, requests bigint, admitted bigint, "
-        "retry_after_seconds bigint, hits_in array<bigint>, hits_out array<bigint>"
-    )
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by (key, slice, kind, ts); no group is ever held."""
-        at, hits, start = None, deque(), []
-
-        def end() -> tuple:
-            last = (at[1] + 1) * width - window
-            return (*at, None, None, None, None, start or [], [h for h in hits if h >= last])
 
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by (key, stretch, ts); the rows before a stretch only fill its first window."""
+        at, hits = None, deque()
         for pdf in batches:
-            taken, waits, ends = [], [], []
-            given = pdf["given"]
-            columns = [pdf[c].tolist() for c in ("key", "slice", "kind", "requests")]
-            stamps = pdf["ts"].fillna(0).astype("int64").tolist()
-            for row, (key, sl, kind, n) in enumerate(zip(*columns)):
-                if (key, sl) != at:
-                    if at is not None:
-                        ends.append(end())
-                    at, hits, start = (key, sl), deque(), None
-                take = wait = None
-                if kind == _GIVEN:
-                    hits = deque(int(h) for h in given.iloc[row])
-                else:
-                    if kind == _REAL and start is None:
-                        start = [h for h in hits if h >= sl * width - window]
-                    take, wait = admit(hits, stamps[row], n, limit, window, unit)
+            taken, waits = [], []
+            for key, stretch, ts, n in zip(*(pdf[c].tolist() for c in ("key", "stretch", "ts", "requests"))):
+                if (key, stretch) != at:
+                    at, hits = (key, stretch), deque()
+                take, wait = admit(hits, ts, n, limit, window, unit)
                 taken.append(take)
                 waits.append(wait)
-            real_rows = (pdf["kind"] == _REAL).to_numpy()
-            out = pdf.loc[real_rows, ["key", "slice", "ts", "requests"]].assign(
-                admitted=pd.array(taken, dtype="Int64")[real_rows], retry_after_seconds=pd.array(waits, dtype="Int64")[real_rows],
-                hits_in=None, hits_out=None)
-            yield out
-            if ends:
-                yield pd.DataFrame(ends, columns=names, dtype=object)
-        if at is not None:
-            yield pd.DataFrame([end()], columns=names, dtype=object)
-
-    def replay(rows: DataFrame) -> DataFrame:
-        placed = rows.repartition(parts, "key", "slice").sortWithinPartitions("key", "slice", "kind", "ts")
-        return stored(placed.mapInPandas(fold, schema), "rate-pass")
-
-    empty = F.array().cast("array<bigint>")
+            out = pdf[["key", "ts", "requests"]].assign(admitted=pd.array(taken, dtype="Int64"), retry_after_seconds=pd.array(waits, dtype="Int64"))
+            yield out[(pdf["ts"] >= pdf["stretch"]).to_numpy()]
+
     log = requests.groupBy("key", "ts").agg(F.count(F.lit(1)).alias("requests"))
-    log = stored(log.withColumn("slice", F.floor(F.col("ts") / F.lit(width)).cast("bigint")), "rate-log")
-    columns = ["key", "slice", "kind", "ts", "requests", "given"]
-    real = log.withColumn("kind", F.lit(_REAL)).withColumn("given", F.lit(None).cast("array<bigint>")).select(*columns)
+    flagged = stored(_flagged(log, limit, window, width), "rate-log")
+    inside = stored(_stretches(flagged), "rate-stretches")
+    starts = inside.filter("ts = stretch").select("key", "stretch", F.explode(F.array(F.col("slice") - 1, F.col("slice"))).alias("slice"))
     lead_in = (
-        real.filter(F.col("ts") >= (F.col("slice") + 1) * width - warm)
-        .withColumn("slice", F.col("slice") + 1).withColumn("kind", F.lit(_WARM))
+        flagged.join(starts, ["key", "slice"])  # all of these were let in whole: the stamp before a start is not open
+        .filter((F.col("ts") < F.col("stretch")) & (F.col("ts") >= F.col("stretch") - window))
     )
-    done = replay(real.unionByName(lead_in))
-    rows = done.filter("ts is not null")
-    ends = done.filter("ts is null").select("key", "slice", "hits_in", "hits_out")
-    while True:
-        before = ends.select("key", (F.col("slice") + 1).alias("slice"), F.col("hits_out").alias("given"))
-        stale = stored(
-            ends.join(before, ["key", "slice"], "left").withColumn("given", F.coalesce("given", empty))
-            .filter(F.col("given") != F.col("hits_in")).select("key", "slice", "given"), "rate-stale")
-        if stale.isEmpty():
-            return rows.select("key", "ts", "requests", "admitted", "retry_after_seconds")
-        keys = stale.select("key", "slice")
-        marks = stale.select(
-            "key", "slice", F.lit(_GIVEN).alias("kind"), F.lit(None).cast("bigint").alias("ts"), F.lit(0).cast("bigint").alias("requests"), "given")
-        again = replay(real.join(keys, ["key", "slice"], "left_semi").unionByName(marks))
-        rows = rows.join(keys, ["key", "slice"], "left_anti").unionByName(again.filter("ts is not null"))
-        fresh = again.filter("ts is null").join(stale, ["key", "slice"]).select("key", "slice", F.col("given").alias("hits_in"), "hits_out")
-        ends = stored(ends.join(keys, ["key", "slice"], "left_anti").unionByName(fresh), "rate-ends")
+    columns = ["key", "stretch", "ts", "requests"]
+    rows = inside.select(*columns).unionByName(lead_in.select(*columns))
+    schema = f"key {key_type}, ts bigint, requests bigint, admitted bigint, retry_after_seconds bigint"
+    replayed = rows.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "ts").mapInPandas(replay, schema)
+    free = flagged.filter("not open").select(
+        "key", "ts", "requests", F.col("requests").alias("admitted"), F.lit(None).cast("bigint").alias("retry_after_seconds"))
+    return free.unionByName(replayed)
 
 
 def mark_requests(requests: DataFrame, audit: DataFrame, order: str, limit: int = RATE_LIMIT) -> DataFrame:

@@ -91,3 +91,25 @@ def test_telemetry_stream_equals_batch(spark, tmp_path):
     got = spark.read.json(str(tmp_path / "report")).first()
     want = telemetry_slo(df).first()
     assert all(got[c] == want[c] for c in want.asDict())
+
+
+def test_rate_audit_of_a_saturated_key(spark):
+    """A key at its limit over 520 windows: one pass, whatever the number of windows."""
+    from collections import deque
+
+    def jobs(windows):
+        df = spark.range(60 * windows).select(F.lit("k").alias("key"), F.col("id").alias("ts"))
+        group = f"audit-{windows}"
+        spark.sparkContext.setJobGroup(group, group)
+        rows = sliding_rate_audit(df, 20, 60).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, (rows, many) = jobs(40)[1], jobs(520)
+    hits, want = deque(), {}
+    for t in range(60 * 520):
+        while hits and hits[0] < t - 60:
+            hits.popleft()
+        want[t] = int(len(hits) < 20)
+        hits.extend([t] * want[t])
+    assert {r.ts: r.admitted for r in rows} == want and many <= few + 3
