@@ -160,7 +160,7 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         held = 0
 
         def flush():
-            rows = [(b, np.array(n, "<u4").tobytes(), np.array(s, "<u4").tobytes(), b"".join(i)) for b, (n, s, i) in blocks.items()]
+            rows = [(b, pack(np.array(n)), pack(np.array(s)), pack(np.frombuffer(b"".join(i), "<u4"))) for b, (n, s, i) in blocks.items()]
             blocks.clear()
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["block", "numbers", "sizes", "ids"])
@@ -205,7 +205,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
             return out_schema.empty_table()
-        join = lambda name: np.concatenate([np.frombuffer(x, "<u4") for x in right.column(name).to_pylist()] or [np.zeros(0, "<u4")])
+        join = lambda name: np.concatenate([unpack(x) for x in right.column(name).to_pylist()] or [np.zeros(0, "<u4")])
         numbers, sizes, ids = join("numbers"), join("sizes"), join("ids")
         start = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
         at = np.empty(len(numbers), np.int64)
