@@ -77,8 +77,8 @@ def _as_float(v: Column) -> Column:
     )
 
 
-_TOP = ("prediction", "translation", "transcript_words", "words", "confidence", "sequence_confidence", "low_confidence", "output")
-_NESTED = ("translation", "transcript_words", "confidence", "sequence_confidence", "low_confidence")
+_TOP = ("prediction", "translation", "transcript_words", "words", "confidence", "sequence_confidence", "low_confidence", "alternatives", "output")
+_NESTED = ("translation", "transcript_words", "confidence", "sequence_confidence", "low_confidence", "alternatives")
 _WORD = "array<struct<word:string,start_ms:bigint,end_ms:bigint,confidence:double>>"
 
 
@@ -95,7 +95,7 @@ def _word(i: Column) -> Column:
 
 
 def normalize_provider_response(df: DataFrame, response: str) -> DataFrame:
-    """Add ``answer``: struct(error_code, error, prediction, confidence, words, sequence_confidence, low_confidence).
+    """Add ``answer``: struct(error_code, error, prediction, confidence, words, sequence_confidence, low_confidence, alternatives).
 
     ``error`` is null for a usable response; ``words`` falls back to the prediction at 0-0 ms.
     ``response`` names a VARIANT column. Each field is taken out of it once and each later stage is a
@@ -129,6 +129,7 @@ def normalize_provider_response(df: DataFrame, response: str) -> DataFrame:
         c("_text").alias("prediction"), c("_c").alias("confidence"),
         F.when(F.size("_list") > 0, c("_list")).otherwise(single).alias("words"),
         c("_s").alias("sequence_confidence"), bool_provider(c("_low")).alias("low_confidence"),
+        F.coalesce(F.to_json(_first(_truthy, c("_alternatives"), c("_o_alternatives"))), F.lit("[]")).alias("alternatives"),
     )
     return d.select(*df.columns, answer.alias("answer"))
 

@@ -99,6 +99,12 @@ def unresolved_expected(resolved: DataFrame) -> DataFrame:
     )
 
 
+def anchor_violations(anchors: DataFrame, resolved: DataFrame, count: int = K.ANCHOR_COUNT) -> DataFrame:
+    """(rule, key, detail): another number of anchors than ``count``, and rows whose expected label does not resolve."""
+    n = anchors.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != count)
+    return n.select(F.lit("anchor_count").alias("rule"), F.lit("anchors").alias("key"), F.col("n").cast("string").alias("detail")).unionByName(unresolved_expected(resolved))
+
+
 def anchor_outcomes(resolved: DataFrame) -> DataFrame:
     """Rows per (expected, first, final) and rows the retry helped: at most one row per label triple.
 

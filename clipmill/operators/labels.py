@@ -18,16 +18,18 @@ def label_list(labels: DataFrame) -> list[str]:
     return [r["label"] for r in sorted(rows, key=lambda r: r["ord"])]
 
 
-def contract_checks(labels: DataFrame, size: int = CONTRACT_SIZE) -> DataFrame:
-    """Violations (rule, key, detail) of a label contract: size, uniqueness, blanks."""
+def contract_checks(labels: DataFrame, size: int = CONTRACT_SIZE, version: str | None = None) -> DataFrame:
+    """Violations (rule, key, detail) of a label contract: size, uniqueness, blanks, and the version where one is asked for."""
     blank = strip(F.coalesce(F.col("label"), F.lit(""))) == ""
     facts = labels.agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("d"), F.count_if(blank).alias("b")
+        F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("d"), F.count_if(blank).alias("b"),
+        (F.max("version") if version is not None else F.lit(None).cast("string")).alias("v"),
     )
     rules = F.array(
         F.when(F.col("n") != size, F.struct(F.lit("size").alias("rule"), F.col("n").cast("string").alias("detail"))),
         F.when(F.col("d") != F.col("n"), F.struct(F.lit("unique").alias("rule"), F.col("d").cast("string").alias("detail"))),
         F.when(F.col("b") > 0, F.struct(F.lit("blank").alias("rule"), F.col("b").cast("string").alias("detail"))),
+        F.when(F.lit(version is not None) & ~F.col("v").eqNullSafe(F.lit(version)), F.struct(F.lit("version").alias("rule"), F.coalesce("v", F.lit("")).alias("detail"))),
     )
     return facts.select(F.explode(F.array_compact(rules)).alias("r")).select(
         "r.rule", F.lit("labels").alias("key"), "r.detail"

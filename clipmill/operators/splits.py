@@ -112,28 +112,38 @@ def overlap_counts(df: DataFrame, value: str, split: str = "split") -> DataFrame
 
 
 def official_split_manifest(
-    clips: DataFrame, media: DataFrame, n_frames: int, max_samples: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(manifest rows with ordered frame paths, failure rows ``missing_preprocessed_clip``).
-
-    ``clips(ordinal, sample_id, video_id, gloss, split)``, ``media(video_id, path)`` one row per clip.
-    ``max_samples`` stops after that many written rows: only clips up to that ordinal are considered.
+    clips: DataFrame, media: DataFrame, n_frames: int, split_source: str = "official", dataset: str = "full",
+    image_size: tuple[int, int] = (224, 224), glosses: DataFrame | None = None, max_samples: int | None = None,
+) -> DataFrame:
+    """One row per considered clip: a manifest row with its frame paths, or a failure with its ``reason``.
+
+    ``clips(ordinal, sample_id, gloss, video_id, split, instance_id, signer_id, source)``, ``media(video_id, path)`` one row per
+    clip. ``glosses(gloss)`` keeps only their clips. ``max_samples`` stops after that many written rows: only clips up to that ordinal
+    are considered. Frame paths are relative to the dataset's folder.
     """
+    if glosses is not None:
+        clips = clips.join(glosses.select("gloss").distinct(), "gloss", "left_semi")
     seen = clips.join(media.select("video_id", "path"), "video_id", "left")
     if max_samples is not None:
         last = seen.filter(F.col("path").isNotNull()).select("ordinal").orderBy("ordinal").limit(max_samples)
         end = last.agg(F.max("ordinal"), F.count(F.lit(1))).first()
         if end[1] == max_samples:
             seen = seen.filter(F.col("ordinal") <= F.lit(end[0]))
-    frame_paths = F.transform(
-        F.sequence(F.lit(0), F.lit(n_frames - 1)),
-        lambda i: F.format_string("%s/%s/frame_%03d.jpg", F.col("split"), F.col("sample_id"), i),
-    )
-    written = seen.filter(F.col("path").isNotNull()).withColumn("frame_paths", frame_paths)
-    failed = seen.filter(F.col("path").isNull()).select(
-        "ordinal", "sample_id", "video_id", "split", F.lit("missing_preprocessed_clip").alias("reason")
-    )
-    return written, failed
+    hit = F.col("path").isNotNull()
+    names = F.array(*[F.lit(f"frame_{i:03d}.jpg") for i in range(n_frames)])
+    folder = F.concat(F.lit("frames/"), F.col("gloss"), F.lit("/"), F.col("video_id"), F.lit("/"))
+    if_hit = lambda c: F.when(hit, c)
+    return seen.withColumn("_folder", folder).select(
+        "ordinal", F.lit(dataset).alias("dataset"), "sample_id", "gloss", "video_id", "split", if_hit(F.lit(split_source)).alias("split_source"),
+        if_hit(F.transform(names, lambda n: F.concat(F.col("_folder"), n))).alias("frame_paths"), if_hit(F.lit(n_frames)).alias("num_frames"),
+        if_hit(F.array(*[F.lit(x) for x in image_size])).alias("image_size"), F.col("path").alias("source_video_path"),
+        *[if_hit(F.col(c)).alias(c) for c in ("instance_id", "signer_id", "source")], F.when(~hit, "missing_preprocessed_clip").alias("reason"))
+
+
+def manifest_summary(manifest: DataFrame) -> DataFrame:
+    """(split, considered, written, failed)."""
+    return manifest.groupBy("split").agg(
+        F.count(F.lit(1)).alias("considered"), F.count_if(F.col("reason").isNull()).alias("written"), F.count_if(F.col("reason").isNotNull()).alias("failed"))
 
 
 def manifest_dedupe(*manifests: DataFrame) -> tuple[DataFrame, DataFrame]:

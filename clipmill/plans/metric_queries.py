@@ -213,6 +213,13 @@ def f17t(d):
     return G.anchor_table(_gate_rows(d), _anchors(d))
 
 
+@query("F17_anchor_violations", "select 'anchor_count' as rule, 'anchors' as key, cast(count(*) as string) as detail from v_labels having count(*) <> 10 union all select 'expected_not_in_allowlist', sample_id, expected_gloss from v_retry where expected_gloss not in (select label from v_labels where ord < 3)")
+def f17v(d):
+    few = d.labels[:3]
+    log = P.retry_resolution(d.view("v_retry"), d.view("v_alias"), few)
+    return G.anchor_violations(_anchors(d), G.anchor_rows(log, d.view("v_alias"), few))
+
+
 @query("F17_anchor_gate", f"""with {_GATE_SQL}, t as (select l.ord, l.label as gloss, count(q.index) as support, count(*) filter (where "first" = expected) / count(q.index) as fa, count(*) filter (where final = expected) / count(q.index) as la from v_labels l left join q on q.expected = l.label group by 1, 2),
   m as (select p, label, n, row_number() over (partition by p order by n desc, label desc) as rk from (select 'f' as p, "first" as label, count(*) as n from q where "first" is not null group by 2 union all select 'l', final, count(*) from q where final is not null group by 2)),
   s as (select (select label from m where p = 'f' and rk = 1) as first_mode_gloss, (select n from m where p = 'f' and rk = 1) / count(*) as first_mode_ratio, (select label from m where p = 'l' and rk = 1) as final_mode_gloss, (select n from m where p = 'l' and rk = 1) / count(*) as final_mode_ratio,

@@ -69,14 +69,14 @@ def e06v(d):
   select index, case when k >= 5 then 'INFERENCE_INVALID_RESPONSE' end as error_code, case k when 5 then 'empty_prediction' when 6 then 'missing_confidence' when 7 then 'invalid_transcript_words' end as error,
   case when k in (0, 1, 2) then event_type when k = 3 then 'aa bb' when k = 4 then 'cc' end as prediction, case k when 0 then 0.9::double when 1 then 0.77::double when 2 then 0.5::double when 3 then 0.0::double when 4 then 0.3::double end as confidence,
   case when k in (0, 1, 2) then event_type || '@0-0' when k = 3 then 'aa@1-5 bb@6-9' when k = 4 then 'cc@0-0' end as words,
-  case k when 0 then 0.9::double when 1 then 0.77::double when 2 then 0.25::double when 3 then 0.0::double when 4 then 0.3::double end as sequence_confidence, case when k < 5 then k in (1, 4) end as low_confidence from p""")
+  case k when 0 then 0.9::double when 1 then 0.77::double when 2 then 0.25::double when 3 then 0.0::double when 4 then 0.3::double end as sequence_confidence, case when k < 5 then k in (1, 4) end as low_confidence, case when k = 0 then '["x",2]' when k = 2 then '["y"]' when k < 5 then '[]' end as alternatives from p""")
 def e07(d):
     p = d.view("v_provider").withColumn("v", F.try_parse_json("payload"))
     a = normalize_provider_response(p, "v")
     words = F.array_join(F.transform("answer.words", lambda w: F.concat(w["word"], F.lit("@"), w["start_ms"].cast("string"), F.lit("-"), w["end_ms"].cast("string"))), " ")
     ok = lambda c, n: F.when(F.col("answer.error").isNull(), c).alias(n)
     return a.select(
-        "index", "answer.error_code", "answer.error", *[ok(F.col(f"answer.{c}"), c) for c in ("prediction", "confidence", "sequence_confidence", "low_confidence")], ok(words, "words"))
+        "index", "answer.error_code", "answer.error", *[ok(F.col(f"answer.{c}"), c) for c in ("prediction", "confidence", "sequence_confidence", "low_confidence", "alternatives")], ok(words, "words"))
 
 
 @query("E08_validate_proof_fields", """with p as (select index, case when index % 11 = 0 and index % 13 = 0 then 'runtime_mode, model_id' when index % 11 = 0 then 'runtime_mode' when index % 13 = 0 then 'model_id' end as gone,

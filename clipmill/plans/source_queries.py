@@ -79,6 +79,14 @@ def a05(d):
     return c.withColumn("size_violation", F.lit(wrong))
 
 
+@query("A05_contract_checks", "with l as (select distinct p_brand as label from {part}) select 'size' as rule, cast(count(*) as string) as detail from l having count(*) <> 50 union all select 'version', 'v2'")
+def a05c(d):
+    path = new_path(d.spark, "contract")
+    brands = d.table("part").agg(F.sort_array(F.collect_set("p_brand")).alias("glosses"))  # a contract is one document
+    brands.select(F.to_json(F.struct(F.lit("v2").alias("version"), "glosses")).alias("value")).write.text(path)
+    return L.contract_checks(Q.read_label_contract(d.spark, path), version="v1").select("rule", "detail")
+
+
 _NAMES = "select case p_partkey % 3 when 0 then upper(p_name) when 1 then concat(p_name, '!') else p_name end as original from {part}"
 
 
@@ -109,16 +117,21 @@ _EXP = "select event_id as ordinal, concat('dir/', cast(event_id % 3000 as strin
 
 @query("A10_read_expected_labels", f"with e as (select ordinal, split_part(filename, '/', 2) as filename, {NORM('expected_label')} as l from ({_EXP})) select filename, max_by(l, ordinal) as expected_label from e where l <> '' group by filename")
 def a10(d):
-    return Q.expected_labels(d.sql(_EXP))
+    path = new_path(d.spark, "expected")
+    d.sql(_EXP).orderBy("ordinal").select("filename", "expected_label").write.option("header", True).csv(path)
+    return Q.read_expected_labels(d.spark, path)
 
 
-@query("A11_list_media")
-def a11(d):
-    return E.list_media(d.spark, d.sf_dir, (".parquet",)).select("name", "length")
+_CLIPTEXT = "select cast(o_orderkey % 50 as bigint) as k, concat(o_orderpriority, ' ', cast(o_orderkey as string)) as value from {orders}"
 
 
-_CAND = "select o_orderkey as clip_id, concat('v/', cast(o_orderkey as string)) as stem from {orders}"
-_LIST = "select concat('v/', cast(o_orderkey as string), case o_orderkey % 4 when 0 then '.mp4' when 1 then '.mov' else '.swf' end) as path from {orders} where o_orderkey % 4 <> 2 union all select concat('v/', cast(o_orderkey as string), '.mov') as path from {orders} where o_orderkey % 8 = 0"
+@query("A11_list_media", f"select k, cast(sum(octet_length(encode(value)) + 1) as bigint) as length from ({_CLIPTEXT}) group by k")
+def a11(d):
+    root = new_path(d.spark, "media")
+    d.sql(_CLIPTEXT).repartition("k").write.partitionBy("k").text(f"{root}/clips")
+    d.sql(_CLIPTEXT).write.json(f"{root}/notes")  # another suffix: not listed
+    found = E.list_media(d.spark, root, (".txt",))
+    return found.groupBy(F.regexp_extract("path", r"/k=(\d+)/", 1).cast("bigint").alias("k")).agg(F.sum("length").alias("length"))
 
 
 @query("A12_resolve_media_path", "select o_orderkey as clip_id, case o_orderkey % 4 when 0 then concat('v/', cast(o_orderkey as string), '.mp4') when 1 then concat('v/', cast(o_orderkey as string), '.mov') when 3 then concat('v/', cast(o_orderkey as string), '.swf') end as path from {orders}")

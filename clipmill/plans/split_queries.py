@@ -110,31 +110,40 @@ def c09(d):
     return S.overlap_counts(d.sql(_LEAKY), "signer_id")
 
 
-_CLIPS = "select ordinal, sample_id, sample_id as video_id, gloss, case ordinal % 3 when 0 then 'train' when 1 then 'val' else 'test' end as split from v_meta"
+_CLIPS = "select ordinal, concat(gloss, '_', sample_id) as sample_id, sample_id as video_id, gloss, signer_id, ordinal % 11 as instance_id, status as source, case ordinal % 3 when 0 then 'train' when 1 then 'val' else 'test' end as split from v_meta"
 _MEDIA = "select sample_id as video_id, concat('/media/', sample_id, '.mp4') as path from v_meta where ordinal % 7 <> 0"
+_WANTED = "select gloss from v_meta where gloss <> '5-LOW'"
 
 
 def _c10_sql(keep: str) -> str:
-    return f"""with c as (select c.*, m.path from ({_CLIPS}) c left join ({_MEDIA}) m using (video_id)), e as (select max(ordinal) as last from (select ordinal from c where path is not null order by ordinal limit 5000)), k as (select c.* from c, e where {keep})
-  select split, count(*) as considered, count(path) as written, count(*) - count(path) as failed, max(case when path is not null then split || '/' || sample_id || '/frame_029.jpg' end) as last_frame from k group by split"""
+    at = lambda c: f"case when path is not null then {c} end"
+    return f"""with c as (select c.*, m.path from ({_CLIPS}) c left join ({_MEDIA}) m using (video_id) where gloss in ({_WANTED})), e as (select max(ordinal) as last from (select ordinal from c where path is not null order by ordinal limit 5000)), k as (select c.* from c, e where {keep})
+  select ordinal, 'full' as dataset, sample_id, gloss, video_id, split, {at("'official'")} as split_source, {at("array_to_string([concat('frames/', gloss, '/', video_id, '/frame_', lpad(cast(i as varchar), 3, '0'), '.jpg') for i in range(30)], ',')")} as frame_paths,
+    {at("cast(30 as bigint)")} as num_frames, {at("'224x224'")} as image_size, path as source_video_path, {at("instance_id")} as instance_id, {at("signer_id")} as signer_id, {at("source")} as source, case when path is null then 'missing_preprocessed_clip' end as reason from k"""
 
 
 def _c10(d, max_samples):
-    ok, bad = S.official_split_manifest(d.sql(_CLIPS), d.sql(_MEDIA), 30, max_samples)
-    both = ok.select("split", F.lit(1).alias("w"), F.element_at("frame_paths", -1).alias("last")).unionByName(
-        bad.select("split", F.lit(0).alias("w"), F.lit(None).cast("string").alias("last")))
-    return both.groupBy("split").agg(
-        F.count(F.lit(1)).alias("considered"), F.sum("w").cast("bigint").alias("written"), F.sum(1 - F.col("w")).cast("bigint").alias("failed"), F.max("last").alias("last_frame"))
+    return S.official_split_manifest(d.sql(_CLIPS), d.sql(_MEDIA), 30, glosses=d.sql(_WANTED), max_samples=max_samples)
+
+
+def _flat(m):
+    return m.withColumn("frame_paths", F.when(F.col("frame_paths").isNotNull(), F.array_join("frame_paths", ","))).withColumn(
+        "image_size", F.when(F.col("image_size").isNotNull(), F.array_join(F.col("image_size").cast("array<string>"), "x"))).withColumn("num_frames", F.col("num_frames").cast("bigint"))
 
 
 @query("C10_official_split_manifest", _c10_sql("true"))
 def c10(d):
-    return _c10(d, None)
+    return _flat(_c10(d, None))
 
 
 @query("C10_official_split_manifest_max_samples", _c10_sql("ordinal <= last"))
 def c10m(d):
-    return _c10(d, 5000)
+    return _flat(_c10(d, 5000))
+
+
+@query("C10_manifest_summary", f"select split, count(*) as considered, count(*) filter (where reason is null) as written, count(*) filter (where reason is not null) as failed from ({_c10_sql('true')}) group by split")
+def c10s(d):
+    return S.manifest_summary(_c10(d, None))
 
 
 def _manifest(k: int) -> str:

@@ -63,9 +63,9 @@ VIEWS = {
       case when event_id % 11 = 0 then '' when event_id % 11 = 1 then '"runtime_mode":" ",' else '"runtime_mode":"cloud",' end,
       case when event_id % 5 = 0 then '"cloud_handoff":"true",' else '"cloud_handoff":true,' end,
       case when event_id % 13 = 0 then '' else '"model_id":"m",' end, '"model_version":"1"',
-      case when event_id % 8 = 0 then concat(',"prediction":"', event_type, '","confidence":0.9')
+      case when event_id % 8 = 0 then concat(',"prediction":"', event_type, '","confidence":0.9,"alternatives":["x",2]')
         when event_id % 8 = 1 then concat(',"translation":"', event_type, '","confidence":0.77,"low_confidence":"Yes"')
-        when event_id % 8 = 2 then concat(',"output":{{"translation":"', event_type, '","confidence":0.5,"sequence_confidence":0.25}}')
+        when event_id % 8 = 2 then concat(',"output":{{"translation":"', event_type, '","confidence":0.5,"alternatives":["y"],"sequence_confidence":0.25}}')
         when event_id % 8 = 3 then ',"transcript_words":[{{"word":"aa","start_ms":1,"end_ms":5,"confidence":0.4}},{{"word":"bb","start":6,"end":9}}],"confidence":0'
         when event_id % 8 = 4 then ',"prediction":"","words":[{{"word":"cc"}},{{"nope":1}},7],"confidence":0.3,"low_confidence":1'
         when event_id % 8 = 5 then ',"confidence":0.3,"prediction":null,"transcript_words":[]'

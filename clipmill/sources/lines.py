@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clipmill.session import stored
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, value) of all lines that are not blank; line numbers start at 1.
@@ -24,6 +26,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     before = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select(
         "path", "block", "first_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    blocks = stored(blocks, "line-blocks")  # one row per file block; Spark sends the table to the tasks while it is small
     kept = full.filter("full").join(blocks, ["path", "block"])
     return kept.select("path", (F.col("id") - F.col("first_id") + F.col("n0") + 1).alias("line_no"), "value")
 

@@ -116,8 +116,13 @@ def expected_labels(rows: DataFrame) -> DataFrame:
 
 
 def read_expected_labels(spark: SparkSession, path: str) -> DataFrame:
-    df = read_csv(spark, path, ("filename", "expected_label"))
-    return expected_labels(df.withColumn("ordinal", F.monotonically_increasing_id()))
+    """As above from CSV files with header, one record a line; later means a later file, then a later line."""
+    df = spark.read.option("header", True).option("escape", '"').csv(path)
+    missing = [c for c in ("filename", "expected_label") if c not in df.columns]
+    if missing:
+        raise ValueError("missing columns: " + ", ".join(missing))
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    return expected_labels(df.select("filename", "expected_label", place.alias("ordinal")))
 
 
 def identity_rows(df: DataFrame) -> DataFrame:

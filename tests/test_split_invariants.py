@@ -112,12 +112,14 @@ def test_spread_sequence(spark):
 
 
 def test_manifest_missing_clip(spark):
-    clips = spark.createDataFrame([(i, f"s{i}", f"v{i}", "hello", ("train", "val", "test", "train")[i]) for i in range(4)], "ordinal bigint, sample_id string, video_id string, gloss string, split string")
+    clips = spark.createDataFrame([(i, f"s{i}", f"v{i}", "hello", ("train", "val", "test", "train")[i], i, None, "web") for i in range(4)], "ordinal bigint, sample_id string, video_id string, gloss string, split string, instance_id bigint, signer_id bigint, source string")
     media = spark.createDataFrame([(f"v{i}", f"/m/v{i}.mp4") for i in range(3)], "video_id string, path string")
-    ok, bad = S.official_split_manifest(clips, media, 2)
+    rows = S.official_split_manifest(clips, media, 2)
+    ok, bad = rows.filter("reason is null"), rows.filter("reason is not null")
     assert Counter(r.split for r in ok.collect()) == {"train": 1, "val": 1, "test": 1}
     assert [r.reason for r in bad.collect()] == ["missing_preprocessed_clip"]
-    assert sorted(ok.collect(), key=lambda r: r.ordinal)[0].frame_paths == ["train/s0/frame_000.jpg", "train/s0/frame_001.jpg"]
+    assert sorted(ok.collect(), key=lambda r: r.ordinal)[0].frame_paths == ["frames/hello/v0/frame_000.jpg", "frames/hello/v0/frame_001.jpg"]
+    assert S.official_split_manifest(clips, media, 2, glosses=clips.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("p", [0.0, 1.0])
