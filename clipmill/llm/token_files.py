@@ -19,6 +19,7 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,39 +30,51 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipmill.llm.bpe import OTHER, tokenizer
+from clipmill.llm.bpe import LETTER, OTHER, SPACE, tokenizer
 from clipmill.session import new_path, stored
 
 FRAME_IDS, FILE_BYTES, CACHE_WORDS, READ_BYTES = 1 << 22, 64 << 20, 300_000, 4 << 20
 # Fixed values of the public seekable format, and the index frame's own mark.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE, WITH_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 # Fixed values of the tokenizer file: its pattern and its special token.
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+WORD = re.compile(rf" ?[{LETTER}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{SPACE}{LETTER}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 SPECIAL = "<|endoftext|>"
 
 
-class Encoder:
-    """Ids of whole texts as little-endian bytes. Words met before come from a bounded memory, new ones from the library."""
+class Known(dict):
+    """Ids of words as bytes. New words come from the library; when full, words not used since the last time are forgotten."""
 
     def __init__(self, path: str):
-        self.tok, self.known = tokenizer(path), {}
+        super().__init__()
+        self.tok, self.before = tokenizer(path), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= CACHE_WORDS:
+            self.before = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+@lru_cache(maxsize=2)
+def known_words(path: str) -> Known:
+    """One memory per Python worker, whatever the number of its tasks."""
+    return Known(path)
 
-    def _learn(self, words: set[str]) -> None:
-        some = list(words)
-        for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+class Encoder:
+    """Ids of whole texts as little-endian bytes."""
+
+    def __init__(self, path: str):
+        self.tok, self.ids_of = tokenizer(path), known_words(path).__getitem__
 
     def __call__(self, text: str) -> bytes:
         if OTHER.search(text) is not None or SPECIAL in text:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = WORD.findall(text)
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = set(words)
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.ids_of, WORD.findall(text)))
 
 
 class FileWriter:
