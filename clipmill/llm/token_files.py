@@ -209,7 +209,7 @@ def read_back(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     out = pa.schema(fields + ([("ids", pa.list_(pa.int64()))] if with_ids else []))
     files = with_starts(manifest).select("path", "start")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<long>" if with_ids else "")
-    return files.repartition("path").mapInArrow(run, schema)
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(run, schema)  # a file a task: the rows are few, their files are not small
 
 
 def read_documents(manifest: DataFrame, wanted: set[int]) -> DataFrame:
