@@ -18,6 +18,7 @@ from clipmill.session import stored
 
 DIGITS = 3  # hex digits per level: 4096 buckets
 MAX_RANK_ROWS = 1_000_000  # rows that one task may rank
+BLOCK_ROWS = 10  # power of two: sorted rows that are summed as one block
 
 
 def seeded_hash(seed: int | str, key: Column) -> Column:
@@ -149,39 +150,36 @@ def nearest_rank(
 ) -> DataFrame:
     """``by``, n, value_at: the value at sorted position ``index(n)``, exact.
 
-    ``weight`` names a count column when rows already stand for several values. Counts per value come first. The position is then narrowed in five steps, each dividing a value range by 32 768,
-    so a running sum is over that many rows at most, however many distinct values there are.
+    ``weight`` names a count column when rows already stand for several values. Counts per value are range-sorted into a table;
+    its parts, then blocks of ``BLOCK_ROWS`` rows, then rows are summed in that order, each time only in the piece that the
+    position falls into. Range bounds come from the data, so no value range is too dense and no task sorts a whole group.
     """
     by = list(by)
-    v = F.col("v")
     hist = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("v"))
         .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("c"))
     )
-    levels = [F.floor(v / (1 << 30)), F.floor(v / (1 << 15)), F.floor(v), F.floor(v * (1 << 15)), v]
-    names: list[str] = []
-    picked: DataFrame | None = None
-    for i, level in enumerate(levels):
-        name = f"_l{i}"
-        prior = hist
-        for j, earlier in enumerate(names):
-            prior = prior.withColumn(earlier, levels[j])
-        prior = prior.withColumn(name, level)
-        if picked is not None:
-            prior = prior.join(picked, [*by, *names])
-        carry = ["n", "k"] if picked is not None else []
-        steps = prior.groupBy(*by, *names, name, *carry).agg(F.sum("c").alias("s"))
-        inside = W.partitionBy(*(by or [F.lit(1)]))
-        steps = steps.withColumn("cum", F.sum("s").over(inside.orderBy(name)))
-        if picked is None:
-            steps = steps.withColumn("n", F.sum("s").over(inside)).withColumn("k", index(F.col("n")).cast("bigint"))
-        names.append(name)
-        picked = (
-            steps.filter((F.col("cum") > F.col("k")) & (F.col("cum") - F.col("s") <= F.col("k")))
-            .select(*by, *names, "n", (F.col("k") - F.col("cum") + F.col("s")).alias("k"))
-        )
-    return picked.select(*by, "n", F.col(names[-1]).alias("value_at"))
+    rows = stored(hist.orderBy(*by, "v").withColumn("place", F.monotonically_increasing_id()), "quantile")
+    asked = rows.groupBy(*by).agg(F.sum("c").alias("n")).withColumn("k", index(F.col("n")).cast("bigint"))
+    if by:
+        asked = asked.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "n", "k")
+        same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+        rows = rows.join(asked, same).drop(*[f"_by{i}" for i in range(len(by))])
+    else:
+        n, k = asked.first()
+        rows = rows.withColumn("n", F.lit(n).cast("bigint")).withColumn("k", F.lit(k).cast("bigint"))
+    inside = W.partitionBy(*(by or [F.lit(1)]))
+    reached = (F.col("cum") > F.col("k")) & (F.col("cum") - F.col("s") <= F.col("k"))
+    for shift in (33, BLOCK_ROWS, 0):
+        piece = F.shiftright("place", shift).alias("piece")
+        sums = rows.groupBy(*by, piece, "n", "k").agg(F.sum("c").alias("s"), F.max("v").alias("v"))
+        hit = sums.withColumn("cum", F.sum("s").over(inside.orderBy("piece"))).filter(reached)
+        if shift == 0:
+            return hit.select(*by, "n", F.col("v").alias("value_at"))
+        hit = hit.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("piece").alias("_piece"), (F.col("k") - F.col("cum") + F.col("s")).alias("_k"))
+        same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+        rows = rows.join(hit, [*same, F.shiftright("place", shift) == F.col("_piece")]).select(*by, "v", "c", "place", "n", F.col("_k").alias("k"))
 
 
 def readiness_index(n: Column) -> Column:
