@@ -81,6 +81,20 @@ def normalized_words(words: Column) -> Column:
     )
 
 
+def scored_transcripts(df: DataFrame, expected: str, predicted: str) -> tuple[DataFrame, DataFrame]:
+    """(scored rows, violations) from rows (index, sample_id) with two JSON word lists as VARIANT columns.
+
+    Lists are checked before they are scored: empty or missing lists, words without a letter, stamps that are no whole numbers.
+    """
+    sides = {"expected_words": expected, "predicted_words": predicted}
+    d = df.select("index", "sample_id", *[words_from_variant(F.col(v)).alias(c) for c, v in sides.items()])
+    rules = F.array_compact(F.array(*[F.concat(F.lit(f"{c}_"), F.col(f"{c}.error")) for c in sides]))
+    tagged = d.withColumn("rules", rules)
+    good = tagged.filter(F.size("rules") == 0).select("index", "sample_id", *[F.col(f"{c}.words").cast(WORDS).alias(c) for c in sides])
+    bad = tagged.select(F.explode("rules").alias("rule"), F.col("sample_id").alias("key"), F.lit("").alias("detail"))
+    return wer_rows(good), bad
+
+
 def wer_rows(df: DataFrame) -> DataFrame:
     """(index, sample_id, expected_words, predicted_words) -> one scored row each, no shuffle."""
     text = lambda c: F.transform(c, lambda w: w["word"])

@@ -149,7 +149,21 @@ def f13(d):
     return M.telemetry_slo(d.view("v_tele"))
 
 
-@query("F14_word_alignment")
+# The whole alignment: a row of cells (cost, substitutions, boundary error, boundaries) per expected word, each cell from
+# the one above, the one before and the one between, in that order of preference.
+_CELLS = f"""with recursive {WORDS_SQL}, st as (select index, w, p, [k - 1 for k in range(1, len(w) + 1) if k % 7 <> 0] as pos from v_words1),
+  full_dp(index, i, w, p, pos, r) as (select index, cast(0 as bigint), w, p, pos, [[cast(j as bigint), 0, 0, 0] for j in range(len(p) + 1)] from st union all
+    select index, i + 1, w, p, pos, list_reduce(range(1, len(p) + 1), lambda acc, j: acc || [
+      case when r[j][1] + (case when w[i + 1] = p[j] then 0 else 1 end) < least(r[j + 1][1], acc[j][1]) + 1 then
+        case when w[i + 1] = p[j] then [r[j][1], r[j][2], r[j][3] + case when (pos[j] + 1) % 13 = 0 then 0 else abs(i * 400 - (pos[j] * 400 + (pos[j] + 1) % 5 * 10)) + abs(i * 400 + 360 - (pos[j] * 400 + 360 + (pos[j] + 1) % 3 * 7)) end,
+          r[j][4] + case when (pos[j] + 1) % 13 = 0 then 0 else 2 end] else [r[j][1] + 1, r[j][2] + 1, r[j][3], r[j][4]] end
+      when r[j + 1][1] <= acc[j][1] then [r[j + 1][1] + 1, r[j + 1][2], r[j + 1][3], r[j + 1][4]] else [acc[j][1] + 1, acc[j][2], acc[j][3], acc[j][4]] end], [[i + 1, 0, 0, 0]])
+    from full_dp where i < len(w)),
+  c as (select index, len(w) as m, len(p) as n, w = p as exact, r[-1] as z from full_dp where i = len(w)),
+  al as (select index, m, exact, z[2] as substitutions, (z[1] - z[2] - (m - n)) // 2 as insertions, (z[1] - z[2] - (m - n)) // 2 + m - n as deletions, z[3] as boundary_error_ms, z[4] as boundary_count from c)"""
+
+
+@query("F14_word_alignment", _CELLS + " select index, substitutions, insertions, deletions, m - substitutions - deletions as matched, boundary_error_ms, boundary_count from al")
 def f14(d):
     from clipmill.functions.align import word_alignment
 
@@ -187,7 +201,21 @@ def f15(d):
     return r.select("index", "expected_word_count", "predicted_word_count", "expected_text", "predicted_text", "exact_match", consistent.alias("edits_consistent"))
 
 
-@query("F16_wer_metrics")
+_LISTS = '''select event_id as index, concat('s', cast(event_id as string)) as sample_id, case event_id % 9 when 0 then '[]' when 1 then '["a","!!"]' when 2 then '[{{"word":"a","start_ms":"1"}}]' when 3 then '"a"' when 4 then '[{{"word":7}}]' else concat('["', event_type, '",{{"word":"Hi!","start_ms":1,"end_ms":5}}]') end as expected,
+  case when event_id % 9 = 8 then '[{{"word":"x","end_ms":1.5}}]' else concat('[{{"word":"', event_type, '"}},"hi"]') end as predicted from {events}'''
+
+
+@query("F15_transcript_checks", f"with l as ({_LISTS}) select case index % 9 when 0 then 'expected_words_empty_list' when 1 then 'expected_words_empty_word' when 2 then 'expected_words_invalid_timestamp' when 3 then 'expected_words_empty_list' when 4 then 'expected_words_empty_word' when 8 then 'predicted_words_invalid_timestamp' else 'ok' end as outcome, sample_id as key, case when index % 9 in (5, 6, 7) then true end as exact from l")
+def f15c(d):
+    lists = d.sql(_LISTS).withColumn("e", F.try_parse_json("expected")).withColumn("p", F.try_parse_json("predicted"))
+    rows, bad = X.scored_transcripts(lists, "e", "p")
+    return rows.select(F.lit("ok").alias("outcome"), F.col("sample_id").alias("key"), F.col("exact_match").alias("exact")).unionByName(
+        bad.select(F.col("rule").alias("outcome"), "key", F.lit(None).cast("boolean").alias("exact")))
+
+
+@query("F16_wer_metrics", _CELLS + """ select count(*) as sample_count, count(*) filter (where exact) / count(*) as exact_sequence_accuracy, sum(substitutions + insertions + deletions) / sum(m) as word_error_rate, cast(sum(substitutions) as bigint) as substitutions,
+  cast(sum(insertions) as bigint) as insertions, cast(sum(deletions) as bigint) as deletions, cast(sum(m) as bigint) as total_expected_words, sum(m - substitutions - deletions) / sum(m) as matched_word_recall,
+  sum(boundary_error_ms) / sum(boundary_count) as timestamp_boundary_mae_ms, cast(sum(boundary_count) as bigint) as timestamp_boundary_count from al""")
 def f16(d):
     return X.wer_metrics(X.wer_rows(d.words()))
 
