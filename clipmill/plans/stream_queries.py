@@ -12,28 +12,43 @@ from clipmill.session import new_path
 from clipmill.sources.sinks import append_log
 from clipmill.streaming.rate import sliding_rate_stream
 from clipmill.streaming.telemetry import EVENT
-from clipmill.streaming.windows import feature_windows, feature_windows_stream
+from clipmill.streaming.windows import STREAM_OUTPUT, feature_windows, feature_windows_stream
 
 
-def drain(stream, d, schema, mode="append", transform=lambda df: df):
-    """Run a stream over all that is there; each micro-batch goes to a table, which is read back."""
-    out = new_path(d.spark, "stream-out")
+def drain(stream, d, schema, slices, mode="append"):
+    """Append one slice of the input after the other and run the stream over each, so state goes from run to run.
 
-    def write(batch, _):
-        transform(batch).write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    ``slices`` are calls that write; ``stream`` makes the query's table. Every micro-batch has a folder of its own, which a repeated batch
+    overwrites; of a complete mode the last one counts.
+    """
+    out, state, last = new_path(d.spark, "stream-out"), new_path(d.spark, "stream-state"), []
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", new_path(d.spark, "stream-state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return d.spark.read.schema(schema).parquet(out)
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        last.append(number)
+
+    for append in slices:
+        append()
+        q = stream().writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return d.spark.read.schema(schema).parquet(f"{out}/batch={max(last)}" if mode == "complete" else out).drop("batch")
+
+
+def in_order(df, column, path, parts=4):
+    """Calls that append ``df`` to ``path`` in ``parts`` ranges of ``column``, lowest first."""
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    step = max(1, -(-(high - low + 1) // parts))
+    cut = lambda k: df.filter((F.col(column) >= low + k * step) & (F.col(column) < low + (k + 1) * step))
+    return [lambda k=k: cut(k).write.mode("append").parquet(path) for k in range(parts)]
 
 
 @query("G01_telemetry_slo_stream", _SLO)
 def g01(d):
     path = new_path(d.spark, "telemetry")
-    append_log(d.view("v_tele"), path)
-    events = d.spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 8).json(path)
-    counts = drain(latency_counts(events), d, "latency_ms bigint, outcome string, n bigint", "complete")
-    return slo_from_counts(counts)
+    tele = d.view("v_tele").withColumn("part", F.crc32("request_id") % 3)
+    slices = [lambda k=k: append_log(tele.filter(F.col("part") == k).drop("part"), path) for k in range(3)]
+    events = lambda: latency_counts(d.spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 8).json(path))
+    return slo_from_counts(drain(events, d, "latency_ms bigint, outcome string, n bigint", slices, "complete"))
 
 
 def _frames(d, n_missing=7):
@@ -61,10 +76,9 @@ def g02(d):
 @query("G02_feature_windows_stream", _WINDOWS)
 def g02s(d):
     path = new_path(d.spark, "frames")
-    _frames(d).write.parquet(path)
-    src = d.spark.readStream.schema("source string, frame_idx bigint, ok boolean, f array<double>").parquet(path)
-    out = "source string, window bigint, missing_frame_count bigint, features array<array<double>>"
-    return _summary(drain(feature_windows_stream(src, 2, 2), d, out))
+    frames = lambda: d.spark.readStream.schema("source string, frame_idx bigint, ok boolean, f array<double>").parquet(path)
+    rows = drain(lambda: feature_windows_stream(frames(), 2, 2), d, STREAM_OUTPUT, in_order(_frames(d), "frame_idx", path))
+    return _summary(rows.filter("late_frame is null"))
 
 
 def _requests(d):
@@ -89,7 +103,6 @@ def g03(d):
 @query("G03_sliding_rate_stream", _AUDIT + "select key, ts, count(*) as requests, count(*) filter (where ok) as admitted, max(retry) as retry_after_seconds from w group by key, ts")
 def g03s(d):
     path = new_path(d.spark, "requests")
-    _requests(d).select("key", "ts").write.parquet(path)
-    src = d.spark.readStream.schema("key bigint, ts bigint").parquet(path)
+    requests = lambda: d.spark.readStream.schema("key bigint, ts bigint").parquet(path)
     out = "key bigint, ts bigint, requests bigint, admitted bigint, retry_after_seconds bigint"
-    return drain(sliding_rate_stream(src, 3, 86400), d, out)
+    return drain(lambda: sliding_rate_stream(requests(), 3, 86400), d, out, in_order(_requests(d).select("key", "ts"), "ts", path))

@@ -12,23 +12,31 @@ from clipmill.constants import RATE_LIMIT, RATE_WINDOW_SECONDS
 from clipmill.operators.rate_audit import admit
 
 
-def sliding_rate_stream(requests: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RATE_WINDOW_SECONDS, unit: int = 1) -> DataFrame:
+def sliding_rate_stream(
+    requests: DataFrame, limit: int = RATE_LIMIT, window_seconds: int = RATE_WINDOW_SECONDS, unit: int = 1, idle_seconds: int | None = None,
+) -> DataFrame:
     """(key, ts) stream -> (key, ts, requests, admitted, retry_after_seconds) per micro-batch.
 
-    State per key is at most ``limit`` stamps. Requests count in arrival order of micro-batches.
+    State per key is at most ``limit`` stamps. Requests count in arrival order of micro-batches. With ``idle_seconds`` the state of a key
+    that sent nothing for so long (by the clock of the cluster, so not less than the window in a live stream) ends.
     """
     window = window_seconds * unit
     key_type = requests.schema["key"].dataType.simpleString()
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         hits = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat([b["ts"].value_counts() for b in batches])
         rows = rows.groupby(level=0).sum().sort_index()
         taken = [admit(hits, int(t), int(n), limit, window, unit) for t, n in rows.items()]
         state.update((list(hits),))
+        if idle_seconds:
+            state.setTimeoutDuration(idle_seconds * 1000)
         yield pd.DataFrame(
             {"key": key[0], "ts": rows.index, "requests": rows.to_numpy(), "admitted": [x[0] for x in taken],
              "retry_after_seconds": pd.array([x[1] for x in taken], dtype="Int64")})
 
     schema = f"key {key_type}, ts bigint, requests bigint, admitted bigint, retry_after_seconds bigint"
-    return requests.groupBy("key").applyInPandasWithState(step, schema, "hits array<bigint>", "append", "NoTimeout")
+    return requests.groupBy("key").applyInPandasWithState(step, schema, "hits array<bigint>", "append", "ProcessingTimeTimeout" if idle_seconds else "NoTimeout")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clipmill.operators.ranking import spread_sequence
 
 OUTPUT = "source string, window bigint, missing_frame_count bigint, features array<array<double>>"
+STREAM_OUTPUT = OUTPUT + ", late_frame bigint"
 
 
 def _usable(ok: Column, f: Column, width: int) -> Column:
@@ -42,16 +43,21 @@ def feature_windows(frames: DataFrame, n: int, width: int) -> DataFrame:
     return j.select("source", "window", (F.lit(n) - F.coalesce("ok", F.lit(0))).alias("missing_frame_count"), filled.alias("features"))
 
 
-def feature_windows_stream(frames: DataFrame, n: int, width: int) -> DataFrame:
+def feature_windows_stream(frames: DataFrame, n: int, width: int, idle_seconds: int | None = None) -> DataFrame:
     """Streaming form: a window goes out once its N frames have passed; gaps in frame_idx are missing frames.
 
-    Frames of a source arrive in order. State per source: next frame number and the open window.
+    Frames of a source arrive in order; one that comes after its place has passed goes out as a row of its own, with its number in
+    ``late_frame`` and no features. State per source: next frame number and the open window; with ``idle_seconds`` it ends
+    when a source is silent for so long.
     """
     if n <= 0:
         raise ValueError("frame count must be positive")
     zero = [0.0] * width
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         nxt, missing, held = state.get if state.exists else (0, 0, [])
         held = [list(x) for x in held]
         out = []
@@ -61,12 +67,13 @@ def feature_windows_stream(frames: DataFrame, n: int, width: int) -> DataFrame:
             held.append(zero if f is None else f)
             nxt += 1
             if len(held) == n:
-                out.append((key[0], nxt // n - 1, missing, held))
+                out.append((key[0], nxt // n - 1, missing, held, None))
                 held, missing = [], 0
 
         rows = pd.concat(list(batches)).sort_values("frame_idx")
         for idx, ok, f in rows[["frame_idx", "ok", "f"]].itertuples(index=False):
             if idx < nxt:
+                out.append((key[0], idx // n, None, None, idx))
                 continue
             while nxt < idx:
                 missing += 1
@@ -75,7 +82,10 @@ def feature_windows_stream(frames: DataFrame, n: int, width: int) -> DataFrame:
             missing += 0 if good else 1
             push([float(x) for x in f] if good and f is not None and len(f) == width else None)
         state.update((nxt, missing, held))
-        yield pd.DataFrame(out, columns=["source", "window", "missing_frame_count", "features"])
+        if idle_seconds:
+            state.setTimeoutDuration(idle_seconds * 1000)
+        table = pd.DataFrame(out, columns=["source", "window", "missing_frame_count", "features", "late_frame"])
+        yield table.astype({"missing_frame_count": "Int64", "late_frame": "Int64"})
 
     return frames.groupBy("source").applyInPandasWithState(
-        step, OUTPUT, "nxt bigint, missing bigint, held array<array<double>>", "append", "NoTimeout")
+        step, STREAM_OUTPUT, "nxt bigint, missing bigint, held array<array<double>>", "append", "ProcessingTimeTimeout" if idle_seconds else "NoTimeout")

@@ -113,3 +113,12 @@ def test_rate_audit_of_a_saturated_key(spark):
         want[t] = int(len(hits) < 20)
         hits.extend([t] * want[t])
     assert {r.ts: r.admitted for r in rows} == want and many <= few + 3
+
+
+def test_late_frames_go_out_as_rows(spark, tmp_path):
+    for part in ([("a", 0, True, [1.0]), ("a", 5, True, [1.0])], [("a", 2, True, [9.0]), ("a", 6, True, [1.0]), ("a", 7, True, [1.0])]):
+        spark.createDataFrame(part, FRAMES).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = run(spark, feature_windows_stream(src, 4, 1), "late_out").collect()
+    assert [(r.window, r.late_frame) for r in rows if r.late_frame is not None] == [(0, 2)]
+    assert sorted((r.window, r.missing_frame_count) for r in rows if r.late_frame is None) == [(0, 3), (1, 1)]
