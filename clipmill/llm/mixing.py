@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from clipmill.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one source that are summed in order by one task.
-BUCKET_ROWS = 20_000
+#: Rows of one source that are summed in order together, and (as a power of two) rows of the sorted mix that are summed as one block.
+BUCKET_ROWS, BLOCK_ROWS = 1_000, 10
 
 
 def source_weights(sizes: DataFrame, cycle: int = 3) -> DataFrame:
@@ -56,6 +56,20 @@ def water_level(sources: DataFrame, budget: int, most: int) -> float:
         level = new
 
 
+def _cut(mixed: DataFrame, budget: int, rank: tuple[str, ...]):
+    """The first row of the sorted mix that would exceed the budget; None if all fits. Looks at parts, then blocks of the part, then rows of the block."""
+    before, rows = 0, mixed
+    for shift in (33, BLOCK_ROWS):
+        held = rows.groupBy(F.shiftright("place", shift).alias("piece")).agg(F.sum("size").alias("held"))
+        upto = F.sum("held").over(Window.orderBy("piece")) + before
+        edge = held.select("piece", upto.alias("upto"), "held").filter(F.col("upto") > budget).orderBy("piece").first()
+        if edge is None:
+            return None
+        before, rows = edge.upto - edge.held, rows.filter(F.shiftright("place", shift) == edge.piece)
+    run = F.sum("size").over(Window.orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0)) + before
+    return rows.withColumn("run", run).filter(F.col("run") > budget).orderBy(*rank).first()
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         most: int = 3, share: float = 1.0, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, size, source_size, target (of its source), taken, source, weight, copies."""
@@ -92,25 +106,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .select(finish(F.col("copy")).alias("finish"), "key", "doc_id", "n", "copy", "size")
     )
     rank = ("finish", "key", "doc_id", "n", "copy")
-    mixed = stored(copies.orderBy(*rank).withColumn("part", F.spark_partition_id()), "mix-sorted")
-    parts = mixed.groupBy("part").agg(F.sum("size").alias("held"))
-    upto = F.sum("held").over(Window.orderBy("part"))
-    edge = parts.select("part", upto.alias("upto"), (upto - F.col("held")).alias("before")).filter(F.col("upto") > budget).orderBy("part").first()
-    if edge is None:
-        chosen = F.lit(True)
-    else:  # the first row that would exceed the budget: what sorts before it is taken
-        run = F.sum("size").over(Window.orderBy(*rank).rowsBetween(Window.unboundedPreceding, 0))
-        cut = mixed.filter(F.col("part") == edge.part).withColumn("run", run + edge.before).filter(F.col("run") > budget).orderBy(*rank).first()
-        chosen = None
+    # written in sort order: ``place`` holds the part and the row in it
+    mixed = stored(copies.orderBy(*rank).withColumn("place", F.monotonically_increasing_id()), "mix-sorted")
+    cut = _cut(mixed, budget, rank)
     flags = []
     for k in range(most):
         t = finish(F.lit(k))
-        if chosen is None:
+        if cut is not None:
             here = F.struct(t.alias("a"), F.col("key").alias("b"), F.col("doc_id").alias("c"), F.col("n").alias("d"), F.lit(k).alias("e"))
             last = F.struct(F.lit(cut.finish).alias("a"), F.lit(cut.key).alias("b"), F.lit(cut.doc_id).cast(dict(queued.dtypes)["doc_id"]).alias("c"), F.lit(cut.n).alias("d"), F.lit(cut.copy).alias("e"))
             taken = here < last
         else:
-            taken = chosen
+            taken = F.lit(True)
         flags.append(F.when(F.col("target").isNotNull() & (F.col("target") > 0) & (F.col("size") > 0) & taken, 1).otherwise(0))
     taken = flags[0]
     for f in flags[1:]:
