@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipmill.constants import STRICT_COLUMNS
+from clipmill.constants import MULTIWORD_COLUMNS, STRICT_COLUMNS
 from clipmill.operators import gates as G
 from clipmill.operators import labels as L
 from clipmill.operators import metrics as M
 from clipmill.operators import splits as S
+from clipmill.operators import transcripts as X
 from clipmill.plans.metric_queries import _STRICT, R, pred
 from clipmill.plans.registry import query
 from clipmill.plans.split_queries import SEED, _stratified
-from clipmill.plans.views import NORM
+from clipmill.plans.views import NORM, WORDS_SQL
 from clipmill.session import new_path
 from clipmill.sources import media as E
 from clipmill.sources import poses as Z
@@ -31,7 +32,9 @@ def entries(d):
 
 @query("A01_flatten_metadata", f"select gloss || '_' || video_id as sample_id, gloss, coalesce(split, 'unspecified') as split, video_id, signer_id, instance_id, source, fps, frame_start, frame_end from ({_INST})")
 def a01(d):
-    return Q.flatten_metadata(entries(d))
+    path = new_path(d.spark, "metadata")
+    entries(d).write.json(path)
+    return Q.read_metadata(d.spark, path, lines=True)
 
 
 @query("A02_cast_metadata", f"select gloss || '_' || video_id as sample_id, gloss, coalesce(split, 'unspecified') as split, video_id, source, case when signer_id not in ('NaN', '') then cast(signer_id as bigint) end as signer_id, cast(instance_id as bigint) as instance_id, cast(1 as bigint) as frame_start, cast(-1 as bigint) as frame_end, case when fps = '29.97' then 29.97::double end as fps from ({_INST})")
@@ -190,6 +193,17 @@ def a17(d):
     return d.spark.read.schema("sample_count bigint, correct bigint, invalid bigint, accuracy double, invalid_rate double").json(path)
 
 
+@query("A17_write_multiword", f"with {WORDS_SQL} select cast(index as bigint) as index, len(w) as expected_word_count, len(p) as predicted_word_count, array_to_string(w, ' ') as expected_text, nullif(array_to_string(p, ' '), '') as predicted_text, w = p as exact_match, {len(MULTIWORD_COLUMNS)} as columns from v_words1")
+def a17m(d):
+    path = new_path(d.spark, "multiword")
+    K.write_predictions(X.wer_rows(d.words()), MULTIWORD_COLUMNS, path)
+    rows = Q.read_csv(d.spark, path, MULTIWORD_COLUMNS)
+    big = lambda c: F.col(c).cast("bigint").alias(c)
+    return rows.select(
+        big("index"), big("expected_word_count"), big("predicted_word_count"), "expected_text", F.nullif("predicted_text", F.lit("")).alias("predicted_text"),
+        F.col("exact_match").cast("boolean").alias("exact_match"), F.lit(len(rows.columns)).alias("columns"))
+
+
 @query("A18_write_splits", f"with {_stratified('v_meta')} select split, count(*) as rows, count(*) as ids, (select count(*) from v_meta) as num_samples from sp group by split")
 def a18(d):
     path = new_path(d.spark, "splits")

@@ -21,9 +21,12 @@ def flatten_metadata(entries: DataFrame) -> DataFrame:
     )
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Nested metadata JSON, flattened. ``path`` may hold many files; each is one JSON array."""
-    return flatten_metadata(spark.read.schema(K.METADATA).option("multiLine", True).json(path))
+def read_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested metadata JSON, flattened. ``path`` may hold many files.
+
+    Each is one JSON array, which only one task can read; with ``lines`` each line is an entry, and files are split over tasks.
+    """
+    return flatten_metadata(spark.read.schema(K.METADATA).option("multiLine", not lines).json(path))
 
 
 def as_whole(c: Column) -> Column:
