@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clipmill.llm import bpe, exact_dedup, jaccard_join, mixing, quality
 from clipmill.session import stored
