@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from clipmill.llm.chunks import combined, packed, whole
 from clipmill.llm.components import components
-from clipmill.llm.tables import bucketed
+from clipmill.llm.tables import bucketed, small_batches
 from clipmill.llm.words import mix, pieces, shingles, words
 from clipmill.session import stored
 
@@ -98,7 +98,7 @@ def digests(values: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.ndar
 def _text_pieces(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 10_000):
-            yield from pieces(batch.slice(at, 10_000), "text")
+            yield from pieces(batch.slice(at, 10_000), "text", 1 << 20)
 
 
 def _profile(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
@@ -113,7 +113,7 @@ def _profile(docs: DataFrame, rule: Rule) -> tuple[DataFrame, np.ndarray]:
         total = np.zeros(COUNTERS, np.uint32)
         for part in _text_pieces(batches):
             v, o, size = sets_of(part.column(1), rule.size)
-            total += np.bincount((v & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+            np.add.at(total, (v & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
             n, cls = digests(v, o, size)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(n.astype(np.int32)), pa.array(cls), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())],
@@ -270,7 +270,8 @@ def class_links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, Data
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (to other sets, as found while connecting)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    profile, links, comps = class_links(rows, rule)
+    with small_batches(docs.sparkSession):
+        profile, links, comps = class_links(rows, rule)
     ids = profile.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     joined = ids.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = joined.groupBy("comp").agg(F.min("least").alias("component_id"))
