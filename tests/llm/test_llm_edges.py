@@ -239,6 +239,18 @@ def test_quality(spark, rows, docs, empty):
     assert quality.quality(empty).count() == 0 and quality.keep_good(empty).count() == 0
 
 
+def test_small_languages_keep_their_own_band(spark):
+    rng = np.random.default_rng(11)
+    rows = [(100, "big", float(x)) for x in rng.normal(1.6, 0.03, 3000)]
+    rows += [(100, lang, float(x)) for lang, n in (("far", 200), ("few", 50), (None, 8)) for x in rng.normal(0.1, 0.03, n)]
+    rows += [(100, "far", 1.6), (100, "few", 1.6)]
+    got = {r.lang: r for r in quality.bands(spark.createDataFrame(rows, "__n_words long, lang string, __log_ppl double")).collect()}
+    for lang in ("big", "far", "few", None):
+        own = [x for _, name, x in rows if name == lang and not (x == 1.6)]
+        assert np.mean([got[lang].low <= x <= got[lang].high for x in own]) > 0.99, lang
+    assert got["far"].high < 1.6 and got["few"].high < 1.6
+
+
 def test_character_model_sums_to_one(spark, docs):
     model = quality.train(docs).value
     p = np.exp(model.table().astype(np.float64)).reshape(-1, 1 << quality.BITS).sum(1)
