@@ -251,6 +251,37 @@ def test_small_languages_keep_their_own_band(spark):
     assert got["far"].high < 1.6 and got["few"].high < 1.6
 
 
+def test_gibberish_in_other_scripts_is_rejected(spark):
+    rng = np.random.default_rng(12)
+    letters = {"ru": "абвгдежзийклмнопрстуфхцчшщыьэюя", "el": "αβγδεζηθικλμνξοπρστυφχψω", "zh": "".join(map(chr, range(0x4E00, 0x4E00 + 600)))}
+    rows = []
+    for lang, own in letters.items():
+        own = list(own)
+        odds = rng.dirichlet(np.full(len(own), 0.4))
+        vocabulary = ["".join(rng.choice(own, rng.integers(2, 9), p=odds)) for _ in range(300)]
+        for k in range(200):
+            words = list(rng.choice(vocabulary, 150))
+            if k < 4:  # the same letters and word lengths
+                mixed = rng.permutation(list("".join(words)))
+                ends = np.cumsum([len(w) for w in words])
+                words = ["".join(mixed[e - len(w):e]) for w, e in zip(words, ends)]
+            elif k < 8:
+                words = ["".join(rng.choice(own, len(w))) for w in words]
+            rows.append((len(rows), " ".join(words), lang, k < 8))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, junk boolean").repartition(4)
+    kept = {r.doc_id for r in quality.keep_good(docs).collect()}
+    assert [r[0] for r in rows if r[3] and r[0] in kept] == []
+    assert np.mean([r[0] in kept for r in rows if not r[3]]) > 0.98
+
+
+def test_wide_letters_stay_within_their_text():
+    data = "aяb".encode() + "я".encode() + "bя日".encode()
+    at, slots = quality.wide_slots(np.frombuffer(data, np.uint8), np.array([0, 4, 6, 12]))
+    assert at.tolist() == [1, 4, 7, 9]
+    assert len(set(slots["1"][:3].tolist())) == 1 and slots["1"][3] != slots["1"][0]
+    assert slots["c2"][1] not in (slots["c2"][0], slots["c2"][2]) and len({*slots["3"].tolist()}) == 4
+
+
 def test_character_model_sums_to_one(spark, docs):
     model = quality.train(docs).value
     p = np.exp(model.table().astype(np.float64)).reshape(-1, 1 << quality.BITS).sum(1)
