@@ -36,6 +36,7 @@ KINDS = ("assign", "access", "hex")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|((?:\\x[0-9A-Fa-f]{2})+)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ud800-\udfff\ufffe\uffff]")
 LIMIT = 64 << 20
 
 
@@ -79,25 +80,27 @@ def _inflate(data: bytes, limit: int) -> bytes | None:
     return out if getattr(tool, "eof", True) else None
 
 
-def _as_text(data: bytes, limit: int) -> tuple[str, bool] | None:
-    """Readable text of the bytes and whether compression was taken off; None if they are no text."""
+def _as_text(data: bytes, limit: int) -> tuple[str, bool, bool] | None:
+    """The bytes as text, whether compression was taken off, and whether the text stands alone; None if nothing can be in it.
+
+    Bytes with many characters that text does not have may be an ordinary word that was no encoding at all, so they do not take
+    its place in the layer but are a layer of their own.
+    """
     packed, seen = False, set()
     while (more := _inflate(data, limit)) is not None:
         if data in seen:
             return None
         seen.add(data)
         data, packed = more, True
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    plain = text.replace("\n", "").replace("\r", "").replace("\t", "")
-    return (text, packed) if text and plain.isprintable() else None
+    text = data.decode("utf-8", "surrogateescape")  # a byte that is no UTF-8 is a character of its own
+    if packed or 8 * len(ODD.findall(text)) <= len(text):
+        return (text, packed, False) if text else None
+    return (text, packed, True) if scan(text) or any(x.search(text) for x in (PERCENT, ESCAPE, BASE64)) else None
 
 
 def _evenly(text: str, unit: int, begin: int):
     """Source offsets of the characters of ``text`` when every byte took ``unit`` characters."""
-    sizes = np.array([len(c.encode()) for c in text]) * unit
+    sizes = np.array([len(c.encode("utf-8", "surrogateescape")) for c in text]) * unit
     ends = begin + np.cumsum(sizes)
     return ends - sizes, ends
 
@@ -106,7 +109,7 @@ def _percent(text: str, limit: int):
     for m in PERCENT.finditer(text):
         found = _as_text(bytes.fromhex(m[0].replace("%", "")), limit)
         if found:
-            yield m.start(), m.end(), found[0], None if found[1] else _evenly(found[0], 3, m.start())
+            yield m.start(), m.end(), found[0], None if found[1] else _evenly(found[0], 3, m.start()), found[2]
 
 
 def _escapes(text: str, limit: int):
@@ -115,17 +118,17 @@ def _escapes(text: str, limit: int):
         if m[6]:
             found = _as_text(bytes.fromhex(m[6].replace("\\x", "")), limit)
             if found:
-                yield m.start(), m.end(), found[0], None if found[1] else _evenly(found[0], 4, m.start())
+                yield m.start(), m.end(), found[0], None if found[1] else _evenly(found[0], 4, m.start()), found[2]
             continue
         code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3] or m[5], 16)
         if 0xD800 <= code < 0xDC00:
             high = (m.start(), m.end(), code)
         elif 0xDC00 <= code < 0xE000:
             if high and high[1] == m.start():
-                yield high[0], m.end(), chr(0x10000 + ((high[2] - 0xD800) << 10) + code - 0xDC00), None
+                yield high[0], m.end(), chr(0x10000 + ((high[2] - 0xD800) << 10) + code - 0xDC00), None, False
             high = None
         elif 0 < code < 0x110000:
-            yield m.start(), m.end(), chr(code), None
+            yield m.start(), m.end(), chr(code), None, False
 
 
 def _base64(text: str, limit: int):
@@ -142,7 +145,7 @@ def _base64(text: str, limit: int):
         if not found[1]:
             first, last = _evenly(found[0], 1, 0)
             where = m.start() + first * 4 // 3, m.start() + -(-last * 4 // 3)
-        yield m.start(), m.end(), found[0], where
+        yield m.start(), m.end(), found[0], where, found[2]
 
 
 DECODERS = ((lambda t: "%" in t, _percent), (lambda t: "\\" in t or "&#" in t, _escapes), (lambda t: True, _base64))
@@ -162,7 +165,7 @@ class Layer:
         start = np.arange(len(self.text)) if self.start is None else self.start
         end = np.arange(1, len(self.text) + 1) if self.end is None else self.end
         text, starts, ends, at = [], [], [], 0
-        for a, b, new, where in places:
+        for a, b, new, where, _ in places:
             text += [self.text[at:a], new]
             low, high = where or (np.full(len(new), a), np.full(len(new), b))
             starts += [start[at:a], start[low]]
@@ -171,6 +174,12 @@ class Layer:
         text.append(self.text[at:])
         return Layer("".join(text), np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]))
 
+    def alone(self, place) -> "Layer":
+        """Only what the place decodes to."""
+        a, b, new, _, _ = place
+        whole = self.child([place])
+        return Layer(new, whole.start[a:a + len(new)], whole.end[a:a + len(new)])
+
 
 def layers(text: str, limit: int = LIMIT):
     """The worklist: every layer of a document, the text first. A last None says that the limit ended it."""
@@ -186,18 +195,20 @@ def layers(text: str, limit: int = LIMIT):
             except OverflowError:
                 yield None
                 continue
-            if not places:
-                continue
-            child = layer.child(places)
-            key = hash(child.text)
-            if key in seen:
-                continue
-            seen.add(key)
-            total += len(child.text)
-            if total > limit + 64 * len(text):
-                yield None
-                return
-            queue.append(child)
+            inside = [x for x in places if not x[4]]
+            children = [(hash((x[2], x[:2])), layer.alone(x)) for x in places if x[4]]
+            if inside:
+                child = layer.child(inside)
+                children.append((hash(child.text), child))
+            for key, child in children:
+                if key in seen:
+                    continue
+                seen.add(key)
+                total += len(child.text)
+                if total > limit + 64 * len(text):
+                    yield None
+                    return
+                queue.append(child)
 
 
 def find(text: str, limit: int = LIMIT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:

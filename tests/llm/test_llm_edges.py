@@ -318,6 +318,17 @@ def test_layers_of_secrets(wrap):
         assert kind == 0 and 0 <= start < end <= len(text)
 
 
+@pytest.mark.parametrize("odd", [b"\xef\xbb\xbf", b"\xc2\xa0", b"\xe3\x80\x80", b"\xe2\x80\x8d", b"\xc2\xad", b"\x0c", b"\x0b", b"\x1b", b"\xe9", b"\x00\x01\x02\xff" * 30])
+def test_layers_with_characters_that_are_not_printable(odd):
+    b64, quote = __import__("base64").b64encode, __import__("urllib.parse").parse.quote
+    data = odd + b' some words, password = "hunter2secret" and more of them'
+    for text in (b64(data).decode(), b64(__import__("gzip").compress(data)).decode(), quote(data, safe="")):
+        base, every, complete = secrets.find(f"x {text} y")
+        assert complete and not base and len(every) == 1 and every[0][1] == 0, odd
+    plain = secrets.find("my_secret_password_token = aHVudGVyMnNlY3JldCBvciBzbw==")
+    assert len(plain[0]) == 1  # words that look like base64 keep their place
+
+
 def test_layers_end():
     loop = "%2525" * 50
     assert secrets.find(loop)[2]
