@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 A document starts as one layer, its whole text. Each layer is scanned for secrets, then decoded in every way that applies:
-percent escapes, Unicode escapes and numeric entities, base64, and compressed bytes behind any of them. Decoding replaces the encoded
+percent escapes, Unicode escapes and numeric entities, base64 (also wrapped over lines), and compressed bytes behind any of them. Decoding replaces the encoded
 places within the layer, so a secret whose name stands outside them is found as well, and gives a new layer, which is
 worked on in turn until no new one appears. A layer seen before in this document is not taken again, which ends cycles. Every character of a layer
 knows which code points of the original text it came from, so spans are always those of the document.
@@ -20,6 +20,8 @@ import lzma
 import re
 import zlib
 from collections import deque
+from itertools import islice
+from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,12 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|((?:\\x[0-9A-Fa-f]{2})+)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ud800-\udfff\ufffe\uffff]")
+#: Runs of base64 characters on lines that follow each other, also behind quote marks, and the names that quoted compressed bytes begin with.
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]++)+={0,2}")
+TOKEN = re.compile(r"\S+")
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x08-\x78][\x01\x5e\x9c\xda]")
+BYTE = re.compile(rb"%[0-9A-Fa-f]{2}|[\x00-\xff]", re.S)
 LIMIT = 64 << 20
 
 
@@ -131,14 +139,38 @@ def _escapes(text: str, limit: int):
             yield m.start(), m.end(), chr(code), None, False
 
 
+def _quoted(text: str, limit: int):
+    """Compressed bytes that percent escapes stand for, with some bytes left bare: from a magic number to the end of its token."""
+    for m in TOKEN.finditer(text):
+        if PERCENT.search(text, m.start(), m.end()) is None:
+            continue
+        token = m[0].encode("utf-8", "surrogateescape")
+        for form in (token, token.replace(b"+", b" ")) if b"+" in token else (token,):
+            data = unquote_to_bytes(form)
+            for at in MAGIC.finditer(data):
+                if _inflate(memoryview(data)[at.start():], limit) is None:
+                    continue
+                found = _as_text(data[at.start():], limit)
+                if found and found[1]:
+                    place = next(islice(BYTE.finditer(form), at.start(), None)).start()
+                    yield m.start() + len(form[:place].decode("utf-8", "surrogateescape")), m.end(), found[0], None, found[2]
+                    break
+            else:
+                continue
+            break
+
+
+def _unbase(body: str) -> bytes | None:
+    if ("+" in body or "/" in body) and ("-" in body or "_" in body):
+        return None
+    body = body[:len(body) - (len(body) % 4 == 1)]
+    return base64.urlsafe_b64decode(body.replace("+", "-").replace("/", "_") + "=" * (-len(body) % 4))
+
+
 def _base64(text: str, limit: int):
     for m in BASE64.finditer(text):
-        body = m[0].rstrip("=")
-        if ("+" in body or "/" in body) and ("-" in body or "_" in body):
-            continue
-        body = body[:len(body) - (len(body) % 4 == 1)]
-        data = base64.urlsafe_b64decode(body.replace("+", "-").replace("/", "_") + "=" * (-len(body) % 4))
-        found = _as_text(data, limit)
+        data = _unbase(m[0].rstrip("="))
+        found = data and _as_text(data, limit)
         if not found:
             continue
         where = None
@@ -148,7 +180,59 @@ def _base64(text: str, limit: int):
         yield m.start(), m.end(), found[0], where, found[2]
 
 
-DECODERS = ((lambda t: "%" in t, _percent), (lambda t: "\\" in t or "&#" in t, _escapes), (lambda t: True, _base64))
+def _blocks(runs):
+    """Ranges of lines that may be one wrapped text: all, all without the first or last, and equal lines with and without those around."""
+    n = len(runs)
+    size = [b - a for a, b in runs]
+    yield [(i, j) for i, j in ((0, n), (1, n), (0, n - 1), (1, n - 1)) if j - i > 1]
+    i = 0
+    while i < n:
+        j = i + 1
+        while j < n and size[j] == size[i]:
+            j += 1
+        if size[i] >= 16:
+            yield [(a, b) for a, b in ((i - 1, j + 1), (i, j + 1), (i - 1, j), (i, j)) if a >= 0 and b <= n and b - a > 1]
+        i = j
+
+
+def _wrapped(text: str, limit: int):
+    """Base64 over several lines."""
+    for m in WRAPPED.finditer(text):
+        runs = [(r.start(), r.end()) for r in RUN.finditer(text, m.start(), m.end())]
+        if sum(b - a for a, b in runs) < 16:
+            continue
+        done = 0
+        for ranges in _blocks(runs):
+            doubtful = None
+            for i, j in ranges:
+                if i < done:
+                    continue
+                data = _unbase("".join(text[a:b] for a, b in runs[i:j]))
+                found = data and _as_text(data, limit)
+                if not found or found[2]:
+                    doubtful = doubtful or found and (i, j, found)
+                    continue
+                yield _lines(runs[i:j], m.end() if j == len(runs) else runs[j - 1][1], found)
+                done, doubtful = j, None
+                break
+            if doubtful:
+                yield _lines(runs[doubtful[0]:doubtful[1]], runs[doubtful[1] - 1][1], doubtful[2])
+            if done >= len(runs) - 1:
+                break
+
+
+def _lines(runs, end: int, found):
+    where = None
+    if not found[1]:
+        at = np.concatenate([np.arange(a, b) for a, b in runs])
+        first, last = _evenly(found[0], 1, 0)
+        where = at[first * 4 // 3], at[-(-last * 4 // 3) - 1] + 1
+    return runs[0][0], end, found[0], where, found[2]
+
+
+DECODERS = (
+    (lambda t: "%" in t, _percent), (lambda t: "%" in t, _quoted), (lambda t: "\\" in t or "&#" in t, _escapes),
+    (lambda t: True, _base64), (lambda t: "\n" in t, _wrapped))
 
 
 class Layer:
@@ -213,7 +297,7 @@ def layers(text: str, limit: int = LIMIT):
 
 def find(text: str, limit: int = LIMIT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
     """Base matches, all matches (start, kind, end) and whether every layer was read."""
-    if BASE64.search(text) is None and "%" not in text and "\\" not in text and "&#" not in text:
+    if BASE64.search(text) is None and WRAPPED.search(text) is None and "%" not in text and "\\" not in text and "&#" not in text:
         base = sorted(scan(text)) if ":" in text or "=" in text else []
         return base, base, True
     base, every, complete = [], set(), True

@@ -329,6 +329,31 @@ def test_layers_with_characters_that_are_not_printable(odd):
     assert len(plain[0]) == 1  # words that look like base64 keep their place
 
 
+def test_layers_of_wrapped_and_partly_quoted_text():
+    import base64, bz2, gzip, lzma, textwrap, urllib.parse, zlib
+
+    rng = np.random.default_rng(8)
+    noise = " ".join("".join(rng.choice(list("ghijklmnop"), 7)) for _ in range(60))
+    for body in (f"{noise} password = hunter2secret {noise}", f"{noise} password = hunter2secret"):
+        for pack in (lambda b: b, gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+            data = pack(body.encode())
+            wrapped = [base64.encodebytes(data).decode(), *("\n".join(textwrap.wrap(base64.b64encode(data).decode(), w)) for w in (10, 64))]
+            for lines in wrapped:
+                begin = "a mail\n\n-----BEGIN DATA-----\n"
+                for text in (lines, f"word: {lines}", f"{begin}{lines.strip()}\n-----END DATA-----\n", "> " + lines.strip().replace("\n", "\r\n> ") + "\r\nbye"):
+                    base, every, complete = secrets.find(text)
+                    assert complete and not base and len({x for x in every if x[1] == 0}) >= 1, text
+                    assert all(0 <= a < b <= len(text) for a, _, b in every)
+            if pack(b"") != b"":
+                for text in (urllib.parse.quote(data), urllib.parse.quote_plus(data), f"q é data={urllib.parse.quote(data)}&x=1 end"):
+                    base, every, _ = secrets.find(text)
+                    assert not base and every, text
+    data = base64.b64encode(f"{noise} password = hunter2secret".encode()).decode()
+    text = data[:76] + "\n" + data[76:-5] + "\n" + data[-5:]
+    start, _, end = max(secrets.find(text)[1], key=lambda x: x[2] - x[0])
+    assert end >= len(text.rstrip("=")) - 1 and 32 <= end - start <= 38  # 24 bytes over at most three lines
+
+
 def test_layers_end():
     loop = "%2525" * 50
     assert secrets.find(loop)[2]
