@@ -6,8 +6,9 @@ places within the layer, so a secret whose name stands outside them is found as
 worked on in turn until no new one appears. A layer seen before in this document is not taken again, which ends cycles. Every character of a layer
 knows which code points of the original text it came from, so spans are always those of the document.
 
-Defined limits: unpacking stops where the layers of one document exceed ``limit`` characters (against archive bombs); such rows
-have ``complete`` false. Null and empty texts have no spans. Repeated rows are scanned each for itself. An empty table gives
+Defined limits (against archive bombs): of a place that unpacks to more than ``limit`` bytes the first ``limit`` are scanned, as a
+layer of their own that is not unpacked further; once the layers of one document exceed ``limit`` characters, new layers are scanned but
+not unpacked. Nothing else of the document is affected; such rows have ``complete`` false. Null and empty texts have no spans. Repeated rows are scanned each for itself. An empty table gives
 no rows. Extra columns are ignored.
 """
 
@@ -46,6 +47,8 @@ TOKEN = re.compile(r"\S+")
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x08-\x78][\x01\x5e\x9c\xda]")
 BYTE = re.compile(rb"%[0-9A-Fa-f]{2}|[\x00-\xff]", re.S)
 LIMIT = 64 << 20
+#: A decoded place takes its place in the layer, is a layer of its own, or is the beginning of one that is beyond the limit.
+INSIDE, ALONE, CUT = range(3)
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -58,8 +61,8 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def _inflate(data: bytes, limit: int) -> bytes | None:
-    """One layer of compression off, None if there is none or it is broken; raises ``OverflowError`` beyond the limit."""
+def _inflate(data: bytes, limit: int) -> tuple[bytes, bool] | None:
+    """One layer of compression off and whether more than the limit, which is cut, was behind it; None if there is none or it is broken."""
     if data[:3] == b"\x1f\x8b\x08":
         tool = zlib.decompressobj(31)
     elif len(data) > 2 and data[0] & 0x0F == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
@@ -74,9 +77,7 @@ def _inflate(data: bytes, limit: int) -> bytes | None:
                 out = reader.read(limit + 1)
         except zstandard.ZstdError:
             return None
-        if len(out) > limit:
-            raise OverflowError
-        return out
+        return out[:limit], len(out) > limit
     else:
         return None
     try:
@@ -84,26 +85,26 @@ def _inflate(data: bytes, limit: int) -> bytes | None:
     except (zlib.error, OSError, lzma.LZMAError, ValueError):
         return None
     if len(out) > limit:
-        raise OverflowError
-    return out if getattr(tool, "eof", True) else None
+        return out[:limit], True
+    return (out, False) if tool.eof else None
 
 
-def _as_text(data: bytes, limit: int) -> tuple[str, bool, bool] | None:
-    """The bytes as text, whether compression was taken off, and whether the text stands alone; None if nothing can be in it.
+def _as_text(data: bytes, limit: int) -> tuple[str, bool, int] | None:
+    """The bytes as text, whether compression was taken off, and how the text stands: ``INSIDE``, ``ALONE`` or ``CUT``; None if nothing can be in it.
 
     Bytes with many characters that text does not have may be an ordinary word that was no encoding at all, so they do not take
     its place in the layer but are a layer of their own.
     """
-    packed, seen = False, set()
-    while (more := _inflate(data, limit)) is not None:
+    packed, cut, seen = False, False, set()
+    while not cut and (more := _inflate(data, limit)) is not None:
         if data in seen:
             return None
         seen.add(data)
-        data, packed = more, True
+        (data, cut), packed = more, True
     text = data.decode("utf-8", "surrogateescape")  # a byte that is no UTF-8 is a character of its own
     if packed or 8 * len(ODD.findall(text)) <= len(text):
-        return (text, packed, False) if text else None
-    return (text, packed, True) if scan(text) or any(x.search(text) for x in (PERCENT, ESCAPE, BASE64)) else None
+        return (text, packed, CUT if cut else INSIDE) if text else None
+    return (text, packed, ALONE) if scan(text) or any(x.search(text) for x in (PERCENT, ESCAPE, BASE64)) else None
 
 
 def _evenly(text: str, unit: int, begin: int):
@@ -133,10 +134,10 @@ def _escapes(text: str, limit: int):
             high = (m.start(), m.end(), code)
         elif 0xDC00 <= code < 0xE000:
             if high and high[1] == m.start():
-                yield high[0], m.end(), chr(0x10000 + ((high[2] - 0xD800) << 10) + code - 0xDC00), None, False
+                yield high[0], m.end(), chr(0x10000 + ((high[2] - 0xD800) << 10) + code - 0xDC00), None, INSIDE
             high = None
         elif 0 < code < 0x110000:
-            yield m.start(), m.end(), chr(code), None, False
+            yield m.start(), m.end(), chr(code), None, INSIDE
 
 
 def _quoted(text: str, limit: int):
@@ -260,13 +261,32 @@ class Layer:
 
     def alone(self, place) -> "Layer":
         """Only what the place decodes to."""
-        a, b, new, _, _ = place
-        whole = self.child([place])
-        return Layer(new, whole.start[a:a + len(new)], whole.end[a:a + len(new)])
+        a, b, new, where, _ = place
+        low, high = where or (np.full(len(new), a), np.full(len(new), b))
+        high = np.minimum(high, b)
+        return Layer(new, low, high) if self.start is None else Layer(new, self.start[low], self.end[high - 1])
+
+
+def _children(layer: Layer, decode, limit: int):
+    """(key, layer, whether it is whole) of what one decoder makes of a layer: places together as long as they fit the limit."""
+    places, size = [], 0
+    for place in decode(layer.text, limit):
+        if place[4] != INSIDE:
+            yield hash((place[2], place[:2])), layer.alone(place), place[4] != CUT
+            continue
+        if places and size + len(place[2]) > limit:
+            child = layer.child(places)
+            yield hash(child.text), child, True
+            places, size = [], 0
+        places.append(place)
+        size += len(place[2])
+    if places:
+        child = layer.child(places)
+        yield hash(child.text), child, True
 
 
 def layers(text: str, limit: int = LIMIT):
-    """The worklist: every layer of a document, the text first. A last None says that the limit ended it."""
+    """The worklist: every layer of a document, the text first. A None says that the limit kept the layer before it from being unpacked further."""
     queue, seen, total = deque([Layer(text)]), {hash(text)}, 0
     while queue:
         layer = queue.popleft()
@@ -274,25 +294,16 @@ def layers(text: str, limit: int = LIMIT):
         for applies, decode in DECODERS:
             if not applies(layer.text):
                 continue
-            try:
-                places = list(decode(layer.text, limit))
-            except OverflowError:
-                yield None
-                continue
-            inside = [x for x in places if not x[4]]
-            children = [(hash((x[2], x[:2])), layer.alone(x)) for x in places if x[4]]
-            if inside:
-                child = layer.child(inside)
-                children.append((hash(child.text), child))
-            for key, child in children:
+            for key, child, whole in _children(layer, decode, limit):
                 if key in seen:
                     continue
                 seen.add(key)
-                total += len(child.text)
-                if total > limit + 64 * len(text):
+                if whole and total + len(child.text) <= limit + 64 * len(text):
+                    total += len(child.text)
+                    queue.append(child)
+                else:
+                    yield child
                     yield None
-                    return
-                queue.append(child)
 
 
 def find(text: str, limit: int = LIMIT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:

@@ -363,6 +363,23 @@ def test_layers_end():
     assert found[0] == [] and found[1] == [(0, 0, 26)]
 
 
+def test_an_archive_beyond_the_limit_leaves_the_rest():
+    import base64, gzip, zlib
+
+    b64 = lambda b: base64.b64encode(b).decode()
+    small = [f"password = hunter2secret{k}".encode() for k in range(4)]
+    bomb = b64(zlib.compress(b"token = 0123456789 " + b"a " * 5_000_000))
+    text = f"one {b64(small[0])} two {bomb} three {b64(gzip.compress(small[1], mtime=0))} four {b64(b64(small[2]).encode())} %70assword%20= hunter2secret3"
+    base, every, complete = secrets.find(text, limit=1_000_000)
+    assert not complete and not base
+    for part in (b64(small[0]), bomb, b64(gzip.compress(small[1], mtime=0)), b64(b64(small[2]).encode()), "%70assword%20= hunter2secret3"):
+        at = text.index(part)
+        assert any(at <= a < b <= at + len(part) for a, _, b in every), part[:30]
+    many = " ".join(b64(gzip.compress(f"password = hunter2secret{k} ".encode() + b"a " * 200_000)) for k in range(12))
+    every, complete = secrets.find(many, limit=1_000_000)[1:]
+    assert len({a for a, _, _ in every}) == 12 and not complete
+
+
 def test_toxicity(spark, rows, docs, empty):
     labels = spark.createDataFrame([(r[0], int(k % 2), None) for k, r in enumerate(rows)], "doc_id long, toxic int, score double")
     got = toxicity.score_with_labels(docs, labels)
