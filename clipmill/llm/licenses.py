@@ -4,7 +4,8 @@ Words are runs of letters and digits in lower case, shingles have three words. T
 (8, 16, 32, ... words). A class's windows are a quarter of its length longer than its longest template and start
 that often, so each occurrence lies wholly in some window. With at least ``CONTAINED`` of a template's shingles in it, the window's
 Jaccard similarity to the template has a lower bound; ``bands_for`` takes as many bands as make a collision at that bound certain
-up to ``MISS``. A window that shares a band with a template is held against it exactly.
+up to ``MISS``. A window that shares a band with a template is held against it exactly. Templates that differ from relatives in a word or
+two (version, lesser, affero) also need the shingles of ``REQUIRED``.
 
 Windows are cut over a whole piece of a batch at once; shingles never cross texts. Null and empty texts have no licenses.
 Repeated rows are scanned each for itself. An empty table gives no rows. Extra columns are ignored.
@@ -54,6 +55,51 @@ TEMPLATES = {
         "You can obtain one at https://mozilla.org/MPL/2.0/."),
 }
 
+_GNU = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by "
+    "the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, "
+    "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details.")
+#: Words that a match must hold besides its share: what tells a version or kind from its relatives. And notices that hold another one whole.
+REQUIRED = {"gpl-3.0": ("the GNU General Public License, version 3",), "gpl-3.0-notice": ("the GNU General Public License", "either version 3 of the")}
+SUPERSEDES = {"bsd-3-clause": "bsd-2-clause"}
+#: More families and versions, as short lines, notices (GPL family) and title lines of full texts.
+FAMILIES: dict[str, str] = {}
+
+
+def _family(name: str, text: str, *required: str) -> None:
+    FAMILIES[name] = text
+    REQUIRED[name] = required
+
+
+for _name, _kind, _version, _date in (("gpl-2.0", "", "2", "June 1991"), ("gpl-3.0", "", "3", "29 June 2007"), ("lgpl-2.1", "Lesser ", "2.1", "February 1999"),
+                                      ("lgpl-3.0", "Lesser ", "3", "29 June 2007"), ("agpl-3.0", "Affero ", "3", "19 November 2007")):
+    if _name != "gpl-3.0":
+        _family(_name, f"This work is licensed under the GNU {_kind}General Public License, version {_version}.", f"GNU {_kind}General Public License, version {_version}")
+        _what = "library" if _kind == "Lesser " else "program"
+        _family(f"{_name}-notice", _GNU.format(what=_what, kind=_kind, version=_version), f"the GNU {_kind}General Public License", f"either version {_version} of the")
+    _family(f"{_name}-text", f"GNU {_kind}GENERAL PUBLIC LICENSE Version {_version}, {_date}", f"GNU {_kind}General Public License Version {_version}")
+for _short, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+                      ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    for _version, _port in (("4.0", "International"), ("3.0", "Unported")):
+        _name = f"cc-{_short.lower()}-{_version}"
+        if _name not in TEMPLATES:
+            _family(_name, f"Licensed under CC {_short} {_version}.", f"CC {_short} {_version}")
+        _family(f"{_name}-notice", f"This work is licensed under a Creative Commons {_long} {_version} {_port} License.", f"Creative Commons {_long} {_version}")
+_family("cc0-1.0", "Licensed under CC0 1.0.", "under CC0 1.0")
+_family("cc0-1.0-text", "CC0 1.0 Universal Public Domain Dedication", "CC0 1.0 Universal")
+_family("apache-2.0-text", "Apache License Version 2.0, January 2004", "Apache License Version 2.0")
+_family("mpl-2.0-text", "Mozilla Public License Version 2.0", "License Version 2.0")
+_family("bsd-3-clause", TEMPLATES["bsd-2-clause"] + (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."), "to endorse or promote products derived from this software")
+_family("isc", (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+    "and this permission notice appear in all copies."), "with or without fee")
+_family("unlicense", (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+    "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."), "free and unencumbered software")
+ALL = TEMPLATES | FAMILIES
+
 
 def bands_for(similarity: float, miss: float = MISS, most: int = 256) -> tuple[int, int]:
     """(bands, rows a band) with the fewest hashes whose chance to miss a pair of that similarity is at most ``miss``."""
@@ -67,6 +113,12 @@ def bands_for(similarity: float, miss: float = MISS, most: int = 256) -> tuple[i
     return min(found)[1:]
 
 
+def _shingles_of(text: str) -> np.ndarray:
+    w = words(pa.array([text]), lower=True, blank=MARKS)
+    s, ok = shingles(w.hashes(), w.first, SHINGLE)
+    return s[ok]
+
+
 class Index:
     """Templates by length class, with the band settings that their windows need."""
 
@@ -83,6 +135,7 @@ class Index:
             self.classes.setdefault(size, []).append(k)
             need = math.ceil(CONTAINED * len(own))
             bound = min(bound, need / (self.window(size) + len(own) - need))
+        self.required = [np.concatenate([np.zeros(0, np.uint64), *(_shingles_of(x) for x in REQUIRED.get(name, ()))]) for name in self.names]
         self.bands, self.rows = bands_for(bound)
         if self.rows != 1:
             raise ValueError("templates of this length need bands of several rows")  # not reached by windows of 1.25 template lengths
@@ -147,7 +200,7 @@ def matches(index: Index, column) -> list[list[tuple[int, int, str, float]]]:
         for d in np.unique(doc[inside]):
             own = inside[doc[inside] == d]
             share = len(np.unique(s[own])) / len(template)
-            if share >= CONTAINED:
+            if share >= CONTAINED and np.isin(index.required[t], s[own]).all():
                 hits.setdefault((int(d), t), []).append((int(own[0]), int(own[-1]) + SHINGLE - 1, share))
     for (d, t), found in hits.items():
         merged: list[list] = []
@@ -160,10 +213,14 @@ def matches(index: Index, column) -> list[list[tuple[int, int, str, float]]]:
         for a, b, share in merged:
             point = lambda byte: int(((w.data[base:byte] & 0xC0) != 0x80).sum())
             out[d].append((point(int(w.starts[a])), point(int(w.ends[b])), index.names[t], share))
+    for d, found in enumerate(out):
+        covered = [(SUPERSEDES[name], a, b) for a, b, name, _ in found if name in SUPERSEDES]
+        if covered:
+            out[d] = [x for x in found if not any(x[2] == name and x[0] < b and a < x[1] for name, a, b in covered)]
     return [sorted(x) for x in out]
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def licenses(docs: DataFrame, templates: dict[str, str] = ALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, licenses (names, sorted), n_matches, spans (name:start:end, by start)."""
     index = docs.sparkSession.sparkContext.broadcast(Index(templates))  # as large as the templates
     kind = docs.schema[id_col].dataType.simpleString()

@@ -409,6 +409,24 @@ def test_licenses(spark, rows, docs, empty):
     assert (1 - 0.25**size) ** bands <= licenses.MISS
 
 
+def test_license_families_and_versions():
+    import pyarrow as pa
+
+    line = "This work is licensed under the GNU {}General Public License, version {}."
+    notice = licenses.TEMPLATES["gpl-3.0-notice"]
+    cases = [(line.format("", 2), {"gpl-2.0"}), (line.format("", 3), {"gpl-3.0"}), (line.format("Lesser ", 3), {"lgpl-3.0"}), (line.format("Affero ", 3), {"agpl-3.0"}),
+             (notice, {"gpl-3.0-notice"}), (notice.replace("version 3", "version 2").replace("software:", "software;"), {"gpl-2.0-notice"}),
+             (notice.replace("GNU General", "GNU Affero General"), {"agpl-3.0-notice"}), (notice.replace("GNU General", "GNU Lesser General"), {"lgpl-3.0-notice"}),
+             ("Licensed under CC BY-SA 4.0.", {"cc-by-sa-4.0"}), ("Licensed under CC0 1.0.", {"cc0-1.0"}),
+             ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", {"cc-by-sa-4.0-notice"}),
+             (licenses.FAMILIES["bsd-3-clause"], {"bsd-3-clause"}), (licenses.TEMPLATES["bsd-2-clause"], {"bsd-2-clause"}),
+             (licenses.FAMILIES["isc"], {"isc"}), (licenses.FAMILIES["unlicense"], {"unlicense"}), ("GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991", {"gpl-2.0-text"})]
+    found = licenses.matches(licenses.Index(licenses.ALL), pa.array([f"some words before it {text} and some after it" for text, _ in cases]))
+    assert [{m[2] for m in x} for x in found] == [want for _, want in cases]
+    own = licenses.matches(licenses.Index(licenses.ALL), pa.array(list(licenses.ALL.values())))
+    assert all(name in {m[2] for m in x} for name, x in zip(licenses.ALL, own))
+
+
 def test_language(spark, docs, empty):
     pages = spark.createDataFrame([(1, "http://a.example.de/x", '<html lang="de-DE"><p>w1 w2 w3</p>', 1), (2, None, None, 2), (3, "not a url", "", 3), (1, "http://a.example.de/x", '<html lang="de-DE"><p>w1 w2 w3</p>', 1)], "page_id long, url string, html string, host int")
     got = language.identify(pages, docs)
