@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clipmill.llm import bpe, exact_dedup, jaccard_join, language, licenses, mixing, quality, secrets, token_files, toxicity
+from clipmill.llm import bpe, centroids, exact_dedup, jaccard_join, language, licenses, mixing, quality, secrets, token_files, toxicity, vector_codes, vector_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -110,6 +110,22 @@ c as (select doc_id, min(other) as component_id from reach group by 1)
 select n.doc_id, n_shingles, component_id from n join c on n.doc_id = c.doc_id
 """
 
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector with its product code and error."""
+    coded = vector_codes.vector_codes(_embeddings(spark, sf_dir))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector with its cluster."""
+    return centroids.centroids(_embeddings(spark, sf_dir))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_secret_scan": (op2_secret_scan, None),
@@ -121,6 +137,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_mix_sources": (op8_mix_sources, OP8_SQL),
     "op9_token_files": (op9_token_files, None),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
+    "op11_vector_codes": (op11_vector_codes, vector_sql.codes()),
+    "op13_centroids": (op13_centroids, vector_sql.clusters()),
 }
 
 
