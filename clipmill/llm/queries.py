@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clipmill.llm import bpe, centroids, exact_dedup, jaccard_join, language, licenses, mixing, quality, secrets, token_files, toxicity, vector_codes, vector_sql
+from clipmill.llm import bpe, centroids, exact_dedup, jaccard_join, language, licenses, minmax, mixing, quality, secrets, token_files, toxicity, vector_codes, vector_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,6 +121,25 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest id that near-copy links reach from it."""
+    return minmax.near_groups(_documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+g as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as set_of from t),
+n as (select doc_id, cast(len(set_of) as bigint) as n_shingles from g),
+e as (select doc_id, unnest(set_of) as s from g),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from e a join e b on a.s = b.s and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)),
+reach as (select doc_id, doc_id as other from n union select r.doc_id, l.b from reach r join links l on r.other = l.a),
+c as (select doc_id, min(other) as component_id from reach group by 1)
+select n.doc_id, n_shingles, component_id, n.doc_id = component_id as kept from n join c on n.doc_id = c.doc_id
+"""
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every usable vector with its cluster."""
     return centroids.centroids(_embeddings(spark, sf_dir))
@@ -138,6 +157,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op9_token_files": (op9_token_files, None),
     "op10_ngram_jaccard_join": (op10_ngram_jaccard_join, OP10_SQL),
     "op11_vector_codes": (op11_vector_codes, vector_sql.codes()),
+    "op12_minmax_dedup": (op12_minmax_dedup, OP12_SQL),
     "op13_centroids": (op13_centroids, vector_sql.clusters()),
 }
 
