@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 CHUNK = 1 << 16
 
 
-def packed(array: np.ndarray):
-    """(chunk number, compressed bytes) of every chunk that is not all zero."""
+def packed(array: np.ndarray, dtype=None):
+    """(chunk number, compressed bytes) of every chunk that is not all zero, as ``dtype`` if given."""
     pack = zstandard.ZstdCompressor(level=1)
     for k, at in enumerate(range(0, len(array), CHUNK)):
         part = array[at:at + CHUNK]
         if part.any():
-            yield k, pack.compress(part.tobytes())
+            yield k, pack.compress((part if dtype is None else part.astype(dtype)).tobytes())
 
 
 def combined(parts: DataFrame, dtype: str, combine: str, finish=None) -> dict[int, bytes]:
