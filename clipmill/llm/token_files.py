@@ -15,11 +15,11 @@ An empty table gives no files. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,51 +30,87 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipmill.llm.bpe import LETTER, OTHER, SPACE, tokenizer
+from clipmill.llm.bpe import tokenizer
+from clipmill.llm.byte_words import cut
+from clipmill.llm.words import buffers, pieces, span_hashes
 from clipmill.session import new_path, stored
 
-FRAME_IDS, FILE_BYTES, CACHE_WORDS, READ_BYTES = 1 << 22, 64 << 20, 300_000, 4 << 20
+FRAME_IDS, FILE_BYTES, CACHE_WORDS, READ_BYTES, PIECE = 1 << 22, 64 << 20, 1 << 20, 4 << 20, 2 << 20
 # Fixed values of the public seekable format, and the index frame's own mark.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE, WITH_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-# Fixed values of the tokenizer file: its pattern and its special token.
-WORD = re.compile(rf" ?[{LETTER}]+| ?[0-9]+|'s|'t|'re|'ve|'m|'ll|'d| ?[^{SPACE}{LETTER}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-SPECIAL = "<|endoftext|>"
+# Fixed value of the tokenizer file: its special token.
+SPECIAL = b"<|endoftext|>"
 
 
-class Known(dict):
-    """Ids of words as bytes. New words come from the library; when full, words not used since the last time are forgotten."""
+class Encoder:
+    """Ids of a batch of texts: words are cut at byte level, every distinct word of the batch is looked up once.
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.tok, self.before = tokenizer(path), {}
+    Words are known by a 64-bit hash of their bytes, in arrays sorted by it; new ones come from the library. When there are too many,
+    words that were not looked up since the last time are forgotten.
+    """
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.before.get(word)
-        if ids is None:
-            ids = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.before = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+    def __init__(self, path: str):
+        self.tok = tokenizer(path)
+        self._keep(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+
+    def _keep(self, hashes, first, size, ids) -> None:
+        self.hashes, self.first, self.size, self.ids, self.used = hashes, first, size, ids, np.zeros(len(hashes), bool)
+
+    def _forget(self) -> None:
+        stay = self.used if self.used.sum() <= CACHE_WORDS // 2 else np.zeros(len(self.used), bool)
+        size, first = self.size[stay], self.first[stay]
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(first - upto + size, size) + np.arange(size.sum())]
+        self._keep(self.hashes[stay], upto - size, size, ids)
+
+    def _places(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where the (sorted, distinct) words stand in the arrays; words not known yet are added."""
+        at = np.searchsorted(self.hashes, hashes)
+        has = at < len(self.hashes)
+        has[has] = self.hashes[at[has]] == hashes[has]
+        new = np.flatnonzero(~has)
+        if len(new):
+            text = data.tobytes()
+            words = [text[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+            got = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+            size = np.array([len(x) for x in got], np.int64)
+            ids = np.fromiter(chain.from_iterable(got), "<u4", int(size.sum()))
+            place, used = at[new], self.used
+            self._keep(np.insert(self.hashes, place, hashes[new]), np.insert(self.first, place, len(self.ids) + np.cumsum(size) - size), np.insert(self.size, place, size), np.concatenate([self.ids, ids]))
+            self.used = np.insert(used, place, True)
+            at = np.searchsorted(self.hashes, hashes)
+        self.used[at] = True
+        return at
+
+    def batch(self, column) -> list[bytes]:
+        """Ids of every text as little-endian bytes; a null text has none."""
+        data, offsets = buffers(column)
+        starts, odd = cut(data, offsets)
+        text = data.tobytes()
+        special = text.find(SPECIAL)
+        while special >= 0:
+            odd[np.searchsorted(offsets, special, "right") - 1] = True
+            special = text.find(SPECIAL, special + 1)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        hashes, where, word = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.hashes) > CACHE_WORDS:
+            self._forget()
+        at = self._places(hashes, data, starts[where], ends[where])[word]
+        count = self.size[at]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        every = self.ids[np.repeat(self.first[at] - upto[:-1], count) + np.arange(upto[-1])].tobytes()
+        cuts = (4 * upto[np.searchsorted(starts, offsets)]).tolist()
+        out = [every[a:b] for a, b in zip(cuts, cuts[1:])]
+        for d in np.flatnonzero(odd).tolist():
+            whole = text[offsets[d]:offsets[d + 1]].decode()
+            out[d] = np.array(self.tok.encode(whole, add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
-def known_words(path: str) -> Known:
+def encoder(path: str) -> Encoder:
     """One memory per Python worker, whatever the number of its tasks."""
-    return Known(path)
-
-
-class Encoder:
-    """Ids of whole texts as little-endian bytes."""
-
-    def __init__(self, path: str):
-        self.tok, self.ids_of = tokenizer(path), known_words(path).__getitem__
-
-    def __call__(self, text: str) -> bytes:
-        if OTHER.search(text) is not None or SPECIAL in text:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.ids_of, WORD.findall(text)))
+    return Encoder(path)
 
 
 class FileWriter:
@@ -157,14 +193,13 @@ def write_ids(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        encode, part, number, writer, rows = Encoder(path), TaskContext.get().partitionId(), 0, None, []
+        encode, part, number, writer, rows = encoder(path), TaskContext.get().partitionId(), 0, None, []
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+            for some in pieces(batch, "text", PIECE):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode.batch(some.column(1))):
                     if writer is None:
                         writer = FileWriter(folder, part, number)
-                    writer.add(doc_id, encode(text or "") + end)
+                    writer.add(doc_id, ids + end)
                     if writer.bytes >= FILE_BYTES:
                         rows.append((part, number, *writer.close()))
                         writer, number = None, number + 1
