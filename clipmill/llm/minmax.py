@@ -11,8 +11,9 @@ their own, so the values of a band are of different permutations.
    partner of each class is checked on the full sets. These links join most groups, whatever their size.
 4. In lists that still hold several components, every class outside the largest is paired with all of other components. Pairs inside one
    component need no check, so a group of thousands costs links, not all its pairs, and no link between components is lost.
-5. A list in which more than ``long_list`` classes stand outside its largest component is not paired: its classes get longer bands of more
-   permutations (64 of 8 values, again below 1e-8) and meet in those lists, where unlike sets that share a passage part.
+5. A list in which more than ``long_list`` classes stand outside its largest component (sets that share a passage, copies just below the
+   threshold) is paired by rare shingles instead: sets that link share one of their ``n - ceil(0.85 n) + 1`` rarest, at places that leave
+   enough to share. Copies with changes of their own have rare shingles of their own, so most meet nobody; no link is lost.
 6. Links are confirmed on full sets of 64-bit shingle hashes (lengths, then counts by hash range, then the intersection); components of
    links give the smallest reachable id.
 
@@ -37,22 +38,21 @@ from clipmill.llm.tables import small_batches
 from clipmill.llm.words import mix, pieces
 from clipmill.session import stored
 
-#: Bits of the filter that spares the sets of documents without candidates (4 MB when sent), and bytes of text worked on at once.
-FILTER_BITS, PIECE = 1 << 25, 1 << 20
+#: Bits of the filter that spares the sets of documents without candidates (4 MB when sent), counters of rare shingles (16 MB when sent), and
+#: bytes of text worked on at once.
+FILTER_BITS, COUNTERS, PIECE = 1 << 25, 1 << 22, 1 << 20
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Link when ``den`` * intersection >= ``num`` * union of shingles of ``size`` words; bands, their values, and the same for long lists."""
+    """Link when ``den`` * intersection >= ``num`` * union of shingles of ``size`` words; bands, values of a band, and when a list is long."""
 
     size: int = 5
     num: int = 85
     den: int = 100
     bands: int = 30
     values: int = 4
-    long_list: int = 64
-    long_bands: int = 64
-    long_values: int = 8
+    long_list: int = 16
 
 
 @lru_cache(maxsize=8)
@@ -163,8 +163,8 @@ def _places(digests: np.ndarray):
     return digests[:, 0] & np.uint64(FILTER_BITS - 1), digests[:, 1] & np.uint64(FILTER_BITS - 1)
 
 
-def sets_for(docs: DataFrame, classes: DataFrame, rule: Rule, long_keys: bool = False) -> DataFrame:
-    """(id, n, ranges, held[, keys]) of the classes given (id, cls): counts by hash range, the sorted hashes as bytes, keys of the longer bands."""
+def sets_for(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(id, n, ranges, held) of the classes given (id, cls): counts by hash range, and the sorted hashes as bytes."""
     sent = docs.sparkSession.sparkContext.broadcast(_marked(classes))
 
     def run(batches):
@@ -179,16 +179,11 @@ def sets_for(docs: DataFrame, classes: DataFrame, rule: Rule, long_keys: bool =
             end = np.cumsum(n)
             held = [v[end[d] - n[d]:end[d]] for d in new.tolist()]
             counts = [np.bincount((h >> np.uint64(59)).astype(np.int64), minlength=RANGES).astype(np.int32) for h in held]
-            columns = [_binary(cls[new]), pa.array(n[new].astype(np.int32)), _lists(len(new), np.array(counts, np.int32).reshape(len(new), RANGES)), pa.array([h.tobytes() for h in held], pa.binary())]
-            if long_keys:
-                keys = np.zeros((0, rule.long_bands), np.int64)
-                if len(new):
-                    keys = band_keys(np.concatenate(held), np.concatenate([[0], np.cumsum(n[new])[:-1]]), rule.long_bands, rule.long_values)
-                columns.append(_lists(len(new), keys))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    names = ["cls", "n", "ranges", "held"] + ["keys"] * long_keys
-    made = docs.select("text").mapInArrow(run, "cls binary, n int, ranges array<int>, held binary" + ", keys array<long>" * long_keys)
+            yield pa.RecordBatch.from_arrays(
+                [_binary(cls[new]), pa.array(n[new].astype(np.int32)), _lists(len(new), np.array(counts, np.int32).reshape(len(new), RANGES)), pa.array([h.tobytes() for h in held], pa.binary())],
+                names=["cls", "n", "ranges", "held"])
+
+    made = docs.select("text").mapInArrow(run, "cls binary, n int, ranges array<int>, held binary")
     once = made.join(classes.select("cls", "id"), "cls").dropDuplicates(["id"]).drop("cls")
     return stored(once, "minmax-sets")
 
@@ -244,21 +239,60 @@ def first_pairs(lists: DataFrame) -> DataFrame:
 
 
 def mixed_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """Lists that hold several components: (key, id, n, comp, main, outside); ``outside`` counts classes outside the main component."""
-    placed = lists.select("key", "id", "n").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    """Lists that hold several components: the lists' columns, comp, main, outside; ``outside`` counts classes outside the main component."""
+    placed = lists.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
     facts = sizes.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), (F.sum("k") - F.max("k")).alias("outside")).filter("outside > 0")
     return stored(placed.join(facts, "key"), "minmax-mixed")
 
 
 def cross_pairs(mixed: DataFrame, rule: Rule) -> DataFrame:
-    """All pairs of different components that a list holds and whose lengths allow a link; each pair once."""
-    left = mixed.filter("comp <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in ("id", "n", "comp")])
+    """All pairs of different components that a list holds and whose lengths (and places, if known) allow a link; each pair once."""
+    columns = [c for c in ("id", "n", "comp", "pos") if c in mixed.columns]
+    left = mixed.filter("comp <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in columns])
     once = (F.col("comp") == F.col("main")) | (F.col("id_x") < F.col("id"))
     fits = (F.col("comp") != F.col("comp_x")) & once & near_in_length(F.col("n"), F.col("n_x"), rule)
+    if "pos" in columns:
+        need = F.ceil(F.lit(rule.num) * (F.col("n") + F.col("n_x")) / F.lit(rule.num + rule.den))
+        fits &= F.least(F.col("n") - F.col("pos"), F.col("n_x") - F.col("pos_x")) >= need
     return left.join(mixed, "key").filter(fits).select(*_pair("id", "id_x")).distinct()
 
 
+def rare_lists(sets: DataFrame, rule: Rule) -> DataFrame:
+    """(key, id, n, pos): the rarest shingles of each set, with their place in rarest-first order; rarity is counted within ``sets``.
+
+    Counts stand in a table of fixed size, so shingles may share a counter: the order decides how many pairs there are, not which links.
+    """
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            for held in batch.column(0):
+                np.add.at(total, (np.frombuffer(held.as_buffer(), "<u8") & np.uint64(COUNTERS - 1)).astype(np.int64), np.uint32(1))
+        rows = list(packed(total))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["chunk", "held"])
+
+    counts = whole(combined(sets.select("held").mapInArrow(count, "chunk int, held binary"), "<u4", "add"), COUNTERS, "<u4")
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for batch in batches:
+            ids, sizes, tokens = batch.column(0), [], []
+            for held in batch.column(2):
+                v = np.frombuffer(held.as_buffer(), "<u8")
+                often = sent.value[(v & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                order = np.lexsort((v, often))[:len(v) - (rule.num * len(v) + rule.den - 1) // rule.den + 1]
+                tokens.append(v[order])
+                sizes.append(len(order))
+            each = np.array(sizes, np.int64)
+            row = np.repeat(np.arange(len(each)), each)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+            key = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place.astype(np.int32))], names=["key", "id", "n", "pos"])
+
+    return sets.select("id", "n", "held").mapInArrow(run, "key long, id long, n int, pos int")
+
+
 def class_links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n, cls) of all documents, (id, cls) of all classes, (a, b) links that connect all linked classes."""
     rows = profile(docs, rule)
@@ -272,10 +306,9 @@ def class_links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, Data
     links = stored(links.union(confirmed(cross_pairs(mixed.filter(F.col("outside") <= rule.long_list), rule), sets, rule)), "minmax-links")
     crowded = mixed.filter(F.col("outside") > rule.long_list)
     if not crowded.isEmpty():
-        some = classes.select("id", "cls").join(crowded.select("id").distinct(), "id", "left_semi")
-        longer = sets_for(docs, some, rule, long_keys=True)
-        again = mixed_lists(shared_lists(longer), stored(components(links), "minmax-comps"))
-        links = links.union(confirmed(cross_pairs(again, rule), longer, rule))
+        some = stored(sets.join(crowded.select("id").distinct(), "id", "left_semi"), "minmax-crowded")
+        again = mixed_lists(rare_lists(some, rule), stored(components(links), "minmax-comps"))
+        links = links.union(confirmed(cross_pairs(again, rule), some, rule))
     return rows.select("doc_id", "n", "cls"), classes.select("id", "cls"), links
 
 

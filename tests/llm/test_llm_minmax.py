@@ -46,7 +46,7 @@ def test_edges(spark):
     assert minmax.near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("long_list", [64, 3])
+@pytest.mark.parametrize("long_list", [1000, 16, 0])
 def test_many_near_copies_and_shared_passages(spark, long_list):
     rng = np.random.default_rng(8)
     base = [f"b{k}" for k in range(200)]
@@ -88,4 +88,4 @@ def test_bands_find_what_they_promise():
     keys = minmax.band_keys(parts, np.arange(600) * size, rule.bands, rule.values).reshape(300, 2, -1)
     same = (keys[:, 0] == keys[:, 1])
     assert same.any(1).all() and abs(same.mean() - (both / (2 * size - both)) ** rule.values) < 0.03
-    assert (1 - 0.85 ** rule.values) ** rule.bands < 1e-9 and (1 - 0.85 ** rule.long_values) ** rule.long_bands < 1e-8
+    assert (1 - 0.85 ** rule.values) ** rule.bands < 1e-9
