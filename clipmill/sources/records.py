@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clipmill import constants as K
 from clipmill.functions.text import bool_lenient, bool_strict, normalize_gloss, strip
+from clipmill.sources.blocks import csv_records, json_elements
 from clipmill.sources.lines import head_lines, read_lines
 
 
@@ -24,9 +29,12 @@ def flatten_metadata(entries: DataFrame) -> DataFrame:
 def read_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Nested metadata JSON, flattened. ``path`` may hold many files.
 
-    Each is one JSON array, which only one task can read; with ``lines`` each line is an entry, and files are split over tasks.
+    Each is one JSON array, cut into its entries by many tasks (``sources/blocks.py``); with ``lines`` each line is an entry.
     """
-    return flatten_metadata(spark.read.schema(K.METADATA).option("multiLine", not lines).json(path))
+    if lines:
+        return flatten_metadata(spark.read.schema(K.METADATA).json(path))
+    entry = F.from_json("value", K.METADATA)
+    return flatten_metadata(json_elements(spark, path).select(entry.alias("e")).select("e.*"))
 
 
 def as_whole(c: Column) -> Column:
@@ -79,13 +87,29 @@ def read_label_contract(spark: SparkSession, path: str) -> DataFrame:
         F.col("ord").cast("bigint").alias("ord"), "label", "version")
 
 
+def _header(record: str) -> list[str]:
+    """Column names of a header; blank ones are numbered, names that differ in case only get their place behind them."""
+    names = next(csv.reader(io.StringIO(record, newline="")))
+    often = Counter(n.lower() for n in names)
+    return [f"_c{i}" if not n else f"{n}{i}" if often[n.lower()] > 1 else n for i, n in enumerate(names)]
+
+
 def read_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
-    """CSV with header; every required column must be there."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    missing = [c for c in required if c not in df.columns]
+    """CSV with header and quoted line breaks, files split over tasks; every required column must be there.
+
+    The first file's header names the columns, each file's first record is taken for a header.
+    """
+    records = csv_records(spark, path)
+    first = records.orderBy("path", "block", "part").first()
+    names = _header(first.value) if first else []
+    missing = [c for c in required if c not in names]
     if missing:
         raise ValueError("missing columns: " + ", ".join(missing))
-    return df
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    heads = records.groupBy("path").agg(F.min(F.struct("block", "part")).alias("head"))
+    rows = records.join(heads, "path").filter(F.struct("block", "part") != F.col("head"))
+    parsed = F.from_csv("value", schema.toDDL(), {"multiLine": "true", "escape": '"', "maxCharsPerColumn": "-1"})
+    return rows.select(parsed.alias("r")).select("r.*")
 
 
 def read_predictions_csv(spark: SparkSession, path: str, required: Sequence[str] = K.STRICT_COLUMNS) -> tuple[DataFrame, DataFrame]:
