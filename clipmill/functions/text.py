@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +15,14 @@ LINE_BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 NOT_LINE_BREAK = r"[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+# White space at the ends of a text: tabs, line breaks and Unicode's spaces (fixed value), and the separators U+001C to U+001F.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
 def strip(c: Column) -> Column:
-    """Without white space at both ends: Unicode spaces, tabs, line breaks and the separators U+001C to U+001F."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Without white space at both ends, in one pass from each end."""
+    return F.btrim(c, F.lit(SPACES + SEPARATORS))
 
 
 def _text(c: Column) -> Column:
@@ -80,11 +86,48 @@ def first_full_line(raw: Column) -> Column:
 
 
 # Wrapper characters removed from both ends (fixed value).
-_WRAP = r"[ .,:;!?\"'`()\[\]{}]+"
+_WRAP = " .,:;!?\"'`()[]{}"
 
 
 def _unwrap(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{_WRAP}|{_WRAP}$", "")
+    return F.btrim(c, F.lit(_WRAP))
+
+
+def _mentions(labels: Sequence[str]):
+    """Arrow-batched function: how many distinct labels a text mentions with no letter beside them (2 for more), and the first of them.
+
+    One automaton over all labels reads a text once, however many labels there are. It is built once in each Python worker.
+    """
+    names = tuple(dict.fromkeys(x for x in labels if x))
+
+    @F.pandas_udf("hits int, label string")
+    def find(texts: pd.Series) -> pd.DataFrame:
+        automaton = _automaton(names)
+        hits, found = [], []
+        for text in texts:
+            seen: list[str] = []
+            for end, label in automaton.iter(text) if text and names else ():
+                start = end - len(label)
+                if not (start >= 0 and "a" <= text[start] <= "z" or end + 1 < len(text) and "a" <= text[end + 1] <= "z") and label not in seen:
+                    seen.append(label)
+                    if len(seen) == 2:
+                        break
+            hits.append(len(seen))
+            found.append(seen[0] if seen else None)
+        return pd.DataFrame({"hits": pd.array(hits, "Int32"), "label": pd.array(found, "string")})
+
+    return find
+
+
+@lru_cache(maxsize=8)
+def _automaton(names: tuple[str, ...]):
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for x in names:
+        made.add_word(x, x)
+    made.make_automaton()
+    return made
 
 
 def _json_text(parsed: Column, path: str) -> Column:
@@ -96,45 +139,42 @@ def _json_text(parsed: Column, path: str) -> Column:
 def resolve_output_reason(df: DataFrame, raw: str, labels: Sequence[str]) -> DataFrame:
     """Add label and reason: an exact or wrapped label, else the only label mentioned.
 
-    Works in stages, each a column computed once. Every label has its own constant pattern.
+    Works in stages, each a column computed once. Mentions are looked for only in rows without an exact label.
     """
     parsed, names = F.col("_v"), list(labels)
     wanted = ("$.translation", "$.label", "$.gloss", "$.answer", "$")
-    quoted = {x: "(?<![a-z])" + re.sub(r"([^a-z0-9_ '-])", r"\\\1", x) + "(?![a-z])" for x in sorted(set(names))}
-    exact, hits = F.col("_exact"), F.col("_hits")
+    exact, hits = F.col("_exact"), F.col("_m.hits")
+    trimmed = lambda c: F.btrim(c, F.lit(SPACES))
     return (
-        df.withColumn("_t", F.regexp_replace(_text(F.col(raw)), r"(?U)^\s+|\s+$", ""))
+        df.withColumn("_t", trimmed(_text(F.col(raw))))
         .withColumn("_v", F.try_parse_json("_t"))
         .withColumn(
             "_c",
             F.filter(
-                F.array(
-                    F.col("_t"), F.regexp_replace(F.regexp_extract("_t", r"^([^\n]*)", 1), r"(?U)^\s+|\s+$", ""),
-                    *[_json_text(parsed, p) for p in wanted],
-                ),
-                lambda c: c.rlike(r"(?U)\S"),
+                F.array(F.col("_t"), trimmed(F.substring_index("_t", "\n", 1)), *[_json_text(parsed, p) for p in wanted]),
+                lambda c: trimmed(c) != "",
             ),
         )
         .withColumn("_c", F.transform("_c", lambda c: canonicalize_text(_unwrap(c))))
         .withColumn("_exact", F.get(F.filter("_c", lambda c: c.isin(names)), F.lit(0)))
-        .withColumn("_joined", F.array_join("_c", " || "))
-        .withColumn("_hits", F.array_compact(F.array(*[
-            F.when(F.contains("_joined", F.lit(x)) & F.col("_joined").rlike(p), F.lit(x)) for x, p in quoted.items()  # plain search first
-        ])))
-        .withColumn("label", F.when(exact.isNotNull(), exact).when(F.size(hits) == 1, hits[0]).otherwise(INVALID))
+        .withColumn("_m", _mentions(names)(F.when(exact.isNull(), F.array_join("_c", " || "))))
+        .withColumn("label", F.when(exact.isNotNull(), exact).when(hits == 1, F.col("_m.label")).otherwise(INVALID))
         .withColumn(
             "reason",
-            F.when(exact.isNotNull(), "exact_or_wrapper").when(F.size(hits) == 1, "single_mention")
-            .when(F.size(hits) > 1, "ambiguous").otherwise("no_match"),
+            F.when(exact.isNotNull(), "exact_or_wrapper").when(hits == 1, "single_mention").when(hits > 1, "ambiguous").otherwise("no_match"),
         )
-        .drop("_t", "_v", "_c", "_exact", "_joined", "_hits")
+        .drop("_t", "_v", "_c", "_exact", "_m")
     )
 
 
+def _line(key: str) -> str:
+    return rf"(?:^|{LINE_BREAK})(?:{key})={NOT_LINE_BREAK}*"
+
+
 def line_value(text: Column, key: str) -> Column:
-    """Trimmed value of the first ``key=`` line, null without such a line."""
-    pattern = rf"(?:^|{LINE_BREAK}){key}=({NOT_LINE_BREAK}*)"
-    return strip(F.get(F.regexp_extract_all(_text(text), F.lit(pattern), F.lit(1)), F.lit(0)))
+    """Trimmed value of the first ``key=`` line, null without such a line; the search ends at that line."""
+    line = F.regexp_extract(_text(text), _line(key), 0)
+    return F.when(line != "", strip(F.regexp_replace(line, rf"^{LINE_BREAK}?{key}=", "")))
 
 
 def sample_key(text: Column) -> Column:
@@ -146,17 +186,23 @@ _SHAPE = r"^(\d+)\s+features_per_frame=(\d+)$"
 
 
 def parse_input_block(df: DataFrame, text: str) -> DataFrame:
-    """Add struct ``p`` of the ``key=value`` lines; ``shape_ok`` is null when there is no shape line."""
-    shape = F.col("_shape")
-    number = lambda i: F.regexp_extract(shape, _SHAPE, i).try_cast("bigint")
+    """Add struct ``p`` of the ``key=value`` lines; ``shape_ok`` is null when there is no shape line.
+
+    One search gathers the lines of all keys; each value is then taken from the first line of its key.
+    """
     values = ("sample_id", "encoding", "pose_q64", "pose")
-    return df.withColumn("_shape", line_value(F.col(text), "frames")).withColumn(
-        "p",
-        F.struct(
-            *[line_value(F.col(text), k).alias(k) for k in values], shape.rlike(_SHAPE).alias("shape_ok"),
-            number(1).alias("frames"), number(2).alias("features"),
-        ),
-    ).drop("_shape")
+    lines = F.transform(
+        F.regexp_extract_all(_text(F.col(text)), F.lit(f"({_line('|'.join((*values, 'frames')))})"), F.lit(1)),
+        lambda x: F.regexp_replace(x, f"^{LINE_BREAK}", ""))
+    first = lambda key: F.get(F.filter("_lines", lambda x: F.startswith(x, F.lit(f"{key}="))), F.lit(0))
+    value = lambda key: strip(F.substr(first(key), F.lit(len(key) + 2)))
+    number = lambda i: F.regexp_extract("_shape", _SHAPE, i).try_cast("bigint")
+    return (
+        df.withColumn("_lines", lines).withColumn("_shape", value("frames"))
+        .withColumn("p", F.struct(
+            *[value(k).alias(k) for k in values], F.col("_shape").rlike(_SHAPE).alias("shape_ok"), number(1).alias("frames"), number(2).alias("features")))
+        .drop("_lines", "_shape")
+    )
 
 
 def parse_pose_text(pose: Column) -> Column:
