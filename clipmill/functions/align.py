@@ -2,6 +2,10 @@
 
 Built-in array lambdas would copy an array for every cell, so this one rule is an Arrow-batched
 pandas UDF: rows of similar length are aligned together, one anti-diagonal at a time in numpy.
+
+Long transcripts are aligned within a band around the main diagonal first (cells with |i - j| <= k). A path that leaves the band costs
+more than k, so a distance of at most k is exact, and so is every choice on its path; otherwise the band is doubled, up to the whole
+table. The cost is length times distance, not length times length.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from pyspark.sql import types as T
 
 NO_STAMP = -(2**62)
 _CELLS = 16_000  # cells per diagonal buffer: small enough to stay in the processor cache
+_BAND, _LONG = 32, 192  # first band, and the length from which a band pays
+_FAR = 1 << 40
 COUNTS = ("substitutions", "insertions", "deletions", "matched", "boundary_error_ms", "boundary_count")
 RESULT = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS])
 
@@ -25,8 +31,8 @@ def _pad(rows: list[np.ndarray], width: int, fill: int) -> np.ndarray:
     return out
 
 
-def _align(e: np.ndarray, p: np.ndarray, m: np.ndarray, n: np.ndarray, stamps: list[np.ndarray]) -> np.ndarray:
-    """Counts (S, I, D, matched, error, boundaries) for a padded batch.
+def _align(e: np.ndarray, p: np.ndarray, m: np.ndarray, n: np.ndarray, stamps: list[np.ndarray], band: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (S, I, D, matched, error, boundaries) for a padded batch, and each row's cost within the band.
 
     A cell prefers deletion, then insertion, then the diagonal, so carrying values forward gives the
     same path as tracing back from the end. Only cost, substitutions and boundary sums travel; the
@@ -45,6 +51,12 @@ def _align(e: np.ndarray, p: np.ndarray, m: np.ndarray, n: np.ndarray, stamps: l
     for d in range(width + height + 1):
         cur, prev, prev2 = state[d % 3], state[(d - 1) % 3], state[(d - 2) % 3]
         lo, hi = max(0, d - height), min(d, width)
+        if band is not None:
+            lo, hi = max(lo, (d - band + 1) // 2), min(hi, (d + band) // 2)
+            for side in (lo - 1, hi + 1):  # just outside: what buffers hold there is of other diagonals
+                if 0 <= side <= width:
+                    cur[:, :, side] = 0
+                    cur[0, :, side] = _FAR
         for edge in ([0] if lo == 0 else []) + ([d] if hi == d else []):
             cur[:, :, edge] = 0
             cur[0, :, edge] = d
@@ -74,7 +86,7 @@ def _align(e: np.ndarray, p: np.ndarray, m: np.ndarray, n: np.ndarray, stamps: l
     cost, sub, error, bounds = last
     ins = (cost - sub - (m - n)) // 2
     dele = ins + m - n
-    return np.stack([sub, ins, dele, m - sub - dele, error, bounds])
+    return np.stack([sub, ins, dele, m - sub - dele, error, bounds]), cost
 
 
 def _batch(ew, pw, es, ee, ps, pe) -> pd.DataFrame:
@@ -95,7 +107,16 @@ def _batch(ew, pw, es, ee, ps, pe) -> pd.DataFrame:
         w, h = int(m[pick].max()), int(n[pick].max())
         side = lambda rows, width, fill: _pad([np.asarray(rows[r]) for r in pick], width, fill)
         stamps = [side(es, w, NO_STAMP), side(ee, w, NO_STAMP), side(ps, h, NO_STAMP), side(pe, h, NO_STAMP)]
-        out[:, pick] = _align(side(e_codes, w, -1), side(p_codes, h, -2), m[pick], n[pick], stamps)
+        batch = [side(e_codes, w, -1), side(p_codes, h, -2), m[pick], n[pick]]
+        left = np.arange(len(pick))
+        band = max(_BAND, int(np.abs(m[pick] - n[pick]).max())) if min(w, h) >= _LONG else None
+        while len(left):
+            whole = band is None or band >= max(w, h)
+            counts, cost = _align(*(x[left] for x in batch), [x[left] for x in stamps], None if whole else band)
+            done = np.ones(len(left), bool) if whole else cost <= band
+            out[:, pick[left[done]]] = counts[:, done]
+            left = left[~done]
+            band = None if whole else 2 * band
         at = end
     return pd.DataFrame(dict(zip(COUNTS, out)))
 
