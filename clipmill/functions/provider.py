@@ -29,7 +29,7 @@ def _present(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & ~F.is_variant_null(v), F.lit(False))
 
 
-# First letters of the type names a VARIANT value can have (fixed values).
+# First letters of the type names a VARIANT value can have.
 OBJECT, ARRAY, STRING, BOOLEAN = "OBJ", "ARR", "STR", "BOO"
 
 
@@ -155,10 +155,11 @@ def validate_proof_fields(v: Column, request_id: Column) -> Column:
     ).otherwise(F.struct(F.when(checks.isNotNull(), PROOF_INVALID).alias("error_code"), checks.alias("detail")))
 
 
-def failure_evidence(code: Column, message: Column, request_id: Column) -> Column:
-    """Trimmed texts with defaults; a blank request id becomes null."""
+def failure_evidence(status: Column, code: Column, message: Column, request_id: Column) -> Column:
+    """The upstream status as it is, trimmed texts with defaults; a blank request id becomes null."""
     clean = lambda c: F.nullif(strip(c), F.lit(""))
     return F.struct(
+        status.try_cast("bigint").alias("upstream_status"),
         F.coalesce(clean(code), F.lit(FAILURE_CODE)).alias("upstream_code"),
         F.coalesce(clean(message), F.lit(FAILURE_MESSAGE)).alias("upstream_message"),
         clean(request_id).alias("upstream_request_id"),

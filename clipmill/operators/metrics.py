@@ -67,6 +67,13 @@ def constrained_rows(ranked: DataFrame, free: DataFrame) -> DataFrame:
     ).na.fill("", ["free_generation_prediction"])
 
 
+def constrained_layout(rows: DataFrame, mode: str = "constrained") -> DataFrame:
+    """Rows of ``constrained_rows`` (with index) under the column names of the written table."""
+    return rows.select(
+        "index", "sample_id", "expected_gloss", "free_generation_prediction", F.col("best_label").alias("constrained_prediction"),
+        F.col("correct").alias("constrained_correct"), "top_scores", F.lit(mode).alias("mode"))
+
+
 def constrained_metrics(rows: DataFrame, class_count: int) -> DataFrame:
     n, ok = F.count(F.lit(1)), F.count_if(F.coalesce("correct", F.lit(False)))
     return rows.agg(

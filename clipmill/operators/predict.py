@@ -77,31 +77,32 @@ def retry_resolution(df: DataFrame, aliases: DataFrame, labels: Sequence[str]) -
 def rank_candidates(scores: DataFrame, labels: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
     """(sample_id, best_label, best_score, top_scores; violations) from (sample_id, label, score).
 
-    Order: score descending, then contract position. A sample holds at most one row per contract
-    label once repeats are folded, so the list per sample is as short as the contract.
+    Order: score descending, then contract position. Contract positions are a table joined by label. Scores are dealt out by sample once;
+    checks are counts, and no list is longer than ``k``: a window group limit lets only the first ``k`` of a sample through.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    names = list(labels)
-    position = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("label"))
+    names = list(dict.fromkeys(labels))
+    contract = scores.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "label string, ord int")
     folded = (
-        scores.withColumn("label", normalize_gloss(F.col("label")))
+        scores.withColumn("label", normalize_gloss(F.col("label"))).repartition("sample_id")
         .groupBy("sample_id", "label")
         .agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
-        .withColumn("ord", position)
+        .join(contract, "label", "left")
     )
-    known = F.col("ord") > 0
-    item = F.struct((-F.col("score")).alias("neg"), F.col("ord"), F.col("label"), F.col("score"))
+    known = F.col("ord").isNotNull()
     per = folded.groupBy("sample_id").agg(
-        F.sort_array(F.collect_list(F.when(known, item))).alias("s"),
-        F.count_if(~known).alias("extra"), F.count_if(F.col("n") > 1).alias("repeated"),
-    )
-    top = F.transform(F.slice("s", 1, k), lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score")))
-    ranked = per.filter((F.size("s") == len(names)) & (F.col("extra") == 0) & (F.col("repeated") == 0)).select(
-        "sample_id", F.col("s")[0]["label"].alias("best_label"), F.col("s")[0]["score"].alias("best_score"), top.alias("top_scores")
+        F.count_if(known).alias("held"), F.count_if(~known).alias("extra"), F.count_if(F.col("n") > 1).alias("repeated"))
+    rank = F.row_number().over(W.partitionBy("sample_id").orderBy(-F.col("score"), "ord"))
+    first = folded.filter(known).withColumn("rk", rank).filter(F.col("rk") <= k)
+    top = first.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("rk", "label", "score"))).alias("s"))
+    whole = (F.col("held") == len(names)) & (F.col("extra") == 0) & (F.col("repeated") == 0)
+    ranked = per.filter(whole).join(top, "sample_id").select(
+        "sample_id", F.col("s")[0]["label"].alias("best_label"), F.col("s")[0]["score"].alias("best_score"),
+        F.transform("s", lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score"))).alias("top_scores"),
     )
     rules = F.array_compact(F.array(
-        F.when(F.size("s") < len(names), "missing_label"), F.when(F.col("extra") > 0, "unexpected_label"),
+        F.when(F.col("held") < len(names), "missing_label"), F.when(F.col("extra") > 0, "unexpected_label"),
         F.when(F.col("repeated") > 0, "duplicate_label"),
     ))
     bad = per.select(F.explode(rules).alias("rule"), F.col("sample_id").alias("key"), F.lit("").alias("detail"))

@@ -87,12 +87,12 @@ def e08(d):
     return d.view("v_provider").withColumn("v", v).select("index", validate_proof_fields(F.col("v"), F.col("request_id")).alias("p")).select("index", "p.error_code", "p.detail")
 
 
-_FAIL = "select event_id as index, case event_id % 4 when 0 then null when 1 then '  ' when 2 then ' TIMEOUT ' else 'X' end as code, case event_id % 3 when 0 then '' when 1 then ' m ' end as message, case event_id % 5 when 0 then ' ' else concat(' r', cast(event_id as string)) end as rid from {events}"
+_FAIL = "select event_id as index, case when event_id % 7 <> 0 then 400 + event_id % 200 end as status, case event_id % 4 when 0 then null when 1 then '  ' when 2 then ' TIMEOUT ' else 'X' end as code, case event_id % 3 when 0 then '' when 1 then ' m ' end as message, case event_id % 5 when 0 then ' ' else concat(' r', cast(event_id as string)) end as rid from {events}"
 
 
-@query("E09_failure_evidence", f"with f as ({_FAIL}) select index, coalesce(nullif(trim(code), ''), 'CLOUD_HANDOFF_FAILED') as upstream_code, coalesce(nullif(trim(message), ''), 'Cloud handoff request failed') as upstream_message, nullif(trim(rid), '') as upstream_request_id from f")
+@query("E09_failure_evidence", f"with f as ({_FAIL}) select index, cast(status as bigint) as upstream_status, coalesce(nullif(trim(code), ''), 'CLOUD_HANDOFF_FAILED') as upstream_code, coalesce(nullif(trim(message), ''), 'Cloud handoff request failed') as upstream_message, nullif(trim(rid), '') as upstream_request_id from f")
 def e09(d):
-    return d.sql(_FAIL).select("index", failure_evidence(F.col("code"), F.col("message"), F.col("rid")).alias("e")).select("index", "e.*")
+    return d.sql(_FAIL).select("index", failure_evidence(F.col("status"), F.col("code"), F.col("message"), F.col("rid")).alias("e")).select("index", "e.*")
 
 
 @query("E10_confidence_output", "with c as (select event_id as index, event_type, event_id % 9 <> 0 as ok, value / 100 - 0.1 as c from {events}) select index, case when not ok then 'error' when least(greatest(c, 0), 1) < 0.7 then 'uncertain' else 'ok' end as status, case when not ok or c < 0.7 then 'uncertain' else event_type end as display_text, least(greatest(c, 0.0::double), 1.0::double) as confidence, not ok or c < 0.7 as is_uncertain from c")

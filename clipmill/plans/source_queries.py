@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clipmill.constants import MULTIWORD_COLUMNS, STRICT_COLUMNS
+from clipmill.constants import CONSTRAINED_COLUMNS, MULTIWORD_COLUMNS, STRICT_COLUMNS
 from clipmill.operators import gates as G
 from clipmill.operators import labels as L
 from clipmill.operators import metrics as M
 from clipmill.operators import splits as S
 from clipmill.operators import transcripts as X
-from clipmill.plans.metric_queries import _STRICT, R, pred
+from clipmill.plans.metric_queries import _SCORES, _STRICT, R, pred, ranked
 from clipmill.plans.registry import query
 from clipmill.plans.split_queries import SEED, _stratified
 from clipmill.plans.views import NORM, WORDS_SQL
@@ -37,6 +37,14 @@ def a01(d):
     return Q.read_metadata(d.spark, path, lines=True)
 
 
+@query("A01_flatten_metadata_array", f"select gloss || '_' || video_id as sample_id, gloss, coalesce(split, 'unspecified') as split, video_id, signer_id, instance_id, source, fps, frame_start, frame_end from ({_INST})")
+def a01a(d):
+    """The nested array form: files of one JSON array each, cut into entries by many tasks."""
+    path = new_path(d.spark, "metadata-array")
+    K.write_metadata(entries(d), path)
+    return Q.read_metadata(d.spark, path)
+
+
 @query("A02_cast_metadata", f"select gloss || '_' || video_id as sample_id, gloss, coalesce(split, 'unspecified') as split, video_id, source, case when signer_id not in ('NaN', '') then cast(signer_id as bigint) end as signer_id, cast(instance_id as bigint) as instance_id, cast(1 as bigint) as frame_start, cast(-1 as bigint) as frame_end, case when fps = '29.97' then 29.97::double end as fps from ({_INST})")
 def a02(d):
     return Q.cast_metadata(Q.flatten_metadata(entries(d))).drop("raw_metadata")
@@ -107,6 +115,19 @@ def a07(d):
     return rows.select("index", "sample_id", "expected_gloss", blank("predicted_gloss"), blank("raw_model_output"), "valid_label", "correct", "mode")
 
 
+_QUOTED = "select doc_id as index, concat('s', cast(doc_id as string)) as sample_id, lang as expected_gloss, source as predicted_gloss, concat(text, chr(10), '\"', lang, '\",', chr(10)) as raw_model_output, doc_id % 2 = 0 as valid_label, doc_id % 3 = 0 as correct, 'real' as mode from {documents}"
+
+
+@query("A07_read_predictions_quoted", f"select index, sample_id, nullif(expected_gloss, '') as expected_gloss, nullif(predicted_gloss, '') as predicted_gloss, md5(replace(raw_model_output, chr(13), '')) as raw_md5, valid_label, correct, mode from ({_QUOTED})")
+def a07q(d):
+    """Whole texts with line breaks, quotes and commas as quoted values: files are split inside them."""
+    path = new_path(d.spark, "predictions-quoted")
+    K.write_predictions(d.sql(_QUOTED), STRICT_COLUMNS, path)
+    rows, _ = Q.read_predictions_csv(d.spark, path)
+    blank = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    return rows.select("index", "sample_id", blank("expected_gloss"), blank("predicted_gloss"), F.md5(F.replace("raw_model_output", F.lit("\r"), F.lit(""))).alias("raw_md5"), "valid_label", "correct", "mode")
+
+
 _IDS = "select event_id as index, case when event_id % 500 = 0 then concat(' ', chr(9)) when event_id % 500 = 1 then concat('s1', chr(9)) when event_id % 500 = 2 then concat(chr(160), 's1') else concat('s', cast(event_id as string)) end as sample_id, upper(event_type) as expected_gloss from {events}"
 
 
@@ -208,6 +229,17 @@ def a17m(d):
         F.col("exact_match").cast("boolean").alias("exact_match"), F.lit(len(rows.columns)).alias("columns"))
 
 
+@query("A17_write_constrained", f"with {R}, {_SCORES}, rk as (select *, row_number() over (partition by sample_id order by score desc, ord) as rk from sc) select r.index, r.sample_id, r.expected_gloss, nullif(coalesce(r.label, ''), '') as free_generation_prediction, b.label as constrained_prediction, b.label = r.expected_gloss as constrained_correct, (select string_agg(label || '=' || cast(cast(score as bigint) as string), ',' order by rk) from rk where rk.sample_id = r.sample_id and rk <= 3) as top_scores, 'constrained' as mode from r join best b on r.sample_id = b.sample_id")
+def a17c(d):
+    """The constrained layout written, read back, and its scores parsed from their JSON text."""
+    path = new_path(d.spark, "constrained")
+    K.write_predictions(M.constrained_layout(M.constrained_rows(ranked(d), pred(d))), CONSTRAINED_COLUMNS, path)
+    rows, _ = Q.read_predictions_csv(d.spark, path, CONSTRAINED_COLUMNS)
+    scores = F.from_json("top_scores", "array<struct<label string, score double>>")
+    text = F.array_join(F.transform(scores, lambda x: F.concat_ws("=", x["label"], x["score"].cast("bigint").cast("string"))), ",")
+    return rows.withColumn("top_scores", text).withColumn("free_generation_prediction", F.nullif("free_generation_prediction", F.lit("")))
+
+
 @query("A18_write_splits", f"with {_stratified('v_meta')} select split, count(*) as rows, count(*) as ids, (select count(*) from v_meta) as num_samples from sp group by split")
 def a18(d):
     path = new_path(d.spark, "splits")

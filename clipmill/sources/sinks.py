@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,24 @@ def write_predictions(rows: DataFrame, columns: Sequence[str], path: str) -> Non
     cols = [
         F.to_json(c).alias(c) if rows.schema[c].dataType.typeName() in ("array", "struct", "map") else F.col(c) for c in columns
     ]
-    rows.select(*cols).write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
+    whole = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.select(*cols).write.options(**whole).mode("overwrite").csv(path)
+
+
+def write_metadata(entries: DataFrame, path: str) -> None:
+    """(gloss, instances) as JSON files that each hold one array, an entry a line."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        lead = "["
+        for batch in batches:
+            lines = []
+            for text in batch.column(0).to_pylist():
+                lines.append(lead + text)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if lead == "," else "[]"])], names=["value"])
+
+    entries.select(F.to_json(F.struct("gloss", "instances")).alias("value")).mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
