@@ -11,8 +11,8 @@ their own, so the values of a band are of different permutations.
    partner of each class is checked on the full sets. These links join most groups, whatever their size.
 4. In lists that still hold several components, every class outside the largest is paired with all of other components. Pairs inside one
    component need no check, so a group of thousands costs links, not all its pairs, and no link between components is lost.
-5. A list in which more than ``long_list`` classes stand outside its largest component (sets that share a passage, copies just below the
-   threshold) is paired by rare shingles instead: sets that link share one of their ``n - ceil(0.85 n) + 1`` rarest, at places that leave
+5. A list that would give more than ``long_list`` pairs (sets that share a passage, copies just below the threshold beside many others) is
+   paired by rare shingles instead, the partners with most in common first: sets that link share one of their ``n - ceil(0.85 n) + 1`` rarest, at places that leave
    enough to share. Copies with changes of their own have rare shingles of their own, so most meet nobody; no link is lost.
 6. Links are confirmed on full sets of 64-bit shingle hashes (lengths, then counts by hash range, then the intersection); components of
    links give the smallest reachable id.
@@ -32,7 +32,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipmill.llm.chunks import combined, packed, whole
-from clipmill.llm.components import components
 from clipmill.llm.jaccard_join import RANGES, sets_of
 from clipmill.llm.tables import small_batches
 from clipmill.llm.words import mix, pieces
@@ -45,14 +44,15 @@ FILTER_BITS, COUNTERS, PIECE = 1 << 25, 1 << 22, 1 << 20
 
 @dataclass(frozen=True)
 class Rule:
-    """Link when ``den`` * intersection >= ``num`` * union of shingles of ``size`` words; bands, values of a band, and when a list is long."""
+    """Link when ``den`` * intersection >= ``num`` * union of shingles of ``size`` words; bands, values of a band, pairs of a list that is long, and first partners in such lists."""
 
     size: int = 5
     num: int = 85
     den: int = 100
     bands: int = 30
     values: int = 4
-    long_list: int = 16
+    long_list: int = 256
+    tries: int = 8
 
 
 @lru_cache(maxsize=8)
@@ -221,28 +221,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return stored(full.mapInArrow(run, "a long, b long"), "minmax-links")
 
 
-def shared_lists(classes: DataFrame) -> DataFrame:
-    """(key, id, n, company) from (id, n, keys): lists of at least two classes, with the number of others in the list."""
-    posted = classes.select("id", "n", F.explode("keys").alias("key"))
+def shared_lists(posted: DataFrame) -> DataFrame:
+    """Rows of ``posted`` (key, id, n, ...) whose key has at least two classes, with ``company``, the number of others."""
     size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    return stored(posted.withColumn("company", size - 1).filter("company > 0").select("key", "id", "n", "company"), "minmax-lists")
+    return stored(posted.withColumn("company", size - 1).filter("company > 0"), "minmax-lists")
 
 
-def first_pairs(lists: DataFrame) -> DataFrame:
-    """For every class the partner it shares most lists with, among each list's most central class and the class's neighbour."""
+def first_pairs(lists: DataFrame, most: int = 1) -> DataFrame:
+    """For every class the ``most`` partners it shares most lists with, among each list's most central class and the class's neighbours."""
     central = lists.groupBy("id").agg(F.sum("company").alias("central"))
     line = Window.partitionBy("key").orderBy(F.col("central").desc(), "id")
-    ranked = lists.join(central, "id").withColumn("lead", F.first("id").over(line)).withColumn("prev", F.lag("id").over(line))
-    tried = ranked.select("id", F.explode(F.array_distinct(F.array("lead", "prev"))).alias("other")).filter("other is not null and other <> id")
-    best = tried.groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared")).groupBy("id").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+    ranked = lists.join(central, "id").withColumn("t0", F.first("id").over(line))
+    for k in range(1, most + 1):
+        ranked = ranked.withColumn(f"t{k}", F.lag("id", k).over(line))
+    tried = ranked.select("id", F.explode(F.array_distinct(F.array(*[f"t{k}" for k in range(most + 1)]))).alias("other")).filter("other is not null and other <> id")
+    shared = tried.groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
+    if most == 1:
+        best = shared.groupBy("id").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+    else:
+        rank = F.row_number().over(Window.partitionBy("id").orderBy(F.col("shared").desc(), F.col("other").desc()))
+        best = shared.withColumn("rk", rank).filter(F.col("rk") <= most)
     return best.select(*_pair("id", "other")).distinct()
 
 
 def mixed_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
-    """Lists that hold several components: the lists' columns, comp, main, outside; ``outside`` counts classes outside the main component."""
+    """Lists that hold several components: the lists' columns, comp, main, pairs: classes outside the main component times all."""
     placed = lists.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    facts = sizes.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), (F.sum("k") - F.max("k")).alias("outside")).filter("outside > 0")
+    facts = sizes.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), ((F.sum("k") - F.max("k")) * F.sum("k")).alias("pairs")).filter("pairs > 0")
     return stored(placed.join(facts, "key"), "minmax-mixed")
 
 
@@ -293,31 +299,66 @@ def rare_lists(sets: DataFrame, rule: Rule) -> DataFrame:
     return sets.select("id", "n", "held").mapInArrow(run, "key long, id long, n int, pos int")
 
 
-def class_links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, cls) of all documents, (id, cls) of all classes, (a, b) links that connect all linked classes."""
+def stars(links: DataFrame) -> DataFrame:
+    """(node, comp) of every node that has a link, ``comp`` being its component's smallest node; ends when all links are stars.
+
+    A round hangs the larger neighbours of a node, then the smaller ones, on its smallest neighbour. It was the last if no node has two
+    links upwards or one upwards and one downwards; links of classes with a central one need a single round.
+    """
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = stored(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "minmax-stars")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "minmax-stars")
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.filter("up > 1 or up = 1 and down = 1").isEmpty():
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def joined_up(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` after more links between classes of different components."""
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    above = stored(stars(between), "minmax-comps")
+    moved = comps.join(above.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    fresh = above.join(comps.select("node"), "node", "left_anti")
+    return stored(moved.union(fresh), "minmax-comps")
+
+
+def class_components(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, cls) of all documents, (id, cls) of all classes, (node, comp) of the classes that link."""
     rows = profile(docs, rule)
     once = rows.filter("keys is not null").dropDuplicates(["cls"])
     classes = stored(once.select(F.monotonically_increasing_id().alias("id"), "cls", "n", "keys"), "minmax-classes")
-    lists = shared_lists(classes)
+    lists = shared_lists(classes.select("id", "n", F.explode("keys").alias("key")))
     busy = classes.select("id", "cls").join(lists.select("id").distinct(), "id", "left_semi")
     sets = sets_for(docs, busy, rule)
-    links = confirmed(first_pairs(lists), sets, rule)
-    mixed = mixed_lists(lists, stored(components(links), "minmax-comps"))
-    links = stored(links.union(confirmed(cross_pairs(mixed.filter(F.col("outside") <= rule.long_list), rule), sets, rule)), "minmax-links")
-    crowded = mixed.filter(F.col("outside") > rule.long_list)
+    comps = stored(stars(confirmed(first_pairs(lists), sets, rule)), "minmax-comps")
+    mixed = mixed_lists(lists, comps)
+    more = confirmed(cross_pairs(mixed.filter(F.col("pairs") <= rule.long_list), rule), sets, rule)
+    if not more.isEmpty():
+        comps = joined_up(comps, more)
+    crowded = mixed.filter(F.col("pairs") > rule.long_list)
     if not crowded.isEmpty():
         some = stored(sets.join(crowded.select("id").distinct(), "id", "left_semi"), "minmax-crowded")
-        again = mixed_lists(rare_lists(some, rule), stored(components(links), "minmax-comps"))
-        links = links.union(confirmed(cross_pairs(again, rule), some, rule))
-    return rows.select("doc_id", "n", "cls"), classes.select("id", "cls"), links
+        rare = shared_lists(rare_lists(some, rule))
+        comps = joined_up(comps, confirmed(first_pairs(rare, rule.tries), some, rule))
+        more = confirmed(cross_pairs(mixed_lists(rare, comps), rule), some, rule)
+        if not more.isEmpty():
+            comps = joined_up(comps, more)
+    return rows.select("doc_id", "n", "cls"), classes.select("id", "cls"), comps
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     with small_batches(docs.sparkSession):
-        rows, classes, links = class_links(texts, rule)
-        comps = stored(components(links), "minmax-comps")
+        rows, classes, comps = class_components(texts, rule)
     least = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least")).join(classes, "cls")
     joined = least.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     named = joined.join(joined.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "component_id")
