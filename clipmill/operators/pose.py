@@ -11,6 +11,7 @@ from clipmill import constants as K
 from clipmill.functions.arrays import covered, even_indices, q64_char, q64_row, rotate_xy
 from clipmill.functions.text import normalize_gloss, parse_input_block, strip
 from clipmill.operators.ranking import hash_number, spread_sequence
+from clipmill.operators.skew import spread_join
 from clipmill.session import stored
 
 
@@ -30,7 +31,7 @@ def zscore_clip(df: DataFrame) -> DataFrame:
         bad = z.isNull() | F.isnan(z) | (F.abs(z) == F.lit(float("inf")))
         return F.when(bad, F.lit(0.0)).otherwise(z)
 
-    return df.join(feature_stats(df), "clip_id").withColumn("f", F.zip_with("f", "st", one)).drop("st")
+    return spread_join(df, feature_stats(df), "clip_id", ["frame_idx"]).withColumn("f", F.zip_with("f", "st", one)).drop("st")
 
 
 def clip_lengths(df: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def resample_linear(
         size = size.withColumn("n_target", F.greatest(F.col("n_target"), F.lit(1)))
     t, s = F.col("n_target").cast("bigint"), F.col("n_src")
     i = F.col("frame_idx").cast("bigint")
-    j = df.join(size.filter(F.col("n_target") > 0), "clip_id")
+    j = spread_join(df, size.filter(F.col("n_target") > 0), "clip_id", ["frame_idx"])
     none = F.array().cast("array<bigint>")
 
     def span(x: Column) -> Column:

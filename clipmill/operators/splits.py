@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clipmill.constants import SPLITS, TRAIN_RATIO, VAL_RATIO
 from clipmill.functions.text import strip
 from clipmill.operators.ranking import assign_splits, top_k_first_seen
+from clipmill.operators.skew import spread_join
 
 PAIRS = tuple(combinations(SPLITS, 2))
 
@@ -64,7 +65,7 @@ def group_independent_split(df: DataFrame, group: str, seed: int) -> tuple[DataF
     groups = df.select(group).filter(F.col(group).isNotNull()).distinct()
     placed = assign_splits(groups, [], group, seed, group_sizes)
     bad = df.filter(F.col(group).isNull())
-    return df.join(placed, group), bad
+    return spread_join(df, placed, group), bad
 
 
 def split_counts(df: DataFrame, label: str, split: str = "split") -> DataFrame:
