@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -347,32 +350,85 @@ def loss_curve(train: DataFrame, val: DataFrame) -> DataFrame:
     )
 
 
+def accepted_chain(value: np.ndarray, known: np.ndarray, delta: float, patience: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every row as the accepted best: the last row accepted after it, and how many rows follow that one before it ends or stops.
+
+    A row's follower is the first of the next ``patience`` rows that beats it by more than ``delta``; followers are
+    then followed in jumps that double. ``known`` is false for null values, which every row beats.
+    """
+    n = len(value)
+    follower = np.arange(n)
+    for k in range(patience, 0, -1):
+        if k < n:
+            beats = ~known[:-k] | (known[k:] & (value[k:] > value[:-k] + delta))
+            follower[:-k][beats] = np.arange(k, n)[beats]
+    while True:
+        further = follower[follower]
+        if (further == follower).all():
+            break
+        follower = further
+    return follower, np.minimum(n - 1 - follower, patience)
+
+
+_SEGMENT = "offset long, rows long, epoch long, value double, best double, best_epoch long, bad long, last long, stopped boolean"
+
+
 def best_epoch(metric: DataFrame, delta: float, patience: int, maximize: bool = True) -> DataFrame:
     """Per run: best metric, its epoch, the epoch training stops at, whether it stopped early.
 
-    ``metric`` has one value per (run, epoch). The bar moves with the last accepted best, so a run's
-    epochs (a training log: thousands at most) are folded in order.
+    ``metric`` has one value per (run, epoch). The bar moves with the last accepted best, so epochs are folded in order, yet no run is
+    gathered: rows are range-sorted, and each part of a run says what follows if any of its first ``patience`` rows is the
+    next one accepted (later rows cannot be: the run would have stopped). These few rows per part are then folded from part to part.
     """
-    seq = metric.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("epoch", "value"))).alias("s"))
+    if patience < 1:
+        raise ValueError("patience must be positive")
+    kind = metric.schema["run"].dataType.simpleString()
     sign = 1.0 if maximize else -1.0
-    start = F.struct(
-        F.lit(None).cast("double").alias("best"), F.lit(None).cast("bigint").alias("best_epoch"),
-        F.lit(0).alias("bad"), F.lit(None).cast("bigint").alias("stop"), F.lit(None).cast("bigint").alias("last"),
-    )
 
-    def step(acc: Column, x: Column) -> Column:
-        better = acc["best"].isNull() | (x["value"] * F.lit(sign) > acc["best"] * F.lit(sign) + F.lit(float(delta)))
-        bad = F.when(better, F.lit(0)).otherwise(acc["bad"] + 1)
-        epoch = x["epoch"].cast("bigint")
-        moved = F.struct(
-            F.when(better, x["value"]).otherwise(acc["best"]).alias("best"),
-            F.when(better, epoch).otherwise(acc["best_epoch"]).alias("best_epoch"),
-            bad.alias("bad"), F.when(bad >= patience, epoch).alias("stop"), epoch.alias("last"),
-        )
-        return F.when(acc["stop"].isNotNull(), acc).otherwise(moved)
-
-    r = seq.withColumn("r", F.aggregate("s", start, step))
-    return r.select(
-        "run", F.col("r.best").alias("best_metric"), F.col("r.best_epoch").alias("best_epoch"),
-        F.col("r.last").alias("last_epoch"), F.col("r.stop").isNotNull().alias("stopped_early"),
-    )
+    def summary(run, part: int, epoch: np.ndarray, raw: np.ndarray, known: np.ndarray) -> pd.DataFrame:
+        value = np.where(np.isnan(raw), np.inf, sign * raw)  # as in Spark, not-a-number beats every number
+        last, bad = accepted_chain(value, known, delta, patience)
+        first = np.arange(min(patience, len(raw)))
+        end = last[first] + bad[first]
+        shown = lambda numbers, at: pd.Series([float(numbers[i]) if known[i] else None for i in at], dtype=object)
+        return pd.DataFrame({
+            "run": pd.Series([run] * len(first), dtype=object), "part": part, "offset": first, "rows": len(raw), "epoch": epoch[first],
+            "value": shown(value, first), "best": shown(raw, last[first]), "best_epoch": epoch[last[first]],
+            "bad": bad[first], "last": epoch[end], "stopped": bad[first] >= patience,
+        })
+
+    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, []
+        for pdf in batches:
+            for (part, run), rows in pdf.groupby([pdf["part"], pdf["run"]], sort=False, dropna=False):
+                run = None if pd.isna(run) else run
+                if (part, run) != at and held:
+                    yield summary(at[1], at[0], *(np.concatenate(x) for x in zip(*held)))
+                    held = []
+                at = (part, run)
+                held.append((rows["epoch"].to_numpy(np.int64), rows["value"].to_numpy(np.float64), rows["known"].to_numpy(bool)))
+        if held:
+            yield summary(at[1], at[0], *(np.concatenate(x) for x in zip(*held)))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        bar, state = None, None  # bar: signed value to beat, None when anything does; state: (best, its epoch, bad, last epoch, stopped)
+        for _, seg in pdf.sort_values(["part", "offset"]).groupby("part", sort=True):
+            seg = seg.astype(object).where(seg.notna(), None).to_dict("records")
+            left = patience - (state[2] if state else 0)
+            beats = lambda r: bar is None or (r["value"] is not None and r["value"] > bar + delta)
+            found = next((r for r in seg[:left] if beats(r)), None)
+            if found is not None:
+                state = (found["best"], found["best_epoch"], found["bad"], found["last"], found["stopped"])
+                bar = None if found["best"] is None else math.inf if math.isnan(found["best"]) else sign * found["best"]
+            elif seg[0]["rows"] >= left:
+                state = (*state[:2], patience, seg[left - 1]["epoch"], True)
+            else:
+                state = (*state[:2], state[2] + seg[0]["rows"], seg[-1]["epoch"], False)
+            if state[4]:
+                break
+        return pd.DataFrame([(pdf["run"].iloc[0], state[0], state[1], state[3], state[4])], columns=["run", "best_metric", "best_epoch", "last_epoch", "stopped_early"])
+
+    value = F.col("value").cast("double")
+    ordered = metric.select("run", F.col("epoch").cast("bigint").alias("epoch"), F.coalesce(value, F.lit(0.0)).alias("value"), value.isNotNull().alias("known")).orderBy("run", "epoch")
+    parts = ordered.withColumn("part", F.spark_partition_id()).mapInPandas(segments, f"run {kind}, part int, {_SEGMENT}")
+    return parts.groupBy("run").applyInPandas(fold, f"run {kind}, best_metric double, best_epoch long, last_epoch long, stopped_early boolean")
