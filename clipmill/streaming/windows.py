@@ -43,23 +43,24 @@ def feature_windows(frames: DataFrame, n: int, width: int) -> DataFrame:
     return j.select("source", "window", (F.lit(n) - F.coalesce("ok", F.lit(0))).alias("missing_frame_count"), filled.alias("features"))
 
 
-def feature_windows_stream(frames: DataFrame, n: int, width: int, idle_seconds: int | None = None) -> DataFrame:
+def feature_windows_stream(frames: DataFrame, n: int, width: int, idle_seconds: int | None = None, reorder: int = 0) -> DataFrame:
     """Streaming form: a window goes out once its N frames have passed; gaps in frame_idx are missing frames.
 
-    Frames of a source arrive in order; one that comes after its place has passed goes out as a row of its own, with its number in
-    ``late_frame`` and no features. State per source: next frame number and the open window; with ``idle_seconds`` it ends
-    when a source is silent for so long.
+    A frame's place passes when the source has shown a frame ``reorder`` places further on, so frames that come up to that much late are
+    put in order first. One that comes after its place has passed goes out as a row of its own, with its number in
+    ``late_frame`` and no features. State per source: next frame number, the open window, and at most the frames of the last
+    ``reorder`` places; with ``idle_seconds`` a timer passes the held frames on and ends the state when a source is silent for so long.
     """
     if n <= 0:
         raise ValueError("frame count must be positive")
+    if reorder < 0:
+        raise ValueError("reorder must not be negative")
     zero = [0.0] * width
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        nxt, missing, held = state.get if state.exists else (0, 0, [])
-        held = [list(x) for x in held]
+        nxt, missing, held, seen, places, flags, values = state.get if state.exists else (0, 0, [], -1, [], [], [])
+        held, silent = [list(x) for x in held], state.hasTimedOut
+        waiting = [(i, bool(ok), None if f is None else list(f)) for i, ok, f in zip(places, flags, values)]
         out = []
 
         def push(f):
@@ -70,22 +71,36 @@ def feature_windows_stream(frames: DataFrame, n: int, width: int, idle_seconds:
                 out.append((key[0], nxt // n - 1, missing, held, None))
                 held, missing = [], 0
 
-        rows = pd.concat(list(batches)).sort_values("frame_idx")
-        for idx, ok, f in rows[["frame_idx", "ok", "f"]].itertuples(index=False):
+        def put(idx: int, good: bool, f) -> None:
+            nonlocal missing
             if idx < nxt:
                 out.append((key[0], idx // n, None, None, idx))
-                continue
+                return
             while nxt < idx:
                 missing += 1
                 push(None)
-            good = ok is not None and bool(ok)
             missing += 0 if good else 1
-            push([float(x) for x in f] if good and f is not None and len(f) == width else None)
-        state.update((nxt, missing, held))
-        if idle_seconds:
-            state.setTimeoutDuration(idle_seconds * 1000)
+            push(f)
+
+        for pdf in [] if silent else batches:
+            for idx, ok, f in pdf[["frame_idx", "ok", "f"]].itertuples(index=False):
+                good = ok is not None and bool(ok)
+                waiting.append((int(idx), good, [float(x) for x in f] if good and f is not None and len(f) == width else None))
+                seen = max(seen, int(idx))
+        waiting.sort(key=lambda w: w[0])
+        passed = len(waiting) if silent else sum(w[0] <= seen - reorder for w in waiting)
+        for w in waiting[:passed]:
+            put(*w)
+        waiting = waiting[passed:]
+        if silent:
+            state.remove()
+        else:
+            state.update((nxt, missing, held, seen, [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting]))
+            if idle_seconds:
+                state.setTimeoutDuration(idle_seconds * 1000)
         table = pd.DataFrame(out, columns=["source", "window", "missing_frame_count", "features", "late_frame"])
         yield table.astype({"missing_frame_count": "Int64", "late_frame": "Int64"})
 
+    held = "nxt bigint, missing bigint, held array<array<double>>, seen bigint, places array<bigint>, flags array<boolean>, waiting array<array<double>>"
     return frames.groupBy("source").applyInPandasWithState(
-        step, STREAM_OUTPUT, "nxt bigint, missing bigint, held array<array<double>>", "append", "ProcessingTimeTimeout" if idle_seconds else "NoTimeout")
+        step, STREAM_OUTPUT, held, "append", "ProcessingTimeTimeout" if idle_seconds else "NoTimeout")

@@ -122,3 +122,24 @@ def test_late_frames_go_out_as_rows(spark, tmp_path):
     rows = run(spark, feature_windows_stream(src, 4, 1), "late_out").collect()
     assert [(r.window, r.late_frame) for r in rows if r.late_frame is not None] == [(0, 2)]
     assert sorted((r.window, r.missing_frame_count) for r in rows if r.late_frame is None) == [(0, 3), (1, 1)]
+
+
+def test_shuffled_frames_within_the_delay_equal_the_batch(spark, tmp_path):
+    rnd = random.Random(12)
+    frames = [("a", i, i % 7 != 3, [float(i)] * 2) for i in range(120) if i % 11 != 5]
+    frames += [("b", i, True, [float(-i)] * 2) for i in range(40)]
+    order = sorted(range(len(frames)), key=lambda k: frames[k][1] + rnd.random() * 6)  # up to six places late
+    shuffled = [frames[k] for k in order]
+    late = ("a", 2, True, [9.0, 9.0])
+    for n in range(8):
+        part = shuffled[n * 20:n * 20 + 20] + ([late] if n == 7 else [])
+        spark.createDataFrame(part, FRAMES).coalesce(1).write.json(str(tmp_path / f"in/{n}"))
+    src = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(str(tmp_path / "in"))
+    rows = run(spark, feature_windows_stream(src, 4, 2, reorder=10), "reorder_out").collect()
+    key = lambda r: (r.source, r.window, r.missing_frame_count, tuple(map(tuple, r.features)))
+    got = sorted(key(r) for r in rows if r.late_frame is None)
+    want = sorted(key(r) for r in feature_windows(spark.createDataFrame(frames, FRAMES), 4, 2).collect())
+    assert [(r.source, r.late_frame) for r in rows if r.late_frame is not None] == [("a", 2)]
+    assert set(got) <= set(want) and len(got) >= len(want) - 2 * 3  # the last ten places of each source are still held
+    with pytest.raises(ValueError):
+        feature_windows_stream(src, 4, 2, reorder=-1)
