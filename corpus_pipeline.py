@@ -2,7 +2,7 @@
 
 1. quality rules: documents that the word rules or the perplexity bands reject go;
 2. exact dedup: of equal texts the row with the smallest id stays;
-3. n-gram Jaccard join: one document of each group of near copies stays;
+3. n-gram Jaccard join: one document of each group of near copies stays (five words, similarity 0.8);
 4. mixing: documents are dropped or repeated (up to three times) until each source has its target share;
 5. BPE: every row becomes token ids, with a digest of its decoded text.
 
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from clipmill.llm import bpe, exact_dedup, jaccard_join, mixing, quality
 from clipmill.session import stored
 
+#: Near copies share at least 0.8 of their five-word shingles.
+NEAR_COPIES = jaccard_join.Rule(size=5, num=80, den=100)
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -29,8 +31,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.keep_first(docs)
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.keep_one(docs)
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, rule: jaccard_join.Rule = NEAR_COPIES) -> DataFrame:
+    return jaccard_join.keep_one(docs, rule=rule)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
