@@ -125,9 +125,9 @@ def test_mix_nears_its_targets(spark):
         assert abs(r.taken - r.target) <= 0.01 * r.target + 40
 
 
-def shingle_set(text):
+def shingle_set(text, size=3):
     w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in WORD.findall(text or "")]
-    return frozenset(tuple(w[k:k + 3]) for k in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[k:k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
 def test_jaccard_components(spark, rows, docs, empty):
@@ -475,14 +475,21 @@ def test_pipeline_on_the_small_tables(spark):
         first.setdefault(norm(r.text), r.doc_id)
     assert {r.doc_id for r in once.collect()} == set(first.values())
     alone = stages["ngram_jaccard_join"](spark, once, sf).cache()
-    sets = sorted((r.doc_id, shingle_set(r.text)) for r in once.collect())
-    comp = {i: i for i, _ in sets}
-    for k, (i, a) in enumerate(sets):
-        for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 90 * len(a | b) and comp[i] != comp[j]:
-                low, high = sorted((comp[i], comp[j]))
-                comp = {x: low if c == high else c for x, c in comp.items()}
-    assert {r.doc_id for r in alone.collect()} == {i for i, c in comp.items() if i == c}
+    left = once.collect()
+
+    def one_of_each(size, num):
+        sets = sorted((r.doc_id, shingle_set(r.text, size)) for r in left)
+        comp = {i: i for i, _ in sets}
+        for k, (i, a) in enumerate(sets):
+            for j, b in sets[:k]:
+                if a and b and 100 * len(a & b) >= num * len(a | b) and comp[i] != comp[j]:
+                    low, high = sorted((comp[i], comp[j]))
+                    comp = {x: low if c == high else c for x, c in comp.items()}
+        return {i for i, c in comp.items() if i == c}
+
+    assert {r.doc_id for r in alone.collect()} == one_of_each(5, 80)
+    strict = corpus_pipeline.near_copies(spark, once, sf, jaccard_join.Rule())
+    assert {r.doc_id for r in strict.collect()} == one_of_each(3, 90)
     mixed = stages["mix_sources"](spark, alone, sf).cache()
     plan = {r.doc_id: r.copies for r in mixing.mix(alone.withColumn("k", F.concat_ws(":", "doc_id", F.sha2("text", 256))), "k").collect()}
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({int(k.split(":")[0]): c for k, c in plan.items() if c})
