@@ -1,11 +1,14 @@
 """Secret scans with a recursive decoding worklist.
 
 A document starts as one layer, its whole text. Each layer is scanned for secrets, then decoded in every way that applies:
-percent escapes, Unicode escapes and numeric entities, base64 (also wrapped over lines), and compressed bytes behind any of them. Decoding replaces the encoded
+percent escapes, Unicode escapes (also ``%u`` and octal) and entities, base64 (also wrapped over lines, or glued to words and paths), text of two bytes a
+character, and compressed bytes (also several streams, behind a short header, or deflated without one) behind any of them. Decoding replaces the encoded
 places within the layer, so a secret whose name stands outside them is found as well, and gives a new layer, which is
 worked on in turn until no new one appears. A layer seen before in this document is not taken again, which ends cycles. Every character of a layer
 knows which code points of the original text it came from, so spans are always those of the document.
 
+Of a stream that is broken or ends early, the text before that place is scanned as a layer of its own, and ``complete`` is false.
+
 Defined limits (against archive bombs): of a place that unpacks to more than ``limit`` bytes the first ``limit`` are scanned, as a
 layer of their own that is not unpacked further; once the layers of one document exceed ``limit`` characters, new layers are scanned but
 not unpacked. Nothing else of the document is affected; such rows have ``complete`` false. Null and empty texts have no spans. Repeated rows are scanned each for itself. An empty table gives
@@ -20,7 +23,9 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
+from html.entities import html5
 from itertools import islice
 from urllib.parse import unquote_to_bytes
 
@@ -37,7 +42,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this is the same as d
 KINDS = ("assign", "access", "hex")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|((?:\\x[0-9A-Fa-f]{2})+)")
+ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});|((?:\\x[0-9A-Fa-f]{2})+)|%u([0-9A-Fa-f]{4})|((?:\\[0-3][0-7]{2})+)|&([A-Za-z][A-Za-z0-9]{1,30};)")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ud800-\udfff\ufffe\uffff]")
 #: Runs of base64 characters on lines that follow each other, also behind quote marks, and the names that quoted compressed bytes begin with.
@@ -46,9 +51,13 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\
 TOKEN = re.compile(r"\S+")
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x08-\x78][\x01\x5e\x9c\xda]")
 BYTE = re.compile(rb"%[0-9A-Fa-f]{2}|[\x00-\xff]", re.S)
+STRONG = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: Stretches of text between other bytes, and the characters that only one of the two base64 alphabets has.
+STRETCH = re.compile(rb"[\x20-\x7e\t\r\n]{10,}")
+ALPHABETS = (re.compile("[A-Za-z0-9+/]{16,}"), re.compile("[A-Za-z0-9_-]{16,}"))
 LIMIT = 64 << 20
-#: A decoded place takes its place in the layer, is a layer of its own, or is the beginning of one that is beyond the limit.
-INSIDE, ALONE, CUT = range(3)
+#: A decoded place takes its place in the layer, is a layer of its own, or is the beginning of one that is beyond the limit or of a broken stream.
+INSIDE, ALONE, CUT, SHORT = range(4)
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -61,36 +70,98 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def _inflate(data: bytes, limit: int) -> tuple[bytes, bool] | None:
-    """One layer of compression off and whether more than the limit, which is cut, was behind it; None if there is none or it is broken."""
+def _tool(data: bytes):
+    """A fresh unpacker for what the data begins with, and whether another stream may follow; None without a magic number."""
     if data[:3] == b"\x1f\x8b\x08":
-        tool = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] & 0x0F == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
-        tool = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        tool = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        tool = lzma.LZMADecompressor()
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
-        try:
-            with zstandard.ZstdDecompressor().stream_reader(data) as reader:
-                out = reader.read(limit + 1)
-        except zstandard.ZstdError:
-            return None
-        return out[:limit], len(out) > limit
-    else:
-        return None
+        return lambda: zlib.decompressobj(31)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        return lambda: zstandard.ZstdDecompressor().decompressobj()
+    if len(data) > 2 and data[0] & 0x0F == 8 and data[0] >> 4 <= 7 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj
+    return None
+
+
+BROKEN = (zlib.error, OSError, lzma.LZMAError, ValueError, EOFError, zstandard.ZstdError)
+
+
+def _stream(tool, data: bytes, limit: int) -> tuple[bytes, bytes | None]:
+    """(what one stream gives, up to one byte beyond the limit; what follows it, None if the stream is broken, cut short or longer)."""
+    made, out = tool(), bytearray()
+    bounded = not type(made).__module__.startswith("zstandard")  # that one takes no limit, so it gets smaller pieces
+    step = 1 << 12 if bounded else 1 << 8
     try:
-        out = tool.decompress(data, limit + 1)
-    except (zlib.error, OSError, lzma.LZMAError, ValueError):
+        for at in range(0, len(data), step):  # in pieces, so that what came before a broken place is kept
+            part = data[at:at + step]
+            while True:
+                out += made.decompress(part, limit + 1 - len(out)) if bounded else made.decompress(part)
+                if len(out) > limit:
+                    return bytes(out[:limit + 1]), None
+                part = getattr(made, "unconsumed_tail", b"")
+                if made.eof:
+                    return bytes(out), bytes(made.unused_data) + bytes(data[at + step:])
+                if not part and (not bounded or getattr(made, "needs_input", True)):
+                    break
+    except BROKEN:
+        pass
+    return bytes(out), None
+
+
+def _inflate(data: bytes, limit: int) -> tuple[bytes, bool] | None:
+    """One layer of compression off, all streams that follow each other, and whether something is missing; None if there is none.
+
+    Missing is what lies beyond the limit or behind a broken or lost end; of a broken stream only plain text counts.
+    """
+    data = bytes(data)
+    tool, out, rest = _tool(data), bytearray(), data
+    if tool is None:
         return None
-    if len(out) > limit:
-        return out[:limit], True
-    return (out, False) if tool.eof else None
+    while tool is not None:
+        part, after = _stream(tool, rest, limit - len(out))
+        out += part
+        if len(out) > limit:
+            return bytes(out[:limit]), True
+        if after is None:
+            shown = bytes(out)
+            return (shown, True) if len(shown) >= 8 and _plain(shown) else None
+        rest, tool = after, _tool(after) if after[:2] == data[:2] else None
+    return bytes(out), False
+
+
+def _plain(data: bytes) -> bool:
+    text = data.decode("utf-8", "replace")
+    return 20 * (len(ODD.findall(text)) + text.count("\ufffd")) <= len(text)
+
+
+def _bare(data: bytes, limit: int) -> bytes | None:
+    """Deflated bytes without a header, or with a short header before a magic number, as what they unpack to."""
+    for m in STRONG.finditer(data, 1, 64):
+        found = _inflate(data[m.start():], limit)
+        if found and not found[1]:
+            return found[0]
+    if len(data) < 12:
+        return None
+    out, after = _stream(lambda: zlib.decompressobj(-15), data, limit)
+    return out if after is not None and len(after) <= 8 and len(out) >= 8 and _plain(out) else None
+
+
+def _two_bytes(data: bytes) -> str | None:
+    """Text of two bytes a character: every other byte is zero nearly always."""
+    n = len(data) // 2
+    if n < 6:
+        return None
+    for zeros, name in ((data[1::2], "utf-16-le"), (data[::2], "utf-16-be")):
+        if 10 * zeros.count(0) >= 7 * n:
+            text = data[:2 * n].decode(name, "replace").removeprefix("\ufeff")
+            return text if 20 * len(ODD.findall(text)) <= len(text) else None
+    return None
 
 
 def _as_text(data: bytes, limit: int) -> tuple[str, bool, int] | None:
-    """The bytes as text, whether compression was taken off, and how the text stands: ``INSIDE``, ``ALONE`` or ``CUT``; None if nothing can be in it.
+    """The bytes as text, whether compression was taken off, and how the text stands: one of the four states above; None if nothing can be in it.
 
     Bytes with many characters that text does not have may be an ordinary word that was no encoding at all, so they do not take
     its place in the layer but are a layer of their own.
@@ -101,9 +172,14 @@ def _as_text(data: bytes, limit: int) -> tuple[str, bool, int] | None:
             return None
         seen.add(data)
         (data, cut), packed = more, True
+    state = INSIDE if not cut else CUT if len(data) >= limit else SHORT
+    if b"\x00" in data and (text := _two_bytes(data)):
+        return text, True, state
     text = data.decode("utf-8", "surrogateescape")  # a byte that is no UTF-8 is a character of its own
     if packed or 8 * len(ODD.findall(text)) <= len(text):
-        return (text, packed, CUT if cut else INSIDE) if text else None
+        return (text, packed, state) if text else None
+    if (more := _bare(data, limit)) is not None:
+        return more.decode("utf-8", "surrogateescape"), True, ALONE
     return (text, packed, ALONE) if scan(text) or any(x.search(text) for x in (PERCENT, ESCAPE, BASE64)) else None
 
 
@@ -118,7 +194,8 @@ def _percent(text: str, limit: int):
     for m in PERCENT.finditer(text):
         found = _as_text(bytes.fromhex(m[0].replace("%", "")), limit)
         if found:
-            yield m.start(), m.end(), found[0], None if found[1] else _evenly(found[0], 3, m.start()), found[2]
+            # whether a stream really ends here is for ``_quoted`` to say, which takes bare bytes with it
+            yield m.start(), m.end(), found[0], None if found[1] else _evenly(found[0], 3, m.start()), ALONE if found[2] == SHORT else found[2]
 
 
 def _escapes(text: str, limit: int):
@@ -129,7 +206,16 @@ def _escapes(text: str, limit: int):
             if found:
                 yield m.start(), m.end(), found[0], None if found[1] else _evenly(found[0], 4, m.start()), found[2]
             continue
-        code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3] or m[5], 16)
+        if m[8]:
+            found = _as_text(bytes(int(x, 8) for x in m[8][1:].split("\\")), limit)
+            if found:
+                yield m.start(), m.end(), found[0], None if found[1] else _evenly(found[0], 4, m.start()), found[2]
+            continue
+        if m[9]:
+            if m[9] in html5:
+                yield m.start(), m.end(), html5[m[9]], None, INSIDE
+            continue
+        code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3] or m[5] or m[7], 16)
         if 0xD800 <= code < 0xDC00:
             high = (m.start(), m.end(), code)
         elif 0xDC00 <= code < 0xE000:
@@ -146,19 +232,20 @@ def _quoted(text: str, limit: int):
         if PERCENT.search(text, m.start(), m.end()) is None:
             continue
         token = m[0].encode("utf-8", "surrogateescape")
+        best = None
         for form in (token, token.replace(b"+", b" ")) if b"+" in token else (token,):
             data = unquote_to_bytes(form)
             for at in MAGIC.finditer(data):
-                if _inflate(memoryview(data)[at.start():], limit) is None:
-                    continue
                 found = _as_text(data[at.start():], limit)
-                if found and found[1]:
+                if found and found[1] and (best is None or found[2] != SHORT):
                     place = next(islice(BYTE.finditer(form), at.start(), None)).start()
-                    yield m.start() + len(form[:place].decode("utf-8", "surrogateescape")), m.end(), found[0], None, found[2]
-                    break
-            else:
-                continue
-            break
+                    best = m.start() + len(form[:place].decode("utf-8", "surrogateescape")), m.end(), found[0], None, found[2]
+                    if found[2] != SHORT:
+                        break
+            if best and best[4] != SHORT:
+                break
+        if best:
+            yield best
 
 
 def _unbase(body: str) -> bytes | None:
@@ -169,16 +256,50 @@ def _unbase(body: str) -> bytes | None:
 
 
 def _base64(text: str, limit: int):
+    """Runs on one line. A stream that ends with its line and goes on in the next one is left to ``_wrapped``."""
+    lines = None
     for m in BASE64.finditer(text):
         data = _unbase(m[0].rstrip("="))
         found = data and _as_text(data, limit)
-        if not found:
+        if found and found[2] == SHORT:
+            lines = [w.span() for w in WRAPPED.finditer(text)] if lines is None else lines
+            k = bisect_right(lines, (m.start(), len(text))) - 1
+            if k >= 0 and m.start() < lines[k][1]:
+                found = (*found[:2], ALONE)
+        if found and found[2] != ALONE:
+            yield m.start(), m.end(), found[0], _places(found, m.start()), found[2]
             continue
-        where = None
-        if not found[1]:
-            first, last = _evenly(found[0], 1, 0)
-            where = m.start() + first * 4 // 3, m.start() + -(-last * 4 // 3)
-        yield m.start(), m.end(), found[0], where, found[2]
+        if found:
+            yield m.start(), m.end(), found[0], _places(found, m.start()), ALONE
+        yield from _glued(text, m.start(), m.end(), limit)
+
+
+def _places(found, begin: int):
+    if found[1]:
+        return None
+    first, last = _evenly(found[0], 1, 0)
+    return begin + first * 4 // 3, begin + -(-last * 4 // 3)
+
+
+def _glued(text: str, start: int, end: int, limit: int):
+    """Base64 with a word or path of its own alphabet before or behind it: stretches of text, and compressed bytes, at every offset."""
+    for alphabet in ALPHABETS:
+        for m in alphabet.finditer(text, start, end):
+            for k in range(4):
+                data = _unbase(m[0][k:]) or b""
+                for piece in STRETCH.finditer(data):
+                    at = m.start() + k + piece.start() * 4 // 3
+                    found = (piece[0].decode(), False, ALONE)
+                    yield at, min(m.start() + k + -(-piece.end() * 4 // 3), m.end()), found[0], _shifted(found[0], m.start() + k, piece.start()), ALONE
+                for magic in STRONG.finditer(data):
+                    found = _as_text(data[magic.start():], limit)
+                    if found and found[1]:
+                        yield m.start() + k + magic.start() * 4 // 3, m.end(), found[0], None, CUT if found[2] == CUT else ALONE
+
+
+def _shifted(text: str, begin: int, skip: int):
+    first, last = _evenly(text, 1, skip)
+    return begin + first * 4 // 3, begin + -(-last * 4 // 3)
 
 
 def _blocks(runs):
@@ -232,7 +353,7 @@ def _lines(runs, end: int, found):
 
 
 DECODERS = (
-    (lambda t: "%" in t, _percent), (lambda t: "%" in t, _quoted), (lambda t: "\\" in t or "&#" in t, _escapes),
+    (lambda t: "%" in t, _percent), (lambda t: "%" in t, _quoted), (lambda t: "\\" in t or "&" in t or "%u" in t, _escapes),
     (lambda t: True, _base64), (lambda t: "\n" in t, _wrapped))
 
 
@@ -272,7 +393,7 @@ def _children(layer: Layer, decode, limit: int):
     places, size = [], 0
     for place in decode(layer.text, limit):
         if place[4] != INSIDE:
-            yield hash((place[2], place[:2])), layer.alone(place), place[4] != CUT
+            yield hash((place[2], place[:2])), layer.alone(place), place[4] not in (CUT, SHORT)
             continue
         if places and size + len(place[2]) > limit:
             child = layer.child(places)
@@ -308,7 +429,7 @@ def layers(text: str, limit: int = LIMIT):
 
 def find(text: str, limit: int = LIMIT) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]:
     """Base matches, all matches (start, kind, end) and whether every layer was read."""
-    if BASE64.search(text) is None and WRAPPED.search(text) is None and "%" not in text and "\\" not in text and "&#" not in text:
+    if BASE64.search(text) is None and WRAPPED.search(text) is None and "%" not in text and "\\" not in text and "&" not in text:
         base = sorted(scan(text)) if ":" in text or "=" in text else []
         return base, base, True
     base, every, complete = [], set(), True
