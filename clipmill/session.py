@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     return (
@@ -36,9 +40,35 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folder of the run in this context, if its caller opened one.
+_RUN: ContextVar[str | None] = ContextVar("clipmill_run", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the run's folder (``work_folder``) or the shared folder."""
+    return f"{_RUN.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def work_folder(spark: SparkSession) -> Iterator[str]:
+    """Work tables made inside go to one folder, which is removed at the end with the catalog's tables that lie in it.
+
+    Results are lazy and read these tables: write or collect them before the block ends.
+    """
+    folder = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        inside = files.makeQualified(place).toUri().getPath() + "/"
+        catalog, named = spark._jsparkSession.sessionState().catalog(), spark._jvm.org.apache.spark.sql.catalyst.TableIdentifier
+        for table in spark.catalog.listTables():
+            if not table.isTemporary and inside in str(catalog.getTableMetadata(named(table.name)).location()):
+                spark.sql(f"drop table if exists `{table.name}`")
+        files.delete(place, True)
 
 
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
