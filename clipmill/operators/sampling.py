@@ -93,7 +93,8 @@ def compose_phrases(
     size_of = F.element_at(F.create_map(*[x for g in glosses for x in (F.lit(g), F.lit(sizes[g]))]), F.col("word"))
     drawn = words.withColumn("pick", hash_number(F.lit(seed), F.lit("clip"), F.col("phrase"), F.col("slot")) % size_of)
     numbered = hash_row_number(usable.select("sample_id", "gloss", "n_frames"), ["gloss"], "sample_id", seed, digits_for(max(sizes.values(), default=0)))
-    chosen = drawn.join(numbered.select(F.col("gloss").alias("word"), F.col("rn").alias("pick"), "sample_id", "n_frames"), ["word", "pick"])
+    # words come out of an array: the planner's size of them is that of the phrases, so no side may be broadcast by it
+    chosen = drawn.hint("merge").join(numbered.select(F.col("gloss").alias("word"), F.col("rn").alias("pick"), "sample_id", "n_frames"), ["word", "pick"])
     in_phrase = W.partitionBy("phrase").orderBy("slot")  # at most max_words rows
     gap = F.lit(gap_min) + hash_number(F.lit(seed), F.lit("gap"), F.col("phrase"), F.col("slot")) % (gap_max - gap_min + 1)
     out = chosen.withColumn("gap_after", F.when(F.lead("slot").over(in_phrase).isNull(), F.lit(0)).otherwise(gap).cast("bigint"))
@@ -124,12 +125,13 @@ def phrase_manifest(words: DataFrame) -> DataFrame:
 def phrase_frames(words: DataFrame, frames: DataFrame) -> DataFrame:
     """Frames of the composed clips: source frames moved to their place, gaps filled with zeros.
 
-    ``frames(sample_id, frame_idx, f[])`` -> (phrase, frame_idx, f[], is_gap).
+    ``frames(sample_id, frame_idx, f[])`` -> (phrase, frame_idx, f[], is_gap). Frames may come out of an array, and then the planner takes
+    them for a small table: both joins are merge joins, so neither frames nor one row per clip go to the driver.
     """
     width = frames.groupBy("sample_id").agg(F.max(F.size("f")).alias("w"))
-    real = words.join(frames.withColumnRenamed("frame_idx", "i"), "sample_id").select(
+    real = words.join(frames.withColumnRenamed("frame_idx", "i").hint("merge"), "sample_id").select(
         "phrase", (F.col("start_frame") + F.col("i")).alias("frame_idx"), F.col("f").cast("array<double>").alias("f"), F.lit(False).alias("is_gap"))
-    gaps = words.filter("gap_after > 0").join(width, "sample_id").withColumn(
+    gaps = words.filter("gap_after > 0").join(width.hint("merge"), "sample_id").withColumn(
         "i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("gap_after")))
     ).select("phrase", (F.col("end_frame") + F.col("i")).alias("frame_idx"), F.array_repeat(F.lit(0.0), F.col("w")).alias("f"), F.lit(True).alias("is_gap"))
     return real.unionByName(gaps)

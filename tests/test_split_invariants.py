@@ -135,3 +135,15 @@ def test_phrases(spark, p):
     assert out.filter("n <> d or n <> m + 1").count() == 0 and out.count() == 200
     assert Y.phrase_manifest(words).count() == 200
     assert sorted(map(tuple, words.collect())) == sorted(map(tuple, Y.compose_phrases(Y.phrase_ids(spark, 200).repartition(5), clips, ["a", "b", "c"], min_words=2, max_words=4, repeat_probability=p, gap_min=1, gap_max=3).collect()))
+
+
+def test_phrase_frames_go_to_no_driver(spark):
+    """Frames that come out of an array look small to the planner, and are still not broadcast; neither are words or clips."""
+    clips = spark.range(40).selectExpr("cast(id as string) as sample_id", "if(id % 3 = 0, 'a', 'b') as gloss", "id % 5 + 1 as n_frames")
+    frames = clips.selectExpr("sample_id", "explode(sequence(0L, n_frames - 1)) as frame_idx", "array(1.0D, 2.0D) as f")
+    words = Y.compose_phrases(Y.phrase_ids(spark, 30), clips, ["a", "b"])
+    out = Y.phrase_frames(words, frames)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 3
+    total = words.agg(F.sum(F.col("n_frames") + F.col("gap_after"))).first()[0]
+    assert out.count() == total
