@@ -370,7 +370,7 @@ def accepted_chain(value: np.ndarray, known: np.ndarray, delta: float, patience:
     return follower, np.minimum(n - 1 - follower, patience)
 
 
-_SEGMENT = "offset long, rows long, epoch long, value double, best double, best_epoch long, bad long, last long, stopped boolean"
+_SEGMENT = "offset long, rows long, epoch long, value double, best double, best_epoch long, bad long, last long, stopped boolean, whole boolean"
 
 
 def best_epoch(metric: DataFrame, delta: float, patience: int, maximize: bool = True) -> DataFrame:
@@ -379,6 +379,7 @@ def best_epoch(metric: DataFrame, delta: float, patience: int, maximize: bool =
     ``metric`` has one value per (run, epoch). The bar moves with the last accepted best, so epochs are folded in order, yet no run is
     gathered: rows are range-sorted, and each part of a run says what follows if any of its first ``patience`` rows is the
     next one accepted (later rows cannot be: the run would have stopped). These few rows per part are then folded from part to part.
+    Only the first and the last run of a part can go on in another; the runs between them are folded where they are.
     """
     if patience < 1:
         raise ValueError("patience must be positive")
@@ -394,21 +395,58 @@ def best_epoch(metric: DataFrame, delta: float, patience: int, maximize: bool =
         return pd.DataFrame({
             "run": pd.Series([run] * len(first), dtype=object), "part": part, "offset": first, "rows": len(raw), "epoch": epoch[first],
             "value": shown(value, first), "best": shown(raw, last[first]), "best_epoch": epoch[last[first]],
-            "bad": bad[first], "last": epoch[end], "stopped": bad[first] >= patience,
+            "bad": bad[first], "last": epoch[end], "stopped": bad[first] >= patience, "whole": False,
+        })
+
+    def walked(epoch: list, raw: list, known: list) -> tuple:
+        """(value, best epoch, bad, last epoch, stopped) of a whole run, ``value`` being the best."""
+        bar, best, best_at, bad = None, None, None, 0
+        for at, v, has in zip(epoch, raw, known):
+            high = math.inf if math.isnan(v) else sign * v
+            if bar is None or (has and high > bar + delta):
+                best, best_at, bad, bar = v if has else None, at, 0, high if has else None
+            else:
+                bad += 1
+                if bad >= patience:
+                    return best, best_at, bad, at, True
+        return best, best_at, bad, epoch[-1], False
+
+    def wholes(part: int, rows: list[tuple]) -> pd.DataFrame:
+        run, best, best_at, bad, last, stopped = zip(*rows)
+        shown = pd.Series(best, dtype=object)
+        return pd.DataFrame({
+            "run": pd.Series(run, dtype=object), "part": part, "offset": 0, "rows": 0, "epoch": last, "value": shown, "best": shown,
+            "best_epoch": best_at, "bad": bad, "last": last, "stopped": stopped, "whole": True,
         })
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, []
+        at, held, edge, part = None, [], True, None
         for pdf in batches:
-            for (part, run), rows in pdf.groupby([pdf["part"], pdf["run"]], sort=False, dropna=False):
-                run = None if pd.isna(run) else run
-                if (part, run) != at and held:
-                    yield summary(at[1], at[0], *(np.concatenate(x) for x in zip(*held)))
-                    held = []
-                at = (part, run)
-                held.append((rows["epoch"].to_numpy(np.int64), rows["value"].to_numpy(np.float64), rows["known"].to_numpy(bool)))
+            if not len(pdf):
+                continue
+            part, done = int(pdf["part"].iloc[0]), []
+            runs, before = pdf["run"], pdf["run"].shift()
+            starts = np.flatnonzero(~((runs == before) | (runs.isna() & before.isna())).to_numpy())
+            starts = np.unique(np.append(0, starts)).tolist()
+            columns = pdf["epoch"].to_numpy(np.int64), pdf["value"].to_numpy(np.float64), pdf["known"].to_numpy(bool)
+            lists = [x.tolist() for x in columns]
+            names = [None if pd.isna(x) else x for x in runs.iloc[starts].tolist()]
+            for run, lo, hi in zip(names, starts, [*starts[1:], len(pdf)]):
+                if held and run != at:
+                    if edge:
+                        yield summary(at, part, *(np.concatenate(x) for x in zip(*held)))
+                    else:
+                        done.append((at, *walked(*(np.concatenate(x).tolist() for x in zip(*held)))))
+                    held, edge = [], False
+                at = run
+                if held or edge or hi == len(pdf):  # begun before, or it may go on
+                    held.append(tuple(x[lo:hi] for x in columns))
+                else:
+                    done.append((run, *walked(*(x[lo:hi] for x in lists))))
+            if done:
+                yield wholes(part, done)
         if held:
-            yield summary(at[1], at[0], *(np.concatenate(x) for x in zip(*held)))
+            yield summary(at, part, *(np.concatenate(x) for x in zip(*held)))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         bar, state = None, None  # bar: signed value to beat, None when anything does; state: (best, its epoch, bad, last epoch, stopped)
@@ -430,5 +468,7 @@ def best_epoch(metric: DataFrame, delta: float, patience: int, maximize: bool =
 
     value = F.col("value").cast("double")
     ordered = metric.select("run", F.col("epoch").cast("bigint").alias("epoch"), F.coalesce(value, F.lit(0.0)).alias("value"), value.isNotNull().alias("known")).orderBy("run", "epoch")
-    parts = ordered.withColumn("part", F.spark_partition_id()).mapInPandas(segments, f"run {kind}, part int, {_SEGMENT}")
-    return parts.groupBy("run").applyInPandas(fold, f"run {kind}, best_metric double, best_epoch long, last_epoch long, stopped_early boolean")
+    parts = stored(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(segments, f"run {kind}, part int, {_SEGMENT}"), "best-epoch")
+    folded = parts.filter("not whole").groupBy("run").applyInPandas(fold, f"run {kind}, best_metric double, best_epoch long, last_epoch long, stopped_early boolean")
+    inside = parts.filter("whole").select("run", F.col("best").alias("best_metric"), "best_epoch", F.col("last").alias("last_epoch"), F.col("stopped").alias("stopped_early"))
+    return folded.unionByName(inside)

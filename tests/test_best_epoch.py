@@ -59,3 +59,17 @@ def test_parts_equal_the_fold(spark, maximize, patience, delta):
 def test_chain_by_hand():
     last, bad = G.accepted_chain(np.array([1.0, 1.0, 3.0, 2.0, 2.5, 9.0]), np.ones(6, bool), 0.5, 2)
     assert last.tolist() == [2, 2, 2, 5, 5, 5] and bad.tolist() == [2, 2, 2, 0, 0, 0]
+
+
+def test_runs_inside_a_part_are_folded_there(spark, monkeypatch):
+    """Of many runs only those at the ends of parts reach the fold of a run; all equal the plain fold, the run without a name too."""
+    rnd = random.Random(8)
+    rows = [(run if run else None, epoch, rnd.choice([None, 1.0, rnd.random() * 9])) for run in range(400) for epoch in range(rnd.choice([1, 4, 9]))]
+    df = spark.createDataFrame(rows, "run long, epoch long, value double")
+    want = {run: fold([r[1:] for r in rows if r[0] == run], 0.5, 3, 1) for run in {r[0] for r in rows}}
+    tables, write = [], G.stored
+    monkeypatch.setattr(G, "stored", lambda *a: tables.append(write(*a)) or tables[-1])
+    got = {r.run: (r.best_metric, r.best_epoch, r.last_epoch, r.stopped_early) for r in G.best_epoch(df, 0.5, 3).collect()}
+    assert got == want
+    parts = tables[0].select("part").distinct().count()
+    assert tables[0].filter("not whole").select("run").distinct().count() <= 2 * parts < len(want) / 4
