@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -74,21 +75,26 @@ def retry_resolution(df: DataFrame, aliases: DataFrame, labels: Sequence[str]) -
     )
 
 
+#: Scores that one task folds and ranks; their number sets the number of tasks.
+TASK_SCORES = 250_000
+
+
 def rank_candidates(scores: DataFrame, labels: Sequence[str], k: int) -> tuple[DataFrame, DataFrame]:
     """(sample_id, best_label, best_score, top_scores; violations) from (sample_id, label, score).
 
-    Order: score descending, then contract position. Contract positions are a table joined by label. Scores are dealt out by sample once;
-    checks are counts, and no list is longer than ``k``: a window group limit lets only the first ``k`` of a sample through.
+    Order: score descending, then contract position. Contract positions are a table joined by label. Scores are dealt out by sample once, to as many
+    tasks as keep each at about ``TASK_SCORES`` rows; checks are counts, and no list is longer than ``k``: a window group limit lets only the first ``k`` of a sample through.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     names = list(dict.fromkeys(labels))
     contract = scores.sparkSession.createDataFrame([(x, i) for i, x in enumerate(names)], "label string, ord int")
+    tasks = max(scores.sparkSession.sparkContext.defaultParallelism, math.ceil(scores.count() / TASK_SCORES))
     folded = (
-        scores.withColumn("label", normalize_gloss(F.col("label"))).repartition("sample_id")
+        scores.withColumn("label", normalize_gloss(F.col("label"))).repartition(tasks, "sample_id")
         .groupBy("sample_id", "label")
         .agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
-        .join(contract, "label", "left")
+        .join(F.broadcast(contract), "label", "left")  # its size is the caller's; a shuffle by label would give each label one task
     )
     known = F.col("ord").isNotNull()
     per = folded.groupBy("sample_id").agg(

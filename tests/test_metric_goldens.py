@@ -176,3 +176,12 @@ def test_run_comparison_precedence(spark):
     assert rec(m(5, 0.4, 0.6), m(5, 0.8, 0.0), same(True)) == "enough"
     assert rec(m(5, 0.4, 0.6), m(5, 0.8, 0.0)) == "enough"
     assert rec(m(5, 0.4, 0.0), m(5, 0.8, 0.0)) == "not_enough"
+
+
+def test_ranking_takes_more_tasks_for_more_scores(spark, monkeypatch):
+    monkeypatch.setattr(P, "TASK_SCORES", 20)
+    s = spark.range(600).selectExpr("concat('s', id div 3) as sample_id", "element_at(array('hello', 'thanks', 'yes'), cast(id % 3 + 1 as int)) as label", "cast(id % 7 as double) as score")
+    top, bad = P.rank_candidates(s, ["hello", "thanks", "yes"], 2)
+    assert "hashpartitioning(sample_id" in top._jdf.queryExecution().executedPlan().toString()
+    assert bad.count() == 0 and top.count() == 200
+    assert top.rdd.getNumPartitions() == 30
