@@ -143,3 +143,26 @@ def test_shuffled_frames_within_the_delay_equal_the_batch(spark, tmp_path):
     assert set(got) <= set(want) and len(got) >= len(want) - 2 * 3  # the last ten places of each source are still held
     with pytest.raises(ValueError):
         feature_windows_stream(src, 4, 2, reorder=-1)
+
+
+def test_rate_stream_deals_keys_into_buckets(spark, tmp_path):
+    """Many keys share a bucket, null is a key, whole numbers above 2^53 stay whole, and state goes from batch to batch."""
+    rnd = random.Random(6)
+    big = 2**60
+    rows = sorted([(rnd.choice([None, big + rnd.randint(0, 60)]), rnd.randint(0, 90), i) for i in range(900)], key=lambda r: r[1])
+    for n in range(3):
+        part = [r for r in rows if n * 30 <= r[1] < n * 30 + 30 or (n == 2 and r[1] == 90)]
+        spark.createDataFrame(part, "key long, ts bigint, rid bigint").select("key", "ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = {}
+    for key in {r[0] for r in rows}:
+        hits = []
+        for _, t, _ in (r for r in rows if r[0] == key):
+            hits = [x for x in hits if x >= t - 15]
+            if len(hits) < 4:
+                hits.append(t)
+            total, let_in = want.get((key, t), (0, 0))
+            want[key, t] = total + 1, let_in + (len(hits) <= 4 and hits[-1:] == [t] and sum(x == t for x in hits) > let_in)
+    for k, idle in enumerate((None, 3600)):
+        src = spark.readStream.schema("key long, ts bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        got = run(spark, sliding_rate_stream(src, 4, 15, idle_seconds=idle, buckets=3), f"bucket_out_{k}").collect()
+        assert len(got) == len(want) and {(r.key, r.ts): (r.requests, r.admitted) for r in got} == want
