@@ -13,7 +13,7 @@ Two documents link when |A ∩ B| * 100 >= 90 * |A ∪ B| for their sets of word
    all others of another component. Length and positional filters stand in the join, a suffix filter (counts by hash range bound the
    symmetric difference) before the sets are fetched. Each pair is checked once. Pairs inside one component
    need no check, so a group of thousands of near copies costs links, not all its pairs; no link between components is lost.
-5. **Components** of all links give the smallest reachable id.
+5. **Components** of all links give the smallest reachable id; those of the first links are stars when the others are added.
 
 Sets are made again from the texts of candidate classes only (a fixed-size Bloom filter spares the rest, an exact join follows).
 Null, empty and blank texts have no set and link with nothing. Texts with fewer words than a shingle are one shingle. Repeated rows
@@ -263,8 +263,8 @@ def class_links(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, Data
     fits = (F.col("comp") != F.col("comp_x")) & _may_link(F.col("n"), F.col("pos"), F.col("n_x"), F.col("pos_x"), rule)
     rest = left.join(mixed, ["token", "band"]).filter(fits).select(*_pair("cls", "cls_x")).distinct()
     second = _verified(rest, sets, rule)
-    links = first.union(second)
-    return profile, links, components(links)
+    joined = components(second.union(comps.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+    return profile, first.union(second), joined
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
