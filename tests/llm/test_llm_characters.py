@@ -1,6 +1,7 @@
 """The character model against plain Python, and what a folded alphabet could not see."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -124,3 +125,49 @@ def test_rows_that_are_kept_are_judged_by_every_letter(spark, monkeypatch):
     rows = capitals()
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, junk boolean").repartition(3)
     check_capitals(rows, {r.doc_id for r in quality.keep_good(docs).collect()})
+
+
+def plain_kept(rows):
+    """Ids that word rules, plain model and bands keep, without Spark."""
+    texts = [r[1] or "" for r in rows]
+    _, less = plain_model(texts)
+    usable, failed = [], []
+    for (_, _, lang), t in zip(rows, texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        windows = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
+        twice = {w for w, n in Counter(windows).items() if n > 1}
+        covered = {k + j for k, w in enumerate(windows) if w in twice for j in range(3)}
+        failed.append(len(words) < 50 or 100 * len(covered) > 50 * len(words))
+        if len(words) >= 50:
+            usable.append((lang, -sum(math.log(less[("   " + t)[k:k + 4]]) for k in range(len(t))) / len(t)))
+        else:
+            usable.append(None)
+    grid = quality.GRID
+    median = lambda xs: sorted(round(x * grid) for x in xs)[(len(xs) - 1) // 2] / grid
+    of = defaultdict(list)
+    for lang, x in filter(None, usable):
+        of[lang].append(x)
+    mid = {lang: median(xs) for lang, xs in of.items()}
+    every = median([abs(x - mid[lang]) for lang, x in filter(None, usable)])
+    limits = {}
+    for lang, xs in of.items():
+        n, mad = len(xs), median([abs(x - mid[lang]) for x in xs])
+        dev = max(1.4826 * max(mad, (n * mad + 50 * every) / (n + 50)), 0.01) * math.sqrt(1 + math.pi / 2 / n)
+        limits[lang] = mid[lang] - 5 * dev, mid[lang] + 5 * dev
+    return [r[0] for r, bad, got in zip(rows, failed, usable) if not bad and limits[got[0]][0] <= got[1] <= limits[got[0]][1]]
+
+
+def test_rows_that_are_kept_equal_plain_rules_model_and_bands(spark, monkeypatch):
+    """Every step of the pipeline's form at once: rules, whole model, perplexity of each document, bands of its language."""
+    monkeypatch.setattr(quality, "BLOCK", 5000)
+    rng = np.random.default_rng(6)
+    cyrillic = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщ")
+    rows = [(k, t, "en") for k, t, _, _ in capitals()]
+    rows += [(500 + k, t.translate(cyrillic), [None, "ru"][k % 10 > 0]) for k, t, _, _ in capitals()[:80]]
+    rows += [(700, None, "en"), (701, "", None), (702, "ONE TWO", "ru"), (703, "SAME THREE WORDS " * 40, "en")]
+    rows += [(710 + k, " ".join("".join(rng.choice(list("#$%xyzQ"), 6)) for _ in range(60)), ["en", "ru", None, "xx"][k]) for k in range(4)]
+    rows += [(900, rows[3][1], "en"), (900, rows[3][1], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = [r.doc_id for r in quality.keep_good(docs).collect()]
+    want = plain_kept(rows)
+    assert 200 < len(want) < len(rows) - 8 and sorted(kept) == sorted(want)
